@@ -4,15 +4,14 @@ Signature.  Shingles are hashed into a universe of 2**32 places.  One fixed
 permutation scatters the places; a second one, applied after a circular shift
 by k, gives signature coordinate k as its minimum: two permutations for all
 coordinates.  ``bands`` bands of ``rows`` coordinates become bucket keys; at a
-similarity of 0.75 a pair shares none of 40 bands of 4 with probability 3e-7.
+similarity of 0.75 a pair shares none of 32 bands of 4 with probability 5e-6.
 
 Plan.  (1) One map over the texts makes, per document, the set's size, a
 128-bit fingerprint of the set and the band keys.  (2) Equal fingerprints are
 one *class*; from here on a class stands for all its copies.  (3) Classes are
 hashed into buckets, and buckets of one are dropped.  (4) Each class is
-compared with the least class of its bucket and of its sub-bucket (three more
-equal coordinates): a linear number of pairs that finds nearly all links.
-(5) Connected components of these links; only classes of different components
+compared with the least and the greatest class of its bucket: a linear number
+of pairs that finds nearly all links.  (5) Connected components of these links; only classes of different components
 in one bucket can still hold an unseen link that matters.  (6) Those buckets
 are searched in full inside tasks (large ones in blocks of ``block`` by
 ``block`` classes), each pair at its first common band, and what passes on
@@ -30,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,6 @@ from .components import components
 from .scratch import cut, ship_package
 from .textcore import list_array, mix64, shingles, slices, word_hashes
 
-_DEEPER = 3
 _KEY = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(16)], np.uint64)
 
 
@@ -67,15 +66,13 @@ def signature(sets: np.ndarray, offsets: np.ndarray, coordinates: int) -> np.nda
     return out
 
 
-def band_keys(sig: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and sub-bucket keys, one of each per band."""
-    n, wide = sig.shape[1], sig.astype(np.uint64)
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The bucket key of each band; the band is part of what is hashed."""
+    wide = sig.astype(np.uint64)
     keys = np.empty((len(sig), bands), np.uint64)
-    deeper = np.empty((len(sig), bands), np.uint64)
     for b in range(bands):
-        keys[:, b] = mix64(wide[:, b * rows : (b + 1) * rows] @ _KEY[:rows])
-        deeper[:, b] = mix64(wide[:, [(b * rows + rows + j) % n for j in range(_DEEPER)]] @ _KEY[:_DEEPER] + keys[:, b])
-    return keys.view(np.int64), deeper.view(np.int64)
+        keys[:, b] = mix64(wide[:, b * rows : (b + 1) * rows] @ _KEY[:rows] + np.uint64(b) * _KEY[-1])
+    return keys.view(np.int64)
 
 
 def _fingerprints(sets: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
@@ -92,17 +89,18 @@ def _fingerprints(sets: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
 
 def _sketch(bands: int, rows: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1), 1 << 19):
                 sets, at = shingles(*word_hashes(data, offsets), words)
-                keys, deeper = band_keys(signature(sets, at, bands * rows), bands, rows)
-                has = np.diff(at) > 0
+                keys = band_keys(signature(sets, at, bands * rows), bands, rows)
                 ends = np.zeros(b - a + 1, np.int64)
-                np.cumsum(has * bands, out=ends[1:])
+                np.cumsum((np.diff(at) > 0) * bands, out=ends[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(_fingerprints(sets, at), pa.binary()), list_array(keys.ravel(), ends), list_array(deeper.ravel(), ends)],
-                    ["doc_id", "n_shingles", "node", "keys", "deeper"],
+                    [pa.array(np.arange(row, row + b - a)), batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(_fingerprints(sets, at), pa.binary()), list_array(keys.ravel(), ends)],
+                    ["row", "doc_id", "n_shingles", "print", "keys"],
                 )
+                row += b - a
 
     return run
 
@@ -115,12 +113,12 @@ def _sets(words: int):
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
                 sets, at = shingles(*word_hashes(data, offsets), words)
-                nodes, keep = batch.column(0).slice(a, b - a).to_pylist(), []
+                nodes, asked, keep = batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a).to_pylist(), []
                 for i, found in enumerate(_fingerprints(sets, at)):
-                    if found == nodes[i] != last:
+                    if found == asked[i] != last:
                         keep.append(i)
                         last = found
-                out = pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), list_array(sets.view(np.int64), at)], ["node", "shingles"])
+                out = pa.RecordBatch.from_arrays([nodes, list_array(sets.view(np.int64), at)], ["node", "shingles"])
                 yield out if len(keep) == b - a else out.take(pa.array(keep, pa.int32()))
 
     return run
@@ -158,16 +156,15 @@ def _search(percent: int):
     """Pairs of different components in one block of a bucket whose hashed sets reach the similarity, at their first common band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-        for table in _groups(batches, ["band", "key", "block"]):
-            nodes = table.column("node").to_pylist()
-            comp = np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)[1]
+        for table in _groups(batches, ["key", "block"]):
+            nodes = table.column("node").to_numpy()
+            comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
             if comp.max() == 0:
                 continue
-            band = table.column("band")[0].as_py()
             part, other = table.column("part").to_numpy(), table.column("across")[0].as_py()
             values, at = _lists(table.column("small"))
-            keys = _lists(table.column("keys"))[0].reshape(len(nodes), -1)[:, :band]
+            keys = _lists(table.column("keys"))[0].reshape(len(nodes), -1)
+            keys = keys[:, : np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0]]
             size = np.diff(at)
             owner = np.repeat(np.arange(len(nodes)), size)
             order = np.argsort(values, kind="stable")
@@ -193,7 +190,7 @@ def _search(percent: int):
                         found_a.append(min(nodes[x], nodes[y]))
                         found_b.append(max(nodes[x], nodes[y]))
             if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -212,60 +209,50 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 40, rows: int = 4, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, block: int = 2048, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id linked with it, directly or through others), kept."""
     ship_package(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = cut(texts.mapInArrow(_sketch(bands, rows, words), "doc_id long, n_shingles long, node binary, keys array<long>, deeper array<long>"), "sketch")
-    linked = sketch.where("doc_id is not null and node is not null")
-
-    # One row for each class; equal sets have equal keys.
-    classes = linked.groupBy("node").agg(F.min("doc_id").alias("first"))
-    buckets = linked.select("node", F.posexplode("keys").alias("band", "key")).groupBy("band", "key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("hub <> last")
-    firsts = linked.join(classes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
-    spread = firsts.select("node", "keys", F.posexplode(F.arrays_zip("keys", "deeper")).alias("band", "z")).select("node", "keys", "band", F.col("z.keys").alias("key"), F.col("z.deeper").alias("deep"))
-    members = cut(spread.join(buckets, ["band", "key"]), "members")
-
-    near = members.groupBy("band", "key", "deep").agg(F.min("node").alias("sub"))
-    stars = members.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(
-        members.join(near, ["band", "key", "deep"]).select(F.col("sub").alias("a"), F.col("node").alias("b"))
-    )
-    pairs = cut(stars.where("a < b").distinct(), "stars")
+    sketch = cut(texts.mapInArrow(_sketch(bands, rows, words), "row long, doc_id long, n_shingles long, print binary, keys array<long>"), "sketch")
+
+    # A class is named by the least row that has its set.
+    named = sketch.where("doc_id is not null and print is not null").select("row", "doc_id", "print")
+    classes = cut(named.groupBy("print").agg(F.min(F.struct("row", "doc_id")).alias("z")).select("print", F.col("z.row").alias("node"), F.col("z.doc_id").alias("first")), "classes")
+    keyed = cut(sketch.select(F.col("row").alias("node"), "keys").join(classes.select("node"), "node", "left_semi"), "keys")
+    spread = keyed.select("node", F.explode("keys").alias("key"))
+    buckets = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    members = cut(spread.join(buckets, "key"), "members")
+    pairs = cut(members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct(), "stars")
 
     # The full sets of the classes that share a bucket with another one.
-    wanted = members.select("node").distinct().join(classes, "node")
-    full = texts.join(wanted.withColumnRenamed("first", "doc_id"), "doc_id").select("node", "text").mapInArrow(_sets(words), "node binary, shingles array<long>")
+    wanted = cut(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"), "print"), "wanted")
+    few = wanted.count() <= broadcast_rows
+    full = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text", "print").mapInArrow(_sets(words), "node long, shingles array<long>")
     sets = cut(full, "sets")
 
     links = cut(_confirmed(pairs, sets, percent), "links")
     comp = components(links)
 
-    labelled = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_buckets = labelled.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1").select("band", "key", "m")
+    # What those links leave open: buckets that hold more than one component.
+    labelled = members.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    opened = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1").select("key", "m")
     small = sets.select("node", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("small"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
-    rows_ = (
-        labelled.select("band", "key", "node", "comp", "keys")
-        .join(open_buckets, ["band", "key"])
-        .withColumn("parts", parts)
+    blocks = (
+        labelled.join(opened, "key")
+        .withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("block", F.least("part", "to") * F.col("parts") + F.greatest("part", "to"))
         .withColumn("across", F.floor(F.col("block") / F.col("parts")) != F.pmod("block", "parts"))
-        .join(small, "node")
-        .select("band", "key", "block", "across", "part", "node", "comp", "keys", "small")
-        .repartition("band", "key", "block")
-        .sortWithinPartitions("band", "key", "block")
+        .join(keyed.join(small, "node"), "node")
+        .select("key", "block", "across", "part", "node", "comp", "keys", "small")
+        .repartition("key", "block")
+        .sortWithinPartitions("key", "block")
     )
-    more = _confirmed(rows_.mapInArrow(_search(percent), "a binary, b binary").distinct(), sets, percent)
+    more = _confirmed(cut(blocks.mapInArrow(_search(percent), "a long, b long").distinct(), "found"), sets, percent)
     comp = components(cut(links.union(more), "links"))
 
-    named = sketch.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.where("comp is not null and doc_id is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "comp", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
-    )
-
+    rows_ = sketch.select("row", "doc_id", "n_shingles", "print").join(classes.select("print", "node"), "print", "left").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = rows_.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    own = F.coalesce("component_id", "doc_id")
+    return rows_.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
