@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sql
+from . import fm, ppm, sql
 from .minhash import near_duplicates
 
 
@@ -16,8 +16,19 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return fm.score(docs, fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_toxicity_fm": op2_toxicity_fm,
+    "op3_ppm_score": op3_ppm_score,
 }
 
 SQL = {
