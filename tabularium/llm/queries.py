@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fm, ppm, sql
+from . import fm, mixing, packing, ppm, quality, secrets, sql, tokenfile
 from .minhash import near_duplicates
 
 
@@ -25,12 +26,50 @@ def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_documents(spark, sf_dir))
 
 
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_documents(spark, sf_dir))
+
+
+def _tokenizer() -> str:
+    """The public tokenizer file; installed with its package, not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.packed_documents(_documents(spark, sf_dir), _tokenizer())
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op7_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_tokens(tokenfile.write_tokens(_documents(spark, sf_dir), _tokenizer()))
+
+
+def op9_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(_documents(spark, sf_dir)).taken()
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("_spans", lambda s: s.kind != "guess")
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    count = lambda kind: F.size(F.filter("_spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said("_spans").alias("spans"), count("guess"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity_fm": op2_toxicity_fm,
     "op3_ppm_score": op3_ppm_score,
+    "op5_line_quality": op5_line_quality,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_bit_packed_tokens": op7_bit_packed_tokens,
+    "op9_block_mixing": op9_block_mixing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 SQL = {
     "op1_minhash_dedup": sql.NEAR_DUPLICATES,
+    "op5_line_quality": sql.LINE_QUALITY,
 }

@@ -25,3 +25,31 @@ SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, min(r.other) AS component_id, d
 FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
 GROUP BY d.doc_id, z.n
 """
+
+LINE_QUALITY = r"""
+WITH
+texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') || CASE WHEN source IS NULL THEN chr(1) ELSE '' END AS host, coalesce(text, '') AS text FROM documents),
+words AS (SELECT row, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts),
+windows AS (SELECT row, i, w[i : i + 2] AS t FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+again AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, t) > 1),
+covered AS (SELECT row, count(DISTINCT i + j) AS n FROM again, (VALUES (0), (1), (2)) AS steps(j) GROUP BY row),
+lines AS (
+    SELECT row, host, x AS line,
+        list_filter(regexp_split_to_array(lower(x), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w
+    FROM (SELECT row, host, unnest(string_split(text, chr(10))) AS x FROM texts)
+    WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+common AS (SELECT host, w FROM lines GROUP BY ALL HAVING count(DISTINCT row) > 20),
+removed AS (SELECT row, sum(len(l.w)) AS n FROM lines l JOIN common c ON c.host = l.host AND c.w = l.w GROUP BY row),
+dups AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY row),
+figures AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words,
+        length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(r.n, 0)::BIGINT AS removed
+    FROM texts t JOIN words USING (row) LEFT JOIN dups d USING (row) LEFT JOIN covered c USING (row) LEFT JOIN removed r USING (row))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * (n_words - removed) >= n_words AS kept,
+    n_words - removed AS left_words
+FROM figures
+"""

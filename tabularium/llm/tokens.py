@@ -18,8 +18,8 @@ from tokenizers import Tokenizer
 
 from .textcore import slices
 
-_MOST_WORDS = 400_000
-_MOST_HEADS = 600_000
+_MOST_WORDS = 700_000
+_MOST_HEADS = 500_000
 # a head that ends in a letter or digit, and ASCII marks behind it: no rule of the tokenizer joins the two
 _TAIL = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)", re.DOTALL)
 
