@@ -177,23 +177,36 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, width: int = 4096,
     return {"bits": bits, "places": places, "b": flat[0], "w": flat[1 : n + 1], "v": flat[n + 1 :].reshape(n, FACTORS)}
 
 
+def _scored(model: dict, batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the batches with their scores."""
+    bits, w, v = model["bits"], model["w"], model["v"]
+    slot = np.full(1 << bits, -1, np.int32)
+    slot[model["places"]] = np.arange(len(w))
+    for batch in batches:
+        for a, b, data, offsets in slices(batch.column(text_at)):
+            rows = b - a
+            found, at = terms(data, offsets, bits)
+            owner = np.repeat(np.arange(rows), np.diff(at))
+            i = slot[found]
+            owner, i = owner[i >= 0], i[i >= 0]
+            summed = np.stack([np.bincount(owner, v[i, f], rows) for f in range(FACTORS)], 1)
+            z = model["b"] + np.bincount(owner, w[i], rows) + 0.5 * ((summed**2).sum(1) - np.bincount(owner, (v[i] ** 2).sum(1), rows))
+            yield batch.slice(a, rows), 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def _score(model: dict, modulus: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, w, v = model["bits"], model["w"], model["v"]
-        slot = np.full(1 << bits, -1, np.int32)
-        slot[model["places"]] = np.arange(len(w))
-        for batch in batches:
-            for a, b, data, offsets in slices(batch.column(1)):
-                rows = b - a
-                found, at = terms(data, offsets, bits)
-                owner = np.repeat(np.arange(rows), np.diff(at))
-                i = slot[found]
-                owner, i = owner[i >= 0], i[i >= 0]
-                summed = np.stack([np.bincount(owner, v[i, f], rows) for f in range(FACTORS)], 1)
-                z = model["b"] + np.bincount(owner, w[i], rows) + 0.5 * ((summed**2).sum(1) - np.bincount(owner, (v[i] ** 2).sum(1), rows))
-                ids = batch.column(0).slice(a, rows)
-                test = [i is not None and zlib.crc32(str(i).encode()) % modulus == 0 for i in ids.to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(test), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "held_out", "score"])
+        for part, found in _scored(model, batches, 1):
+            test = [i is not None and zlib.crc32(str(i).encode()) % modulus == 0 for i in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(test, pa.bool_()), pa.array(found)], ["doc_id", "held_out", "score"])
+
+    return run
+
+
+def _keep(model: dict, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _scored(model, batches, text_at):
+            yield part.filter(pa.array(found < 0.5))
 
     return run
 
@@ -203,3 +216,9 @@ def score(docs: DataFrame, model: dict, modulus: int = 5) -> DataFrame:
     ship_package(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_score(model, modulus), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose ``text`` scores below 0.5."""
+    ship_package(docs.sparkSession)
+    return docs.mapInArrow(_keep(model, docs.columns.index("text")), docs.schema)

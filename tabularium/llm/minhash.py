@@ -70,8 +70,9 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """The bucket key of each band; the band is part of what is hashed."""
     wide = sig.astype(np.uint64)
     keys = np.empty((len(sig), bands), np.uint64)
+    own = np.arange(bands, dtype=np.uint64) * _KEY[-1]
     for b in range(bands):
-        keys[:, b] = mix64(wide[:, b * rows : (b + 1) * rows] @ _KEY[:rows] + np.uint64(b) * _KEY[-1])
+        keys[:, b] = mix64(wide[:, b * rows : (b + 1) * rows] @ _KEY[:rows] + own[b])
     return keys.view(np.int64)
 
 

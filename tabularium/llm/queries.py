@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm, mixing, packing, ppm, quality, secrets, sql, tokenfile
+from . import fm, hamming, mixing, packing, ppm, quality, secrets, sharding, sql, tokenfile
 from .minhash import near_duplicates
 
 
@@ -26,11 +26,16 @@ def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_documents(spark, sf_dir))
 
 
+def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return hamming.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_documents(spark, sf_dir))
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     """The public tokenizer file; installed with its package, not part of this repository."""
     import public_tokenizers
 
@@ -38,12 +43,17 @@ def _tokenizer() -> str:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.packed_documents(_documents(spark, sf_dir), _tokenizer())
+    found = packing.packed_documents(_documents(spark, sf_dir), tokenizer_path())
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op7_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.read_tokens(tokenfile.write_tokens(_documents(spark, sf_dir), _tokenizer()))
+    return tokenfile.read_tokens(tokenfile.write_tokens(_documents(spark, sf_dir), tokenizer_path()))
+
+
+def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shards(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "depth", "prefix", "shard", "shard_bytes")
 
 
 def op9_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,14 +72,18 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity_fm": op2_toxicity_fm,
     "op3_ppm_score": op3_ppm_score,
+    "op4_hamming_topk": op4_hamming_topk,
     "op5_line_quality": op5_line_quality,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bit_packed_tokens": op7_bit_packed_tokens,
+    "op8_extendible_shards": op8_extendible_shards,
     "op9_block_mixing": op9_block_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
 
 SQL = {
     "op1_minhash_dedup": sql.NEAR_DUPLICATES,
+    "op4_hamming_topk": sql.HAMMING,
     "op5_line_quality": sql.LINE_QUALITY,
+    "op8_extendible_shards": sql.SHARDS,
 }

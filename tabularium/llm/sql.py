@@ -53,3 +53,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words - removed AS left_words
 FROM figures
 """
+
+HAMMING = r"""
+WITH codes AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN 1 ELSE 0 END) AS code
+    FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+pairs AS (
+    SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id,
+        list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.code[i] <> v.code[i] THEN 1 ELSE 0 END))::INTEGER AS distance
+    FROM codes q JOIN codes v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INTEGER AS rank, neighbour_id, distance
+FROM pairs QUALIFY rank <= 10
+"""
+
+SHARDS = r"""
+WITH rows AS (
+    SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS address
+    FROM documents),
+levels AS (SELECT *, address >> (60 - depth) AS prefix FROM rows, (SELECT unnest(range(0, 61))::INTEGER AS depth)),
+sums AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes FROM levels GROUP BY ALL)
+SELECT l.doc_id, l.n_bytes, l.depth, l.prefix,
+    CASE WHEN l.depth = 0 THEN '' ELSE right(lpad(bin(l.prefix), 60, '0'), l.depth) END AS shard, s.shard_bytes
+FROM levels l JOIN sums s USING (depth, prefix)
+WHERE s.shard_bytes <= 16777216
+QUALIFY row_number() OVER (PARTITION BY l.doc_id ORDER BY l.depth) = 1
+"""
