@@ -142,7 +142,7 @@ def fit(label: np.ndarray, found: np.ndarray, at: np.ndarray, bits: int, width:
 
 def _fit(bits: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
+        table = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int32()))]))
         if table.num_rows:
             table = table.sort_by("doc_id")
             lists = table.column("terms").combine_chunks()

@@ -115,7 +115,7 @@ def pack(lengths: DataFrame, capacity: int, slack: int = 4, group: int = 100_000
     return full if found is None else full.union(found)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0, **options) -> DataFrame:
     """row, doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
     ship_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -123,5 +123,5 @@ def packed_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id:
     pieces = cut(texts.mapInArrow(_pieces(tokenizer, most, end_id), f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long"), "pieces")
     # an item's number: its row has 33 bits within its partition, of which pieces take the place above
     items = cut(pieces.withColumn("item", F.monotonically_increasing_id()), "items")
-    placed = pack(items.select("item", "length"), most)
+    placed = pack(items.select("item", "length"), most, **options)
     return items.join(placed, "item").select("row", "doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
