@@ -1,7 +1,10 @@
-"""Named queries and the SQL that says the same."""
+"""Named queries, and the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from tabularium.plans import results
+
+FLAGSHIP = "wide_pivot_totals"
+_ALL = {**results.QUERIES}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
