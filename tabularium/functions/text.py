@@ -111,7 +111,7 @@ def context_windows(text: Column, word: str, around: int = 30) -> Column:
 def without_overlaps(spans: Column) -> Column:
     """Spans (start, end, label) by start, longest first, each dropped that starts before the last kept one ends."""
     ordered = F.array_sort(spans, lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(b.end - a.end))
-    step = lambda kept, s: F.when(F.coalesce(F.element_at(kept, -1).end, F.lit(-1)) <= s.start, F.array_append(kept, s)).otherwise(kept)
+    step = lambda kept, s: F.when(F.coalesce(F.get(kept, F.size(kept) - 1).end, F.lit(-1)) <= s.start, F.array_append(kept, s)).otherwise(kept)
     return F.aggregate(ordered, F.slice(ordered, 1, 0), step)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ def nearest_labels(rows: DataFrame, key: str, vector: str, known: DataFrame, lab
             s = v @ matrix.T if len(names) and len(v) else np.zeros((len(batch), 1))
             best = s.argmax(1)
             score = s[np.arange(len(batch)), best]
-            yield pd.DataFrame({key: batch[key], "label": [str(names[i]) if x >= least and len(names) else "unknown" for i, x in zip(best, score, strict=True)], "score": np.round(score, 6)})
+            yield pd.DataFrame({key: batch[key], "label": [str(names[i]) if x >= least and len(names) else "unknown" for i, x in zip(best, score, strict=True)], "score": score})
 
     return rows.select(key, vector).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, label string, score double")
 
@@ -120,9 +121,7 @@ def density_noise(rows: DataFrame, key: str, columns: list[str], radius: float,
     points = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     cell = [F.floor(F.col(c) / radius) for c in columns]
     points = points.withColumn("_cell", F.array(*cell))
-    around = F.array(F.array().cast("array<bigint>"))
-    for i in range(len(columns)):
-        around = F.flatten(F.transform(around, lambda a, i=i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.array_append(a, F.col("_cell")[i] + d))))
+    around = F.array(*[F.array(*[c + F.lit(d) for c, d in zip(cell, step, strict=True)]) for step in product((-1, 0, 1), repeat=len(columns))])
     other = points.select(*[F.col(c).alias(f"_{c}") for c in columns], F.col("_n").alias("_m"), F.explode(around).alias("_cell"))
     gap = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in columns), F.lit(0.0))
     near = points.join(other, "_cell").where(gap <= radius * radius)

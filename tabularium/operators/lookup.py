@@ -2,19 +2,19 @@
 
 Dimensions are joined by equality and Spark broadcasts them by their measured
 size.  Contained-in matches are made equalities: the text's words (or word
-pairs) meet the dimension's; only a fuzzy match compares every pair, and that
-only between distinct values with a common token.
+pairs) meet the dimension's; only a fuzzy match compares every pair: distinct
+names with a dimension of checked size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabularium.functions.fuzzy import ratio
-
 
 def routed(rows: DataFrame, *steps: tuple[DataFrame, str]) -> DataFrame:
     """Left joins up a chain of parents: each step (dimension, key) adds its columns."""
@@ -40,23 +40,36 @@ def filtered(rows: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return rows
 
 
-def closest(names: DataFrame, name: str, known: DataFrame, target: str, least: float = 0.6) -> DataFrame:
+def closest(names: DataFrame, name: str, known: DataFrame, target: str, least: float = 0.6, most_known: int = 10_000) -> DataFrame:
     """For each distinct name the known one with the greatest ratio (ties: the lesser), if it reaches ``least``.
 
-    Pairs must share a 3-letter run, which two strings of ratio 0.6 and five letters or more do in practice; names are distinct values, not rows.
+    The known names are a dimension of bounded size (checked); every task compares its own distinct names with all of them.
     """
-    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(3))))
-    a = names.select(F.col(name).alias("_n")).distinct().select("_n", F.explode(runs(F.col("_n"))).alias("_g"))
-    b = known.select(F.col(target).alias("_t")).distinct().select("_t", F.explode(runs(F.col("_t"))).alias("_g"))
-    pairs = a.join(b, "_g").select("_n", "_t").distinct().withColumn("score", ratio(F.lower("_n"), F.lower("_t"))).where(F.col("score") >= least)
-    best = pairs.groupBy("_n").agg(F.min_by(F.struct("_t", "score"), F.struct(-F.col("score"), F.col("_t"))).alias("_b"))
-    return best.select(F.col("_n").alias(name), F.col("_b._t").alias(target), F.round("_b.score", 6).alias("score"))
-
-
-def scored(rows: DataFrame, parts: dict[str, Column], name: str = "score") -> DataFrame:
-    """A weighted sum of conditions and numbers."""
-    total = sum((F.coalesce(p.cast("double"), F.lit(0.0)) * float(w) for w, p in ((k, v) for k, v in parts.items())), F.lit(0.0))
-    return rows.withColumn(name, F.round(total, 6))
+    found = [r[0] for r in known.select(target).where(F.col(target).isNotNull()).distinct().orderBy(target).limit(most_known + 1).collect()]
+    if len(found) > most_known:
+        raise ValueError(f"more than {most_known} known names")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = SequenceMatcher()
+        for batch in batches:
+            out = []
+            for x in batch[name]:
+                best, score = None, least
+                matcher.set_seq2(x.lower())
+                for y in found:
+                    matcher.set_seq1(y.lower())
+                    if matcher.real_quick_ratio() >= score and matcher.quick_ratio() >= score and (r := matcher.ratio()) >= score and (best is None or r > score):
+                        best, score = y, r
+                if best is not None:
+                    out.append((x, best, round(score, 6)))
+            yield pd.DataFrame(out, columns=[name, target, "score"])
+
+    return names.select(name).where(F.col(name).isNotNull()).distinct().mapInPandas(run, f"`{name}` string, `{target}` string, score double")
+
+
+def scored(rows: DataFrame, parts: Sequence[tuple[float, Column]], name: str = "score") -> DataFrame:
+    """A weighted sum of conditions and numbers; null counts as 0."""
+    return rows.withColumn(name, F.round(sum((w * F.coalesce(p.cast("double"), F.lit(0.0)) for w, p in parts), F.lit(0.0)), 6))
 
 
 def best_per_key(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

@@ -1,8 +1,10 @@
-"""What a session needs so that Python workers find this package."""
+"""What a session needs: this package for Python workers, and a folder that all executors share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -14,3 +16,16 @@ def ship_package(spark: SparkSession) -> None:
     have = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if root not in have:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
+
+
+_own: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder in ``spark.checkpoint.dir``; in a temporary one only where that is unset, as in local tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        folder = _own[0]
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
-def alert_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
+def alert_stream(spark: SparkSession, folder: str, schema: str | StructType, files_per_batch: int = 64) -> DataFrame:
     """New files of an append-only alert table."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
@@ -27,3 +28,25 @@ def windowed(events: DataFrame, time: str, width: str, late: str, *by: str | Col
 
 def sessions(events: DataFrame, time: str, gap: str, late: str, key: str) -> DataFrame:
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("session"), key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends what is there to a Parquet table, each batch once."""
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_state(rows: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """The result table of an aggregated stream once all that is there has been read.
+
+    Every batch writes the whole table under its own number, so a batch that is run again overwrites only itself.
+    """
+
+    written: list[int] = []
+
+    def put(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{n:09d}")
+        written.append(n)
+
+    rows.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    spark = rows.sparkSession
+    return spark.read.schema(rows.schema).parquet(f"{path}/{written[-1]:09d}") if written else spark.createDataFrame([], rows.schema)
