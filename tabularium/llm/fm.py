@@ -102,7 +102,7 @@ def _select(found: np.ndarray, row: np.ndarray, label: np.ndarray, bits: int, wi
     return np.sort(best[np.isin(best, place[g > 12])])  # 12: p below 0.001
 
 
-def fit(label: np.ndarray, found: np.ndarray, at: np.ndarray, bits: int, width: int, epochs: int = 12, seed: int = 5) -> dict:
+def fit(label: np.ndarray, found: np.ndarray, at: np.ndarray, bits: int, width: int, epochs: int = 25, seed: int = 5) -> dict:
     """places (ascending), w, v, b."""
     n, n1 = len(label), int(label.sum())
     model = {"places": np.zeros(0, np.int64), "w": np.zeros(0), "v": np.zeros((0, FACTORS)), "b": float(np.log((n1 + 0.5) / (n - n1 + 1.5)))}
