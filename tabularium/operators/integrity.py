@@ -30,7 +30,7 @@ def z_outliers(df: DataFrame, by: Sequence[str], value: str, limit: float = 3.0)
     """Rows further than ``limit`` population standard deviations from their group's mean; none where that is 0."""
     figures = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     joined = df.join(figures, list(by)) if by else df.crossJoin(F.broadcast(figures))  # one row
-    return joined.where("std > 0").withColumn("z", F.round((F.col(value) - F.col("mean")) / F.col("std"), 6)).where(F.abs("z") > limit).drop("mean", "std")
+    return joined.where("std > 0").withColumn("z", (F.col(value) - F.col("mean")) / F.col("std")).where(F.abs("z") > limit).drop("mean", "std")
 
 
 def contamination(scores: DataFrame, score: str, share: float = 0.9, low: float = 0.01, high: float = 0.2) -> DataFrame:
