@@ -72,7 +72,7 @@ def _permuted(place: Column, n: Column, side: Column, *key: Column) -> Column:
 class Mix:
     """The parts of a mix: ``docs`` (row, doc_id, size, source_size, target, number, start), ``slots`` (shard, slot, number, epoch, block), ``spans`` (row, number, block, from, words)."""
 
-    def __init__(self, documents: DataFrame, block: int = 64, shard: int = 65_536, most_epochs: int = 3, seed: int = 1, row: str | None = None):
+    def __init__(self, documents: DataFrame, block: int = 64, shard: int = 65_536, most_epochs: int = 3, seed: int = 1, row: str | None = None, spread: int = 4096):
         """row: a column of unique numbers, if ``documents`` has one."""
         sized = documents.select(
             "doc_id",
@@ -114,7 +114,10 @@ class Mix:
         )
         upto = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("first", F.coalesce(F.sum("count").over(upto), F.lit(0))).withColumn("last", F.least(F.col("first") + F.col("count"), F.col("most")) - 1)
-        slots = counts.where("last >= first").select("shard", "number", F.explode(F.sequence("first", "last")).alias("slot"))
+        # a few rows become all slots: runs of ``spread`` slots are dealt to the tasks before they are opened
+        runs = counts.where("last >= first").select("shard", "number", "last", F.explode(F.sequence("first", "last", F.lit(spread))).alias("run"))
+        runs = runs.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "run")
+        slots = runs.select("shard", "number", F.explode(F.sequence("run", F.least("last", F.col("run") + spread - 1))).alias("slot"))
         n = sources.select("number", "blocks", F.ceil(F.sqrt("blocks")).cast("long").alias("side"))
         slots = slots.join(n, "number").withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("int"))
         self.slots = slots.select("shard", "slot", "number", "epoch", _permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("side"), F.lit(seed), F.col("number"), F.col("epoch")).alias("block"))
@@ -128,7 +131,8 @@ class Mix:
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken."""
         times = self.slots.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
-        taken = self.spans.join(times, ["number", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        # Spark takes the slots for as few rows as they are made from, so the join's way is said here
+        taken = self.spans.join(times.hint("merge"), ["number", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         return self.docs.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -139,7 +143,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """
     base = cut(documents.withColumn("_row", F.monotonically_increasing_id()), "mixed")
     mix = Mix(base, row="_row", **options)
-    parts = mix.spans.join(mix.slots.select("number", "block", "epoch"), ["number", "block"])
+    parts = mix.spans.join(mix.slots.select("number", "block", "epoch").hint("merge"), ["number", "block"])
     parts = parts.groupBy("row", "epoch").agg(F.sum("words").alias("_taken"), F.array_sort(F.collect_list(F.struct("from", "words"))).alias("_parts"))
     parts = parts.join(mix.docs.select("row", F.col("size").alias("_size")), "row").withColumn("_parts", F.when(F.col("_taken") < F.col("_size"), F.col("_parts")))
     rows = base.join(parts.withColumnRenamed("row", "_row"), "_row").withColumn("_words", F.when(F.col("_parts").isNotNull(), words_of(F.col("text").cast("string"))))
