@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
 
     # A class is named by the least row that has its set.
     named = sketch.where("doc_id is not null and print is not null").select("row", "doc_id", "print")
-    classes = cut(named.groupBy("print").agg(F.min(F.struct("row", "doc_id")).alias("z")).select("print", F.col("z.row").alias("node"), F.col("z.doc_id").alias("first")), "classes")
+    classes = cut(named.groupBy("print").agg(F.min(F.struct("row", "doc_id")).alias("z"), F.min("doc_id").alias("least")).select("print", F.col("z.row").alias("node"), F.col("z.doc_id").alias("first"), "least"), "classes")
     keyed = cut(sketch.select(F.col("row").alias("node"), "keys").join(classes.select("node"), "node", "left_semi"), "keys")
     spread = keyed.select("node", F.explode("keys").alias("key"))
     buckets = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
@@ -253,7 +253,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     more = _confirmed(cut(blocks.mapInArrow(_search(percent), "a long, b long").distinct(), "found"), sets, percent)
     comp = components(cut(links.union(more), "links"))
 
-    rows_ = sketch.select("row", "doc_id", "n_shingles", "print").join(classes.select("print", "node"), "print", "left").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = rows_.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    own = F.coalesce("component_id", "doc_id")
-    return rows_.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    # Components are named by their classes, linked ones only; every document then meets its class once.
+    linked = comp.join(classes.select("node", "least"), "node")
+    linked = linked.join(linked.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
+    names = classes.join(linked, "node", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    found = sketch.select("doc_id", "n_shingles", "print").join(names, "print", "left").withColumn("component_id", own)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
