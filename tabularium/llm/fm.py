@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import ship_package
-from .textcore import _BASE, _INV, _VALUE, WS, _power, mix64, slices
+from .textcore import _BASE, _INV, _VALUE, WS, _power, mix64, release, slices
 
 PREFIXES = (3, 4, 5, 6)
 FACTORS = 4
@@ -78,6 +78,7 @@ def terms(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray,
 
 def _features(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(2)):
                 found, at = terms(data, offsets, bits)
@@ -179,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, width: int = 4096,
 
 def _scored(model: dict, batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Slices of the batches with their scores."""
+    release()
     bits, w, v = model["bits"], model["w"], model["v"]
     slot = np.full(1 << bits, -1, np.int32)
     slot[model["places"]] = np.arange(len(w))

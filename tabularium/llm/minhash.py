@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import cut, ship_package
-from .textcore import list_array, mix64, shingles, slices, word_hashes
+from .textcore import list_array, mix64, release, shingles, slices, word_hashes
 
 _KEY = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(16)], np.uint64)
 
@@ -90,6 +90,7 @@ def _fingerprints(sets: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
 
 def _sketch(bands: int, rows: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1), 1 << 19):
@@ -110,6 +111,7 @@ def _sets(words: int):
     """The set of each text that has the fingerprint asked for; a repeated id also brings other texts, and the same one again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         last = None
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):

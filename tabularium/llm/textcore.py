@@ -10,7 +10,8 @@ carriage return); A-Z is lower-cased before hashing.  Nulls count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,22 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+_held: list[tuple[Hashable, Any]] = []
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps between tasks, one thing at most: that of another key is let go first."""
+    if not _held or _held[0][0] != key:
+        _held.clear()
+        _held.append((key, make()))
+    return _held[0][1]
+
+
+def release() -> None:
+    """For tasks that keep nothing: lets go what earlier ones of this process have kept."""
+    _held.clear()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers with full avalanche, in place."""
     x ^= x >> np.uint64(33)

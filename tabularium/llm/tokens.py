@@ -3,7 +3,7 @@
 The tokenizer's normaliser and splitter never reach across ASCII white space,
 so a text's ids are those of its white-space separated words in order; words
 repeat, so each task keeps the ids of those it has met (bounded: beyond
-``_MOST_WORDS`` or ``_MOST_HEADS`` entries it starts anew) and only asks the
+``_MOST_WORDS`` entries it starts anew) and only asks the
 library for new ones.  A test compares this with the library on whole texts.
 """
 
@@ -16,10 +16,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from .textcore import slices
+from .textcore import kept, slices
 
-_MOST_WORDS = 700_000
-_MOST_HEADS = 500_000
+_MOST_WORDS = 500_000
 # a head that ends in a letter or digit, and ASCII marks behind it: no rule of the tokenizer joins the two
 _TAIL = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)", re.DOTALL)
 
@@ -31,37 +30,27 @@ class _Ids(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.heads: dict[str, bytes] = {}
-
-    def head(self, text: str) -> bytes:
-        found = self.heads.get(text)
-        if found is None:
-            if len(self.heads) >= _MOST_HEADS:
-                self.heads.clear()
-            found = self.heads[text] = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return found
 
     def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        special = b"<|" in word
+        m = None if special else _TAIL.fullmatch(text)
+        low = word.lower() if not special and word.isascii() else word
+        if m:
+            found = self[m[1].encode()] + self[m[2].encode()]
+        elif low != word:
+            found = self[low]
+        else:
+            found = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self) >= _MOST_WORDS:
             self.clear()
-        text = word.decode()
-        m = _TAIL.fullmatch(text) if b"<|" not in word else None
-        head, tail = (m[1], m[2]) if m else (text, "")
-        if head.isascii() and b"<|" not in word:
-            head = head.lower()
-        self[word] = found = self.head(head) + self.head(tail) if tail else self.head(head)
+        self[word] = found
         return found
 
 
-_held: dict[str, _Ids] = {}
-
-
 def token_bytes(texts: pa.Array, path: str) -> Iterator[bytes]:
     """For each text (null: empty) its ids, four bytes each, in order."""
-    ids = _held.get(path)
-    if ids is None:
-        _held.clear()
-        ids = _held[path] = _Ids(path)
+    ids = kept(("tokens", path), lambda: _Ids(path))
     get = ids.__getitem__
     for a, b, data, offsets in slices(texts):
         raw, at = data.tobytes(), offsets.tolist()
