@@ -27,6 +27,7 @@ WS[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EXACT = _VALUE.copy()
 _VALUE = _VALUE[LOWER]
 _VALUE[WS] = 0
 
@@ -118,6 +119,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix64((sums[ends] - sums[starts]) * _power("down", _INV, len(data))[starts]), first
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, as they are."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.multiply(_EXACT[data], _power("up", _BASE, len(data)), out=sums[1:])
+    np.cumsum(sums, out=sums)
+    return mix64((sums[ends] - sums[starts]) * _power("down", _INV, len(data))[starts])
+
+
 def shingles(words: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Each row's sorted distinct n-word shingles as hashes, and the row offsets; a row with fewer words has one, of all its words."""
     rows, total = len(first) - 1, len(words)
