@@ -172,4 +172,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row, from the files."""
     ship_package(manifest.sparkSession)
-    return manifest.select("file", "start").repartition("file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a few rows stand for large files: an explicit number of partitions, which Spark does not merge by their bytes
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("file", "start").repartition(tasks, "file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
