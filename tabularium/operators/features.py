@@ -30,11 +30,13 @@ def nearest_labels(rows: DataFrame, key: str, vector: str, known: DataFrame, lab
     if len(table) > most_known:
         raise ValueError(f"more than {most_known} known vectors")
     names = table[label].to_numpy()
-    matrix = np.array(table[known_vector].tolist(), dtype=float).reshape(len(table), -1)
+    matrix = np.array(table[known_vector].tolist(), dtype=float).reshape(len(table), -1) if len(table) else np.zeros((0, 1))
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if not len(batch):
+                continue
             v = np.array(batch[vector].tolist(), dtype=float).reshape(len(batch), -1)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
             s = v @ matrix.T if len(names) and len(v) else np.zeros((len(batch), 1))

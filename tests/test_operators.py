@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions import fuzzy
 from tabularium.functions import text as T
-from tabularium.operators import features, lookup, pivots, store, tables
+from tabularium.operators import features, lookup, pivots, store, structures, tables
 from tabularium.sources import files, pages
 from tabularium.streaming import alerts
 
@@ -129,3 +129,51 @@ def test_alerts_are_polled_once(spark, tmp_path):
         query = alerts.poll(alerts.alert_stream(spark, folder, schema), lambda df, n: seen.extend(r["id"] for r in df.collect()), str(tmp_path / "checkpoint"))
         query.awaitTermination()
     assert seen == [1, 2, 3]
+
+
+def test_similar_headers_become_one(spark):
+    df = spark.createDataFrame([("a", "", "1"), ("b", "x", None)], "`Candidate Name` string, `Candidate Names` string, Votes string")
+    got = structures.merge_similar_headers(df)
+    assert got.columns == ["Candidate Name", "Votes"] and rows(got) == [("a", "1"), ("b", None)]
+
+
+def test_choice_of_rows(spark):
+    df = spark.range(5).toDF("id")
+    assert rows(structures.chosen(df, "id", "2, 5,9,x")) == [(1,), (4,)] and structures.chosen(df, "id", "ALL").count() == 5 and structures.chosen(df, "id", "").count() == 0
+
+
+def test_library_takes_what_is_new(spark):
+    library, found = spark.createDataFrame([("Kings",)], "name string"), spark.createDataFrame([("kings ",), ("Queens",), ("queens",)], "name string")
+    assert rows(structures.unseen(library, found, ["name"])) == [("Kings",), ("Queens",)]
+
+
+def test_merged_maps(spark):
+    got = spark.range(1).select(structures.merged_maps(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(3), F.lit("c"), F.lit(4)))).first()[0]
+    assert got == {"a": 1, "b": 3, "c": 4}
+
+
+def test_harmonise_twice_is_once(spark):
+    df = spark.createDataFrame([(i, f"u{i % 3}", f"c{i % 2}", str(i % 4), "") for i in range(40)], "ord int, loc string, cand string, mail string, void string")
+    once = tables.harmonise(df, "loc", "cand", ["mail", "void"], "ord")
+    assert rows(tables.harmonise(once, "loc", "cand", ["mail"], "ord")) == rows(once)
+
+
+def test_pivot_and_back(spark):
+    cells = spark.createDataFrame([(f"u{i % 4}", f"C{i % 3}", "P", f"B{i % 2}", str(i)) for i in range(24)], "unit string, candidate string, party string, ballot string, votes_raw string")
+    keyed = cells.withColumn("v", T.votes(F.col("votes_raw"))).withColumn("key", pivots.column_key(F.col("candidate"), F.col("party"), F.col("ballot")))
+    back = pivots.parsed_headers(tables.melted(pivots.pivoted(keyed, "unit", "key", F.sum("v")), ["unit"])).where("value is not null")
+    want = keyed.groupBy("unit", "candidate", "party", "ballot").agg(F.sum("v").cast("string"))
+    assert rows(back.select("unit", "candidate", "party", "ballot", "value")) == rows(want)
+
+
+def test_every_query_survives_empty_tables(spark, data, tmp_path):
+    import os
+
+    from tabularium.plans import registry
+
+    for f in os.listdir(data):
+        if f.endswith(".parquet"):
+            spark.read.parquet(f"{data}/{f}").limit(0).write.parquet(f"{tmp_path}/{f}")
+    needs_rows = {"kmeans_tfidf", "components"}  # there is nothing to fit
+    for name in sorted(set(registry.QUERIES) - needs_rows):
+        registry.QUERIES[name](spark, str(tmp_path)).count()
