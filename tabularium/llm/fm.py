@@ -35,6 +35,7 @@ from .textcore import _BASE, _INV, _VALUE, WS, _power, mix64, release, slices
 
 PREFIXES = (3, 4, 5, 6)
 FACTORS = 4
+_SLICE = 1 << 18  # bytes of text at a time: a slice's terms take some hundred times as much
 
 # ASCII characters that are no letter or digit stand between terms, as white space does
 _BETWEEN = WS.copy()
@@ -80,7 +81,7 @@ def _features(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column(2)):
+            for a, b, data, offsets in slices(batch.column(2), _SLICE):
                 found, at = terms(data, offsets, bits)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.astype(np.int32)))], ["doc_id", "label", "terms"]
@@ -185,7 +186,7 @@ def _scored(model: dict, batches: Iterator[pa.RecordBatch], text_at: int) -> Ite
     slot = np.full(1 << bits, -1, np.int32)
     slot[model["places"]] = np.arange(len(w))
     for batch in batches:
-        for a, b, data, offsets in slices(batch.column(text_at)):
+        for a, b, data, offsets in slices(batch.column(text_at), _SLICE):
             rows = b - a
             found, at = terms(data, offsets, bits)
             owner = np.repeat(np.arange(rows), np.diff(at))
