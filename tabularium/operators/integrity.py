@@ -28,15 +28,17 @@ def cross_field(contests: DataFrame, key: str, rules: dict[str, Column]) -> Data
 
 def z_outliers(df: DataFrame, by: Sequence[str], value: str, limit: float = 3.0) -> DataFrame:
     """Rows further than ``limit`` population standard deviations from their group's mean; none where that is 0."""
-    figures = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    joined = df.join(figures, list(by)) if by else df.crossJoin(F.broadcast(figures))  # one row
+    if by:
+        joined = df.join(df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")), list(by))
+    else:
+        joined = df.withColumns({"mean": df.agg(F.avg(value)).scalar(), "std": df.agg(F.stddev_pop(value)).scalar()})
     return joined.where("std > 0").withColumn("z", (F.col(value) - F.col("mean")) / F.col("std")).where(F.abs("z") > limit).drop("mean", "std")
 
 
 def contamination(scores: DataFrame, score: str, share: float = 0.9, low: float = 0.01, high: float = 0.2) -> DataFrame:
     """The share of rows at or above the ``share`` quantile, within bounds."""
-    cut = scores.agg(F.percentile(score, share).alias("cut"))
-    return scores.crossJoin(F.broadcast(cut)).agg(F.greatest(F.lit(low), F.least(F.lit(high), F.round(F.avg((F.col(score) >= F.col("cut")).cast("double")), 6))).alias("contamination"))
+    over = scores.withColumn("_over", F.col(score) >= scores.agg(F.percentile(score, share)).scalar())
+    return over.agg(F.greatest(F.lit(low), F.least(F.lit(high), F.round(F.avg(F.col("_over").cast("double")), 6))).alias("contamination"))
 
 
 def suspicious(df: DataFrame, key: str, title: str, state: str, county: str) -> DataFrame:

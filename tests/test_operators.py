@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions import fuzzy
 from tabularium.functions import text as T
-from tabularium.operators import features, lookup, pivots, store, structures, tables
+from tabularium.operators import features, integrity, lookup, pivots, store, structures, tables
 from tabularium.sources import files, pages
 from tabularium.streaming import alerts
 
@@ -177,3 +177,10 @@ def test_every_query_survives_empty_tables(spark, data, tmp_path):
     needs_rows = {"kmeans_tfidf", "components"}  # there is nothing to fit
     for name in sorted(set(registry.QUERIES) - needs_rows):
         registry.QUERIES[name](spark, str(tmp_path)).count()
+
+
+def test_outliers_with_and_without_groups(spark):
+    df = spark.createDataFrame([(i, i % 2, 1.0 + i % 3) for i in range(60)] + [(100, 0, 50.0), (101, 2, 7.0)], "id int, g int, x double")
+    assert [r["id"] for r in integrity.z_outliers(df, ["g"], "x").collect()] == [100]
+    assert [r["id"] for r in integrity.z_outliers(df, [], "x").collect()] == [100]
+    assert integrity.contamination(df, "x").first()[0] == 0.2
