@@ -112,6 +112,63 @@ def nearest_headings(spark, sf_dir):
     return ordered.nearest_before(found, ["page_id"], "idx", heading, "heading_idx").where("tag = 'p'").groupBy("page_id", "heading_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _result_pages(spark, sf_dir):
+    """A page for each nation: a panel for each segment, with a heading, a grid of cards and a table of customers."""
+    ship_package(spark)
+    (customer,) = read(spark, sf_dir, "customer")
+    row = F.concat(F.lit("<tr><td>"), F.col("c_custkey").cast("string"), F.lit("</td></tr>"))
+    own = customer.groupBy("c_nationkey", "c_mktsegment").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
+    grid = F.lit('<div class="grid card2"><p><b></b><span>1</span><a>x</a></p><p><span>2</span><a>y</a></p></div>')
+    panel = F.concat(F.lit('<section class="panel"><h3>'), "c_mktsegment", F.lit("</h3>"), grid, F.lit("<table><tr><th>Key</th></tr>"), "rows", F.lit("</table></section>"))
+    return own.groupBy(F.col("c_nationkey").cast("bigint").alias("page_id")).agg(F.concat(F.lit("<html><body>"), F.array_join(F.array_sort(F.collect_list(panel)), ""), F.lit("</body></html>")).alias("html"))
+
+
+def panels_of_tables(spark, sf_dir):
+    """Tables per page and heading of their nearest panel."""
+    found = pages.panel_tables(pages.segments(_result_pages(spark, sf_dir)))
+    return found.groupBy("page_id", "heading").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("panel_idx") < F.col("idx")).alias("inside"))
+
+
+SQL_PANELS = "SELECT c_nationkey::BIGINT AS page_id, c_mktsegment AS heading, 1::BIGINT AS n, true AS inside FROM customer GROUP BY ALL"
+
+
+def panel_markup(spark, sf_dir):
+    """The markup of every panel, cut out by its span."""
+    made = _result_pages(spark, sf_dir)
+    found = pages.segments(made)
+    cut = pages.subtree_html(found, made).join(found.where("tag = 'section'").select("page_id", "idx"), ["page_id", "idx"])
+    return cut.select("page_id", F.regexp_extract("html", "<h3>([^<]*)</h3>", 1).alias("heading"), (F.startswith("html", F.lit("<section")) & F.endswith("html", F.lit("</section>"))).alias("whole"), F.regexp_count("html", F.lit("<tr>")).alias("n_rows"))
+
+
+SQL_MARKUPS = "SELECT c_nationkey::BIGINT AS page_id, c_mktsegment AS heading, true AS whole, (count(*) + 1)::INTEGER AS n_rows FROM customer GROUP BY ALL"
+
+
+def table_like_parts(spark, sf_dir):
+    """Grids and lists of the pages that look like tables."""
+    return pages.table_like(pages.segments(_result_pages(spark, sf_dir))).groupBy("page_id", "n_rows").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_LIKE = "SELECT c_nationkey::BIGINT AS page_id, 2::BIGINT AS n_rows, count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY 1"
+
+
+def selector_discovery(spark, sf_dir):
+    return pages.selector_scores(pages.segments(_result_pages(spark, sf_dir)), ("panel", "card", "result"))
+
+
+SQL_SELECTORS = """
+WITH p AS (SELECT count(DISTINCT (c_nationkey, c_mktsegment)) AS n FROM customer)
+SELECT 'panel' AS selector, n, 5::INTEGER AS score FROM p WHERE n > 0 UNION ALL SELECT 'grid', n, 3 FROM p WHERE n > 0 UNION ALL SELECT 'card2', n, 5 FROM p WHERE n > 0"""
+
+
+def rooted_tree(spark, sf_dir):
+    """Children of the root put above each page."""
+    rooted = pages.with_root(pages.segments(_result_pages(spark, sf_dir)))
+    return rooted.groupBy("page_id").agg(F.count_if(F.col("parent_idx").isNull()).alias("roots"), F.count_if(F.col("tag") == "table").alias("tables"), F.min("idx").alias("first"))
+
+
+SQL_ROOTED = "SELECT c_nationkey::BIGINT AS page_id, 1::BIGINT AS roots, count(DISTINCT c_mktsegment) AS tables, 0::INTEGER AS first FROM customer GROUP BY 1"
+
+
 QUERIES = {
     "dom_segments": (dom_segments, None),
     "tag_counts": (tag_counts, SQL_TAGS),
@@ -123,4 +180,9 @@ QUERIES = {
     "markup_tables": (markup_tables, SQL_MARKUP),
     "attribute_maps": (attribute_maps, SQL_ATTRS),
     "nearest_headings": (nearest_headings, None),
+    "panels_of_tables": (panels_of_tables, SQL_PANELS),
+    "panel_markup": (panel_markup, SQL_MARKUPS),
+    "table_like_parts": (table_like_parts, SQL_LIKE),
+    "selector_discovery": (selector_discovery, SQL_SELECTORS),
+    "rooted_tree": (rooted_tree, SQL_ROOTED),
 }

@@ -188,3 +188,51 @@ def custom_attributes(attrs: Column) -> Column:
 def is_captcha(html: Column, indicators: tuple[str, ...] = ("captcha", "are you human", "checking your browser", "verify you are")) -> Column:
     low = F.lower(html)
     return F.exists(F.array(*map(F.lit, indicators)), lambda x: F.contains(low, x))
+
+
+PANELS = ("section", "div", "fieldset", "article")
+
+
+def _nearest_above(found: DataFrame, rows: DataFrame, tags: tuple[str, ...], name: str) -> DataFrame:
+    """rows with ``name``: the number of the nearest ancestor that is one of the tags, or null."""
+    wanted = found.where(F.col("tag").isin(*tags)).select("page_id", F.col("idx").alias("_above"))
+    up = rows.select("page_id", "idx", F.posexplode("ancestors").alias("_up", "_above")).join(wanted, ["page_id", "_above"])
+    return rows.join(up.groupBy("page_id", "idx").agg(F.min_by("_above", "_up").alias(name)), ["page_id", "idx"], "left")
+
+
+def panel_tables(found: DataFrame) -> DataFrame:
+    """page_id, idx, panel_idx, heading: each table with its nearest panel and that panel's own first heading; a table outside panels is its own."""
+    tables = _nearest_above(found, found.where("tag = 'table'").select("page_id", "idx", "ancestors"), PANELS, "panel_idx")
+    tables = tables.select("page_id", "idx", F.coalesce("panel_idx", "idx").alias("panel_idx"))
+    heads = found.where(F.col("tag").isin(*HEADINGS)).groupBy("page_id", F.col("parent_idx").alias("panel_idx")).agg(F.min_by("text", "idx").alias("heading"))
+    return tables.join(heads, ["page_id", "panel_idx"], "left").select("page_id", "idx", "panel_idx", "heading")
+
+
+def subtree_html(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id, idx, html: the markup from a segment's least start to its greatest end."""
+    return subtree_spans(found).join(pages.select("page_id", F.col("html").alias("_html")), "page_id").select("page_id", "idx", F.expr("substring(_html, start + 1, `end` - start)").alias("html"))
+
+
+def table_like(found: DataFrame) -> DataFrame:
+    """page_id, idx, n_rows: lists of two items or more, and containers of two children or more that have equally many children, two at least."""
+    sizes = found.where("parent_idx is not null").groupBy("page_id", F.col("parent_idx").alias("idx")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tag") == "li").alias("items"))
+    kinds = found.select("page_id", "idx", "tag", "parent_idx").join(sizes, ["page_id", "idx"], "left")
+    grid = kinds.where("parent_idx is not null").groupBy("page_id", F.col("parent_idx").alias("idx")).agg(F.count(F.lit(1)).alias("rows"), F.min(F.coalesce("n", F.lit(0))).alias("least"), F.max(F.coalesce("n", F.lit(0))).alias("most"))
+    rows = kinds.join(grid, ["page_id", "idx"])
+    is_list, is_grid = F.col("tag").isin("ul", "ol") & (F.col("items") >= 2), F.col("tag").isin(*PANELS) & (F.col("rows") >= 2) & (F.col("least") == F.col("most")) & (F.col("least") >= 2)
+    return rows.where(is_list | is_grid).select("page_id", "idx", F.when(is_list, F.col("items")).otherwise(F.col("rows")).alias("n_rows"))
+
+
+def with_root(found: DataFrame) -> DataFrame:
+    """One more segment per page, above all others: its number is 0, the others' go up by one."""
+    up = found.select("page_id", (F.col("idx") + 1).alias("idx"), "tag", F.coalesce(F.col("parent_idx") + 1, F.lit(0)).alias("parent_idx"))
+    return up.unionByName(found.select("page_id").distinct().select("page_id", F.lit(0).alias("idx"), F.lit("url_root").alias("tag"), F.lit(None).cast("int").alias("parent_idx")))
+
+
+def selector_scores(found: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """selector, n, score: classes of containers, 2 for each word they hold, 2 for children, 1 for a digit."""
+    parents = found.where("parent_idx is not null").select("page_id", F.col("parent_idx").alias("idx")).distinct().withColumn("_children", F.lit(2))
+    rows = found.where(F.col("tag").isin(*PANELS)).join(parents, ["page_id", "idx"], "left")
+    rows = rows.select(F.explode("classes").alias("selector"), F.coalesce("_children", F.lit(0)).alias("_children"), F.regexp_like("text", F.lit(r"\d")).cast("int").alias("_digit"))
+    hits = F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("selector"), w)))
+    return rows.withColumn("_score", 2 * hits + F.col("_children") + F.col("_digit")).groupBy("selector").agg(F.count(F.lit(1)).alias("n"), F.max("_score").alias("score"))
