@@ -53,7 +53,7 @@ def year(text: Column) -> Column:
 
 def votes(text: Column) -> Column:
     """A count written with or without thousands commas; null if it is none."""
-    return F.expr("try_cast(replace(__x, ',', '') as bigint)") if isinstance(text, str) else F.replace(text, F.lit(","), F.lit("")).try_cast("bigint")
+    return F.replace(text, F.lit(","), F.lit("")).try_cast("bigint")
 
 
 def percent_reported(text: Column) -> Column:
