@@ -146,7 +146,9 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     parts = mix.spans.join(mix.slots.select("number", "block", "epoch").hint("merge"), ["number", "block"])
     parts = parts.groupBy("row", "epoch").agg(F.sum("words").alias("_taken"), F.array_sort(F.collect_list(F.struct("from", "words"))).alias("_parts"))
     parts = parts.join(mix.docs.select("row", F.col("size").alias("_size")), "row").withColumn("_parts", F.when(F.col("_taken") < F.col("_size"), F.col("_parts")))
-    rows = base.join(parts.withColumnRenamed("row", "_row"), "_row").withColumn("_words", F.when(F.col("_parts").isNotNull(), words_of(F.col("text").cast("string"))))
-    own = F.array_join(F.flatten(F.transform("_parts", lambda x: F.slice("_words", x["from"].cast("int") + 1, x["words"].cast("int")))), " ")
+    rows = base.join(parts.withColumnRenamed("row", "_row"), "_row")
+    # the words are bound to a name, so that they are split once for a text and not for each of its parts
+    taken = lambda words: F.array_join(F.flatten(F.transform("_parts", lambda x: F.slice(words, x["from"].cast("int") + 1, x["words"].cast("int")))), " ")
+    own = F.get(F.transform(F.array(words_of(F.col("text").cast("string"))), taken), F.lit(0))
     text = F.when(F.col("_parts").isNull(), F.col("text")).otherwise(own)
     return rows.withColumn("text", text).select(documents.columns)
