@@ -76,7 +76,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64,
         probes = probes.select("query", "bound", F.col("p.segment").alias("segment"), F.explode(F.transform(masks, lambda m: F.col("p.own").bitwiseXOR(m))).alias("value"))
         verified = F.transform("codes", lambda c: F.struct(F.bit_count(F.col("query").bitwiseXOR(c.code)).alias("distance"), c["first"].alias("first"), c.code.alias("code")))
         near = F.slice(F.array_sort(F.filter(verified, lambda c: c.distance <= F.col("bound"))), 1, k + 1)
-        hits = probes.join(index, ["segment", "value"]).select("query", F.inline(near))
+        # Spark takes the probes for as few rows as the queries they come from, so the join's way is said here
+        hits = probes.hint("merge").join(index, ["segment", "value"]).select("query", F.inline(near))
         if found is not None:
             hits = hits.union(found.join(open_.select(F.col("code").alias("query")), "query", "left_semi"))
         place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "first"))
