@@ -32,8 +32,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the repository is not installed (a local run from another folder)."""
+    """Lets Python workers import this package when the repository is not installed (a local run from another folder), and keeps Arrow batches of texts small.
+
+    A batch of Spark's usual 10,000 rows is some 30 MB of texts, which the JVM and the worker hold several times over.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     have = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
