@@ -16,8 +16,13 @@ training texts; one shuffle sums them.  Lower orders are grouped sums of the
 top one, so every count covers all training texts.  The trie that is broadcast
 holds the contexts seen at least ``cutoff`` times, the least power of two by
 which all orders have no more than ``most_entries`` entries (1 until the corpus
-has more); the word table is bounded likewise by ``most_words`` and the rarer words'
-counts are joined by a shuffle, so base scores stay exact at any size.
+has more).  What it holds is whole, as a context's suffixes are at least as
+frequent; a gram whose longest context is not in it costs nothing there and is
+resolved from the complete written counts: distinct grams are joined with them
+by shuffle, order by order down to where their byte is found, and the costs are
+added up the same way.  The word table is bounded likewise by ``most_words`` and
+the rarer words' counts are joined by a shuffle.  So the broadcast only saves
+joins, and both scores are those of all counts at any size.
 
 Defined results: a null or blank text is one end token; a null ``doc_id`` takes
 part in scoring and training (its text key is ''); repeated rows are scored
@@ -161,13 +166,17 @@ class Trie:
             self.leave.append(Lookup(context[at], cost=base - np.log10(np.maximum(kinds, 1)), rest=rest, kinds=rest_kinds))
             above = keys, n, context[at], total, kinds
 
-    def code_length(self, code: np.ndarray) -> np.ndarray:
-        """Cost in log10 units of each byte, given its gram."""
+    def code_length(self, code: np.ndarray, away: np.ndarray | None = None) -> np.ndarray:
+        """Cost in log10 units of each byte, given its gram; with ``away``, marks there the grams whose longest context is not in the trie, which cost 0."""
         out = np.zeros(len(code), np.float64)
         found = self.cost[-1].find(code)
         hit = found >= 0
         out[hit] = self.cost[-1].values["cost"][found[hit]]
         todo = np.flatnonzero(~hit)
+        if away is not None:
+            known = self.leave[-1].find(code[todo] >> np.uint64(8)) >= 0
+            away[todo[~known]] = True
+            todo = todo[known]
         left = np.full(len(todo), -1, np.int64)  # the context that was left last, at the order above
         for k in range(self.order, -1, -1):
             gram = code[todo] & np.uint64((1 << 8 * (k + 1)) - 1)
@@ -212,7 +221,7 @@ class _Sent:
         return {"broadcast": self.broadcast, "id": self.id}
 
 
-def _score(sent: _Sent, order: int, modulus: int, total: int, distinct: int):
+def _score(sent: _Sent, order: int, modulus: int, total: int, distinct: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, table = _model(sent)
         norm = np.log10(total + 0.1 * (distinct + 1))
@@ -222,7 +231,10 @@ def _score(sent: _Sent, order: int, modulus: int, total: int, distinct: int):
             for a, b, data, offsets in slices(batch.column(1), _SLICE):
                 rows = b - a
                 code, rows_at = grams(data, offsets, order)
-                score = -np.add.reduceat(trie.code_length(code), rows_at[:-1])
+                away = np.zeros(len(code), bool)
+                score = -np.add.reduceat(trie.code_length(code, None if whole else away), rows_at[:-1])
+                aways = np.zeros(rows + 1, np.int64)
+                np.cumsum(np.add.reduceat(away.astype(np.int64), rows_at[:-1]), out=aways[1:])
                 words, first = word_hashes(data, offsets)
                 words = np.insert(words, first[1:], END_WORD)
                 first = first + np.arange(rows + 1)
@@ -242,8 +254,9 @@ def _score(sent: _Sent, order: int, modulus: int, total: int, distinct: int):
                         pa.array(base),
                         pa.array(score),
                         pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words[~hit].view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(aways.astype(np.int32)), pa.array(code[away].view(np.int64))),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "away"],
                 )
                 number += rows
 
@@ -252,7 +265,7 @@ def _score(sent: _Sent, order: int, modulus: int, total: int, distinct: int):
 
 def _cutoff(sizes: DataFrame, most: int) -> int:
     """sizes (level, entries): the least power of two by which what is at that level or above has at most ``most`` entries."""
-    level, kept = 63, 0
+    level, kept = 62, 0
     for r in sizes.orderBy(F.desc("level")).collect():  # 64 rows at most
         if kept + r["entries"] > most:
             break
@@ -262,6 +275,47 @@ def _cutoff(sizes: DataFrame, most: int) -> int:
     return 1 << level
 
 
+def _contexts(entries: DataFrame) -> DataFrame:
+    return entries.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("entries"))
+
+
+def _costs(grams: DataFrame, orders: dict[int, DataFrame], contexts: dict[int, DataFrame], order: int) -> DataFrame:
+    """grams (key): distinct grams; key and cost, as ``Trie.code_length`` of a trie of all counts has it.
+
+    Down: the grams of each order with what their context held, and of those that
+    never came the distinct shorter ones.  Up: ``fresh``, the cost where this is the
+    longest known context, and ``rest``, the cost once this context is known and left.
+    No join meets a key more than 256 times on either side.
+    """
+    asked, found = {order: grams}, {}
+    for k in range(order, -1, -1):
+        own = asked[k].withColumn("context", F.shiftright("key", 8))
+        found[k] = cut(own.join(orders[k].select("key", "n"), "key", "left").join(contexts[k], "context", "left"), "found")
+        if k:
+            asked[k - 1] = found[k].where("n is null").select(F.col("key").bitwiseAND((1 << 8 * k) - 1).alias("key")).distinct()
+    log = lambda x: F.log10(F.greatest(x, F.lit(1)))
+    here = log(2 * F.col("total")) - log(2 * F.col("n") - 1)
+    leave = log(2 * F.col("total")) - log(F.col("entries"))
+    novel = F.lit(float(np.log10(max(256 - orders[0].count(), 1))))
+    costs = found[0].select("key", "n", F.when(F.col("total").isNull(), novel).when(F.col("n").isNotNull(), here).otherwise(leave + novel).alias("fresh"), novel.alias("rest"))
+    for k in range(1, order + 1):
+        left = found[k].where("n is null and total is not null").select("context").distinct()
+        low = orders[k - 1].select(F.col("key").alias("low"), F.col("n").alias("low_n"))
+        entries = orders[k].select(F.col("key").bitwiseAND((1 << 8 * k) - 1).alias("low"), F.shiftright("key", 8).alias("context")).join(left, "context", "left_semi")
+        gone = entries.join(low, "low").groupBy("context").agg(F.sum("low_n").alias("gone"), F.count(F.lit(1)).alias("kinds"))
+        above = contexts[k - 1].select(F.col("context").alias("parent"), F.col("total").alias("up"), F.col("entries").alias("up_kinds"))
+        gone = gone.withColumn("parent", F.col("context").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(above, "parent")
+        gone = gone.select("context", (F.col("up") - F.col("gone")).alias("others"), (F.col("up_kinds") - F.col("kinds")).alias("other_kinds"))
+        below = costs.select(F.col("key").alias("low"), F.col("n").alias("low_n"), F.col("fresh").alias("low_fresh"), F.col("rest").alias("low_rest"))
+        own = found[k].withColumn("low", F.when(F.col("n").isNull(), F.col("key").bitwiseAND((1 << 8 * k) - 1))).join(gone, "context", "left").join(below, "low", "left")
+        rest = F.when(F.col("low_n").isNotNull(), log(2 * F.col("others")) - log(2 * F.col("low_n") - 1)).otherwise(
+            F.when(F.col("others") + F.col("other_kinds") > 0, log(2 * F.col("others")) - log(F.col("other_kinds"))).otherwise(0.0) + F.col("low_rest")
+        )
+        fresh = F.when(F.col("total").isNull(), F.col("low_fresh")).when(F.col("n").isNotNull(), here).otherwise(leave + F.col("rest"))
+        costs = cut(own.withColumn("rest", rest).select("key", "n", fresh.alias("fresh"), "rest"), "costs")
+    return costs.select("key", F.col("fresh").alias("cost"))
+
+
 def score(docs: DataFrame, order: int = 5, modulus: int = 10, most_entries: int = 3_000_000, most_words: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows whose crc32(doc_id) mod ``modulus`` is not 0."""
     spark = docs.sparkSession
@@ -274,7 +328,7 @@ def score(docs: DataFrame, order: int = 5, modulus: int = 10, most_entries: int
     orders = {order: counts.where("kind = 0").select("key", "n")}
     for k in range(order - 1, -1, -1):
         orders[k] = cut(orders[k + 1].groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")), "orders")
-    contexts = {k: o.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("entries")) for k, o in orders.items()}
+    contexts = {k: cut(_contexts(o), "contexts") for k, o in orders.items()}
     sizes = None
     for c in contexts.values():
         one = c.groupBy(level(F.col("total"))).agg(F.sum("entries").alias("entries"))
@@ -293,12 +347,17 @@ def score(docs: DataFrame, order: int = 5, modulus: int = 10, most_entries: int
     common = _cutoff(words.groupBy(level(F.col("n"))).agg(F.count(F.lit(1)).alias("entries")), most_words)
     sent = _Sent(spark.sparkContext.broadcast((kept, *table(words.where(F.col("n") >= common)))))
     rows = cut(
-        texts.mapInArrow(_score(sent, order, modulus, total, distinct), "row long, doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"), "scores"
+        texts.mapInArrow(_score(sent, order, modulus, total, distinct, least == 1), "row long, doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, away array<long>"), "scores"
     )
     rare = words.where(F.col("n") < common).select("key", "n")
     norm = F.log10(F.lit(total + 0.1 * (distinct + 1)))
     tail = rows.select("row", F.explode("rare").alias("key")).join(rare, "key", "left")
-    tail = tail.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1) - norm).alias("rest"))
+    tail = tail.select("row", F.col("n").isNotNull().cast("long").alias("more"), (F.log10(F.coalesce("n", F.lit(0)) + 0.1) - norm).alias("rest"), F.lit(0.0).alias("cost"))
+    if least > 1:
+        away = rows.select("row", F.explode("away").alias("key"))
+        costs = _costs(away.select("key").distinct(), orders, contexts, order)
+        tail = tail.union(away.join(costs, "key").select("row", F.lit(0).cast("long"), F.lit(0.0), "cost"))
+    tail = tail.groupBy("row").agg(F.sum("more").alias("more"), F.sum("rest").alias("rest"), F.sum("cost").alias("cost"))
     return rows.join(tail, "row", "left").select(
         F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         "held_out",
@@ -306,5 +365,5 @@ def score(docs: DataFrame, order: int = 5, modulus: int = 10, most_entries: int
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") - F.coalesce("cost", F.lit(0.0))).alias("score"),
     )

@@ -89,6 +89,12 @@ def test_bounded_trie_still_adds_up(spark):
     assert sum(r[6] for r in rows) < sum(full.values()) < 0
 
 
+@pytest.mark.parametrize("most", [0, 1, 200, 1500])
+def test_rare_contexts_by_the_joins(spark, odd_rows, most):
+    rows = [(r[0], r[1]) for r in odd_rows if r[0] != 6] + ROWS + [(i, f"unseen {i} zq~{i * i}") for i in range(100, 130)]
+    same([tuple(r) for r in ppm.score(documents(spark, rows), most_entries=most).collect()], brute(rows))
+
+
 def test_probabilities_of_next_bytes_add_up():
     import numpy as np
 
