@@ -15,8 +15,8 @@ guess cost by dynamic programming over
 - brute force: log10 of the character class's size for each character;
 
 each further segment costs log10(2).  A value of ``least`` orders of magnitude
-or more is a secret.  Only the first ``window`` characters of a value enter the
-programme: a longer prefix can only cost more, so the verdict is the same.
+or more is a secret.  The programme runs over the whole value and ends early only
+where every way to go on has reached that limit already.
 
 The word list is counted over all words of all texts; its most frequent
 entries, ``most_words`` at most, are what the tasks get (a few hundred kilobytes).
@@ -69,27 +69,66 @@ def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100)
 
 
-def guess_cost(value: str, ranks: dict[str, int], window: int = 64) -> float:
-    """Least log10 of guesses over all segmentations."""
-    value = value[:window]
+def _least(starts: list[tuple[int, float]], end: int, unit: int, times: int, limit: float) -> float:
+    """Least of cost + log10(units) over the (start, cost) that are ``times`` whole units or more before ``end``.
+
+    Drops those that reach ``limit`` or that another one beats at every later end too:
+    an earlier one that is no worse here, or a later one of no higher cost.
+    """
+    best, keep, at = math.inf, [], []
+    for s, cost in starts:
+        if (end - s) % unit or end - s < times * unit:
+            keep.append((s, cost))
+        elif (value := cost + math.log10((end - s) // unit)) < min(best, limit):
+            best = value
+            while at and at[-1][1] >= cost:
+                at.pop()
+            at.append((s, cost))
+    starts[:] = sorted(at + keep)
+    return best
+
+
+def guess_cost(value: str, ranks: dict[str, int], limit: float = math.inf) -> float:
+    """Least log10 of guesses over all segmentations; infinite where that is ``limit`` or more."""
     low, n = value.lower(), len(value)
     plain = low.translate(LEET)
     brute = [0.0]
     for c in value:
         brute.append(brute[-1] + _brute(c))
     best = [0.0] + [math.inf] * n
-    joint = math.log10(2)
-    for i in range(n):
-        if best[i] == math.inf:
+    joint, walk = math.log10(2), math.log10(4 * 47)
+    guessed = math.inf  # least cost before a segment by brute force, less the brute force up to there
+    walks: list[tuple[int, float]] = []
+    repeats: list[list[tuple[int, float]]] = [[] for _ in range(9)]
+    furthest = 0  # the last end below the limit that a word or a date has reached
+    for i in range(n + 1):
+        if i:
+            best[i] = min(best[i], guessed + brute[i])
+            if i > 1 and low[i - 2] + low[i - 1] not in _NEXT:
+                walks = [x for x in walks if x[0] >= i - 1]
+            best[i] = min(best[i], walk + _least(walks, i, 1, 3, limit - walk))
+            for unit in range(1, 9):
+                if repeats[unit]:
+                    if i > unit and low[i - 1] != low[i - 1 - unit]:
+                        repeats[unit] = [x for x in repeats[unit] if x[0] >= i - unit]
+                    best[i] = min(best[i], _least(repeats[unit], i, unit, 2, limit))
+        if best[i] >= limit:
+            if guessed + brute[i] >= limit and furthest <= i and not walks and not any(repeats):
+                return math.inf
             continue
         here = best[i] + (joint if i else 0.0)
+        guessed = min(guessed, here - brute[i])
+        walks.append((i, here))
+        for unit in range(1, min(8, (n - i) // 2) + 1):
+            repeats[unit].append((i, here + brute[i + unit] - brute[i]))
 
         def offer(end: int, cost: float, here: float = here) -> None:
+            nonlocal furthest
             if here + cost < best[end]:
                 best[end] = here + cost
+                if best[end] < limit:
+                    furthest = max(furthest, end)
 
-        for j in range(i + 1, n + 1):
-            offer(j, brute[j] - brute[i])
         for j in range(i + 3, min(n, i + _MOST_WORD) + 1):
             rank = ranks.get(low[i:j])
             if rank is not None:
@@ -98,17 +137,7 @@ def guess_cost(value: str, ranks: dict[str, int], window: int = 64) -> float:
                 offer(j, math.log10(rank + 1) + 1)
         if found := DATE.match(value, i):
             offer(found.end(), math.log10(36_500))
-        j = i + 1
-        while j < n and low[j - 1] + low[j] in _NEXT:
-            j += 1
-            if j - i >= 3:
-                offer(j, math.log10(4 * 47) + math.log10(j - i))
-        for unit in range(1, min(8, (n - i) // 2) + 1):
-            times = 1
-            while low.startswith(low[i : i + unit], i + times * unit) and i + (times + 1) * unit <= n:
-                times += 1
-                offer(i + times * unit, brute[i + unit] - brute[i] + math.log10(times))
-    return best[n]
+    return best[n] if best[n] < limit else math.inf
 
 
 def scan(text: str, ranks: dict[str, int], least: float) -> list[tuple[int, int, int]]:
@@ -125,7 +154,7 @@ def scan(text: str, ranks: dict[str, int], least: float) -> list[tuple[int, int,
             continue
         if not re.search(r"[\d\W_]", value) and len(set(value)) < 8:
             continue  # a word of prose behind "secret:"
-        if guess_cost(value, ranks) >= least:
+        if guess_cost(value, ranks, least) >= least:
             spans.append((a, 3, b))
     return sorted(spans)
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -70,6 +71,46 @@ def test_cost_is_the_least_over_all_cuts():
         assert secrets.guess_cost(value + "q" * 80, RANKS) >= secrets.guess_cost(value, RANKS)
 
 
+def every_cut(value, ranks):
+    """The programme without any bound, straight from its definition."""
+    low, n = value.lower(), len(value)
+    plain = low.translate(secrets.LEET)
+    best = [0.0] + [math.inf] * n
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            costs = [sum(map(secrets._brute, value[i:j]))]
+            if 3 <= j - i <= 24 and low[i:j] in ranks:
+                costs.append(math.log10(ranks[low[i:j]] + 1) + (value[i:j] != low[i:j]))
+            elif 3 <= j - i <= 24 and plain[i:j] in ranks:
+                costs.append(math.log10(ranks[plain[i:j]] + 1) + 1)
+            if (m := secrets.DATE.match(value, i)) and m.end() == j:
+                costs.append(math.log10(36_500))
+            if j - i >= 3 and all(a + b in secrets._NEXT for a, b in zip(low[i:j], low[i + 1 : j], strict=False)):
+                costs.append(math.log10(188) + math.log10(j - i))
+            for unit in range(1, 9):
+                times = (j - i) // unit
+                if times > 1 and low[i:j] == low[i : i + unit] * times:
+                    costs.append(sum(map(secrets._brute, value[i : i + unit])) + math.log10(times))
+            best[j] = min(best[j], best[i] + (math.log10(2) if i else 0.0) + min(costs))
+    return best[n]
+
+
+def test_whole_value_is_costed():
+    tail = "9fK$x2!qLzW7#pVbT"
+    for head in ("g" * 64, "*" * 80, "A" * 200, "qwertyuiop" * 8):
+        assert secrets.scan(f"pwd: {head}{tail}", RANKS, 9.0) == [(5, 3, 5 + len(head) + len(tail))]
+    assert secrets.scan("pwd: " + "qzvkx" * 13, RANKS, 9.0) == [] and secrets.guess_cost("qzvkx" * 13, RANKS) == pytest.approx(8.189, abs=1e-3)
+    assert secrets.guess_cost("ab" * 50_000, RANKS, 9.0) < 9
+    rng = random.Random(3)
+    parts = ["a", "ab", "abc", "qwe", "aaaa", "xyzxyz", "monkey", "P4ssword", "1984", "20240131", "!", "k7", "abab", "fewq", "1.2.2020"]
+    for _ in range(300):
+        value = "".join(rng.choice(parts) * rng.randrange(1, 4) for _ in range(rng.randrange(1, 9)))
+        want = every_cut(value, RANKS)
+        assert secrets.guess_cost(value, RANKS) == pytest.approx(want, abs=1e-9)
+        for limit in (4.0, 9.0):
+            assert secrets.guess_cost(value, RANKS, limit) == (pytest.approx(want, abs=1e-9) if want < limit else math.inf)
+
+
 def test_word_list_counts_all_texts(spark, odd_rows):
     rows = [(i, "winter winter Winter, dragon dragon the") for i in range(30)] + list(odd_rows)
     assert list(secrets.word_ranks(documents(spark, rows), 3)) == ["word", "winter", "dragon"]
