@@ -14,7 +14,8 @@ guess cost by dynamic programming over
 - keyboard walks: neighbours on one row of a keyboard, alphabet or digits;
 - brute force: log10 of the character class's size for each character;
 
-each further segment costs log10(2).  A value of ``least`` orders of magnitude
+each further segment costs log10(2).  A value that fixed spans cover is theirs;
+one that reaches beyond them is costed whole and may overlap them.  A value of ``least`` orders of magnitude
 or more is a secret.  The programme runs over the whole value and ends early only
 where every way to go on has reached that limit already.
 
@@ -150,10 +151,12 @@ def scan(text: str, ranks: dict[str, int], least: float) -> list[tuple[int, int,
         a, b = m.span(1) if m[1] is not None else m.span(2)
         value = m[m.lastindex].rstrip(".!?)]}:")
         b = a + len(value)
-        if len(value) < 6 or any(x < b and a < y for x, y in fixed):
+        at = a  # the value's first place outside the fixed spans
+        for x, y in fixed:
+            if x <= at < y:
+                at = y
+        if len(value) < 6 or at >= b:
             continue
-        if not re.search(r"[\d\W_]", value) and len(set(value)) < 8:
-            continue  # a word of prose behind "secret:"
         if guess_cost(value, ranks, least) >= least:
             spans.append((a, 3, b))
     return sorted(spans)

@@ -111,6 +111,14 @@ def test_whole_value_is_costed():
             assert secrets.guess_cost(value, RANKS, limit) == (pytest.approx(want, abs=1e-9) if want < limit else math.inf)
 
 
+def test_cost_alone_decides_what_is_a_guess(spark):
+    texts = ["pwd: qzvkxwjqzkvw", "pwd: qzvkxwj", "secret: letter", 'password=Abcdefgh1234$Tail!Zq9x end', "pwd: 0123456789abcdef!Tail#Zq9 end", "password=Abcdefgh1234 end"]
+    found = [[(s, e) for s, k, e in secrets.scan(t, RANKS, 9.0) if k == 3] for t in texts]
+    assert found == [[(5, 17)], [(5, 12)], [], [(9, 31)], [(5, 30)], []]
+    got = {r["doc_id"]: r["text"] for r in secrets.redacted(documents(spark, list(enumerate(texts))), ranks=RANKS).collect()}
+    assert got[3] == "[SECRET] end" and got[4] == "pwd: [SECRET] end" and got[5] == "[SECRET] end"
+
+
 def test_word_list_counts_all_texts(spark, odd_rows):
     rows = [(i, "winter winter Winter, dragon dragon the") for i in range(30)] + list(odd_rows)
     assert list(secrets.word_ranks(documents(spark, rows), 3)) == ["word", "winter", "dragon"]
