@@ -19,8 +19,11 @@ one that reaches beyond them is costed whole and may overlap them.  A value of `
 or more is a secret.  The programme runs over the whole value and ends early only
 where every way to go on has reached that limit already.
 
-The word list is counted over all words of all texts; its most frequent
-entries, ``most_words`` at most, are what the tasks get (a few hundred kilobytes).
+The words are counted and ranked over all texts, without those that stand as a
+value themselves: a password is no word for having been written.  Rows with context values are
+few: the words that parts of their values may be are joined by shuffle with the
+whole ranked list, so each row gets the ranks that its own values need and no
+word is left out, however many there are.
 
 Defined results: null or empty texts have no spans; offsets are code points,
 ends exclusive; rows are scanned one by one, so repeated rows, null ids and
@@ -36,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +67,7 @@ _NEXT |= {x[::-1] for x in _NEXT}
 LEET = str.maketrans("013457@$", "oieastas")
 DATE = re.compile(r"(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])(?:19|20)?\d\d|(?:19|20)\d\d([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2(?:\d\d)?\d\d|(?:19|20)\d\d")
 _MOST_WORD = 24
+_TRIMMED = ".,;:!?()[]\"'*&#$%|"
 
 
 def _brute(c: str) -> float:
@@ -141,12 +145,8 @@ def guess_cost(value: str, ranks: dict[str, int], limit: float = math.inf) -> fl
     return best[n] if best[n] < limit else math.inf
 
 
-def scan(text: str, ranks: dict[str, int], least: float) -> list[tuple[int, int, int]]:
-    """(start, kind, end) in order."""
-    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    fixed = sorted((a, b) for a, _, b in spans)
+def _values(text: str, fixed: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Start, end and value of the credential contexts that reach beyond the fixed spans."""
     for m in CONTEXT.finditer(text):
         a, b = m.span(1) if m[1] is not None else m.span(2)
         value = m[m.lastindex].rstrip(".!?)]}:")
@@ -155,8 +155,32 @@ def scan(text: str, ranks: dict[str, int], least: float) -> list[tuple[int, int,
         for x, y in fixed:
             if x <= at < y:
                 at = y
-        if len(value) < 6 or at >= b:
-            continue
+        if len(value) >= 6 and at < b:
+            yield a, b, value
+
+
+def _fixed(text: str) -> list[tuple[int, int, int]]:
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    return spans + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+
+
+def wanted(text: str) -> set[str]:
+    """What a text's values may hold of words: all their parts that are letters of a word's length."""
+    found = set()
+    for _, _, value in _values(text, sorted((a, b) for a, _, b in _fixed(text))):
+        low = value.lower()
+        for form in {low, low.translate(LEET)}:
+            for run in re.finditer(r"[^\W\d_]{3,}", form):
+                x = run[0]
+                found.update(x[i:j] for i in range(len(x) - 2) for j in range(i + 3, min(len(x), i + _MOST_WORD) + 1))
+    return found
+
+
+def scan(text: str, ranks: dict[str, int], least: float) -> list[tuple[int, int, int]]:
+    """(start, kind, end) in order."""
+    spans = _fixed(text)
+    for a, b, value in _values(text, sorted((a, b) for a, _, b in spans)):
         if guess_cost(value, ranks, least) >= least:
             spans.append((a, 3, b))
     return sorted(spans)
@@ -188,7 +212,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(column), 200):
             parts = pc.list_flatten(pc.utf8_split_whitespace(column.slice(a, 200).drop_null()))
             counted = pc.value_counts(parts)
-            word = pc.utf8_lower(pc.utf8_trim(counted.field(0), ".,;:!?()[]\"'*&#$%|"))
+            word = pc.utf8_lower(pc.utf8_trim(counted.field(0), _TRIMMED))
             size = pc.utf8_length(word)
             keep = pc.and_(pc.utf8_is_alpha(word), pc.and_(pc.greater_equal(size, 3), pc.less_equal(size, _MOST_WORD)))
             table = pa.table({"word": word, "n": counted.field(1)}).filter(keep).group_by("word").aggregate([("n", "sum")]).combine_chunks()
@@ -196,11 +220,40 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([out.column(0).cast(pa.string()), out.column(1)], ["word", "n"])
 
 
-def word_ranks(docs: DataFrame, most_words: int = 20_000) -> dict[str, int]:
-    """The most frequent words of all texts with their ranks from 1: all words from that eighth of an octave of frequency on from which there are no more than ``most_words``."""
+def own_words(text: str) -> list[str]:
+    """The words of a text, as they are counted, that are a value."""
+    found = []
+    for a, b, _ in _values(text, sorted((x, y) for x, _, y in _fixed(text))):
+        while a and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        word = text[a:b].strip(_TRIMMED).lower()
+        if word.isalpha() and 3 <= len(word) <= _MOST_WORD:
+            found.append(word)
+    return found
+
+
+def _counts(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
     words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_words, "word string, n long")
-    counts = cut(words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "words")
+    return cut(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def ranked_words(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """word, rank: all words of all texts less the occurrences in ``own`` (word), ranked from 1 by count and word; the sorted list's parts are numbered where they lie."""
+    counts = _counts(docs).union(own.select("word", F.lit(-1).cast("long"))).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    placed = cut(counts.orderBy(F.desc("n"), "word").select("word", F.monotonically_increasing_id().alias("place")), "placed")
+    placed = placed.withColumn("part", F.shiftright("place", 33))
+    parts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))  # one row for each part of the sort
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before.alias("before"))
+    return placed.join(F.broadcast(parts), "part").select("word", (F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1) + 1).alias("rank"))
+
+
+def word_ranks(docs: DataFrame, most_words: int = 20_000) -> dict[str, int]:
+    """The most frequent words of all texts with their ranks from 1: all words from that eighth of an octave of frequency on from which there are no more than ``most_words``."""
+    counts = _counts(docs).withColumn("level", F.floor(8 * F.log2("n")).cast("int"))
     least, kept = None, 0
     for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # 504 rows at most
         kept += r["n"]
@@ -211,22 +264,78 @@ def word_ranks(docs: DataFrame, most_words: int = 20_000) -> dict[str, int]:
     return {w: i + 1 for i, (w, _) in enumerate(sorted(found, key=lambda x: (-x[1], x[0])))}
 
 
-def _found(ranks: dict[str, int], least: float, text_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[int, list]]]:
-    """Slices of the batches with the spans of those rows that have any."""
+def _found(ranks: dict[str, int] | None, least: float, text_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[int, list]]]:
+    """Slices of the batches with the spans of those rows that have any.
+
+    Without ``ranks``, rows bring their own in the last column, ``_ranks``, which is
+    taken off; where there is none, rows that want ranks are left out.
+    """
     release()
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(text_at)):
-            spans = {}
+            part = batch.slice(a, b - a)
+            brought = None
+            if "_ranks" in part.schema.names:
+                brought = part.column(part.num_columns - 1)
+                part = part.select(list(range(part.num_columns - 1)))
+            spans, stays = {}, np.ones(b - a, bool)
             for i in _suspects(data, offsets).tolist():
-                if own := scan(data[offsets[i] : offsets[i + 1]].tobytes().decode(), ranks, least):
-                    spans[i] = own
-            yield batch.slice(a, b - a), spans
+                text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
+                own = ranks
+                if brought is not None:
+                    own = {x["word"]: x["rank"] for x in brought[i].as_py() or ()}
+                elif ranks is None and wanted(text):
+                    stays[i] = False
+                    continue
+                if found := scan(text, own or {}, least):
+                    spans[i] = found
+            if not stays.all():
+                place = np.cumsum(stays) - 1
+                part, spans = part.filter(pa.array(stays)), {int(place[i]): x for i, x in spans.items()}
+            yield part, spans
+
+
+def _wanting(text_at: int):
+    """The rows that want ranks, with ``_words`` and ``_own``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for a, _, data, offsets in slices(batch.column(text_at)):
+                rows, words, own = [], [], []
+                for i in _suspects(data, offsets).tolist():
+                    text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
+                    if w := wanted(text):
+                        rows.append(a + i)
+                        words.append(sorted(w))
+                        own.append(own_words(text))
+                if rows:
+                    part = batch.take(pa.array(rows))
+                    kind = pa.list_(pa.string())
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words, kind), pa.array(own, kind)], [*part.schema.names, "_words", "_own"])
+
+    return run
+
+
+def _scanned(docs: DataFrame, run, schema: T.StructType, ranks: dict[str, int] | None) -> DataFrame:
+    """``run(ranks)`` over all rows; without given ranks, over those that want none and those joined with theirs."""
+    ship_package(docs.sparkSession)
+    if ranks is not None:
+        return docs.mapInArrow(run(docs.sparkSession.sparkContext.broadcast(ranks)), schema)
+    text_at = docs.columns.index("text")
+    lists = [T.StructField(c, T.ArrayType(T.StringType())) for c in ("_words", "_own")]
+    wanting = docs.mapInArrow(_wanting(text_at), T.StructType([*docs.schema.fields, *lists]))
+    wanting = cut(wanting.withColumn("_row", F.monotonically_increasing_id()), "wanting")
+    own = wanting.select("_row", F.explode("_words").alias("word")).join(ranked_words(docs, wanting.select(F.explode("_own").alias("word"))), "word")
+    own = own.groupBy("_row").agg(F.collect_list(F.struct("word", "rank")).alias("_ranks"))
+    joined = wanting.join(own, "_row", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_ranks")
+    return docs.mapInArrow(run(None), schema).union(joined.mapInArrow(run(None), schema))
 
 
 def _scan(sent, least: float, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        for part, spans in _found(sent.value, least, text_at, batches):
+        for part, spans in _found(sent and sent.value, least, text_at, batches):
             rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans.get(i, ())] for i in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(kind))], [*part.schema.names, "_spans"])
 
@@ -235,16 +344,14 @@ def _scan(sent, least: float, text_at: int):
 
 def find_secrets(docs: DataFrame, least: float = 9.0, ranks: dict[str, int] | None = None) -> DataFrame:
     """The rows of ``docs`` (which needs a ``text`` column) with ``_spans``: array of (kind, start, end), by start and kind."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    sent = spark.sparkContext.broadcast(word_ranks(docs) if ranks is None else ranks)
     kind = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    return docs.mapInArrow(_scan(sent, least, docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("_spans", T.ArrayType(kind))]))
+    text_at = docs.columns.index("text")
+    return _scanned(docs, lambda sent: _scan(sent, least, text_at), T.StructType([*docs.schema.fields, T.StructField("_spans", T.ArrayType(kind))]), ranks)
 
 
 def _redact(sent, least: float, text_at: int, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, spans in _found(sent.value, least, text_at, batches):
+        for part, spans in _found(sent and sent.value, least, text_at, batches):
             if spans:
                 texts = part.column(text_at).to_pylist()
                 for i, own in spans.items():
@@ -262,6 +369,5 @@ def _redact(sent, least: float, text_at: int, mark: str):
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", least: float = 9.0, ranks: dict[str, int] | None = None) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark`` (overlapping spans by one)."""
-    ship_package(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(word_ranks(docs) if ranks is None else ranks)
-    return docs.mapInArrow(_redact(sent, least, docs.columns.index("text"), mark), docs.schema)
+    text_at = docs.columns.index("text")
+    return _scanned(docs, lambda sent: _redact(sent, least, text_at, mark), docs.schema, ranks)

@@ -126,6 +126,24 @@ def test_word_list_counts_all_texts(spark, odd_rows):
     assert run(spark, []).collect() == []
 
 
+def test_no_word_is_left_out(spark, odd_rows):
+    """More words than the former 20,000; the rare ones stand once, behind a keyword or not."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    name = lambda i: "".join(letters[i // 20**k % 20] for k in range(5)) + "ation"
+    rows = list(odd_rows) + [(1000 + a, " ".join(name(i) for i in range(a, 25_000, 100)) * 2) for a in range(100)]
+    rows += [(9000, f"secret: {name(24_999)} and more"), (9001, f"token is {name(24_998)}"), (9002, "pwd: qzvkxwjqzkvw"), (9000, None)] + [(9100 + i, t) for i, t in enumerate(TEXTS)]
+    docs = documents(spark, rows, CLASHES)
+    own = [w for r in rows for w in secrets.own_words(r[1] or "")]
+    assert name(24_999) in own and "qzvkxwjqzkvw" in own
+    ranks = {r["word"]: r["rank"] for r in secrets.ranked_words(docs, spark.createDataFrame([(w,) for w in own], "word string")).collect()}
+    assert sorted(ranks.values()) == list(range(1, len(ranks) + 1)) and len(ranks) > 25_000
+    found = sorted((str(r["doc_id"]), str(r["text"]), [tuple(x) for x in r["_spans"]]) for r in secrets.find_secrets(docs).collect())
+    assert found == sorted((str(r[0]), str(r[1]), [(secrets.KINDS[k], s, e) for s, k, e in secrets.scan(r[1] or "", ranks, 9.0)]) for r in rows)
+    assert [x[2] for x in found if x[0] == "9000"] == [[], []] and [x[2] for x in found if x[0] == "9002"] == [[("guess", 5, 17)]]
+    texts = {r["doc_id"]: r["text"] for r in secrets.redacted(docs).where("doc_id > 9000").collect()}
+    assert texts[9001] == f"token is {name(24_998)}" and texts[9002] == "pwd: [SECRET]"
+
+
 def test_rows_side_by_side_do_not_hide_each_other():
     """Runs and keywords that seem to reach from one row's end into the next row."""
     rng = random.Random(1)
