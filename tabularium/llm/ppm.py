@@ -18,9 +18,9 @@ holds the contexts seen at least ``cutoff`` times, the least power of two by
 which all orders have no more than ``most_entries`` entries (1 until the corpus
 has more).  What it holds is whole, as a context's suffixes are at least as
 frequent; a gram whose longest context is not in it costs nothing there and is
-resolved from the complete written counts: distinct grams are joined with them
-by shuffle, order by order down to where their byte is found, and the costs are
-added up the same way.  The word table is bounded likewise by ``most_words`` and
+resolved from the complete written counts by a sharded trie: counts and distinct grams meet by
+shuffle on the last two bytes of their contexts, where every context from order
+2 on is whole; each shard's trie prices its grams, and the costs are joined back.  The word table is bounded likewise by ``most_words`` and
 the rarer words' counts are joined by a shuffle.  So the broadcast only saves
 joins, and both scores are those of all counts at any size.
 
@@ -161,9 +161,16 @@ class Trie:
                 parent = np.searchsorted(low_context, context[at] & np.uint64((1 << 8 * (k - 1)) - 1))
                 rest, rest_kinds = low_total[parent] - gone, low_kinds[parent] - kinds
             base = np.log10(2 * total)
-            log = np.log10(2 * n - 1).astype(np.float32)
-            self.cost.append(Lookup(keys, log=log, cost=(base[owner] - log).astype(np.float32)))
-            self.leave.append(Lookup(context[at], cost=base - np.log10(np.maximum(kinds, 1)), rest=rest, kinds=rest_kinds))
+            log = np.log10(2 * n - 1)
+            values = {"cost": (base[owner] - log).astype(np.float32)}
+            if k < self.order:
+                values["log"] = log.astype(np.float32)
+            self.cost.append(Lookup(keys, **values))
+            # once this context is left: the shorter one's log of what remains, and the cost of leaving that (nothing, if nothing remains)
+            whole = np.log10(np.maximum(2 * rest, 1))
+            onward = np.where(rest + rest_kinds > 0, whole - np.log10(np.maximum(rest_kinds, 1)), 0.0)
+            leave = base - np.log10(np.maximum(kinds, 1))
+            self.leave.append(Lookup(context[at], cost=leave.astype(np.float32), whole=whole.astype(np.float32), onward=onward.astype(np.float32)))
             above = keys, n, context[at], total, kinds
 
     def code_length(self, code: np.ndarray, away: np.ndarray | None = None) -> np.ndarray:
@@ -187,24 +194,62 @@ class Trie:
             out[todo[hit & ~came]] += self.cost[k].values["cost"][entry[hit & ~came]]
             out[todo[known & ~hit & ~came]] += self.leave[k].values["cost"][context[known & ~hit & ~came]]
             if k < self.order and came.any():
-                rest, kinds = self.leave[k + 1].values["rest"][left], self.leave[k + 1].values["kinds"][left]
-                whole = np.log10(np.maximum(2 * rest, 1))
+                above = self.leave[k + 1].values
                 x = hit & came
-                out[todo[x]] += whole[x] - self.cost[k].values["log"][entry[x]]
-                x = ~hit & came & known & (rest + kinds > 0)
-                out[todo[x]] += whole[x] - np.log10(np.maximum(kinds[x], 1))
+                out[todo[x]] += above["whole"][left[x]] - self.cost[k].values["log"][entry[x]]
+                x = ~hit & came & known
+                out[todo[x]] += above["onward"][left[x]]
             left = np.where(known, context, left)[~hit]
             todo = todo[~hit]
         out[todo] += np.log10(self.novel)
         return out
 
 
-def _model(sent) -> tuple[Trie, Lookup]:
-    def make() -> tuple[Trie, Lookup]:
-        orders, words, counts = sent.value
-        return Trie(orders), Lookup(words, n=counts)
+def _shorter(keys: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of order ``k`` of those of a higher one."""
+    return _tally([(keys & np.uint64((1 << 8 * (k + 1)) - 1), n)])
+
 
-    return kept(("ppm", sent.id), make)
+def _priced(order: int, low: list[tuple[np.ndarray, np.ndarray]]):
+    """The cost of each gram asked for, from the part of the trie below its last two context bytes.
+
+    Rows (suffix, asked, key, n) come sorted by suffix, counted grams before those
+    asked for.  All grams of a suffix are there, so orders 2 and up are whole sums;
+    ``low`` has orders 0 and 1, at most 65,792 entries.  One suffix at a time is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        now, held, trie = None, [], None
+        for batch in batches:
+            suffix, asked, key, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            edges = np.flatnonzero((suffix[1:] != suffix[:-1]) | (asked[1:] != asked[:-1])) + 1
+            for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(suffix)).tolist(), strict=True):
+                if a == b:
+                    continue
+                if suffix[a] != now:
+                    now, held, trie = suffix[a], [], None
+                keys = key[a:b].view(np.uint64)
+                if not asked[a]:
+                    held.append((keys, n[a:b]))
+                    continue
+                if trie is None:
+                    top = tuple(np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    trie, held = Trie([*low, *(_shorter(*top, k) for k in range(2, order)), top]), []
+                yield pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(trie.code_length(keys))], ["key", "cost"])
+
+    return run
+
+
+def _costs(asked: DataFrame, counts: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order: int) -> DataFrame:
+    """asked (key), counts (key, n): key and cost, as ``Trie.code_length`` of a trie of all counts has it; needs an order of 2 or more."""
+    rows = counts.select(F.lit(False).alias("asked"), "key", "n").union(asked.select(F.lit(True), "key", F.lit(0).cast("long")))
+    rows = rows.select(F.shiftright("key", 8).bitwiseAND(0xFFFF).cast("int").alias("suffix"), "asked", "key", "n").repartition("suffix").sortWithinPartitions("suffix", "asked")
+    return rows.mapInArrow(_priced(order, low), "key long, cost double")
+
+
+def _model(sent) -> tuple[Trie, Lookup]:
+    return kept(("ppm", sent.id), lambda: sent.value)
 
 
 class _Sent:
@@ -279,44 +324,7 @@ def _contexts(entries: DataFrame) -> DataFrame:
     return entries.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("entries"))
 
 
-def _costs(grams: DataFrame, orders: dict[int, DataFrame], contexts: dict[int, DataFrame], order: int) -> DataFrame:
-    """grams (key): distinct grams; key and cost, as ``Trie.code_length`` of a trie of all counts has it.
-
-    Down: the grams of each order with what their context held, and of those that
-    never came the distinct shorter ones.  Up: ``fresh``, the cost where this is the
-    longest known context, and ``rest``, the cost once this context is known and left.
-    No join meets a key more than 256 times on either side.
-    """
-    asked, found = {order: grams}, {}
-    for k in range(order, -1, -1):
-        own = asked[k].withColumn("context", F.shiftright("key", 8))
-        found[k] = cut(own.join(orders[k].select("key", "n"), "key", "left").join(contexts[k], "context", "left"), "found")
-        if k:
-            asked[k - 1] = found[k].where("n is null").select(F.col("key").bitwiseAND((1 << 8 * k) - 1).alias("key")).distinct()
-    log = lambda x: F.log10(F.greatest(x, F.lit(1)))
-    here = log(2 * F.col("total")) - log(2 * F.col("n") - 1)
-    leave = log(2 * F.col("total")) - log(F.col("entries"))
-    novel = F.lit(float(np.log10(max(256 - orders[0].count(), 1))))
-    costs = found[0].select("key", "n", F.when(F.col("total").isNull(), novel).when(F.col("n").isNotNull(), here).otherwise(leave + novel).alias("fresh"), novel.alias("rest"))
-    for k in range(1, order + 1):
-        left = found[k].where("n is null and total is not null").select("context").distinct()
-        low = orders[k - 1].select(F.col("key").alias("low"), F.col("n").alias("low_n"))
-        entries = orders[k].select(F.col("key").bitwiseAND((1 << 8 * k) - 1).alias("low"), F.shiftright("key", 8).alias("context")).join(left, "context", "left_semi")
-        gone = entries.join(low, "low").groupBy("context").agg(F.sum("low_n").alias("gone"), F.count(F.lit(1)).alias("kinds"))
-        above = contexts[k - 1].select(F.col("context").alias("parent"), F.col("total").alias("up"), F.col("entries").alias("up_kinds"))
-        gone = gone.withColumn("parent", F.col("context").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(above, "parent")
-        gone = gone.select("context", (F.col("up") - F.col("gone")).alias("others"), (F.col("up_kinds") - F.col("kinds")).alias("other_kinds"))
-        below = costs.select(F.col("key").alias("low"), F.col("n").alias("low_n"), F.col("fresh").alias("low_fresh"), F.col("rest").alias("low_rest"))
-        own = found[k].withColumn("low", F.when(F.col("n").isNull(), F.col("key").bitwiseAND((1 << 8 * k) - 1))).join(gone, "context", "left").join(below, "low", "left")
-        rest = F.when(F.col("low_n").isNotNull(), log(2 * F.col("others")) - log(2 * F.col("low_n") - 1)).otherwise(
-            F.when(F.col("others") + F.col("other_kinds") > 0, log(2 * F.col("others")) - log(F.col("other_kinds"))).otherwise(0.0) + F.col("low_rest")
-        )
-        fresh = F.when(F.col("total").isNull(), F.col("low_fresh")).when(F.col("n").isNotNull(), here).otherwise(leave + F.col("rest"))
-        costs = cut(own.withColumn("rest", rest).select("key", "n", fresh.alias("fresh"), "rest"), "costs")
-    return costs.select("key", F.col("fresh").alias("cost"))
-
-
-def score(docs: DataFrame, order: int = 5, modulus: int = 10, most_entries: int = 3_000_000, most_words: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 6, modulus: int = 10, most_entries: int = 8_000_000, most_words: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows whose crc32(doc_id) mod ``modulus`` is not 0."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -345,7 +353,9 @@ def score(docs: DataFrame, order: int = 5, modulus: int = 10, most_entries: int
     words = counts.where("kind = 1")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     common = _cutoff(words.groupBy(level(F.col("n"))).agg(F.count(F.lit(1)).alias("entries")), most_words)
-    sent = _Sent(spark.sparkContext.broadcast((kept, *table(words.where(F.col("n") >= common)))))
+    word_keys, word_n = table(words.where(F.col("n") >= common))
+    sent = _Sent(spark.sparkContext.broadcast((Trie(kept), Lookup(word_keys, n=word_n))))
+    del kept, word_keys, word_n
     rows = cut(
         texts.mapInArrow(_score(sent, order, modulus, total, distinct, least == 1), "row long, doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, away array<long>"), "scores"
     )
@@ -355,7 +365,7 @@ def score(docs: DataFrame, order: int = 5, modulus: int = 10, most_entries: int
     tail = tail.select("row", F.col("n").isNotNull().cast("long").alias("more"), (F.log10(F.coalesce("n", F.lit(0)) + 0.1) - norm).alias("rest"), F.lit(0.0).alias("cost"))
     if least > 1:
         away = rows.select("row", F.explode("away").alias("key"))
-        costs = _costs(away.select("key").distinct(), orders, contexts, order)
+        costs = _costs(away.select("key").distinct(), orders[order], [table(orders[k]) for k in (0, 1)], order)
         tail = tail.union(away.join(costs, "key").select("row", F.lit(0).cast("long"), F.lit(0.0), "cost"))
     tail = tail.groupBy("row").agg(F.sum("more").alias("more"), F.sum("rest").alias("rest"), F.sum("cost").alias("cost"))
     return rows.join(tail, "row", "left").select(

@@ -8,7 +8,7 @@ from conftest_llm import CLASHES, documents
 
 from tabularium.llm import ppm
 
-ORDER = 5
+ORDER = 6
 
 
 def normal(text):
@@ -77,21 +77,15 @@ def test_rare_words_by_the_join(spark):
 
 
 def test_odd_rows(spark, odd_rows):
-    rows = [(r[0], r[1]) for r in odd_rows if r[0] != 6] + ROWS[:20]
+    rows = [(r[0], r[1]) for r in odd_rows] + ROWS[:20]
     got = ppm.score(documents(spark, rows, CLASHES))
     assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     same([tuple(r) for r in got.collect()], brute(rows))
 
 
-def test_bounded_trie_still_adds_up(spark):
-    rows = [tuple(r) for r in ppm.score(documents(spark, ROWS), most_entries=200).collect()]
-    full = {r[0]: r[6] for r in brute(ROWS)}
-    assert sum(r[6] for r in rows) < sum(full.values()) < 0
-
-
 @pytest.mark.parametrize("most", [0, 1, 200, 1500])
 def test_rare_contexts_by_the_joins(spark, odd_rows, most):
-    rows = [(r[0], r[1]) for r in odd_rows if r[0] != 6] + ROWS + [(i, f"unseen {i} zq~{i * i}") for i in range(100, 130)]
+    rows = [(r[0], r[1]) for r in odd_rows] + ROWS + [(i, f"unseen {i} zq~{i * i}") for i in range(100, 130)]
     same([tuple(r) for r in ppm.score(documents(spark, rows), most_entries=most).collect()], brute(rows))
 
 
