@@ -12,28 +12,33 @@ escape d / 2n.  So each text's
 probabilities add up to one over all texts in that normal form.
 
 Plan.  One map counts, per task, the (order + 1)-grams and the words of the
-training texts; one shuffle sums them.  Lower orders are grouped sums of the
-top one, so every count covers all training texts.  The trie that is broadcast
-holds the contexts seen at least ``cutoff`` times, the least power of two by
-which all orders have no more than ``most_entries`` entries (1 until the corpus
-has more).  What it holds is whole, as a context's suffixes are at least as
-frequent; a gram whose longest context is not in it costs nothing there and is
-resolved from the complete written counts by a sharded trie: counts and distinct grams meet by
-shuffle on the last two bytes of their contexts, where every context from order
-2 on is whole; each shard's trie prices its grams, and the costs are joined back.  The word table is bounded likewise by ``most_words`` and
-the rarer words' counts are joined by a shuffle.  So the broadcast only saves
-joins, and both scores are those of all counts at any size.
+training texts; one shuffle sums them.  The trie is built in shards: grams are
+dealt by the last two bytes of their contexts, where every context from order 2
+on is whole (orders 0 and 1 have 65,792 entries at most and go everywhere), and
+each shard writes what its entries and contexts cost.  Scoring tasks open the
+tables of common contexts, those seen 2**``least`` times or more: at most
+``most_entries`` entries, in files of the shared folder, which the workers of a
+machine map and share.  What they hold is whole, as a context's suffixes are at
+least as frequent; a gram whose longest context is not there costs nothing there
+and is priced by the trie's shards, which its distinct grams meet by shuffle, and
+the costs are joined back.  The word table is bounded likewise by ``most_words``
+and the rarer words' counts are joined by a shuffle.  So the bounds only save
+joins, both scores are those of all counts at any size, and nothing but the
+orders 0 and 1 passes the driver.
 
 Defined results: a null or blank text is one end token; a null ``doc_id`` takes
 part in scoring and training (its text key is ''); repeated rows are scored
-one by one; without training rows every byte costs log10(256) and the base has
+one by one; a very long text is worked on by itself; other columns are ignored,
+whatever their names; an empty table has no rows; without training rows every byte costs log10(256) and the base has
 N = V = 0.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +46,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lookup import Lookup
-from .scratch import cut, ship_package
-from .textcore import LOWER, kept, release, slices, word_bounds, word_hashes
+from .lookup import Lookup, write_table
+from .scratch import cut, new_path, ship_package
+from .textcore import LOWER, kept, mix64, release, slices, word_bounds, word_hashes
 
 END = 10
 END_WORD = np.uint64(0x0A0A0A0A0A0A0A0A)
@@ -137,6 +142,8 @@ class Trie:
 
     def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
         """orders[k]: keys (k context bytes above the coded byte) and counts, whole contexts only; order 0 first."""
+        self.keys: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # of each order's entries and contexts, by key: log2 of what the context was seen
         self.order = len(orders) - 1
         self.cost: list[Lookup] = []
         self.leave: list[Lookup] = []
@@ -165,6 +172,9 @@ class Trie:
             values = {"cost": (base[owner] - log).astype(np.float32)}
             if k < self.order:
                 values["log"] = log.astype(np.float32)
+            level = np.log2(np.maximum(total, 1)).astype(np.int32)
+            self.levels.append((level[owner], level))
+            self.keys.append((keys, context[at]))
             self.cost.append(Lookup(keys, **values))
             # once this context is left: the shorter one's log of what remains, and the cost of leaving that (nothing, if nothing remains)
             whole = np.log10(np.maximum(2 * rest, 1))
@@ -205,70 +215,152 @@ class Trie:
         return out
 
 
-def _shorter(keys: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The entries of order ``k`` of those of a higher one."""
-    return _tally([(keys & np.uint64((1 << 8 * (k + 1)) - 1), n)])
+#: The values of a table of entries and of one of contexts.
+ENTRY, CONTEXT, WORD = {"cost": "<f4", "log": "<f4"}, {"cost": "<f4", "whole": "<f4", "onward": "<f4"}, {"n": "<i8"}
 
 
-def _priced(order: int, low: list[tuple[np.ndarray, np.ndarray]]):
-    """The cost of each gram asked for, from the part of the trie below its last two context bytes.
+def _shard(suffix: int, top: tuple[np.ndarray, np.ndarray], low: list[tuple[np.ndarray, np.ndarray]], order: int) -> Trie:
+    """The trie below the contexts that end with ``suffix`` (two bytes).
 
-    Rows (suffix, asked, key, n) come sorted by suffix, counted grams before those
-    asked for.  All grams of a suffix are there, so orders 2 and up are whole sums;
-    ``low`` has orders 0 and 1, at most 65,792 entries.  One suffix at a time is held.
+    All grams of a suffix are in ``top``, so orders 2 and up are whole sums; ``low`` has
+    orders 0 and 1, at most 65,792 entries.
     """
+    own = low[1][0] >> np.uint64(8) == suffix & 0xFF
+    shorter = [_tally([(top[0] & np.uint64((1 << 8 * (k + 1)) - 1), top[1])]) for k in range(2, order)]
+    return Trie([low[0], (low[1][0][own], low[1][1][own]), *shorter, top])
+
+
+def _shards(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Runs of equal (suffix, kind) of sorted batches with columns suffix, kind and ``of`` more: a run that goes on in the next batch comes in several parts."""
+    for batch in batches:
+        suffix, kind, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(of + 2))
+        edges = np.flatnonzero((suffix[1:] != suffix[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(suffix)).tolist(), strict=True):
+            if a < b:
+                yield int(suffix[a]), int(kind[a]), [x[a:b] for x in rest]
+
+
+def _built(order: int, low: list[tuple[np.ndarray, np.ndarray]]):
+    """Entries and contexts of orders 2 and up, suffix by suffix, with their costs: (what, key, level, a, b, c); what: 2k for entries of order k, 2k + 1 for contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        now, held, trie = None, [], None
+        now, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            top = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            trie = _shard(now, top, low, order)
+            for k in range(2, order + 1):
+                for part, (table, kinds) in enumerate(((trie.cost[k], ENTRY), (trie.leave[k], CONTEXT))):
+                    level = np.empty(len(table.mixed), np.int32)
+                    level[table.find(trie.keys[k][part])] = trie.levels[k][part]
+                    none = np.zeros(len(level), np.float32)
+                    values = [table.values.get(v, none) for v in kinds] + [none] * (3 - len(kinds))
+                    for a in range(0, len(level), 50_000):
+                        b = min(a + 50_000, len(level))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(b - a, 2 * k + part, np.int32)), pa.array(table.mixed[a:b].view(np.int64)), pa.array(level[a:b]), *(pa.array(v[a:b]) for v in values)], ["what", "key", "level", "a", "b", "c"]
+                        )
+
+        for suffix, _, (key, n) in _shards(batches, 2):
+            if suffix != now and held:
+                yield from out()
+                held = []
+            now = suffix
+            held.append((key.view(np.uint64), n))
+        if held:
+            yield from out()
+
+    return run
+
+
+def _written(uri: str, sizes: dict[int, int]):
+    """Writes sorted rows (what, key, values...) as a table of files for each ``what``, -1 being the words; returns the folders of those it has written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        attempt = TaskContext.get().taskAttemptId()
+        parts = _runs_of(batches)
+        for what, own in parts:
+            kinds = WORD if what < 0 else CONTEXT if what % 2 else ENTRY
+            folder = f"{uri}/{what}-{attempt}"
+            write_table(folder, sizes[what], (pa.RecordBatch.from_arrays(list(b.columns[1 : 2 + len(kinds)]) if what >= 0 else [b.column(1), b.column(5)], ["key", *kinds]) for b in own), kinds)
+            yield pa.RecordBatch.from_arrays([pa.array([what], pa.int32()), pa.array([folder])], ["what", "folder"])
+
+    return run
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """(what, its batches) of batches sorted by the first column."""
+
+    def parts() -> Iterator[tuple[int, pa.RecordBatch]]:
         for batch in batches:
-            suffix, asked, key, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            edges = np.flatnonzero((suffix[1:] != suffix[:-1]) | (asked[1:] != asked[:-1])) + 1
-            for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(suffix)).tolist(), strict=True):
-                if a == b:
-                    continue
-                if suffix[a] != now:
-                    now, held, trie = suffix[a], [], None
-                keys = key[a:b].view(np.uint64)
-                if not asked[a]:
-                    held.append((keys, n[a:b]))
-                    continue
-                if trie is None:
-                    top = tuple(np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                    trie, held = Trie([*low, *(_shorter(*top, k) for k in range(2, order)), top]), []
-                yield pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(trie.code_length(keys))], ["key", "cost"])
+            what = batch.column(0).to_numpy()
+            edges = np.flatnonzero(what[1:] != what[:-1]) + 1
+            for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(what)).tolist(), strict=True):
+                if a < b:
+                    yield int(what[a]), batch.slice(a, b - a)
+
+    for what, own in groupby(parts(), lambda x: x[0]):
+        yield what, (b for _, b in own)
+
+
+def _priced(order: int, low: list[tuple[np.ndarray, np.ndarray]]):
+    """The cost of each gram asked for; rows (suffix, asked, key, n) come sorted, counted grams before those asked for.  One suffix at a time is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        now, held, trie = None, [], None
+        for suffix, asked, (key, n) in _shards(batches, 2):
+            if suffix != now:
+                now, held, trie = suffix, [], None
+            if not asked:
+                held.append((key.view(np.uint64), n))
+                continue
+            if trie is None:
+                top = tuple(np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                trie, held = _shard(now, top, low, order), []
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(trie.code_length(key.view(np.uint64)))], ["key", "cost"])
 
     return run
 
 
-def _costs(asked: DataFrame, counts: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order: int) -> DataFrame:
-    """asked (key), counts (key, n): key and cost, as ``Trie.code_length`` of a trie of all counts has it; needs an order of 2 or more."""
-    rows = counts.select(F.lit(False).alias("asked"), "key", "n").union(asked.select(F.lit(True), "key", F.lit(0).cast("long")))
-    rows = rows.select(F.shiftright("key", 8).bitwiseAND(0xFFFF).cast("int").alias("suffix"), "asked", "key", "n").repartition("suffix").sortWithinPartitions("suffix", "asked")
-    return rows.mapInArrow(_priced(order, low), "key long, cost double")
+def _by_suffix(rows: DataFrame) -> DataFrame:
+    """rows (kind, key, n), by the last two context bytes of the key."""
+    rows = rows.select(F.shiftright("key", 8).bitwiseAND(0xFFFF).cast("int").alias("suffix"), "kind", "key", "n")
+    return rows.repartition("suffix").sortWithinPartitions("suffix", "kind")
 
 
-def _model(sent) -> tuple[Trie, Lookup]:
-    return kept(("ppm", sent.id), lambda: sent.value)
+def _costs(asked: DataFrame, counts: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order: int) -> DataFrame:
+    """asked (key), counts (key, n): key and cost, as ``Trie.code_length`` of a trie of all counts has it."""
+    rows = counts.select(F.lit(0).alias("kind"), "key", "n").union(asked.select(F.lit(1), "key", F.lit(0).cast("long")))
+    return _by_suffix(rows).mapInArrow(_priced(order, low), "key long, cost double")
 
 
-class _Sent:
-    """A broadcast with a name that outlives pickling."""
+def _model(name: str, low: list[tuple[np.ndarray, np.ndarray]], order: int, tables: dict[int, tuple[str, int]]) -> tuple[Trie, Lookup]:
+    def make() -> tuple[Trie, Lookup]:
+        trie = Trie(low)
+        trie.order = order
+        for k in range(2, order + 1):
+            trie.cost.append(_table(tables, 2 * k, ENTRY))
+            trie.leave.append(_table(tables, 2 * k + 1, CONTEXT))
+        # order 1 is no longer the top one, whose entries need no ``log``
+        keys, n = low[1]
+        trie.cost[1] = Lookup(keys, cost=trie.cost[1].values["cost"][trie.cost[1].find(keys)], log=np.log10(2 * n - 1).astype(np.float32))
+        return trie, _table(tables, -1, WORD)
 
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, broadcast.id if hasattr(broadcast, "id") else broadcast._jbroadcast.id()
+    return kept(("ppm", name), make)
 
-    @property
-    def value(self):
-        return self.broadcast.value
 
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
+def _table(tables: dict[int, tuple[str, int]], what: int, kinds: dict[str, str]) -> Lookup:
+    if what in tables:
+        return Lookup.opened(*tables[what], kinds)
+    return Lookup(np.zeros(0, np.uint64), **{k: np.zeros(0, v) for k, v in kinds.items()})
 
 
-def _score(sent: _Sent, order: int, modulus: int, total: int, distinct: int, whole: bool):
+def _score(model: tuple, order: int, modulus: int, total: int, distinct: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, table = _model(sent)
+        trie, table = _model(*model)
         norm = np.log10(total + 0.1 * (distinct + 1))
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -320,52 +412,75 @@ def _cutoff(sizes: DataFrame, most: int) -> int:
     return 1 << level
 
 
-def _contexts(entries: DataFrame) -> DataFrame:
-    return entries.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("entries"))
+def _cutoff(sizes: list[tuple[int, int]], most: int) -> int:
+    """sizes (level, entries), in any order: the least level from which on there are at most ``most`` entries; 0 if all are."""
+    found = Counter()
+    for level, entries in sizes:
+        found[level] += entries
+    kept_, least = 0, max(found, default=-1) + 1
+    for level in sorted(found, reverse=True):
+        kept_ += found[level]
+        if kept_ > most:
+            return least
+        least = level
+    return 0
 
 
-def score(docs: DataFrame, order: int = 6, modulus: int = 10, most_entries: int = 8_000_000, most_words: int = 1_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows whose crc32(doc_id) mod ``modulus`` is not 0."""
+def _mixed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(mix64(batch.column(0).to_numpy().astype(np.uint64)).view(np.int64)), batch.column(1)], ["key", "n"])
+
+
+def score(docs: DataFrame, order: int = 6, modulus: int = 10, most_entries: int = 16_000_000, most_words: int = 4_000_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows whose crc32(doc_id) mod ``modulus`` is not 0.
+
+    order: 2 to 7.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = texts.mapInArrow(_count(order, modulus), "kind int, key long, n long")
     counts = cut(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    top, words = counts.where("kind = 0"), counts.where("kind = 1").select("key", "n")
 
-    level = lambda n: F.floor(F.log2(n)).cast("int").alias("level")
-    orders = {order: counts.where("kind = 0").select("key", "n")}
-    for k in range(order - 1, -1, -1):
-        orders[k] = cut(orders[k + 1].groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")), "orders")
-    contexts = {k: cut(_contexts(o), "contexts") for k, o in orders.items()}
-    sizes = None
-    for c in contexts.values():
-        one = c.groupBy(level(F.col("total"))).agg(F.sum("entries").alias("entries"))
-        sizes = one if sizes is None else sizes.union(one)
-    least = _cutoff(sizes.groupBy("level").agg(F.sum("entries").alias("entries")), most_entries)
-
-    def table(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = df.select("key", "n").toArrow()
+    def shorter(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Order 0 or 1: at most 65,536 rows."""
+        found = top.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
         return found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
 
-    kept = []
-    for k in range(order + 1):
-        kept.append(table(orders[k] if least == 1 else orders[k].withColumn("context", F.shiftright("key", 8)).join(contexts[k].where(F.col("total") >= least), "context")))
-    words = counts.where("kind = 1")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    common = _cutoff(words.groupBy(level(F.col("n"))).agg(F.count(F.lit(1)).alias("entries")), most_words)
-    word_keys, word_n = table(words.where(F.col("n") >= common))
-    sent = _Sent(spark.sparkContext.broadcast((Trie(kept), Lookup(word_keys, n=word_n))))
-    del kept, word_keys, word_n
+    low = [shorter(0), shorter(1)]
+    trie = cut(_by_suffix(top).mapInArrow(_built(order, low), "what int, key long, level int, a float, b float, c float"), "trie")
+    level = F.floor(F.log2("n")).cast("int").alias("level")
+    sizes = trie.groupBy("what", "level").agg(F.count(F.lit(1)).alias("entries")).collect()  # 64 levels at most of each table
+    least = _cutoff([(r["level"], r["entries"]) for r in sizes if r["what"] % 2 == 0], most_entries)
+    word_sizes = words.groupBy(level).agg(F.count(F.lit(1)).alias("entries"), F.sum("n").alias("n")).collect()
+    total, distinct = sum(r["n"] for r in word_sizes), sum(r["entries"] for r in word_sizes)
+    common = _cutoff([(r["level"], r["entries"]) for r in word_sizes], most_words)
+
+    # the tables that the scoring tasks open: each one is streamed, sorted, through a task of its own
+    kept_ = Counter({-1: sum(r["entries"] for r in word_sizes if r["level"] >= common)})
+    for r in sizes:
+        kept_[r["what"]] += r["entries"] * (r["level"] >= least)
+    none = [F.lit(0.0).cast("float").alias(c) for c in "abc"]
+    wanted = trie.where(F.col("level") >= least).select("what", "key", "a", "b", "c", F.lit(0).cast("long").alias("n"))
+    wanted = wanted.union(words.where(F.col("n") >= 1 << common).mapInArrow(_mixed_words, "key long, n long").select(F.lit(-1).alias("what"), "key", *none, "n"))
+    unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
+    rows = wanted.repartition(2 * order + 3, "what").sortWithinPartitions("what", unsigned)
+    name = new_path(spark, "model")
+    tables = {r["what"]: (r["folder"], kept_[r["what"]]) for r in cut(rows.mapInArrow(_written(name, dict(kept_)), "what int, folder string"), "tables").collect()}
     rows = cut(
-        texts.mapInArrow(_score(sent, order, modulus, total, distinct, least == 1), "row long, doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, away array<long>"), "scores"
+        texts.mapInArrow(
+            _score((name, low, order, tables), order, modulus, total, distinct, least == 0), "row long, doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, away array<long>"
+        ),
+        "scores",
     )
-    rare = words.where(F.col("n") < common).select("key", "n")
+    rare = words.where(F.col("n") < 1 << common)
     norm = F.log10(F.lit(total + 0.1 * (distinct + 1)))
     tail = rows.select("row", F.explode("rare").alias("key")).join(rare, "key", "left")
     tail = tail.select("row", F.col("n").isNotNull().cast("long").alias("more"), (F.log10(F.coalesce("n", F.lit(0)) + 0.1) - norm).alias("rest"), F.lit(0.0).alias("cost"))
-    if least > 1:
+    if least > 0:
         away = rows.select("row", F.explode("away").alias("key"))
-        costs = _costs(away.select("key").distinct(), orders[order], [table(orders[k]) for k in (0, 1)], order)
+        costs = _costs(away.select("key").distinct(), top, low, order)
         tail = tail.union(away.join(costs, "key").select("row", F.lit(0).cast("long"), F.lit(0.0), "cost"))
     tail = tail.groupBy("row").agg(F.sum("more").alias("more"), F.sum("rest").alias("rest"), F.sum("cost").alias("cost"))
     return rows.join(tail, "row", "left").select(
