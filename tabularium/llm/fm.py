@@ -9,15 +9,23 @@ weight to terms that are harmful, or harmless, only together.
 
 Training.  At most ``train_rows`` labelled rows (default 12,000: those with the
 least hash of their id; a bound, so that the fit is one task of known size)
-of those whose crc32(doc_id) mod 5 is not 0.  The ``width`` places whose
-presence separates the classes best (likelihood-ratio statistic) are the
-machine's inputs; the others have weight 0.  Then AdaGrad over shuffled
-mini-batches, fixed seed, with rows of the rarer class weighted up to a half.
+of those whose crc32(doc_id) mod 5 is not 0.  The machine's inputs are the
+``width`` places whose presence separates the classes best by itself
+(likelihood-ratio statistic), and the places of pairs that tell more together
+than the two do alone, even if each alone tells nothing: all pairs of the
+``pairs`` places (default 2,048) whose presence varies most are looked at, and
+up to ``width`` / 16 places come in for their pairs.
+The others have weight 0: with every place as an input, held-out toxic rows of
+sf0.1 are missed six times as often.  Then AdaGrad over shuffled mini-batches,
+fixed seed, with rows of the rarer class weighted up to a half.
 
 Defined results: null and blank texts score the bias alone; rows without an id
 or a label are never learnt from; repeated labels of an id count as their
 maximum; without labelled rows of both classes every score is the (smoothed)
-share of class 1.  Only the text enters a score.
+share of class 1.  A very long text is worked on by itself and gives its terms
+once; repeated rows get the same score; an empty table gives no rows; columns
+other than ``doc_id`` and ``text`` are not looked at, whatever their names.
+Only the text enters a score.
 """
 
 from __future__ import annotations
@@ -90,28 +98,75 @@ def _features(bits: int):
     return run
 
 
-def _select(found: np.ndarray, row: np.ndarray, label: np.ndarray, bits: int, width: int) -> np.ndarray:
-    """Places with the largest likelihood-ratio statistic of presence against label."""
-    size = 1 << bits
-    one = np.bincount(found[label[row] == 1], minlength=size).astype(float)
-    both = np.bincount(found, minlength=size).astype(float)
+def _statistic(cells: list[tuple[np.ndarray, np.ndarray]], share: float) -> np.ndarray:
+    """Likelihood-ratio statistic of (rows, those of class 1) of each cell against the share of class 1."""
+    out = 0.0
+    for n, one in cells:
+        for part, expected in ((one, n * share), (n - one, n * (1 - share))):
+            out = out + 2 * part * np.log(np.where(part > 0, part, 1) / np.maximum(expected, 1e-9))
+    return out
+
+
+def _single(found: np.ndarray, row: np.ndarray, label: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that three rows have, and their statistic of presence against label."""
+    one = np.bincount(found[label[row] == 1], minlength=1 << bits).astype(float)
+    both = np.bincount(found, minlength=1 << bits).astype(float)
     n, n1 = len(label), label.sum()
     place = np.flatnonzero(both >= 3)
     a, t = one[place], both[place]
-    cells = ((a, t * n1 / n), (t - a, t * (n - n1) / n), (n1 - a, (n - t) * n1 / n), (n - n1 - t + a, (n - t) * (n - n1) / n))
-    g = sum(2 * x * np.log(np.where(x > 0, x, 1) / np.maximum(e, 1e-9)) for x, e in cells)
-    best = place[np.lexsort((place, -g))[:width]]
-    return np.sort(best[np.isin(best, place[g > 12])])  # 12: p below 0.001
+    return place, _statistic([(t, a), (n - t, n1 - a)], n1 / n)
 
 
-def fit(label: np.ndarray, found: np.ndarray, at: np.ndarray, bits: int, width: int, epochs: int = 25, seed: int = 5) -> dict:
+def _paired(found: np.ndarray, row: np.ndarray, label: np.ndarray, place: np.ndarray, alone: np.ndarray, most: int, gain: float = 50.0) -> np.ndarray:
+    """Gain of each place's best pair among the ``most`` places of most varied presence, where it is above ``gain`` (50: p below 1e-3 over all pairs); else 0."""
+    n, n1 = len(label), int(label.sum())
+    count = np.bincount(found, minlength=int(place[-1]) + 1 if len(place) else 1)[place]
+    top = np.sort(np.lexsort((place, -(count * (n - count))))[:most])
+    k, out = len(top), np.zeros(len(place))
+    column = np.full(int(found.max(initial=0)) + 1, -1)
+    column[place[top]] = np.arange(k)
+    use = column[found] >= 0
+    r, c = row[use], column[found[use]]
+    at = np.searchsorted(r, np.arange(0, n + 512, 512))
+    both, ones = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        x = np.zeros((512, k), np.float32)
+        x[r[a:b] - 512 * i, c[a:b]] = 1
+        both += x.T @ x
+        x = x[: min(512, n - 512 * i)][label[512 * i : 512 * i + 512] == 1]
+        ones += x.T @ x
+    t, t1 = np.diag(both).astype(float), np.diag(ones).astype(float)
+    for a in range(0, k, 128):
+        b = min(a + 128, k)
+        n11, o11 = both[a:b].astype(float), ones[a:b].astype(float)
+        n10, o10, n01, o01 = t[a:b, None] - n11, t1[a:b, None] - o11, t - n11, t1 - o11
+        cells = [(n11, o11), (n10, o10), (n01, o01), (n - n11 - n10 - n01, n1 - o11 - o10 - o01)]
+        more = _statistic(cells, n1 / n) - alone[top[a:b], None] - alone[top]
+        out[top[a:b]] = more.max(1)
+    return np.where(out > gain, out, 0.0)
+
+
+def _select(found: np.ndarray, row: np.ndarray, label: np.ndarray, bits: int, width: int, pairs: int) -> np.ndarray:
+    """Up to ``width`` places that tell most about the label by themselves, and a sixteenth as many that do so in a pair."""
+    place, alone = _single(found, row, label, bits)
+    alone_ = np.where(alone > 12, alone, 0.0)  # 12: p below 0.001
+    best = np.lexsort((place, -alone_))[:width]
+    chosen = place[best[alone_[best] > 0]]
+    if len(place) and pairs:
+        gain = _paired(found, row, label, place, alone, pairs)
+        best = np.lexsort((place, -gain))[: width // 16]
+        chosen = np.append(chosen, place[best[gain[best] > 0]])
+    return np.unique(chosen)
+
+
+def fit(label: np.ndarray, found: np.ndarray, at: np.ndarray, bits: int, width: int, pairs: int = 2048, epochs: int = 25, seed: int = 5) -> dict:
     """places (ascending), w, v, b."""
     n, n1 = len(label), int(label.sum())
     model = {"places": np.zeros(0, np.int64), "w": np.zeros(0), "v": np.zeros((0, FACTORS)), "b": float(np.log((n1 + 0.5) / (n - n1 + 1.5)))}
     if not 0 < n1 < n:
         return model
     row = np.repeat(np.arange(n), np.diff(at))
-    places = _select(found, row, label, bits, width)
+    places = _select(found, row, label, bits, width, pairs)
     slot = np.full(1 << bits, -1, np.int64)
     slot[places] = np.arange(len(places))
     used = slot[found] >= 0
@@ -142,7 +197,7 @@ def fit(label: np.ndarray, found: np.ndarray, at: np.ndarray, bits: int, width:
     return {"places": places, "w": w, "v": v, "b": float(b)}
 
 
-def _fit(bits: int, width: int):
+def _fit(bits: int, width: int, pairs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int32()))]))
         if table.num_rows:
@@ -150,16 +205,16 @@ def _fit(bits: int, width: int):
             lists = table.column("terms").combine_chunks()
             lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
             at = lists.offsets.to_numpy()
-            m = fit(table.column("label").to_numpy().astype(int), lists.values.to_numpy()[at[0] : at[-1]].astype(np.int64), at - at[0], bits, width)
+            m = fit(table.column("label").to_numpy().astype(int), lists.values.to_numpy()[at[0] : at[-1]].astype(np.int64), at - at[0], bits, width, pairs)
         else:
-            m = fit(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(1, np.int64), bits, width)
+            m = fit(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(1, np.int64), bits, width, pairs)
         flat = np.concatenate([[m["b"]], m["w"], m["v"].ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([m["places"].tolist()], pa.list_(pa.int64())), pa.array([flat.tolist()], pa.list_(pa.float64()))], ["places", "weights"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = 20, width: int = 4096, train_rows: int = 12_000, modulus: int = 5) -> dict:
+def train(docs: DataFrame, labels: DataFrame, bits: int = 20, width: int = 4096, pairs: int = 2048, train_rows: int = 12_000, modulus: int = 5) -> dict:
     """The machine for ``score``: a few hundred kilobytes at most."""
     ship_package(docs.sparkSession)
     rows = (
@@ -173,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, width: int = 4096,
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = texts.join(F.broadcast(rows), "doc_id").select("doc_id", "label", "text").mapInArrow(_features(bits), "doc_id long, label int, terms array<int>")
-    found = seen.repartition(1).mapInArrow(_fit(bits, width), "places array<long>, weights array<double>").first()
+    found = seen.repartition(1).mapInArrow(_fit(bits, width, pairs), "places array<long>, weights array<double>").first()
     places, flat = np.array(found["places"], np.int64), np.array(found["weights"])
     n = len(places)
     return {"bits": bits, "places": places, "b": flat[0], "w": flat[1 : n + 1], "v": flat[n + 1 :].reshape(n, FACTORS)}

@@ -1,10 +1,15 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from conftest_llm import CLASHES, documents
 
 from tabularium.llm import fm
+from tabularium.llm.textcore import slices
 
 
 def corpus(n=900, seed=3):
@@ -33,6 +38,40 @@ def test_learns_an_interaction(spark):
     assert sum(got[i]["predicted"] == y for i, y in held) >= 0.95 * len(held)
 
 
+def test_learns_a_pair_whose_terms_tell_nothing_alone(spark):
+    rng, rows, labels = random.Random(4), [], []
+    for i in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = [f"w{rng.randrange(300)}" for _ in range(30)] + ["blorg"] * a + ["fnar"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(a != b)))
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r["predicted"] for r in fm.score(docs, fm.train(docs, frame(spark, labels))).where("held_out").collect()}
+    assert sum(got[i] == y for i, _, y in labels if i in got) >= 0.98 * len(got)
+
+
+def plain_score(text, model):
+    """The machine's sum over all pairs, term by term."""
+    words = {w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text.lower()) if w}
+    (_, _, data, offsets), = slices(pa.array([" ".join(sorted(words))]))
+    mine = set(fm.terms(data, offsets, model["bits"])[0].tolist())
+    at = [i for i, p in enumerate(model["places"].tolist()) if p in mine]
+    z = model["b"] + sum(model["w"][i] for i in at)
+    z += sum(float(model["v"][i] @ model["v"][j]) for i in at for j in at if i < j)
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_are_those_of_a_plain_sum_over_pairs(spark, odd_rows):
+    rows, labels = corpus(600)
+    texts = [r for r in odd_rows if r[1] and r[1].isascii()] + rows[:60]
+    docs = documents(spark, rows)
+    model = fm.train(docs, frame(spark, labels), bits=16)
+    got = fm.score(documents(spark, texts), model).collect()
+    want = sorted(plain_score(r[1], model) for r in texts)
+    assert sorted(r["score"] for r in got) == pytest.approx(want, abs=1e-9)
+
+
 def test_held_out_labels_are_never_read(spark):
     rows, labels = corpus(300)
     docs = documents(spark, rows)
@@ -53,9 +92,6 @@ def test_odd_rows_empty_and_one_class(spark, odd_rows):
 
 
 def test_terms_of_a_row():
-    import pyarrow as pa
-    from tabularium.llm.textcore import slices
-
     (_, _, data, offsets), = slices(pa.array(["Idiot! idiot idiotic", "idiot", "", "..."]))
     found, at = fm.terms(data, offsets, 20)
     rows = [set(found[at[i] : at[i + 1]].tolist()) for i in range(4)]
