@@ -11,26 +11,33 @@ make one stream of words, cut into blocks of ``block`` words.  Places in that
 stream are two-level sums (4,096 hash ranges of a source, then within a range),
 so that a source with a third of all rows is no single task's work.
 
-Draws: output shards of ``shard`` slots each draw how many of their slots go to
-which source: the whole part of the expected counts, and a multinomial draw of
-the rest, from hashes of (seed, shard, draw).  A source's slots are numbered
-through all shards; slot s takes block perm(s mod n) of epoch s div n, where
-perm is a four-round Feistel network over the source's n blocks, another one
-in each epoch.  So an epoch takes every block once, no document is taken more
-often than there are epochs, and slots beyond the last epoch stay unused.
-
-Defined results: null texts have size 0 and are taken 0 times; repeated rows
-are separate documents; reruns, on any partitioning, give the same mix; an
-empty table gives an empty mix; other columns are ignored.
+Draws: each source has as many slots as its target asks for.  All slots, laid end
+to end, are dealt to the places of the output by a pseudorandom permutation, and
+``shard`` places are a shard: a shard's counts of sources are multinomial draws,
+given that all shards together take each source's number of slots.  (Drawn
+independently, a source would miss its target by a share of 1 / sqrt(its slots):
+8 % for the lightest sources of sf0.01.)  Slot s of a source takes block
+perm(s mod n) of epoch s div n, where perm is a four-round Feistel network over
+the source's n blocks, another one in each epoch.  So an epoch takes every block
+once, and no document is taken more often than there are epochs.  Sources are
+rows throughout, and sums over them are made in ranges.
+
+Defined results: null texts have size 0 and are taken 0 times; a very long text
+lies in many blocks; repeated rows are separate documents; sources of equal room
+are taken in the order of their names; reruns, on any partitioning, give the
+same mix; an empty table gives an empty mix; other columns are ignored (kept as
+they are in ``mixed_documents``), whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import words_of
-from .scratch import cut
+from .scratch import cut, running
 
 RANGES = 4096
 
@@ -42,17 +49,14 @@ def word_count(text: Column) -> Column:
 
 def targets(sizes: DataFrame, most_epochs: int = 3) -> DataFrame:
     """sizes (source, source_size) -> with number and target; one row for each source throughout."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    rows = sizes.withColumn("number", F.row_number().over(by_name) - 1).withColumn("weight", F.pmod("number", F.lit(3)) + 1)
-    rows = rows.withColumn("cap", most_epochs * F.col("source_size"))
-    by_room = Window.orderBy(F.col("cap") / F.col("weight"), "number")
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
-    rows = rows.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("lighter", F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    level = (F.sum("source_size").over(everything) - F.col("capped")) / (F.sum("weight").over(everything) - F.col("lighter"))
-    rows = rows.withColumn("level", F.when(level <= F.col("cap") / F.col("weight"), level))
-    level = F.first("level", ignorenulls=True).over(by_room.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    target = F.least(F.col("cap").cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("weight"))
+    rows = running(sizes, [F.col("source").asc_nulls_last()], number=F.lit(1).cast("long"))
+    rows = rows.withColumn("weight", F.pmod("number", F.lit(3)) + 1).withColumn("cap", most_epochs * F.col("source_size"))
+    room = F.col("cap") / F.col("weight")
+    rows = cut(running(rows, [room, F.col("number")], capped=F.col("cap"), lighter=F.col("weight")), "rooms")
+    words, weights = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(words) - F.col("capped")) / (F.lit(weights) - F.col("lighter"))
+    level = rows.where(level <= room).agg(F.min_by(level, F.struct(room, "number"))).first()[0] if weights else None
+    target = F.least(F.col("cap").cast("double"), F.lit(float(level or 0)) * F.col("weight"))
     return rows.withColumn("target", target).select("source", "source_size", "number", "target")
 
 
@@ -66,7 +70,8 @@ def _permuted(place: Column, n: Column, side: Column, *key: Column) -> Column:
         return left * side + right
 
     # at most 2 * side + 1 places of the square are outside, so 64 steps do for sides up to 31, and miss with probability 1e-76 beyond
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), network(place), lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), network(place), lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    return F.when(network(place) < n, network(place)).otherwise(walked)
 
 
 class Mix:
@@ -94,33 +99,18 @@ class Mix:
         docs = dealt.withColumn("within", F.coalesce(F.sum("size").over(own), F.lit(0))).join(ranges.select("number", "range", "base"), ["number", "range"])
         self.docs = cut(docs.withColumn("start", F.col("base") + F.col("within")).select("row", "doc_id", "size", "source_size", "target", "number", "start"), "places")
 
-        # how many slots of which shard go to which source
-        expected = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
-        one = sources.groupBy().agg(F.array_sort(F.collect_list(F.struct("number", expected.alias("slots"), (most_epochs * F.col("blocks")).alias("most")))).alias("parts"))
-        one = one.withColumn("all", F.aggregate("parts", F.lit(0.0), lambda a, x: a + x.slots))
-        shards = one.withColumn("shards", F.ceil(F.col("all") / shard).cast("int")).where("shards > 0").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        shards = shards.withColumn("n", F.round(F.col("all") * (F.col("shard") + 1) / F.col("shards")) - F.round(F.col("all") * F.col("shard") / F.col("shards")))
-        shards = shards.withColumn("mean", F.transform("parts", lambda x: x.slots * F.col("n") / F.col("all")))
-        shards = shards.withColumn("rest", F.transform("mean", lambda x: x - F.floor(x)))
-        shards = shards.withColumn("draws", (F.col("n") - F.aggregate(F.transform("mean", lambda x: F.floor(x).cast("double")), F.lit(0.0), lambda a, x: a + x)).cast("int"))
-        shards = shards.withColumn("rests", F.aggregate("rest", F.lit(0.0), lambda a, x: a + x))
-        shards = shards.withColumn("edges", F.transform("rest", lambda _, i: F.aggregate(F.slice("rest", 1, i + 1), F.lit(0.0), lambda a, x: a + x)))
-        uniform = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "shard", i), F.lit(1 << 30)) / float(1 << 30)
-        drawn = F.when(F.col("draws") > 0, F.transform(F.sequence(F.lit(1), F.col("draws")), lambda i: F.size(F.filter("edges", lambda e: e <= uniform(i) * F.col("rests")))))
-        shards = shards.withColumn("drawn", F.coalesce(drawn, F.array().cast("array<int>")))
-        counts = shards.select("shard", "drawn", F.posexplode(F.arrays_zip("parts", "mean")).alias("i", "x"))
-        counts = counts.select(
-            "shard", F.col("x.parts.number").alias("number"), F.col("x.parts.most").alias("most"), (F.floor(F.col("x.mean")) + F.size(F.filter("drawn", lambda d: d == F.col("i")))).cast("long").alias("count")
-        )
-        upto = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("first", F.coalesce(F.sum("count").over(upto), F.lit(0))).withColumn("last", F.least(F.col("first") + F.col("count"), F.col("most")) - 1)
+        # the sources' slots, end to end
+        slots = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), most_epochs * F.col("blocks"))).otherwise(0).cast("long")
+        laid = cut(running(sources.select("number", "blocks", slots.alias("slots")), [F.col("number")], low=F.col("slots")), "laid")
+        places = laid.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+        tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # a few rows become all slots: runs of ``spread`` slots are dealt to the tasks before they are opened
-        runs = counts.where("last >= first").select("shard", "number", "last", F.explode(F.sequence("first", "last", F.lit(spread))).alias("run"))
-        runs = runs.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "run")
-        slots = runs.select("shard", "number", F.explode(F.sequence("run", F.least("last", F.col("run") + spread - 1))).alias("slot"))
-        n = sources.select("number", "blocks", F.ceil(F.sqrt("blocks")).cast("long").alias("side"))
-        slots = slots.join(n, "number").withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("int"))
-        self.slots = slots.select("shard", "slot", "number", "epoch", _permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("side"), F.lit(seed), F.col("number"), F.col("epoch")).alias("block"))
+        runs = laid.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(spread).cast("long"))))
+        runs = runs.repartition(tasks, "number", "run").withColumn("slot", F.explode(F.sequence("run", F.least("slots", F.col("run") + spread) - 1)))
+        place = _permuted(F.col("low") + F.col("slot"), F.lit(places), F.lit(math.isqrt(max(places - 1, 0)) + 1), F.lit(seed), F.lit("place"))
+        opened = runs.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("int")).withColumn("side", F.ceil(F.sqrt("blocks")).cast("long"))
+        own = _permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("side"), F.lit(seed), F.col("number"), F.col("epoch"))
+        self.slots = opened.select(F.floor(place / shard).alias("shard"), "slot", "number", "epoch", own.alias("block"))
 
         # which words of which document are in which block
         first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
@@ -128,6 +118,10 @@ class Mix:
         begin = F.greatest(F.col("start"), F.col("block") * block)
         self.spans = spans.select("row", "number", "block", (begin - F.col("start")).alias("from"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - begin).alias("words"))
 
+    def counts(self) -> DataFrame:
+        """shard, number, count: how many of a shard's slots go to which source."""
+        return self.slots.groupBy("shard", "number").agg(F.count(F.lit(1)).alias("count"))
+
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken."""
         times = self.slots.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
@@ -141,14 +135,17 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
 
     A document taken whole keeps its text; otherwise the text is the words taken, in order, with single spaces.
     """
-    base = cut(documents.withColumn("_row", F.monotonically_increasing_id()), "mixed")
-    mix = Mix(base, row="_row", **options)
+    # a document's own columns are one field meanwhile, so that their names do not matter
+    columns = documents.columns
+    base = cut(documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own"), F.monotonically_increasing_id().alias("row")), "mixed")
+    mix = Mix(base.select("row", F.col("own")["doc_id"].alias("doc_id"), F.col("own")["source"].alias("source"), F.col("own")["text"].alias("text")), row="row", **options)
     parts = mix.spans.join(mix.slots.select("number", "block", "epoch").hint("merge"), ["number", "block"])
-    parts = parts.groupBy("row", "epoch").agg(F.sum("words").alias("_taken"), F.array_sort(F.collect_list(F.struct("from", "words"))).alias("_parts"))
-    parts = parts.join(mix.docs.select("row", F.col("size").alias("_size")), "row").withColumn("_parts", F.when(F.col("_taken") < F.col("_size"), F.col("_parts")))
-    rows = base.join(parts.withColumnRenamed("row", "_row"), "_row")
+    parts = parts.groupBy("row", "epoch").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("from", "words"))).alias("parts"))
+    parts = parts.join(mix.docs.select("row", "size"), "row").withColumn("parts", F.when(F.col("taken") < F.col("size"), F.col("parts")))
+    rows = base.join(parts, "row")
+    text = F.col("own")["text"]
     # the words are bound to a name, so that they are split once for a text and not for each of its parts
-    taken = lambda words: F.array_join(F.flatten(F.transform("_parts", lambda x: F.slice(words, x["from"].cast("int") + 1, x["words"].cast("int")))), " ")
-    own = F.get(F.transform(F.array(words_of(F.col("text").cast("string"))), taken), F.lit(0))
-    text = F.when(F.col("_parts").isNull(), F.col("text")).otherwise(own)
-    return rows.withColumn("text", text).select(documents.columns)
+    taken = lambda words: F.array_join(F.flatten(F.transform("parts", lambda x: F.slice(words, x["from"].cast("int") + 1, x["words"].cast("int")))), " ")
+    own = F.get(F.transform(F.array(words_of(text.cast("string"))), taken), F.lit(0))
+    text = F.when(F.col("parts").isNull(), text).otherwise(own)
+    return rows.select(*[text.alias(c) if c == "text" else F.col("own")[c].alias(c) for c in columns])

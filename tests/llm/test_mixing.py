@@ -1,7 +1,10 @@
+import math
 import random
 import re
-from collections import defaultdict
+import struct
+from collections import Counter, defaultdict
 
+import xxhash
 from conftest_llm import CLASHES, documents
 
 from tabularium.llm import mixing
@@ -47,6 +50,57 @@ def test_targets_and_what_is_taken(spark):
         assert abs(taken - target) <= max(0.03 * target, 3 * 16), (size, target, taken)
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs, ints and strings."""
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<q", v[0]) if isinstance(v, tuple) else struct.pack("<i", v)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def permuted(x, n, side, *key):
+    while True:
+        left, right = divmod(x, side)
+        for r in range(4):
+            left, right = right, (left + spark_hash(*key, r, (right,)) % side) % side
+        x = left * side + right
+        if x < n:
+            return x
+
+
+def test_a_plain_replay_takes_the_same(spark):
+    rows = [r for r in fixture(5) if r[0] is not None][:-2]
+    docs = documents(spark, rows)
+    mix = mixing.Mix(docs, block=16, shard=64)
+    got = {r["doc_id"]: r["taken"] for r in mix.taken().collect()}
+    words = {r[0]: len(W.findall(r[1] or "")) for r in rows}
+    of = {r[0]: (r[2] if len(r) > 2 else "s") for r in rows}
+    sizes = defaultdict(int)
+    for i, s in of.items():
+        sizes[s] += words[i]
+    want, taken, shards, low = water_fill(dict(sizes)), Counter(), Counter(), 0
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    slots = {s: min(math.floor(want[s] * -(-sizes[s] // 16) / sizes[s] + 0.5), 3 * -(-sizes[s] // 16)) if sizes[s] else 0 for s in names}
+    total = sum(slots.values())
+    for number, s in enumerate(names):
+        stream = [i for i in sorted((i for i in of if of[i] == s), key=lambda i: spark_hash_doc(i, rows) % 2**64) for _ in range(words[i])]
+        blocks = -(-len(stream) // 16)
+        for slot in range(slots[s]):
+            epoch, at = divmod(slot, blocks)
+            b = permuted(at, blocks, math.isqrt(blocks - 1) + 1, 1, (number,), epoch)
+            taken.update(stream[16 * b : 16 * b + 16])
+            shards[permuted(low + slot, total, math.isqrt(total - 1) + 1, 1, "place") // 64, number] += 1
+        low += slots[s]
+    assert got == {i: taken[i] for i in words}
+    assert {(r["shard"], r["number"]): r["count"] for r in mix.counts().collect()} == dict(shards)
+
+
+def spark_hash_doc(i, rows):
+    text = next(r[1] for r in rows if r[0] == i)
+    return spark_hash(1, (i,)) if text is None else spark_hash(1, (i,), text)
+
+
 def test_reruns_agree_on_other_partitions(spark):
     rows = fixture()
     one = mixing.Mix(documents(spark, rows).repartition(7), block=16).taken().collect()
@@ -78,6 +132,15 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert own == {i: n for i, n in taken.items() if n}
 
 
+def test_columns_of_any_name_are_kept(spark):
+    rows = [r for r in fixture() if r[0] is not None][:40]
+    names = ["_row", "row", "_taken", "_parts", "_size", "own", "taken", "parts", "_spans"]
+    docs = documents(spark, rows, names)
+    mixed = mixing.mixed_documents(docs, block=16)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert all(r[c] == "x" for r in mixed.collect() for c in names)
+
+
 def test_empty_tables(spark, odd_rows):
     assert mixing.Mix(documents(spark, [])).taken().collect() == []
     assert mixing.mixed_documents(documents(spark, [])).collect() == []
