@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, let_go
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,7 +27,9 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct(), "components")
+        last, edges = edges, cut(small.where("a <> b").distinct(), "components")
+        if before is not None:
+            let_go(last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         stars = edges.select("a").intersect(edges.select("b")).isEmpty()
         if (stars and state[0] == state[2]) or tuple(state) == before:

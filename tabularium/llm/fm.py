@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import ship_package
+from .scratch import dealt, ship_package
 from .textcore import _BASE, _INV, _VALUE, WS, _power, mix64, release, slices
 
 PREFIXES = (3, 4, 5, 6)
@@ -272,11 +272,11 @@ def _keep(model: dict, text_at: int):
 def score(docs: DataFrame, model: dict, modulus: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     ship_package(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return texts.mapInArrow(_score(model, modulus), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs``, unchanged, whose ``text`` scores below 0.5."""
     ship_package(docs.sparkSession)
-    return docs.mapInArrow(_keep(model, docs.columns.index("text")), docs.schema)
+    return dealt(docs).mapInArrow(_keep(model, docs.columns.index("text")), docs.schema)

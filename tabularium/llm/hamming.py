@@ -1,7 +1,9 @@
 """Exact top-k by Hamming distance: incremental multi-index hashing.
 
 Vectors become 64-bit codes (bit i: component i above 0), cut into ``segments``
-equal segments.  Two codes at distance d agree in some segment within
+segments, equal up to a bit; by default as many as give a segment about as many
+bits as the number of codes has, so that a bucket of the index holds few codes
+at any size.  Two codes at distance d agree in some segment within
 floor(d / segments) bits.  Step by step, the index is probed with the values
 that differ in exactly r bits from a query's segment: radius r in the first
 segments, then in the others, then r + 1.  Every code found is verified on all
@@ -45,6 +47,12 @@ def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for c in combinations(range(width), radius)]
 
 
+def _cuts(bits: int, segments: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each segment."""
+    widths = [bits // segments + (s < bits % segments) for s in range(segments)]
+    return [(sum(widths[:s]), w) for s, w in enumerate(widths)]
+
+
 def _steps(segments: int, width: int) -> list[tuple[int, list[int], int]]:
     """(radius, segments, distance covered afterwards)."""
     out = []
@@ -55,13 +63,15 @@ def _steps(segments: int, width: int) -> list[tuple[int, list[int], int]]:
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, segments: int = 8, chunk: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, segments: int | None = None, chunk: int = 1024) -> DataFrame:
     """vectors and queries (vec_id, embedding) -> query_id, rank, neighbour_id, distance."""
-    width = bits // segments
-    pieces = F.array(*[F.shiftright("code", s * width).bitwiseAND((1 << width) - 1) for s in range(segments)])
     coded = cut(vectors.select("vec_id", code(F.col("embedding"), bits).alias("code")).where("vec_id is not null and code is not null").distinct(), "codes")
     ranked = coded.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     entries = cut(ranked.groupBy("code").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "entries")
+    segments = segments or max(1, round(bits / max(4, entries.count().bit_length() - 1)))
+    cuts = _cuts(bits, segments)
+    width = cuts[0][1]
+    pieces = F.array(*[F.shiftright("code", at).bitwiseAND((1 << w) - 1) for at, w in cuts])
     spread = entries.select("code", F.element_at("ids", 1).alias("first"), F.posexplode(pieces).alias("segment", "value"))
     parts = spread.groupBy("segment", "value").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
     index = spread.join(parts, ["segment", "value"]).groupBy("segment", "value", F.pmod(F.xxhash64("code"), F.col("chunks")).alias("chunk"))
@@ -71,9 +81,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64,
     open_, results = asked.select("code", F.lit(bits).alias("bound")).distinct(), []
     found = None
     for radius, part, covered in _steps(segments, width):
-        masks = F.array(*[F.lit(m).cast("long") for m in _masks(width, radius)])
-        probes = open_.select(F.col("code").alias("query"), "bound", F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), pieces[s].alias("own")) for s in part])).alias("p"))
-        probes = probes.select("query", "bound", F.col("p.segment").alias("segment"), F.explode(F.transform(masks, lambda m: F.col("p.own").bitwiseXOR(m))).alias("value"))
+        # the masks of each width, from a small table: at radius 4 of 16 bits they are 1,820
+        masks = open_.sparkSession.createDataFrame([(s, m) for s in part for m in _masks(cuts[s][1], radius)], "segment int, mask long")
+        own = F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), pieces[s].alias("own")) for s in part])).alias("p")
+        probes = open_.select(F.col("code").alias("query"), "bound", own).select("query", "bound", "p.segment", "p.own").join(F.broadcast(masks), "segment")
+        probes = probes.select("query", "bound", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         verified = F.transform("codes", lambda c: F.struct(F.bit_count(F.col("query").bitwiseXOR(c.code)).alias("distance"), c["first"].alias("first"), c.code.alias("code")))
         near = F.slice(F.array_sort(F.filter(verified, lambda c: c.distance <= F.col("bound"))), 1, k + 1)
         # Spark takes the probes for as few rows as the queries they come from, so the join's way is said here

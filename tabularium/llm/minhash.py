@@ -11,16 +11,21 @@ Plan.  (1) One map over the texts makes, per document, the set's size, a
 one *class*; from here on a class stands for all its copies.  (3) Classes are
 hashed into buckets, and buckets of one are dropped.  (4) Each class is
 compared with the least and the greatest class of its bucket: a linear number
-of pairs that finds nearly all links.  (5) Connected components of these links; only classes of different components
-in one bucket can still hold an unseen link that matters.  (6) Those buckets
-are searched in full inside tasks (large ones in blocks of ``block`` by
-``block`` classes), each pair at its first common band, and what passes on
-32-bit hashed sets is confirmed on the full sets like every other link.
+of pairs that finds nearly all links.  (5) Connected components of these links;
+only classes of different components in one bucket can still hold an unseen link
+that matters.  (6) Those buckets are searched inside tasks, large ones in parts of
+about ``block`` classes: the classes outside the bucket's largest component go to
+all its parts, the others stay in their own.  Each pair is looked at in its first
+common band, and what passes on 32-bit hashed sets is confirmed on the full sets
+like every other link.  (7) Documents get their class's component by a join on the
+fingerprint; those of at most 10,000 fingerprints, each shared by more than one in
+10,000 documents, by a broadcast of these.
 No pair list of a whole group is ever made, and no partner is capped.
 
 Defined results: null or blank texts have no shingles, size 0, and link with
-nothing; a null ``doc_id`` is kept and in no component (null); repeated rows
-are separate documents with the same id; other columns are ignored.
+nothing; a very long text is worked on by itself; a null ``doc_id`` is kept and in
+no component (null); repeated rows are separate documents with the same id; an
+empty table has no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut, ship_package
+from .scratch import cut, dealt, let_go, ship_package
 from .textcore import list_array, mix64, release, shingles, slices, word_hashes
 
 _KEY = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(16)], np.uint64)
@@ -156,15 +161,20 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _search(percent: int):
-    """Pairs of different components in one block of a bucket whose hashed sets reach the similarity, at their first common band."""
+    """Pairs of different components in one part of a bucket whose hashed sets reach the similarity, at their first common band.
+
+    The rows of ``home`` are the part's own; those ``outside`` the bucket's largest
+    component, of this part or another one, are compared with them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["key", "block"]):
+        release()
+        for table in _groups(batches, ["key", "part"]):
             nodes = table.column("node").to_numpy()
             comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
             if comp.max() == 0:
                 continue
-            part, other = table.column("part").to_numpy(), table.column("across")[0].as_py()
+            home, outside = (table.column(c).to_numpy() for c in ("home", "outside"))
             values, at = _lists(table.column("small"))
             keys = _lists(table.column("keys"))[0].reshape(len(nodes), -1)
             keys = keys[:, : np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0]]
@@ -177,17 +187,13 @@ def _search(percent: int):
             postings = owner[order]
             starts = np.r_[np.flatnonzero(fresh), len(values)]
             found_a, found_b = [], []
-            # the members of the largest component need not start a search: the others meet them
-            main = np.bincount(comp).argmax()
-            for x in np.flatnonzero(comp != main):
+            for x in np.flatnonzero(outside):
                 mine = term[at[x] : at[x + 1]]
                 length = starts[mine + 1] - starts[mine]
                 gather = np.repeat(starts[mine] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
                 both = np.bincount(postings[gather], minlength=len(nodes))
                 close = 100 * both >= (percent - 1) * (size + size[x] - both)
-                close &= comp != comp[x]
-                if other:
-                    close &= part != part[x]
+                close &= home & (comp != comp[x])
                 for y in np.flatnonzero(close):
                     if not (keys[x] == keys[y]).any():
                         found_a.append(min(nodes[x], nodes[y]))
@@ -215,7 +221,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, block: int = 2048, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id linked with it, directly or through others), kept."""
     ship_package(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     sketch = cut(texts.mapInArrow(_sketch(bands, rows, words), "row long, doc_id long, n_shingles long, print binary, keys array<long>"), "sketch")
 
     # A class is named by the least row that has its set.
@@ -234,31 +240,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     sets = cut(full, "sets")
 
     links = cut(_confirmed(pairs, sets, percent), "links")
+    let_go(pairs, wanted)
     comp = components(links)
 
     # What those links leave open: buckets that hold more than one component.
     labelled = members.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    opened = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1").select("key", "m")
+    opened = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("comps"))
+    opened = opened.where("comps > 1").select("key", F.col("main.comp").alias("main"), F.ceil(F.col("m") / block).cast("int").alias("parts"))
     small = sets.select("node", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("small"))
     blocks = (
         labelled.join(opened, "key")
-        .withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("block", F.least("part", "to") * F.col("parts") + F.greatest("part", "to"))
-        .withColumn("across", F.floor(F.col("block") / F.col("parts")) != F.pmod("block", "parts"))
+        .withColumn("outside", F.col("comp") != F.col("main"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("part", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
+        .withColumn("home", F.col("own") == F.col("part"))
         .join(keyed.join(small, "node"), "node")
-        .select("key", "block", "across", "part", "node", "comp", "keys", "small")
-        .repartition("key", "block")
-        .sortWithinPartitions("key", "block")
+        .select("key", "part", "home", "outside", "node", "comp", "keys", "small")
+        .repartition("key", "part")
+        .sortWithinPartitions("key", "part")
     )
     more = _confirmed(cut(blocks.mapInArrow(_search(percent), "a long, b long").distinct(), "found"), sets, percent)
     comp = components(cut(links.union(more), "links"))
+    let_go(members, keyed, sets, links)
 
     # Components are named by their classes, linked ones only; every document then meets its class once.
     linked = comp.join(classes.select("node", "least"), "node")
     linked = linked.join(linked.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
     names = classes.join(linked, "node", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    found = sketch.select("doc_id", "n_shingles", "print").join(names, "print", "left").withColumn("component_id", own)
+    copies = named.groupBy("print").agg(F.count(F.lit(1)).alias("copies"))
+    hot = cut(names.join(copies.where(F.col("copies") * 10_000 > F.lit(named.count())), "print").select("print", "component_id"), "hot")
+    rows = sketch.select("doc_id", "n_shingles", "print")
+    few = rows.join(F.broadcast(hot), "print", "left_anti").join(names, "print", "left")
+    found = few.unionByName(rows.join(F.broadcast(hot), "print")).withColumn("component_id", own)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

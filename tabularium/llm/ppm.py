@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lookup import Lookup, write_table
-from .scratch import cut, new_path, ship_package
+from .scratch import cut, dealt, new_path, ship_package
 from .textcore import LOWER, kept, mix64, release, slices, word_bounds, word_hashes
 
 END = 10
@@ -438,7 +438,7 @@ def score(docs: DataFrame, order: int = 6, modulus: int = 10, most_entries: int
     """
     spark = docs.sparkSession
     ship_package(spark)
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = dealt(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")))
     parts = texts.mapInArrow(_count(order, modulus), "kind int, key long, n long")
     counts = cut(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     top, words = counts.where("kind = 0"), counts.where("kind = 1").select("key", "n")

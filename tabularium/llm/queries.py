@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fm, hamming, mixing, packing, ppm, quality, secrets, sharding, sql, tokenfile
 from .minhash import near_duplicates
+from .scratch import cut
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return fm.score(docs, fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return cut(fm.score(docs, fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))), "scores")
 
 
 def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +52,12 @@ def op7_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(tokenfile.write_tokens(_documents(spark, sf_dir), tokenizer_path()))
 
 
+#: Small shards, that a reader fetches whole.
+SHARD_BYTES = 128 << 10
+
+
 def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sharding.shards(_documents(spark, sf_dir))
+    found = sharding.shards(_documents(spark, sf_dir), SHARD_BYTES)
     return found.select("doc_id", "n_bytes", "depth", "prefix", "shard", "shard_bytes")
 
 
@@ -65,7 +70,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("_spans", lambda s: s.kind != "guess")
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     count = lambda kind: F.size(F.filter("_spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said("_spans").alias("spans"), count("guess"))
+    return cut(found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said("_spans").alias("spans"), count("guess")), "spans")
 
 
 QUERIES = {
@@ -85,5 +90,5 @@ SQL = {
     "op1_minhash_dedup": sql.NEAR_DUPLICATES,
     "op4_hamming_topk": sql.HAMMING,
     "op5_line_quality": sql.LINE_QUALITY,
-    "op8_extendible_shards": sql.SHARDS,
+    "op8_extendible_shards": sql.SHARDS.replace("{limit}", str(SHARD_BYTES)),
 }

@@ -83,6 +83,12 @@ def ship_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, dealt to as many partitions as there are cores if it comes in fewer: a small table of one file would else be one task's work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def free_name(columns: Iterable[str], name: str) -> str:
     """``name``, with as many underscores before it as make it none of ``columns``."""
     taken = {c.lower() for c in columns}

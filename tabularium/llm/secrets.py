@@ -26,8 +26,11 @@ whole ranked list, so each row gets the ranks that its own values need and no
 word is left out, however many there are.
 
 Defined results: null or empty texts have no spans; offsets are code points,
-ends exclusive; rows are scanned one by one, so repeated rows, null ids and
-other columns do not matter.
+ends exclusive; a very long text is scanned whole, by itself; rows are scanned one
+by one, so repeated rows and null ids do not matter; equal counts of words are
+ranked by the word; an empty table has no rows; other columns are kept as they
+are, whatever their names, but for one named like the column of spans, which
+these replace.
 """
 
 from __future__ import annotations
@@ -39,11 +42,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import cut, ship_package
+from .scratch import cut, dealt, free_name, running, ship_package
 from .textcore import release, slices
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -241,41 +244,23 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 def ranked_words(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """word, rank: all words of all texts less the occurrences in ``own`` (word), ranked from 1 by count and word; the sorted list's parts are numbered where they lie."""
+    """word, rank: all words of all texts less the occurrences in ``own`` (word), ranked from 1 by count and word."""
     counts = _counts(docs).union(own.select("word", F.lit(-1).cast("long"))).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
-    placed = cut(counts.orderBy(F.desc("n"), "word").select("word", F.monotonically_increasing_id().alias("place")), "placed")
-    placed = placed.withColumn("part", F.shiftright("place", 33))
-    parts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))  # one row for each part of the sort
-    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("part", before.alias("before"))
-    return placed.join(F.broadcast(parts), "part").select("word", (F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1) + 1).alias("rank"))
-
-
-def word_ranks(docs: DataFrame, most_words: int = 20_000) -> dict[str, int]:
-    """The most frequent words of all texts with their ranks from 1: all words from that eighth of an octave of frequency on from which there are no more than ``most_words``."""
-    counts = _counts(docs).withColumn("level", F.floor(8 * F.log2("n")).cast("int"))
-    least, kept = None, 0
-    for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # 504 rows at most
-        kept += r["n"]
-        if kept > most_words:
-            break
-        least = r["level"]
-    found = counts.where(F.col("level") >= least).select("word", "n").collect() if least is not None else []
-    return {w: i + 1 for i, (w, _) in enumerate(sorted(found, key=lambda x: (-x[1], x[0])))}
-
-
-def _found(ranks: dict[str, int] | None, least: float, text_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[int, list]]]:
+    return running(counts, [F.desc("n"), F.col("word")], before=F.lit(1).cast("long")).select("word", (F.col("before") + 1).alias("rank"))
+
+
+def _found(ranks: dict[str, int] | None, brings: bool, least: float, text_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[int, list]]]:
     """Slices of the batches with the spans of those rows that have any.
 
-    Without ``ranks``, rows bring their own in the last column, ``_ranks``, which is
-    taken off; where there is none, rows that want ranks are left out.
+    Without ``ranks``, rows that want any bring their own in the last column, which is
+    taken off, if ``brings``; else they are left out.
     """
     release()
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(text_at)):
             part = batch.slice(a, b - a)
             brought = None
-            if "_ranks" in part.schema.names:
+            if brings:
                 brought = part.column(part.num_columns - 1)
                 part = part.select(list(range(part.num_columns - 1)))
             spans, stays = {}, np.ones(b - a, bool)
@@ -295,8 +280,8 @@ def _found(ranks: dict[str, int] | None, least: float, text_at: int, batches: It
             yield part, spans
 
 
-def _wanting(text_at: int):
-    """The rows that want ranks, with ``_words`` and ``_own``."""
+def _wanting(text_at: int, names: list[str]):
+    """The rows that want ranks, with the parts of their values that may be words and their own words, under ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -312,7 +297,7 @@ def _wanting(text_at: int):
                 if rows:
                     part = batch.take(pa.array(rows))
                     kind = pa.list_(pa.string())
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words, kind), pa.array(own, kind)], [*part.schema.names, "_words", "_own"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words, kind), pa.array(own, kind)], [*part.schema.names, *names])
 
     return run
 
@@ -320,38 +305,42 @@ def _wanting(text_at: int):
 def _scanned(docs: DataFrame, run, schema: T.StructType, ranks: dict[str, int] | None) -> DataFrame:
     """``run(ranks)`` over all rows; without given ranks, over those that want none and those joined with theirs."""
     ship_package(docs.sparkSession)
+    docs = dealt(docs)
     if ranks is not None:
-        return docs.mapInArrow(run(docs.sparkSession.sparkContext.broadcast(ranks)), schema)
+        return docs.mapInArrow(run(docs.sparkSession.sparkContext.broadcast(ranks), False), schema)
     text_at = docs.columns.index("text")
-    lists = [T.StructField(c, T.ArrayType(T.StringType())) for c in ("_words", "_own")]
-    wanting = docs.mapInArrow(_wanting(text_at), T.StructType([*docs.schema.fields, *lists]))
-    wanting = cut(wanting.withColumn("_row", F.monotonically_increasing_id()), "wanting")
-    own = wanting.select("_row", F.explode("_words").alias("word")).join(ranked_words(docs, wanting.select(F.explode("_own").alias("word"))), "word")
-    own = own.groupBy("_row").agg(F.collect_list(F.struct("word", "rank")).alias("_ranks"))
-    joined = wanting.join(own, "_row", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_ranks")
-    return docs.mapInArrow(run(None), schema).union(joined.mapInArrow(run(None), schema))
-
-
-def _scan(sent, least: float, text_at: int):
+    words, own, row, last = (free_name(docs.columns, c) for c in ("_words", "_own", "_row", "_ranks"))
+    lists = [T.StructField(c, T.ArrayType(T.StringType())) for c in (words, own)]
+    wanting = docs.mapInArrow(_wanting(text_at, [words, own]), T.StructType([*docs.schema.fields, *lists]))
+    wanting = cut(wanting.withColumn(row, F.monotonically_increasing_id()), "wanting")
+    ranked = ranked_words(docs, wanting.select(F.explode(own).alias("word")))
+    given = wanting.select(F.col(row).alias("row"), F.explode(words).alias("word")).join(ranked, "word")
+    given = cut(given.groupBy("row").agg(F.collect_list(F.struct("word", "rank")).alias(last)).withColumnRenamed("row", row), "ranks")
+    joined = wanting.join(given, row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], last)
+    return docs.mapInArrow(run(None, False), schema).union(joined.mapInArrow(run(None, True), schema))
+
+
+def _scan(sent, brings: bool, least: float, text_at: int, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        for part, spans in _found(sent and sent.value, least, text_at, batches):
+        for part, spans in _found(sent and sent.value, brings, least, text_at, batches):
             rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans.get(i, ())] for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(kind))], [*part.schema.names, "_spans"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(kind))], [*part.schema.names, into])
 
     return run
 
 
-def find_secrets(docs: DataFrame, least: float = 9.0, ranks: dict[str, int] | None = None) -> DataFrame:
-    """The rows of ``docs`` (which needs a ``text`` column) with ``_spans``: array of (kind, start, end), by start and kind."""
+def find_secrets(docs: DataFrame, least: float = 9.0, ranks: dict[str, int] | None = None, into: str = "_spans") -> DataFrame:
+    """The rows of ``docs`` (which needs a ``text`` column) with ``into``: array of (kind, start, end), by start and kind."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower()])
     kind = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     text_at = docs.columns.index("text")
-    return _scanned(docs, lambda sent: _scan(sent, least, text_at), T.StructType([*docs.schema.fields, T.StructField("_spans", T.ArrayType(kind))]), ranks)
+    return _scanned(docs, lambda sent, brings: _scan(sent, brings, least, text_at, into), T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(kind))]), ranks)
 
 
-def _redact(sent, least: float, text_at: int, mark: str):
+def _redact(sent, brings: bool, least: float, text_at: int, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, spans in _found(sent and sent.value, least, text_at, batches):
+        for part, spans in _found(sent and sent.value, brings, least, text_at, batches):
             if spans:
                 texts = part.column(text_at).to_pylist()
                 for i, own in spans.items():
@@ -370,4 +359,4 @@ def _redact(sent, least: float, text_at: int, mark: str):
 def redacted(docs: DataFrame, mark: str = "[SECRET]", least: float = 9.0, ranks: dict[str, int] | None = None) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark`` (overlapping spans by one)."""
     text_at = docs.columns.index("text")
-    return _scanned(docs, lambda sent: _redact(sent, least, text_at, mark), docs.schema, ranks)
+    return _scanned(docs, lambda sent, brings: _redact(sent, brings, least, text_at, mark), docs.schema, ranks)

@@ -9,21 +9,25 @@ prefix is a bucket if it fits and its parent does not.  Cells that still do
 not fit are opened again, alone, with as many bits more.
 
 What no bit can split (rows with one and the same id, or 60 equal bits) is an
-overflow chain: runs of rows, in order of size and text hash, that each fit.  A
-single document over the limit has a shard of its own: it cannot be split.
-
-Defined results: null texts have no bytes; a null id has the address of the
-empty string; an empty table has no shard; other columns are ignored.
+overflow chain: runs of rows, in order of size and text hash, that each fit.  The
+chains' running sums are made over ranges of all their rows, so that an id with
+a third of all rows is no single task's work.  A single document over the limit
+has a shard of its own: it cannot be split.
+
+Defined results: null texts have no bytes; a very long text over the limit is a
+shard; a null id has the address of the empty string; repeated rows are rows of
+one chain, if their bucket does not fit; an empty table has no shard; other
+columns are ignored (kept as they are by ``write_shards``), whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, free_name, running
 
 ADDRESS_BITS = 60
 
@@ -54,10 +58,15 @@ def _levels(cells: DataFrame, bits: int, least: int, limit: int) -> tuple[list[D
     return found, parents
 
 
-def shards(docs: DataFrame, limit: int = 16 << 20, cell_bits: int = 6) -> DataFrame:
-    """doc_id, n_bytes, depth, prefix, link (place in an overflow chain, else 0), shard (text), shard_bytes: one row for each row."""
+def shards(docs: DataFrame, limit: int = 16 << 20, cell_bits: int = 6, row: str | None = None) -> DataFrame:
+    """row, doc_id, n_bytes, depth, prefix, link (place in an overflow chain, else 0), shard (text), shard_bytes: one row for each row.
+
+    row: a column of unique numbers, if ``docs`` has one.
+    """
     text = F.col("text").cast("string")
-    rows = cut(docs.select("doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), address(F.col("doc_id")).alias("address"), F.xxhash64(text).alias("hash")), "addresses")
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    sized = docs.select(number.alias("row"), "doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), address(F.col("doc_id")).alias("address"), F.md5(text.cast("binary")).alias("hash"))
+    rows = cut(sized, "addresses")
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = min(ADDRESS_BITS, max(1, -(-total // limit)).bit_length() + cell_bits)
     cells = cut(rows.groupBy(_prefix(bits).alias("prefix")).agg(F.sum("n_bytes").alias("bytes")), "cells")
@@ -72,18 +81,31 @@ def shards(docs: DataFrame, limit: int = 16 << 20, cell_bits: int = 6) -> DataFr
     # The depth at which an address stops: of the few depths there are, the one whose prefix is in the directory.
     depths = [r[0] for r in directory.select("depth").distinct().orderBy("depth").collect()]  # at most 61
     tried = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths])) if depths else F.explode(F.expr("cast(array() as array<struct<depth: int, prefix: bigint>>)"))
-    placed = rows.select("doc_id", "n_bytes", "hash", tried.alias("at")).select("doc_id", "n_bytes", "hash", "at.*").join(directory, ["depth", "prefix"])
+    own = ["row", "doc_id", "n_bytes", "hash"]
+    placed = rows.select(*own, tried.alias("at")).select(*own, "at.*").join(directory, ["depth", "prefix"])
 
     fits = placed.where(F.col("bytes") <= limit).withColumn("link", F.lit(0).cast("long")).withColumnRenamed("bytes", "shard_bytes")
-    chain = Window.partitionBy("depth", "prefix")
-    before = chain.orderBy("n_bytes", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    chain = ["depth", "prefix"]
     rest = placed.where(F.col("bytes") > limit)
     single = F.col("n_bytes") * 2 > limit  # such rows have a link each
-    rest = rest.withColumn("largest", F.max(F.when(~single, F.col("n_bytes"))).over(chain)).withColumn("sum", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)))
-    rest = rest.withColumn("number", F.row_number().over(chain.orderBy("n_bytes", "hash")))
+    summed = cut(running(rest, [F.col(c) for c in (*chain, "n_bytes", "hash", "row")], sum=F.col("n_bytes"), number=F.lit(1).cast("long")), "chains")
+    of = summed.groupBy(*chain).agg(F.max(F.when(~single, F.col("n_bytes"))).alias("largest"), F.min("sum").alias("sum0"), F.min("number").alias("number0"))
+    rest = summed.join(of, chain)
     # rows that start within one stretch of (limit - largest) bytes end within limit bytes
-    link = F.when(single, -F.col("number").cast("long")).otherwise(F.floor(F.col("sum") / (F.lit(limit) - F.coalesce("largest", F.lit(0)))))
-    rest = rest.withColumn("link", link).withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("depth", "prefix", "link")))
+    stretch = F.floor((F.col("sum") - F.col("sum0")) / (F.lit(limit) - F.coalesce("largest", F.lit(0))))
+    rest = rest.withColumn("link", F.when(single, -(F.col("number") - F.col("number0") + 1)).otherwise(stretch))
+    rest = rest.join(rest.groupBy(*chain, "link").agg(F.sum("n_bytes").alias("shard_bytes")), [*chain, "link"])
     both = fits.unionByName(rest.select(fits.columns))
     bits_text = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr(f"right(lpad(conv(cast(prefix as string), 10, 2), {ADDRESS_BITS}, '0'), depth)"))
-    return both.select("doc_id", "n_bytes", "depth", "prefix", "link", F.concat(bits_text, F.when(F.col("link") != 0, F.concat(F.lit("+"), F.abs("link").cast("string"))).otherwise("")).alias("shard"), "shard_bytes")
+    return both.select("row", "doc_id", "n_bytes", "depth", "prefix", "link", F.concat(bits_text, F.when(F.col("link") != 0, F.concat(F.lit("+"), F.abs("link").cast("string"))).otherwise("")).alias("shard"), "shard_bytes")
+
+
+def write_shards(docs: DataFrame, path: str, **options) -> DataFrame:
+    """Writes ``docs``, all columns, as Parquet with a folder ``shard=...`` for each shard; returns what ``shards`` says of its rows."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    base = cut(docs.select(own, F.monotonically_increasing_id().alias("row")), "documents")
+    found = cut(shards(base.select("row", F.col("own")["doc_id"].alias("doc_id"), F.col("own")["text"].alias("text")), row="row", **options), "shards")
+    name = free_name(docs.columns, "shard")
+    rows = base.join(found.select("row", "shard"), "row").select("own.*", F.concat(F.lit("s"), "shard").alias(name))
+    rows.repartition(name).write.partitionBy(name).parquet(path)
+    return found

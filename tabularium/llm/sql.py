@@ -38,7 +38,7 @@ lines AS (
         list_filter(regexp_split_to_array(lower(x), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w
     FROM (SELECT row, host, unnest(string_split(text, chr(10))) AS x FROM texts)
     WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
-common AS (SELECT host, w FROM lines GROUP BY ALL HAVING count(DISTINCT row) > 20),
+common AS (SELECT host, w FROM lines JOIN texts USING (row, host) GROUP BY ALL HAVING count(DISTINCT coalesce(doc_id::VARCHAR, 'row ' || row)) > 20),
 removed AS (SELECT row, sum(len(l.w)) AS n FROM lines l JOIN common c ON c.host = l.host AND c.w = l.w GROUP BY row),
 dups AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY row),
 figures AS (
@@ -68,14 +68,26 @@ FROM pairs QUALIFY rank <= 10
 
 SHARDS = r"""
 WITH rows AS (
-    SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+    SELECT row_number() OVER () AS row, doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes, md5(text) AS hash,
         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS address
     FROM documents),
 levels AS (SELECT *, address >> (60 - depth) AS prefix FROM rows, (SELECT unnest(range(0, 61))::INTEGER AS depth)),
-sums AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes FROM levels GROUP BY ALL)
-SELECT l.doc_id, l.n_bytes, l.depth, l.prefix,
-    CASE WHEN l.depth = 0 THEN '' ELSE right(lpad(bin(l.prefix), 60, '0'), l.depth) END AS shard, s.shard_bytes
-FROM levels l JOIN sums s USING (depth, prefix)
-WHERE s.shard_bytes <= 16777216
-QUALIFY row_number() OVER (PARTITION BY l.doc_id ORDER BY l.depth) = 1
+sums AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS bytes FROM levels GROUP BY ALL),
+placed AS (
+    SELECT l.*, s.bytes FROM levels l JOIN sums s USING (depth, prefix)
+    WHERE s.bytes <= {limit} OR l.depth = 60
+    QUALIFY row_number() OVER (PARTITION BY l.row ORDER BY l.depth) = 1),
+chains AS (
+    SELECT *, row_number() OVER c AS number, coalesce(sum(n_bytes) OVER (c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        coalesce(max(CASE WHEN 2 * n_bytes <= {limit} THEN n_bytes END) OVER (PARTITION BY prefix), 0) AS largest
+    FROM placed WHERE bytes > {limit} WINDOW c AS (PARTITION BY prefix ORDER BY n_bytes, hash NULLS FIRST, row)),
+linked AS (
+    SELECT doc_id, n_bytes, depth, prefix, 0 AS link, bytes AS shard_bytes FROM placed WHERE bytes <= {limit}
+    UNION ALL
+    SELECT doc_id, n_bytes, depth, prefix, link, sum(n_bytes) OVER (PARTITION BY prefix, link) FROM (
+        SELECT *, CASE WHEN 2 * n_bytes > {limit} THEN -number ELSE before // ({limit} - largest) END AS link FROM chains))
+SELECT doc_id, n_bytes, depth, prefix,
+    CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 60, '0'), depth) END || CASE WHEN link <> 0 THEN '+' || abs(link) ELSE '' END AS shard,
+    shard_bytes::BIGINT AS shard_bytes
+FROM linked
 """

@@ -12,7 +12,10 @@ partition and attempt; the manifest that comes back lists only files of tasks
 that succeeded, so a lost executor or a second attempt leaves no wrong data.
 
 Defined results: rows are in ascending order of doc_id (nulls first; equal ids
-by the text's hash); a null or empty text is its end id.
+by the text's hash); a null or empty text is its end id; a very long text is
+written and read in pieces of ``_READ`` ids; an id that needs more bits than the
+vocabulary's is an error; an empty table has no files and no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import cut, new_path, ship_package
-from .tokens import token_bytes
+from .tokens import id_bits, token_bytes
 
 MAGIC = b"TBP1"
+_READ = 1 << 18  # ids that a task reads at a time
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {ids.max()} needs more than {bits} bits")
     shifts = np.arange(bits - 1, -1, -1, dtype=np.uint32)
     return np.packbits(((ids.astype(np.uint32)[:, None] >> shifts) & np.uint32(1)).astype(np.uint8).ravel()).tobytes() if bits != 16 else ids.astype(">u2").tobytes()
 
@@ -133,11 +139,11 @@ def _write(uri: str, tokenizer: str, end_id: int, bits: int, block: int):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int = 49_408, block: int = 1 << 14) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, block: int = 1 << 14) -> DataFrame:
     """Files of all texts' ids in ascending doc_id order; returns the manifest part, file, n_ids, n_rows, start."""
     spark = docs.sparkSession
     ship_package(spark)
-    bits = max(1, (vocabulary - 1).bit_length())
+    bits = max(id_bits(tokenizer), int(end_id).bit_length())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     parts = cut(ordered.mapInArrow(_write(new_path(spark, "tokens"), tokenizer, end_id, bits, block), "part long, file string, n_ids long, n_rows long"), "manifest")
@@ -152,21 +158,29 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             where, path = fs.FileSystem.from_uri(file)
             with where.open_input_file(path) as source:
                 reader = Reader(source)
-                for a in range(0, len(reader.rows), 2000):
-                    b = min(a + 2000, len(reader.rows))
-                    lo = reader.starts[a]
-                    raw = reader.ids(int(lo), int(reader.starts[b])).astype("<u4").tobytes()
-                    at = (4 * (reader.starts[a : b + 1] - lo)).tolist()
-                    rows = reader.rows[a:b]
+                a = 0
+                while a < len(reader.rows):
+                    # the rows of at most _READ ids, or a longer one by itself, piece by piece
+                    b = max(a + 1, int(np.searchsorted(reader.starts, reader.starts[a] + _READ, "right")) - 1)
+                    rows, lo, hi = reader.rows[a:b], int(reader.starts[a]), int(reader.starts[b])
+                    if b == a + 1:
+                        sums = [0]
+                        for x in range(lo, hi, _READ):
+                            sums[0] = zlib.crc32(reader.ids(x, min(x + _READ, hi)).astype("<u4").tobytes(), sums[0])
+                    else:
+                        raw = reader.ids(lo, hi).astype("<u4").tobytes()
+                        at = (4 * (reader.starts[a : b + 1] - lo)).tolist()
+                        sums = [zlib.crc32(raw[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(rows, mask=rows == np.iinfo(np.int64).min),
                             pa.array(start + reader.starts[a:b]),
                             pa.array(reader.sizes[a:b]),
-                            pa.array([zlib.crc32(raw[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.int64()),
+                            pa.array(sums, pa.int64()),
                         ],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
+                    a = b
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

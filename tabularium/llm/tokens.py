@@ -7,11 +7,14 @@ whole slices at once: fewer different words, the same ids.  Each different word
 of a slice is looked up once; a task keeps the ids of words it has met (beyond
 ``_MOST_WORDS`` it starts anew) and asks the library for new ones: its model
 for those of letters alone, which its splitter leaves whole.  Texts with "<|",
-which may be special, are encoded whole.  A test compares this with the library.
+which may be special, are encoded whole.  All this holds for one kind of
+normaliser and splitter (``_NORMALIZER``, ``_SPLITTER``); with any other, every
+text is encoded whole by the library.  A test compares both with the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -36,13 +39,36 @@ def _byte_letters() -> list[str]:
     return [chr(i if i in own else next(rest)) for i in range(256)]
 
 
+# The parts of a tokenizer file for which words may be looked up one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(path: str) -> bool:
+    """Whether the words of a text have the same ids alone as within it."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    return parts["normalizer"] == _NORMALIZER and parts["pre_tokenizer"] == _SPLITTER and not parts["post_processor"] and all(t["content"].startswith("<|") for t in parts["added_tokens"])
+
+
+def id_bits(path: str) -> int:
+    """Bits that the largest id of the file's vocabulary needs."""
+    return max(1, max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0).bit_length())
+
+
 class _Ids(dict):
     """Word (UTF-8) -> its ids as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def whole(self, text: str) -> bytes:
@@ -104,7 +130,7 @@ def token_bytes(texts: pa.Array, path: str) -> Iterator[bytes]:
     ids = kept(("tokens", path), lambda: _Ids(path))
     for a, b, data, offsets in slices(texts):
         raw = data.tobytes()
-        if b"<|" in raw:
+        if b"<|" in raw or not ids.by_words:
             at = offsets.tolist()
             yield from (ids.whole(raw[x:y].decode()) for x, y in zip(at[:-1], at[1:], strict=True))
             continue

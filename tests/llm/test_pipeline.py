@@ -6,7 +6,7 @@ import pytest
 pytest.importorskip("corpus_pipeline")
 
 import corpus_pipeline  # noqa: E402
-from conftest_llm import DOCUMENT  # noqa: E402
+from conftest_llm import DOCUMENT, documents  # noqa: E402
 
 from tabularium.llm import fm, minhash  # noqa: E402
 from tabularium.llm.queries import QUERIES, SQL  # noqa: E402
@@ -70,3 +70,26 @@ def test_accepted_is_what_is_not_predicted(spark, folder):
 def test_dedup_keeps_one_of_each_group(spark, folder):
     found = minhash.near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
     assert found.where("kept").count() == found.select("component_id").distinct().count() == 240
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_odd_rows_empty_tables_and_clashing_columns(spark, folder, odd_rows, some):
+    names = ["_row", "_taken", "_parts", "_size", "_spans", "_words", "row", "item", "kept", "score"]
+    rows = (list(odd_rows) + [(20, "near copy one two three four five six seven eight nine ten"), (21, "near copy one two three four five six seven eight nine ten")]) if some else []
+    docs = documents(spark, rows, names)
+    labels = {r["doc_id"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    assert labels
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, folder)
+        if name != "best_fit_pack":
+            assert found.columns == docs.columns and found.schema == docs.schema
+            assert all(r[c] == "x" for r in found.collect() for c in names)
+        texts = sorted([(r["doc_id"], r["text"]) for r in found.collect()], key=str) if name != "best_fit_pack" else None
+        if name == "near_dedup" and some:
+            assert [t[0] for t in texts if t[0] == 4] == [4] and 21 not in [t[0] for t in texts] and len([t for t in texts if t[0] is None]) == 1
+            assert {1, 2, 3, 6, 7, 8, 9} <= {t[0] for t in texts if t[0] is not None} | {9}
+        if name == "mix_sources":
+            assert all(t[1] and t[1].split() for t in texts)
+        if name == "best_fit_pack":
+            assert (found.count() > 0) == some
+        docs = found

@@ -121,8 +121,11 @@ def test_cost_alone_decides_what_is_a_guess(spark):
 
 def test_word_list_counts_all_texts(spark, odd_rows):
     rows = [(i, "winter winter Winter, dragon dragon the") for i in range(30)] + list(odd_rows)
-    assert list(secrets.word_ranks(documents(spark, rows), 3)) == ["word", "winter", "dragon"]
-    assert secrets.word_ranks(documents(spark, [])) == {}
+    own = spark.createDataFrame([("dragon",)], "word string")
+    ranked = lambda docs: [r["word"] for r in sorted(secrets.ranked_words(docs, own).collect(), key=lambda r: r["rank"])]
+    assert ranked(documents(spark, rows))[:4] == ["word", "winter", "dragon", "the"]
+    assert ranked(documents(spark, [])) == []
+    assert [r["rank"] for r in secrets.ranked_words(documents(spark, rows), own).orderBy("rank").collect()][:3] == [1, 2, 3]
     assert run(spark, []).collect() == []
 
 
@@ -152,3 +155,12 @@ def test_rows_side_by_side_do_not_hide_each_other():
         rows = ["".join(rng.choice(parts) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(1, 8))]
         for _, _, data, offsets in slices(pa.array(rows)):
             assert {i for i, r in enumerate(rows) if secrets.scan(r, {}, 9.0)} <= set(secrets._suspects(data, offsets).tolist())
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["_row", "_words", "_own", "_ranks", "row", "ranks", "word", "rank", "_spans"]
+    docs = documents(spark, list(enumerate(TEXTS)), names)
+    masked = secrets.redacted(docs)
+    assert masked.columns == docs.columns and all(r[c] == "x" for r in masked.collect() for c in names)
+    found = secrets.find_secrets(docs)
+    assert found.columns == [*docs.columns[:-1], "_spans"] and found.where("size(_spans) > 0").count() > 4
