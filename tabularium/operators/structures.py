@@ -95,3 +95,20 @@ def header_lines(texts: DataFrame, key: str, text: str, hints: tuple[str, ...],
     """The first line of each text that holds ``least`` of the hints."""
     lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("line", "value")).where(T.words_present(F.col("value"), hints) >= least)
     return lines.groupBy(key).agg(F.min(F.struct("line", "value")).alias("z")).select(key, "z.*")
+
+
+KNOWN_FIELDS = ("candidate", "votes", "percent", "party", "district")
+
+
+def likely_header(cells: Column) -> Column:
+    """Whether two of the cells, equal ones included, are known field names."""
+    return F.size(F.filter(cells, lambda c: F.lower(c).isin(*KNOWN_FIELDS))) >= 2
+
+
+def best_header(headers: DataFrame, table: str, order: str, name: str, keywords: Sequence[str]) -> DataFrame:
+    """The header of each table that contains the first possible keyword; the earliest of several."""
+    low = F.lower(name)
+    rank = F.coalesce(*[F.when(F.contains(low, F.lit(k)), i) for i, k in enumerate(keywords)])
+    rest = F.struct(*[c for c in headers.columns if c != table])
+    best = headers.withColumn("_rank", rank).where("_rank is not null").groupBy(table).agg(F.min_by(rest, F.struct("_rank", order)).alias("_r"))
+    return best.select(table, "_r.*").select(headers.columns)

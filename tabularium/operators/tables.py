@@ -149,3 +149,10 @@ def merged_headers(rows: Sequence[Column]) -> Column:
     joined = F.arrays_zip(*[r.alias(f"h{i}") for i, r in enumerate(rows)])
     useful = lambda x: (F.coalesce(F.trim(x), F.lit("")) != "") & ~F.regexp_like(F.trim(x), F.lit(r"^\d+$"))
     return F.transform(joined, lambda z: F.array_join(F.filter(F.array(*[z[f"h{i}"] for i in range(len(rows))]), useful), " "))
+
+
+def missing_columns(rows: DataFrame, table: str, required: dict[str, Column]) -> DataFrame:
+    """table, n_rows, missing: the columns, of those required where their condition holds, that are blank in some row of a table."""
+    gone = {c: F.bool_or(need & F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))) for c, need in required.items()}
+    found = rows.groupBy(table).agg(F.count(F.lit(1)).alias("n_rows"), *[g.alias(c) for c, g in gone.items()])
+    return found.select(table, "n_rows", F.array_join(F.array_compact(F.array(*[F.when(F.col(c), c) for c in required])), ",").alias("missing"))
