@@ -151,15 +151,6 @@ def table_like_parts(spark, sf_dir):
 SQL_LIKE = "SELECT c_nationkey::BIGINT AS page_id, 2::BIGINT AS n_rows, count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY 1"
 
 
-def selector_discovery(spark, sf_dir):
-    return pages.selector_scores(pages.segments(_result_pages(spark, sf_dir)), ("panel", "card", "result"))
-
-
-SQL_SELECTORS = """
-WITH p AS (SELECT count(DISTINCT (c_nationkey, c_mktsegment)) AS n FROM customer)
-SELECT 'panel' AS selector, n, 5::INTEGER AS score FROM p WHERE n > 0 UNION ALL SELECT 'grid', n, 3 FROM p WHERE n > 0 UNION ALL SELECT 'card2', n, 5 FROM p WHERE n > 0"""
-
-
 def rooted_tree(spark, sf_dir):
     """Children of the root put above each page."""
     rooted = pages.with_root(pages.segments(_result_pages(spark, sf_dir)))
@@ -183,6 +174,5 @@ QUERIES = {
     "panels_of_tables": (panels_of_tables, SQL_PANELS),
     "panel_markup": (panel_markup, SQL_MARKUPS),
     "table_like_parts": (table_like_parts, SQL_LIKE),
-    "selector_discovery": (selector_discovery, SQL_SELECTORS),
     "rooted_tree": (rooted_tree, SQL_ROOTED),
 }

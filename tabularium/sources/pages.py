@@ -230,9 +230,11 @@ def with_root(found: DataFrame) -> DataFrame:
 
 
 def selector_scores(found: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """selector, n, score: classes of containers, 2 for each word they hold, 2 for children, 1 for a digit."""
-    parents = found.where("parent_idx is not null").select("page_id", F.col("parent_idx").alias("idx")).distinct().withColumn("_children", F.lit(2))
-    rows = found.where(F.col("tag").isin(*PANELS)).join(parents, ["page_id", "idx"], "left")
-    rows = rows.select(F.explode("classes").alias("selector"), F.coalesce("_children", F.lit(0)).alias("_children"), F.regexp_like("text", F.lit(r"\d")).cast("int").alias("_digit"))
-    hits = F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("selector"), w)))
-    return rows.withColumn("_score", 2 * hits + F.col("_children") + F.col("_digit")).groupBy("selector").agg(F.count(F.lit(1)).alias("n"), F.max("_score").alias("score"))
+    """selector, n, score: the classes together, and the id, of every div, with what speaks for its holding a table summed over all: 2 for each word in classes, id or text, 2 for two children or more, 1 for a digit."""
+    sizes = found.where("parent_idx is not null").groupBy("page_id", F.col("parent_idx").alias("idx")).agg(F.count(F.lit(1)).alias("_children"))
+    rows = found.where("tag = 'div'").join(sizes, ["page_id", "idx"], "left")
+    name, own, said = F.lower(F.array_join("classes", " ")), F.lower(F.coalesce(F.col("attrs")["id"], F.lit(""))), F.lower("text")
+    hits = F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(name, w) | F.contains(own, w) | F.contains(said, w)))
+    score = 2 * hits + F.when(F.coalesce("_children", F.lit(0)) >= 2, 2).otherwise(0) + F.regexp_like(said, F.lit(r"\d")).cast("int")
+    selectors = F.array_compact(F.array(F.when(F.size("classes") > 0, F.concat(F.lit("div."), F.array_join("classes", "."))), F.when(own != "", F.concat(F.lit("div#"), F.col("attrs")["id"]))))
+    return rows.select(F.explode(selectors).alias("selector"), score.alias("_score")).groupBy("selector").agg(F.count(F.lit(1)).alias("n"), F.sum("_score").alias("score"))
