@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,11 +103,10 @@ def signature(headers: Column) -> Column:
 
 
 def context_windows(text: Column, word: str, around: int = 30) -> Column:
-    """For each hit of the word, without overlap, up to ``around`` characters on both sides."""
-    parts = F.split(text, word)
-    n = F.size(parts)
-    piece = lambda i: F.concat(F.right(F.get(parts, i), F.lit(around)), F.lit(word), F.left(F.get(parts, i + 1), F.lit(around)))
-    return F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), piece)).otherwise(F.array().cast("array<string>"))
+    """For each hit of the word, whatever the case and overlapping ones too, the text from ``around`` characters before it to as many behind it."""
+    literal = re.sub(r"([^\w\s])", r"\\\1", word)
+    pattern = F.lit(rf"(?is)(?=({literal}.{{0,{around}}}))(?<=(^.{{0,{around - 1}}}|.{{{around}}}))")
+    return F.zip_with(F.regexp_extract_all(text, pattern, 2), F.regexp_extract_all(text, pattern, 1), lambda before, own: F.concat(before, own))
 
 
 def without_overlaps(spans: Column) -> Column:

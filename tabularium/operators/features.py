@@ -53,8 +53,8 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return parts.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p.x).alias("centroid"))
 
 
-def text_clusters(docs: DataFrame, key: str, text: str, k: int = 5, features: int = 1024, seed: int = 42) -> DataFrame:
-    """key, cluster, rank: TF-IDF over hashed words and k-means; rank 1 is nearest to its centre."""
+def text_clusters(docs: DataFrame, key: str, text: str, k: int = 5, features: int = 1024, seed: int = 42, nearest: int = 3) -> DataFrame:
+    """key, cluster, rank: TF-IDF over hashed words and k-means; the ``nearest`` rows to each centre, of which Spark keeps as many in each task before the shuffle."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover
@@ -70,7 +70,7 @@ def text_clusters(docs: DataFrame, key: str, text: str, k: int = 5, features: in
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.stages[-1].clusterCenters())], "cluster int, centre array<double>")
     found = model.transform(rows).select(key, "cluster", vector_to_array("_x").alias("_v")).join(centres, "cluster")
     gap = F.aggregate(F.zip_with("_v", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return found.withColumn("_d", gap).withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("_d", key))).select(key, "cluster", "rank")
+    return found.withColumn("_d", gap).withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("_d", key))).where(F.col("rank") <= nearest).select(key, "cluster", "rank")
 
 
 def isolation_scores(rows: DataFrame, key: str, columns: list[str], trees: int = 64, sample: int = 256, seed: int = 7) -> DataFrame:
@@ -116,21 +116,29 @@ def isolation_scores(rows: DataFrame, key: str, columns: list[str], trees: int =
 
 
 def density_noise(rows: DataFrame, key: str, columns: list[str], radius: float, least: int = 2) -> DataFrame:
-    """key, n_near, noise: rows with fewer than ``least`` rows (themselves included) within ``radius`` that are near no such core either.
+    """key, core, noise: core rows have ``least`` rows (themselves included) within ``radius``; noise is what no core row is that near to.
 
-    Rows are counted per distinct point first; points meet only in the same or a neighbouring cell of a grid of that width.
+    Rows are counted per distinct point first.  Points lie in cells whose diagonal is the
+    radius: all of a cell with ``least`` rows are core, and none of them is compared with
+    its like.  Only points of thinner cells meet those of the cells around, so a point of a
+    dense cell meets ``least`` - 1 of each cell at most.
     """
-    points = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    cell = [F.floor(F.col(c) / radius) for c in columns]
-    points = points.withColumn("_cell", F.array(*cell))
-    around = F.array(*[F.array(*[c + F.lit(d) for c, d in zip(cell, step, strict=True)]) for step in product((-1, 0, 1), repeat=len(columns))])
-    other = points.select(*[F.col(c).alias(f"_{c}") for c in columns], F.col("_n").alias("_m"), F.explode(around).alias("_cell"))
+    side, reach = radius / len(columns) ** 0.5, int(np.ceil(len(columns) ** 0.5))
+    points = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", F.array(*[F.floor(F.col(c) / side) for c in columns]))
+    dense = points.groupBy("_cell").agg((F.sum("_n") >= least).alias("_dense"))
+    points = points.join(dense, "_cell")
+    around = F.array(*[F.array(*[F.get("_cell", F.lit(i)) + F.lit(d) for i, d in enumerate(step)]) for step in product(range(-reach, reach + 1), repeat=len(columns))])
+    thin = points.where("not _dense").select(*columns, F.explode(around).alias("_cell"))
+    other = points.select(*[F.col(c).alias(f"_{c}") for c in columns], F.col("_n").alias("_m"), "_cell", "_dense")
     gap = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in columns), F.lit(0.0))
-    near = points.join(other, "_cell").where(gap <= radius * radius)
-    size = near.groupBy(*columns).agg(F.sum("_m").alias("n_near"))
-    core = size.where(F.col("n_near") >= least).select(*[F.col(c).alias(f"_{c}") for c in columns])
-    kept = near.join(core, [f"_{c}" for c in columns], "left_semi").select(*columns).distinct().withColumn("noise", F.lit(False))
-    return rows.join(size, columns).join(kept, columns, "left").select(key, "n_near", F.coalesce("noise", F.lit(True)).alias("noise"))
+    near = thin.join(other, "_cell").where(gap <= radius * radius)
+    size = near.groupBy(*columns).agg(F.sum("_m").alias("_near"))
+    cores = size.where(F.col("_near") >= least).select(*[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_core"))
+    beside = near.join(cores, [f"_{c}" for c in columns], "left").groupBy(*columns).agg(F.max(F.coalesce("_core", F.lit(False)) | F.col("_dense")).alias("_beside"), F.sum("_m").alias("_near"))
+    told = points.select(*columns, "_dense").join(beside, columns, "left")
+    core = F.col("_dense") | F.coalesce(F.col("_near") >= least, F.lit(False))
+    told = told.select(*columns, core.alias("core"), (~core & ~F.coalesce("_beside", F.lit(False))).alias("noise"))
+    return rows.join(told, columns).select(key, "core", "noise")
 
 
 def projected(rows: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:

@@ -102,12 +102,12 @@ def already_downloaded(spark, sf_dir):
     have = line.where("l_returnflag = 'A' and l_quantity > 49").select("l_partkey").distinct()
     by_key = part.join(have, F.col("p_partkey") == F.col("l_partkey"), "left_semi")
     by_name = part.join(by_key.select("p_name", "p_type").distinct(), ["p_name", "p_type"], "left_semi")
-    return by_key.select("p_partkey").union(by_name.where("p_size = 1").select("p_partkey")).distinct()
+    return by_key.select("p_partkey").union(by_name.select("p_partkey")).distinct()
 
 
 SQL_DOWNLOADED = """
 WITH k AS (SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 49))
-SELECT p_partkey FROM k UNION SELECT p_partkey FROM part WHERE p_size = 1 AND (p_name, p_type) IN (SELECT p_name, p_type FROM k)"""
+SELECT p_partkey FROM k UNION SELECT p_partkey FROM part WHERE (p_name, p_type) IN (SELECT p_name, p_type FROM k)"""
 
 
 def recognised_lines(spark, sf_dir):

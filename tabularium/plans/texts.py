@@ -124,9 +124,9 @@ def entity_context(spark, sf_dir):
 
 
 SQL_CONTEXT = """
-WITH p AS (SELECT doc_id, string_split(text, 'tion') AS p FROM documents),
-w AS (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM p)
-SELECT doc_id, (i - 1)::INTEGER AS hit, right(p[i], 30) || 'tion' || left(p[i + 1], 30) AS context FROM w"""
+WITH p AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS place FROM documents),
+h AS (SELECT doc_id, text, place FROM p WHERE lower(substr(text, place, 4)) = 'tion')
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INTEGER AS hit, substr(text, greatest(place - 30, 1), place + 34 - greatest(place - 30, 1)) AS context FROM h"""
 
 
 def keyphrase_match(spark, sf_dir):

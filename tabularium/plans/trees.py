@@ -113,14 +113,18 @@ def nearest_headings(spark, sf_dir):
 
 
 def _result_pages(spark, sf_dir):
-    """A page for each nation: a panel for each segment, with a heading, a grid of cards and a table of customers."""
+    """Pages of a nation's customers, some twenty to a page at any scale: a panel for each segment, with a heading, a grid of cards and a table."""
     ship_package(spark)
     (customer,) = read(spark, sf_dir, "customer")
     row = F.concat(F.lit("<tr><td>"), F.col("c_custkey").cast("string"), F.lit("</td></tr>"))
-    own = customer.groupBy("c_nationkey", "c_mktsegment").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
+    page = (F.col("c_nationkey").cast("bigint") * 1_000_000_000 + F.floor(F.col("c_custkey") / 500)).cast("bigint").alias("page_id")
+    own = customer.groupBy(page, "c_mktsegment").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
     grid = F.lit('<div class="grid card2"><p><b></b><span>1</span><a>x</a></p><p><span>2</span><a>y</a></p></div>')
     panel = F.concat(F.lit('<section class="panel"><h3>'), "c_mktsegment", F.lit("</h3>"), grid, F.lit("<table><tr><th>Key</th></tr>"), "rows", F.lit("</table></section>"))
-    return own.groupBy(F.col("c_nationkey").cast("bigint").alias("page_id")).agg(F.concat(F.lit("<html><body>"), F.array_join(F.array_sort(F.collect_list(panel)), ""), F.lit("</body></html>")).alias("html"))
+    return own.groupBy("page_id").agg(F.concat(F.lit("<html><body>"), F.array_join(F.array_sort(F.collect_list(panel)), ""), F.lit("</body></html>")).alias("html"))
+
+
+_PAGE = "(c_nationkey::BIGINT * 1000000000 + c_custkey // 500)"
 
 
 def panels_of_tables(spark, sf_dir):
@@ -129,7 +133,7 @@ def panels_of_tables(spark, sf_dir):
     return found.groupBy("page_id", "heading").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("panel_idx") < F.col("idx")).alias("inside"))
 
 
-SQL_PANELS = "SELECT c_nationkey::BIGINT AS page_id, c_mktsegment AS heading, 1::BIGINT AS n, true AS inside FROM customer GROUP BY ALL"
+SQL_PANELS = f"SELECT {_PAGE} AS page_id, c_mktsegment AS heading, 1::BIGINT AS n, true AS inside FROM customer GROUP BY ALL"
 
 
 def panel_markup(spark, sf_dir):
@@ -140,7 +144,7 @@ def panel_markup(spark, sf_dir):
     return cut.select("page_id", F.regexp_extract("html", "<h3>([^<]*)</h3>", 1).alias("heading"), (F.startswith("html", F.lit("<section")) & F.endswith("html", F.lit("</section>"))).alias("whole"), F.regexp_count("html", F.lit("<tr>")).alias("n_rows"))
 
 
-SQL_MARKUPS = "SELECT c_nationkey::BIGINT AS page_id, c_mktsegment AS heading, true AS whole, (count(*) + 1)::INTEGER AS n_rows FROM customer GROUP BY ALL"
+SQL_MARKUPS = f"SELECT {_PAGE} AS page_id, c_mktsegment AS heading, true AS whole, (count(*) + 1)::INTEGER AS n_rows FROM customer GROUP BY ALL"
 
 
 def table_like_parts(spark, sf_dir):
@@ -148,7 +152,7 @@ def table_like_parts(spark, sf_dir):
     return pages.table_like(pages.segments(_result_pages(spark, sf_dir))).groupBy("page_id", "n_rows").agg(F.count(F.lit(1)).alias("n"))
 
 
-SQL_LIKE = "SELECT c_nationkey::BIGINT AS page_id, 2::BIGINT AS n_rows, count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY 1"
+SQL_LIKE = f"SELECT {_PAGE} AS page_id, 2::BIGINT AS n_rows, count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY 1"
 
 
 def rooted_tree(spark, sf_dir):
@@ -157,7 +161,7 @@ def rooted_tree(spark, sf_dir):
     return rooted.groupBy("page_id").agg(F.count_if(F.col("parent_idx").isNull()).alias("roots"), F.count_if(F.col("tag") == "table").alias("tables"), F.min("idx").alias("first"))
 
 
-SQL_ROOTED = "SELECT c_nationkey::BIGINT AS page_id, 1::BIGINT AS roots, count(DISTINCT c_mktsegment) AS tables, 0::INTEGER AS first FROM customer GROUP BY 1"
+SQL_ROOTED = f"SELECT {_PAGE} AS page_id, 1::BIGINT AS roots, count(DISTINCT c_mktsegment) AS tables, 0::INTEGER AS first FROM customer GROUP BY 1"
 
 
 QUERIES = {

@@ -60,7 +60,7 @@ SQL_DBSCAN = """
 WITH p AS (SELECT c_custkey, c_acctbal / 10 AS x, c_nationkey * 2.0::DOUBLE AS y FROM customer),
 near AS (SELECT a.c_custkey AS k, b.c_custkey AS o FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9.0),
 size AS (SELECT k, count(*) AS n FROM near GROUP BY k)
-SELECT s.k AS c_custkey, s.n AS n_near, NOT bool_or(t.n >= 3) AS noise FROM size s JOIN near USING (k) JOIN size t ON t.k = near.o GROUP BY ALL"""
+SELECT s.k AS c_custkey, s.n >= 3 AS core, NOT bool_or(t.n >= 3) AS noise FROM size s JOIN near USING (k) JOIN size t ON t.k = near.o GROUP BY ALL"""
 
 
 def components(spark, sf_dir):

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tabularium.operators.tables import last_rows
+
 
 def alert_stream(spark: SparkSession, folder: str, schema: str | StructType, files_per_batch: int = 64) -> DataFrame:
     """New files of an append-only alert table."""
@@ -35,18 +37,23 @@ def append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def last_state(rows: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def last_state(rows: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
     """The result table of an aggregated stream once all that is there has been read.
 
-    Every batch writes the whole table under its own number, so a batch that is run again overwrites only itself.
+    Every batch writes the rows it has changed (update mode: the state of windows that the
+    watermark has passed is dropped) under its own number, so a batch that is run again
+    overwrites only itself; the last row of each key is the result.
     """
 
     written: list[int] = []
 
     def put(df: DataFrame, n: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/{n:09d}")
+        df.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/{n:09d}")
         written.append(n)
 
-    rows.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     spark = rows.sparkSession
-    return spark.read.schema(rows.schema).parquet(f"{path}/{written[-1]:09d}") if written else spark.createDataFrame([], rows.schema)
+    if not written:
+        return spark.createDataFrame([], rows.schema)
+    found = spark.read.parquet(*[f"{path}/{n:09d}" for n in sorted(set(written))])
+    return last_rows(found, keys, "_batch").drop("_batch").select(rows.columns)
