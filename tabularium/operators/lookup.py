@@ -74,3 +74,22 @@ def scored(rows: DataFrame, parts: Sequence[tuple[float, Column]], name: str = "
 
 def best_per_key(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def overridden(rows: DataFrame, text: str, hints: DataFrame, most: int = 1000) -> DataFrame:
+    """rows with ``module``: that of the first hint (ord, fragment, module) whose fragment the text holds; the hints are a list of bounded size (checked)."""
+    found = hints.orderBy("ord").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} hints")
+    table = F.array(*[F.struct(F.lit(r["fragment"]).alias("fragment"), F.lit(r["module"]).alias("module")) for r in found]) if found else F.expr("cast(array() as array<struct<fragment: string, module: string>>)")
+    return rows.withColumn("module", F.get(F.filter(table, lambda h: F.contains(F.col(text), h["fragment"])), F.lit(0))["module"])
+
+
+def first_source(keys: DataFrame, key: str, *sources: DataFrame) -> DataFrame:
+    """key, source, and the rows of the first source that has any of the key: each source is asked only for what the earlier ones lack."""
+    out, rest = None, keys
+    for i, source in enumerate(sources):
+        own = source.join(rest, key, "left_semi").withColumn("source", F.lit(i))
+        out = own if out is None else out.unionByName(own)
+        rest = rest.join(source.select(key).distinct(), key, "left_anti")
+    return out

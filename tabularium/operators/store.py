@@ -55,3 +55,16 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
         return []
     names = [s.getPath().getName() for s in fs.listStatus(where)]
     return [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+
+
+def write_fixed_csv(rows: DataFrame, folder: str, leading: Sequence[str]) -> None:
+    """CSV with the leading columns first and the others by name."""
+    rows.select(*[F.col(f"`{c}`") for c in (*leading, *sorted(c for c in rows.columns if c not in leading))]).write.option("header", True).option("escape", '"').csv(folder)
+
+
+def corrected(library: DataFrame, changes: DataFrame, key: str, count: str) -> DataFrame:
+    """The library (key, label, count) after corrections (key, action, label, into): 'edit' gives another label, 'merge' adds the count to the row ``into``, which and 'remove' take the row away."""
+    merged = library.select(key, F.col(count).cast("bigint").alias("_n")).join(changes.where("action = 'merge'").select(key, "into"), key).groupBy(F.col("into").alias(key)).agg(F.sum("_n").alias("_more"))
+    edits = changes.where("action = 'edit'").select(key, F.col("label").alias("_label"))
+    stays = library.join(changes.where("action <> 'edit'").select(key), key, "left_anti").join(edits, key, "left").join(merged, key, "left")
+    return stays.select(key, F.coalesce("_label", "label").alias("label"), (F.col(count).cast("bigint") + F.coalesce("_more", F.lit(0))).alias(count))

@@ -18,17 +18,48 @@ def listing(spark: SparkSession, folder: str, ending: str) -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash")).orderBy(F.desc("modified"), "path")
 
 
-def with_preamble(spark: SparkSession, path: str, words: tuple[str, ...], most: int = 10) -> DataFrame:
-    """A CSV file behind lines of notes: the header is the first of the leading lines that holds one of the words."""
-    head = spark.read.text(path).limit(most).collect()
-    lines = [r[0] for r in head]
-    at = next((i for i, x in enumerate(lines) if any(w in x.lower() for w in words)), 0)
-    header = [h.strip() for h in lines[at].split(",")] if lines else []
-    skipped = [x for x in lines[: at + 1]]
-    rows = spark.read.text(path).where(~F.col("value").isin(*skipped) if skipped else F.lit(True))
-    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(header))))
-    table = rows.select(cells.alias("r")).select(*[F.trim(F.col("r")[f"c{i}"]).alias(h) for i, h in enumerate(header)])
-    return table.where(F.exists(F.array(*[F.coalesce(F.col(f"`{h}`"), F.lit("")) for h in header]), lambda x: x != ""))
+def with_preamble(spark: SparkSession, path: str, words: tuple[str, ...], most: int = 10, most_columns: int = 5000) -> DataFrame:
+    """CSV files behind lines of notes, each file by itself: its header is the first of its leading lines that holds one of the words, else its first line; what stands above is skipped, whatever it says.
+
+    A line's place counts from the start of its file, in the file's first block, which is read in order by one task.
+    Cells that are empty, and columns that a file lacks, are null; rows without any value are dropped.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("first"), F.monotonically_increasing_id().alias("id"))
+    begun = lines.where("first").groupBy("file").agg(F.min("id").alias("id0"))
+    lines = lines.join(begun, "file").withColumn("place", F.when(F.col("first"), F.col("id") - F.col("id0")))
+    hit = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("value"), w))
+    head = lines.where(F.col("place") < most).groupBy("file").agg(F.min(F.when(hit, F.struct("place", "value"))).alias("named"), F.min(F.struct("place", "value")).alias("top"))
+    head = head.select("file", F.coalesce("named.place", "top.place").alias("at"), F.transform(F.split(F.coalesce("named.value", "top.value"), ","), lambda h: F.trim(h)).alias("names"))
+    places = head.select(F.posexplode("names").alias("i", "name")).groupBy("name").agg(F.min("i").alias("i")).orderBy("i", "name").limit(most_columns + 1).collect()
+    widest = head.agg(F.coalesce(F.max(F.size("names")), F.lit(1))).first()[0]
+    if len(places) > most_columns or widest > most_columns:
+        raise ValueError(f"more than {most_columns} columns")
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(widest)))
+    body = lines.join(head, "file").where("place is null or place > at").select("names", cells.alias("r"))
+    body = body.select("names", F.array(*[F.trim(F.col("r")[f"c{i}"]) for i in range(widest)]).alias("cells"))
+    cell = lambda name: F.get("cells", F.array_position("names", name).cast("int") - 1)
+    return body.where(F.exists("cells", lambda x: F.coalesce(x, F.lit("")) != "")).select(*[cell(r["name"]).alias(r["name"]) for r in places])
+
+
+# What columns of results are called, by the name they get.
+SYNONYMS = {"county": ("county", "jurisdiction", "parish"), "rep": ("rep", "republican", "gop"), "dem": ("dem", "democrat", "democratic"), "total": ("total", "total votes", "sum")}
+
+
+def interpreted(texts: DataFrame, key: str, text: str, needed: tuple[tuple[str, ...], ...] = (("county",), ("rep", "dem"))) -> DataFrame:
+    """key, row, values, error: delimited texts with the mark that their first lines have most of, headers by their synonyms; one row with an error where none of some needed columns is there."""
+    from tabularium.functions.text import delimiter
+
+    names = F.create_map(*[F.lit(x) for name, own in SYNONYMS.items() for word in own for x in (word, name)])
+    lines = texts.select(key, delimiter(F.col(text)).alias("mark"), F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    parts = lines.select(key, F.transform("lines", lambda x: F.transform(F.split(x, F.concat(F.lit("["), "mark", F.lit("]"))), lambda c: F.trim(c))).alias("rows"))
+    heads = parts.withColumn("headers", F.transform(F.get("rows", F.lit(0)), lambda h: F.coalesce(F.element_at(names, F.lower(h)), h)))
+    ok = F.lit(True)
+    for some in needed:
+        ok = ok & F.arrays_overlap("headers", F.array(*map(F.lit, some)))
+    wrong = heads.where(~ok).select(key, F.lit(None).cast("int").alias("row"), F.lit(None).cast("map<string, string>").alias("values"), F.lit("essential headers are missing").alias("error"))
+    body = heads.where(ok).select(key, "headers", F.posexplode(F.slice("rows", 2, 2_000_000)).alias("row", "cells"))
+    right = body.select(key, "row", F.map_from_entries(F.filter(F.transform("headers", lambda h, i: F.struct(h.alias("k"), F.coalesce(F.get("cells", i), F.lit("")).alias("v"))), lambda e, i: F.array_position("headers", e["k"]) == i + 1)).alias("values"))
+    return right.select(key, "row", "values", F.lit(None).cast("string").alias("error")).unionByName(wrong)
 
 
 def flat_tables(texts: DataFrame, key: str, text: str) -> DataFrame:
