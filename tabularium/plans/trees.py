@@ -8,6 +8,7 @@ from tabularium.operators import ordered
 from tabularium.session import ship_package
 from tabularium.sources import pages
 
+from . import extraction
 from .results import read
 
 
@@ -18,8 +19,23 @@ def _segments(spark, sf_dir):
 
 
 def dom_segments(spark, sf_dir):
-    """One row for each known tag of each page."""
-    return _segments(spark, sf_dir).select("page_id", "idx", "tag", "parent_idx", "depth", "start", "end", F.length("text").alias("n_chars"), "heading")
+    """Segments of pages made of customers, by tag and depth; whether each one's span is its markup from start tag to end tag."""
+    made = extraction.made_pages(spark, sf_dir)
+    found = pages.segments(made).join(made, "page_id")
+    own = F.expr("substring(html, start + 1, `end` - start)")
+    whole = F.startswith(own, F.concat(F.lit("<"), "tag")) & F.endswith(own, F.concat(F.lit("</"), "tag", F.lit(">"))) & (F.length(F.regexp_replace(own, "<[^>]*>", "")) >= F.length(F.regexp_replace("text", " ", "")))
+    return found.groupBy("page_id", "tag", "depth").agg(F.count(F.lit(1)).alias("n"), F.bool_and(whole).alias("whole"))
+
+
+#: Segments of each panel (page_id, seg, extra: 1 with a second header row, said: 1 with a share) by tag, depth and parent.
+_PARTS = """
+t AS (SELECT c_custkey // 20 AS page_id, c_mktsegment AS seg, count(*) AS n, ((c_custkey // 20) % 3 = 0)::INT AS extra, ((c_custkey // 20) % 2 = 0)::INT AS said FROM customer GROUP BY ALL),
+parts AS (
+    SELECT DISTINCT page_id, 'html' AS tag, 0::INTEGER AS depth, NULL AS above, 1::BIGINT AS n FROM t UNION ALL SELECT DISTINCT page_id, 'body', 1, 'html', 1 FROM t
+    UNION ALL SELECT page_id, 'section', 2, 'body', 1 FROM t UNION ALL SELECT page_id, 'h3', 3, 'section', 1 FROM t UNION ALL SELECT page_id, 'div', 3, 'section', 3 FROM t
+    UNION ALL SELECT page_id, 'p', 4, 'div', n + 2 + extra FROM t UNION ALL SELECT page_id, 'span', 5, 'p', 2 * (n + 2 + extra) FROM t UNION ALL SELECT page_id, 'table', 4, 'div', 1 FROM t
+    UNION ALL SELECT page_id, 'tr', 5, 'table', n + 1 FROM t UNION ALL SELECT page_id, 'th', 6, 'tr', 1 FROM t UNION ALL SELECT page_id, 'td', 6, 'tr', n FROM t UNION ALL SELECT page_id, 'span', 4, 'div', 1 FROM t WHERE said = 1)"""
+SQL_SEGMENTS = f"WITH {_PARTS} SELECT page_id, tag, depth, sum(n)::BIGINT AS n, true AS whole FROM parts GROUP BY ALL"
 
 
 def tag_counts(spark, sf_dir):
@@ -35,7 +51,12 @@ SELECT tag, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM tags GROUP BY
 
 
 def dom_parts(spark, sf_dir):
-    return pages.parts(_segments(spark, sf_dir)).groupBy("part", "tag", "direct_parent").agg(F.count(F.lit(1)).alias("n"))
+    found = pages.segments(extraction.made_pages(spark, sf_dir))
+    return pages.parts(found).groupBy("part", "tag", "direct_parent").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_PARTS = f"""WITH {_PARTS}
+SELECT CASE WHEN tag = 'h3' THEN 'heading' WHEN tag = 'table' THEN 'table' WHEN tag IN ('section', 'div') THEN 'panel' ELSE 'other' END AS part, tag, above AS direct_parent, sum(n)::BIGINT AS n FROM parts GROUP BY ALL"""
 
 
 def tree_faults(spark, sf_dir):
@@ -47,11 +68,21 @@ SQL_FAULTS = "SELECT page_id, 0::INTEGER AS idx FROM pages WHERE false"
 
 
 def subtree_span(spark, sf_dir):
-    return pages.subtree_spans(_segments(spark, sf_dir))
+    """How many segments each panel holds, itself included."""
+    found = pages.segments(extraction.made_pages(spark, sf_dir))
+    spans = pages.subtree_spans(found).join(found.where("tag = 'section'").select("page_id", "idx", F.col("start").alias("own_start"), F.col("end").alias("own_end")), ["page_id", "idx"])
+    return spans.select("page_id", "n_segments", ((F.col("start") == F.col("own_start")) & (F.col("end") == F.col("own_end"))).alias("same"))
+
+
+SQL_SPANS = f"WITH {_PARTS} SELECT page_id, (6 + 3 * (n + 2 + extra) + (n + 1) + 1 + n + said)::BIGINT AS n_segments, true AS same FROM t"
 
 
 def segment_labels(spark, sf_dir):
-    return pages.labelled(_segments(spark, sf_dir)).groupBy("page_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    return pages.labelled(pages.segments(extraction.made_pages(spark, sf_dir))).groupBy("page_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_LABELS = f"""WITH {_PARTS}
+SELECT page_id, CASE WHEN tag IN ('html', 'body') THEN 'ignore' WHEN tag = 'h3' THEN 'heading' WHEN tag IN ('section', 'div') THEN 'panel' WHEN tag = 'table' THEN 'results_table' ELSE 'unknown' END AS label, sum(n)::BIGINT AS n FROM parts GROUP BY ALL"""
 
 
 def list_tables(spark, sf_dir):
@@ -106,10 +137,13 @@ UNION ALL SELECT name, count(*), count(DISTINCT value), 'custom' FROM own WHERE
 
 
 def nearest_headings(spark, sf_dir):
-    """Paragraphs of each page with the last heading before them, by window."""
-    found = _segments(spark, sf_dir)
-    heading = F.when(F.col("tag").isin(*pages.HEADINGS), F.col("idx"))
-    return ordered.nearest_before(found, ["page_id"], "idx", heading, "heading_idx").where("tag = 'p'").groupBy("page_id", "heading_idx").agg(F.count(F.lit(1)).alias("n"))
+    """Paragraphs of each page by the last heading before them, by window."""
+    found = pages.segments(extraction.made_pages(spark, sf_dir))
+    heading = F.when(F.col("tag").isin(*pages.HEADINGS), F.col("text"))
+    return ordered.nearest_before(found, ["page_id"], "idx", heading, "near").where("tag = 'p'").groupBy("page_id", F.col("near").alias("heading")).agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_NEAREST = f"WITH {_PARTS} SELECT page_id, 'Ward ' || seg || CASE WHEN said = 1 THEN ' 80% Reported' ELSE '' END AS heading, (n + 2 + extra)::BIGINT AS n FROM t"
 
 
 def _result_pages(spark, sf_dir):
@@ -165,16 +199,16 @@ SQL_ROOTED = f"SELECT {_PAGE} AS page_id, 1::BIGINT AS roots, count(DISTINCT c_m
 
 
 QUERIES = {
-    "dom_segments": (dom_segments, None),
+    "dom_segments": (dom_segments, SQL_SEGMENTS),
     "tag_counts": (tag_counts, SQL_TAGS),
-    "dom_parts": (dom_parts, None),
+    "dom_parts": (dom_parts, SQL_PARTS),
     "tree_faults": (tree_faults, SQL_FAULTS),
-    "subtree_span": (subtree_span, None),
-    "segment_labels": (segment_labels, None),
+    "subtree_span": (subtree_span, SQL_SPANS),
+    "segment_labels": (segment_labels, SQL_LABELS),
     "list_tables": (list_tables, SQL_LISTS),
     "markup_tables": (markup_tables, SQL_MARKUP),
     "attribute_maps": (attribute_maps, SQL_ATTRS),
-    "nearest_headings": (nearest_headings, None),
+    "nearest_headings": (nearest_headings, SQL_NEAREST),
     "panels_of_tables": (panels_of_tables, SQL_PANELS),
     "panel_markup": (panel_markup, SQL_MARKUPS),
     "table_like_parts": (table_like_parts, SQL_LIKE),
