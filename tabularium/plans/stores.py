@@ -21,7 +21,7 @@ def csv_preamble(spark, sf_dir):
     notes = customer.select(F.concat("c_nationkey", F.lit("")).alias("file")).distinct().select("file", F.explode(F.array(F.struct(F.lit(-3).alias("ord"), F.lit("unofficial, 1, 2").alias("value")), F.struct(F.lit(-2).alias("ord"), F.lit("Precinct No,Segment,Nation").alias("value")))).alias("z")).select("file", "z.*")
     again = notes.where("ord = -3").select("file", F.lit(1 << 40).alias("ord"), "value")
     rows.unionByName(notes).unionByName(again).repartition("file").sortWithinPartitions("file", "ord").select("file", "value").write.partitionBy("file").text(f"{out}/t")
-    return files.with_preamble(spark, f"{out}/t/*/*.txt", ("precinct",))
+    return files.with_preamble(spark, f"{out}/t", ("precinct",))
 
 
 SQL_PREAMBLE = """
@@ -63,7 +63,7 @@ def file_listing(spark, sf_dir):
     nation, = read(spark, sf_dir, "nation")
     out = new_path(spark, "files")
     nation.select(F.col("n_regionkey").alias("r"), "n_name").repartition("r").write.partitionBy("r").text(f"{out}/t")
-    found = files.listing(spark, f"{out}/t/*", "txt")
+    found = files.listing(spark, f"{out}/t", "txt")
     return found.select(F.regexp_extract("path", "r=(\\d+)", 1).alias("region"), F.col("size").alias("n_bytes"), F.date_diff(F.current_date(), F.to_date("modified")).between(0, 1).alias("fresh")).groupBy("region").agg(F.sum("n_bytes").alias("n_bytes"), F.bool_and("fresh").alias("fresh"))
 
 
@@ -76,8 +76,8 @@ def written_results(spark, sf_dir):
     out = new_path(spark, "results")
     rows = orders.select(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("state"), F.substring("o_orderpriority", 1, 1).alias("race"), "o_orderkey", "o_totalprice")
     store.write_results(rows, out, ("state", "race"))
-    meta = spark.read.json(f"{out}/metadata").select("state", F.col("race").cast("string").alias("race"), "n_rows", "headers")
-    kept = spark.read.parquet(f"{out}/results").groupBy("state", F.col("race").cast("string").alias("race")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    meta = spark.read.schema("state string, race string, n_rows bigint, headers string").json(f"{out}/metadata")
+    kept = spark.read.schema("o_orderkey bigint, o_totalprice double, state string, race string").parquet(f"{out}/results").groupBy("state", "race").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
     return meta.join(kept, ["state", "race"])
 
 

@@ -71,11 +71,14 @@ def polled_alerts(spark, sf_dir):
     out = new_path(spark, "polled")
     given = _events(spark, sf_dir).where("event_type = 'signup'").select(F.col("event_id").alias("id"), "user_id")
 
+    seen = set()
+
     def act(df, n):
-        df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/table/{n}")
+        df.write.mode("overwrite").parquet(f"{out}/table/{n}")
+        seen.add(n)
 
     alerts.poll(given, act, f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/table/*").select("id", "user_id")
+    return spark.read.schema(given.schema).parquet(*[f"{out}/table/{n}" for n in sorted(seen)]) if seen else spark.createDataFrame([], given.schema)
 
 
 SQL_POLLED = "SELECT event_id AS id, user_id FROM events WHERE event_type = 'signup'"
