@@ -41,3 +41,11 @@ def test_odd_rows(spark):
     rows = [(0, one, 1), (0, one, 1), (50, nan, 1), (1, None, 1), (2, [1.0], 1), (None, one, 1), (3, [None] * 64, 1), (4, [-1.0] * 64, None)]
     assert run(spark, rows) == brute(rows, 10)
     assert run(spark, []) == [] and run(spark, [(0, one, 1)]) == []
+
+
+def test_segments_of_unequal_width(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)], 1) for i in range(250)]
+    for segments in (5, 7, None):
+        assert run(spark, rows, 4, segments=segments) == brute(rows, 4)
+

@@ -12,6 +12,7 @@ def brute(rows, most_docs=20):
     held = defaultdict(set)
     lines = []
     for n, r in enumerate(rows):
+        n = ("row", n) if r[0] is None else r[0]  # rows of one id are one document
         own = [x for x in (r[1] or "").split("\n") if W.search(x)]
         host = r[2] if len(r) > 2 else "s"
         keyed = [(host, tuple(W.findall(x.lower()))) for x in own]
@@ -46,3 +47,28 @@ def test_same_as_brute_force(spark, odd_rows):
 
 def test_empty_table(spark):
     assert run(documents(spark, [])) == []
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    line = "all rights are reserved by the owners of this host and its partners"
+    own = lambda i: "\n".join([line, *(" ".join(f"w{i}_{j}_{k}" for k in range(9)) for j in range(8))])
+    rows = [(1, own(1))] * 30 + [(2, own(2))] * 30 + [(100 + i, own(100 + i)) for i in range(18)]
+    assert run(documents(spark, rows)) == brute(rows) and all(r[7] and r[8] == r[1] for r in brute(rows))
+    more = rows + [(200, own(200))]
+    assert run(documents(spark, more)) == brute(more) and all(r[8] < r[1] for r in brute(more))
+
+
+def test_long_repeats_and_windows_beside_each_other(spark):
+    texts = ["a b c a b c", "x " * 5000, "a b c d e a b c d f a b c", "p q r " + "s t u " * 300 + "p q r", " ".join(f"w{i}" for i in range(3000)) + " w0 w1 w2"]
+    rows = list(enumerate(texts))
+    assert run(documents(spark, rows)) == brute(rows)
+
+
+def test_texts_without_common_lines(spark):
+    line = "Read more on our page today"
+    rows = [(i, f"{line}\nown {i} words of this text\n\n{line.upper()}" if i < 30 else f"{line}\n", f"h{i % 2}") for i in range(60)] + [(100, None), (101, "kept\nas it is")]
+    docs = documents(spark, rows, ["gone", "row", "lines"])
+    got = {r["doc_id"]: r["text"] for r in quality.without_common_lines(docs, 20, 0.3).collect()}
+    assert quality.without_common_lines(docs).columns == docs.columns
+    assert got == {**{i: f"own {i} words of this text\n" for i in range(30)}, 100: None, 101: "kept\nas it is"}
+

@@ -120,3 +120,69 @@ def test_shards(spark, odd_rows):
             parent = sum(r["n_bytes"] for r in got if r["depth"] >= depth and r["prefix"] >> (r["depth"] - depth + 1) == prefix >> 1)
             assert parent > 2000
     assert sharding.shards(documents(spark, [])).collect() == []
+
+
+def test_packed_sequences_hold_the_pieces(spark, whole):
+    rows = [(i, " ".join(f"word{i} {j}" for j in range(40 * (i % 7)))) for i in range(60)] + [(None, None)]
+    found = packing.sequences(documents(spark, rows, CLASHES), PATH, most=64, group=20).collect()
+    assert all(len(r["ids"]) == 4 * r["n_ids"] <= 256 for r in found)
+    joined = sorted(b for r in found for b in np.frombuffer(r["ids"], "<u4").tolist())
+    assert joined == sorted(x for _, t in rows for x in [*whole(t), 0])
+
+
+def test_small_bins_of_all_groups_meet(spark):
+    items = spark.range(4000).selectExpr("id as item", "1 + (id * 7919) % 1000 as length")
+    total = items.selectExpr("sum(length)").first()[0]
+    placed = packing.pack(items, 2048, group=100)
+    used = placed.join(items, "item").groupBy("bin").sum("length").collect()
+    assert all(r[1] <= 2048 for r in used) and sum(r[1] <= 1024 for r in used) <= 1
+    assert len(used) <= 1.01 * total / 2048 + 1
+
+
+def test_other_tokenizers_are_asked_for_whole_texts(tmp_path, whole):
+    import json
+
+    from tabularium.llm.tokens import by_words, id_bits
+
+    assert by_words(PATH) and id_bits(PATH) == 16
+    parts = json.load(open(PATH))
+    parts["normalizer"] = {"type": "NFC"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(parts))
+    tokenizer = Tokenizer.from_file(str(other))
+    assert not by_words(str(other))
+    for text, got in zip(ODD, token_bytes(pa.array(ODD), str(other)), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_that_do_not_fit_are_an_error():
+    with pytest.raises(ValueError):
+        tokenfile.pack_bits(np.array([3, 1 << 16], np.uint32), 16)
+
+
+def test_chains_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from tabularium.llm.sql import SHARDS
+
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randrange(400)) for i in range(200)] + [(7, "y" * rng.randrange(900)) for _ in range(60)] + [(None, "z" * rng.randrange(700)) for _ in range(30)] + [(500, "w" * 5000), (500, "w" * 5000), (501, None)]
+    docs = documents(spark, rows, ["shard", "row"])
+    docs.write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    want = sorted(con.execute(SHARDS.replace("{limit}", "1000")).fetchall(), key=str)
+    found = sharding.shards(spark.read.parquet(f"{tmp_path}/d"), 1000)
+    got = sorted([tuple(r) for r in found.select("doc_id", "n_bytes", "depth", "prefix", "shard", "shard_bytes").collect()], key=str)
+    assert got == want and {60, 7} < {r[2] for r in got}
+
+
+def test_written_shards_hold_all_rows(spark, tmp_path):
+    rows = [(i, "x" * (i % 50)) for i in range(300)] + [(7, "y" * 400)] * 5
+    docs = documents(spark, rows, ["shard", "row"])
+    said = sharding.write_shards(docs, f"{tmp_path}/out", limit=1000)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, back.select(docs.columns).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    sizes = back.groupBy("_shard").agg({"text": "count"}).collect()
+    assert {r[0][1:] for r in sizes} == {r["shard"] for r in said.collect()} and max(r["shard_bytes"] for r in said.collect()) <= 1000
+
