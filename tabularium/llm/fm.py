@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import dealt, ship_package
-from .textcore import _BASE, _INV, _VALUE, WS, _power, mix64, release, slices
+from .textcore import _BASE, _INV, _VALUE, WS, _power, mix64, release, slices, tidy
 
 PREFIXES = (3, 4, 5, 6)
 FACTORS = 4
@@ -95,7 +95,7 @@ def _features(bits: int):
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.astype(np.int32)))], ["doc_id", "label", "terms"]
                 )
 
-    return run
+    return tidy(run)
 
 
 def _statistic(cells: list[tuple[np.ndarray, np.ndarray]], share: float) -> np.ndarray:
@@ -211,7 +211,7 @@ def _fit(bits: int, width: int, pairs: int):
         flat = np.concatenate([[m["b"]], m["w"], m["v"].ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([m["places"].tolist()], pa.list_(pa.int64())), pa.array([flat.tolist()], pa.list_(pa.float64()))], ["places", "weights"])
 
-    return run
+    return tidy(run)
 
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = 20, width: int = 4096, pairs: int = 2048, train_rows: int = 12_000, modulus: int = 5) -> dict:
@@ -258,7 +258,7 @@ def _score(model: dict, modulus: int):
             test = [i is not None and zlib.crc32(str(i).encode()) % modulus == 0 for i in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(test, pa.bool_()), pa.array(found)], ["doc_id", "held_out", "score"])
 
-    return run
+    return tidy(run)
 
 
 def _keep(model: dict, text_at: int):
@@ -266,7 +266,7 @@ def _keep(model: dict, text_at: int):
         for part, found in _scored(model, batches, text_at):
             yield part.filter(pa.array(found < 0.5))
 
-    return run
+    return tidy(run)
 
 
 def score(docs: DataFrame, model: dict, modulus: int = 5) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import cut, dealt, let_go, ship_package
-from .textcore import list_array, mix64, release, shingles, slices, word_hashes
+from .textcore import list_array, mix64, release, shingles, slices, tidy, word_hashes
 
 _KEY = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(16)], np.uint64)
 
@@ -109,7 +109,7 @@ def _sketch(bands: int, rows: int, words: int):
                 )
                 row += b - a
 
-    return run
+    return tidy(run)
 
 
 def _sets(words: int):
@@ -129,7 +129,7 @@ def _sets(words: int):
                 out = pa.RecordBatch.from_arrays([nodes, list_array(sets.view(np.int64), at)], ["node", "shingles"])
                 yield out if len(keep) == b - a else out.take(pa.array(keep, pa.int32()))
 
-    return run
+    return tidy(run)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -201,7 +201,7 @@ def _search(percent: int):
             if found_a:
                 yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

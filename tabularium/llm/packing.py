@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .scratch import cut, ship_package
 from .scratch import dealt as spread
+from .textcore import tidy
 from .tokens import token_bytes
 
 
@@ -57,7 +58,7 @@ def _pieces(path: str, most: int, end_id: int):
                     [pa.array(rows), part.column(0).take(pa.array(index)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(held, pa.binary())], ["row", "doc_id", "piece", "start", "length", "ids"]
                 )
 
-    return run
+    return tidy(run)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .lookup import Lookup, write_table
 from .scratch import cut, dealt, new_path, ship_package
-from .textcore import LOWER, kept, mix64, release, slices, word_bounds, word_hashes
+from .textcore import LOWER, kept, mix64, release, slices, tidy, word_bounds, word_hashes
 
 END = 10
 END_WORD = np.uint64(0x0A0A0A0A0A0A0A0A)
@@ -134,7 +134,7 @@ def _count(order: int, modulus: int):
                 held[kind] = [_tally(held[kind])]
                 yield from out(kind)
 
-    return run
+    return tidy(run)
 
 
 class Trie:
@@ -271,7 +271,7 @@ def _built(order: int, low: list[tuple[np.ndarray, np.ndarray]]):
         if held:
             yield from out()
 
-    return run
+    return tidy(run)
 
 
 def _written(uri: str, sizes: dict[int, int]):
@@ -287,7 +287,7 @@ def _written(uri: str, sizes: dict[int, int]):
             write_table(folder, sizes[what], (pa.RecordBatch.from_arrays(list(b.columns[1 : 2 + len(kinds)]) if what >= 0 else [b.column(1), b.column(5)], ["key", *kinds]) for b in own), kinds)
             yield pa.RecordBatch.from_arrays([pa.array([what], pa.int32()), pa.array([folder])], ["what", "folder"])
 
-    return run
+    return tidy(run)
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
@@ -322,7 +322,7 @@ def _priced(order: int, low: list[tuple[np.ndarray, np.ndarray]]):
                 trie, held = _shard(now, top, low, order), []
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(trie.code_length(key.view(np.uint64)))], ["key", "cost"])
 
-    return run
+    return tidy(run)
 
 
 def _by_suffix(rows: DataFrame) -> DataFrame:
@@ -397,7 +397,7 @@ def _score(model: tuple, order: int, modulus: int, total: int, distinct: int, wh
                 )
                 number += rows
 
-    return run
+    return tidy(run)
 
 
 def _cutoff(sizes: DataFrame, most: int) -> int:

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import cut, dealt, free_name, running, ship_package
-from .textcore import release, slices
+from .textcore import release, slices, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -239,7 +239,7 @@ def own_words(text: str) -> list[str]:
 
 def _counts(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
-    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_words, "word string, n long")
+    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(_words), "word string, n long")
     return cut(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
@@ -299,7 +299,7 @@ def _wanting(text_at: int, names: list[str]):
                     kind = pa.list_(pa.string())
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words, kind), pa.array(own, kind)], [*part.schema.names, *names])
 
-    return run
+    return tidy(run)
 
 
 def _scanned(docs: DataFrame, run, schema: T.StructType, ranks: dict[str, int] | None) -> DataFrame:
@@ -327,7 +327,7 @@ def _scan(sent, brings: bool, least: float, text_at: int, into: str):
             rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans.get(i, ())] for i in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(kind))], [*part.schema.names, into])
 
-    return run
+    return tidy(run)
 
 
 def find_secrets(docs: DataFrame, least: float = 9.0, ranks: dict[str, int] | None = None, into: str = "_spans") -> DataFrame:
@@ -353,7 +353,7 @@ def _redact(sent, brings: bool, least: float, text_at: int, mark: str):
                 part = part.set_column(text_at, part.schema.field(text_at), pa.array(texts, part.schema.field(text_at).type))
             yield part
 
-    return run
+    return tidy(run)
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", least: float = 9.0, ranks: dict[str, int] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ carriage return); A-Z is lower-cased before hashing.  Nulls count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
@@ -51,14 +52,35 @@ _held: list[tuple[Hashable, Any]] = []
 def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     """What a worker process keeps between tasks, one thing at most: that of another key is let go first."""
     if not _held or _held[0][0] != key:
-        _held.clear()
+        release()
         _held.append((key, make()))
     return _held[0][1]
 
 
 def release() -> None:
     """For tasks that keep nothing: lets go what earlier ones of this process have kept."""
-    _held.clear()
+    if _held:
+        _held.clear()
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that is free within this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a worker process that stays for other tasks: it keeps no free memory at the end of one."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

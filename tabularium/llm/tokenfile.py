@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import cut, new_path, ship_package
+from .textcore import tidy
 from .tokens import id_bits, token_bytes
 
 MAGIC = b"TBP1"
@@ -136,7 +137,7 @@ def _write(uri: str, tokenizer: str, end_id: int, bits: int, block: int):
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "file": [f"{uri}/{name}"], "n_ids": [writer.total], "n_rows": [len(writer.rows)]})
 
-    return run
+    return tidy(run)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, block: int = 1 << 14) -> DataFrame:

@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 
 from .textcore import WS, kept, slices, span_hashes, word_bounds
 
-_MOST_WORDS = 400_000
+_MOST_WORDS = 200_000
 # a head that ends in a letter or digit, and ASCII marks behind it: no rule of the tokenizer joins the two
 _TAIL = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)", re.DOTALL)
 
