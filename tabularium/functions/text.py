@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Keyword lists of the domain.
+# Keyword lists of the domain.  "ed" (election district) is no word here: as a part it stands in every "reported" and "received";
+# words are looked for in lower case, so forms in other cases are left out.
 BALLOT_ORDER = ("election day", "early voting", "absentee", "mail", "absentee mail")
 LOCATION_WORDS = ("precinct", "ward", "district", "location", "area", "city", "municipal", "town", "borough", "village", "county", "division", "subdistrict", "polling place", "municipality")
 TOTAL_WORDS = ("total", "sum", "votes", "overall", "all")
