@@ -1,9 +1,9 @@
 """Exact top-k by Hamming distance: incremental multi-index hashing.
 
 Vectors become 64-bit codes (bit i: component i above 0), cut into ``segments``
-segments, equal up to a bit; by default as many as give a segment about as many
-bits as the number of codes has, so that a bucket of the index holds few codes
-at any size.  Two codes at distance d agree in some segment within
+segments, equal up to a bit (None: as many as give a segment about as many bits as
+the number of codes has, so that a bucket of the index holds few codes at any
+size, for more probes of a query).  Two codes at distance d agree in some segment within
 floor(d / segments) bits.  Step by step, the index is probed with the values
 that differ in exactly r bits from a query's segment: radius r in the first
 segments, then in the others, then r + 1.  Every code found is verified on all
@@ -63,7 +63,7 @@ def _steps(segments: int, width: int) -> list[tuple[int, list[int], int]]:
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, segments: int | None = None, chunk: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, segments: int | None = 8, chunk: int = 1024) -> DataFrame:
     """vectors and queries (vec_id, embedding) -> query_id, rank, neighbour_id, distance."""
     coded = cut(vectors.select("vec_id", code(F.col("embedding"), bits).alias("code")).where("vec_id is not null and code is not null").distinct(), "codes")
     ranked = coded.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))).where(F.col("n") <= k + 1)
