@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm, hamming, mixing, packing, ppm, quality, secrets, sharding, sql, tokenfile
+from . import chat, fm, hamming, merkle, mixing, packing, ppm, quality, secrets, sharding, spelling, sql, tokenfile
 from .minhash import near_duplicates
 from .scratch import cut
 
@@ -73,6 +73,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said("_spans").alias("spans"), count("guess")), "spans")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return cut(chat.digests(chat.formatted(rows.union(hard))), "digests")
+
+
+def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(_documents(spark, sf_dir))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity_fm": op2_toxicity_fm,
@@ -84,6 +98,9 @@ QUERIES = {
     "op8_extendible_shards": op8_extendible_shards,
     "op9_block_mixing": op9_block_mixing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_chat_format": op11_chat_format,
+    "op12_merkle_proofs": op12_merkle_proofs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL = {
@@ -91,4 +108,7 @@ SQL = {
     "op4_hamming_topk": sql.HAMMING,
     "op5_line_quality": sql.LINE_QUALITY,
     "op8_extendible_shards": sql.SHARDS.replace("{limit}", str(SHARD_BYTES)),
+    "op11_chat_format": sql.CHAT,
+    "op12_merkle_proofs": sql.MERKLE,
+    "op13_spelling_variants": sql.SPELLING,
 }

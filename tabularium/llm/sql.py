@@ -91,3 +91,94 @@ SELECT doc_id, n_bytes, depth, prefix,
     shard_bytes::BIGINT AS shard_bytes
 FROM linked
 """
+
+#: Unsigned crc32 of the UTF-8 bytes of {s}: bit by bit over the reversed polynomial.
+_CRC32 = """xor(4294967295, list_reduce(
+    flatten(list_transform(range(0, length(hex(encode({s}))) // 2), lambda i: [('0x' || substr(hex(encode({s})), 2 * i + 1, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::BIGINT))"""
+
+CHAT = r"""
+WITH turns AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+escaped AS (
+    SELECT *, length(regexp_replace(text, '(<\\*/?s>|\[\\*/?(INST|SYS|ROLE)\]|\[\\*/TURN\])', '\1+', 'g'))
+        + CASE WHEN role = 'user' THEN 15 WHEN role = 'system' THEN 13 WHEN role = 'assistant' THEN 5 ELSE
+            23 + length(regexp_replace(coalesce(role, ''), '(<\\*/?s>|\[\\*/?(INST|SYS|ROLE)\]|\[\\*/TURN\])', '\1+', 'g')) END AS chars
+    FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text))) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text)) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+MERKLE = r"""
+WITH RECURSIVE
+said AS (
+    SELECT *, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+            || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+        coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail
+    FROM documents),
+leaves AS (
+    SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+        CASE WHEN {crc} % 7 = 0 THEN sha256(head || coalesce(octet_length(encode((n_chars + 1)::VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS tampered
+    FROM said),
+placed AS (
+    SELECT *, row_number() OVER () AS row, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+    FROM leaves),
+nodes(tree, level, idx, n, hash) AS (
+    SELECT tree, 0, idx, n, leaf FROM placed
+    UNION ALL
+    SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 2, n),
+subroots AS (SELECT tree, hash, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper_nodes(level, idx, n, hash) AS (
+    SELECT 0, tree, n, hash FROM subroots
+    UNION ALL
+    SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY idx)) FROM upper_nodes WHERE n > 1 GROUP BY level, idx // 2, n),
+fold(row, tree, level, idx, n, own, proof) AS (
+    SELECT row, tree, 0, idx, n, coalesce(tampered, leaf), '' FROM placed
+    UNION ALL
+    SELECT f.row, f.tree, f.level + 1, f.idx // 2, (f.n + 1) // 2,
+        sha256(CASE WHEN f.idx % 2 = 1 THEN coalesce(s.hash, '') || f.own ELSE f.own || coalesce(s.hash, '') END), f.proof || coalesce(s.hash, '')
+    FROM fold f LEFT JOIN nodes s ON s.tree = f.tree AND s.level = f.level AND s.idx = xor(f.idx, 1) WHERE f.n > 1),
+fold_on(row, level, idx, n, own, proof) AS (
+    SELECT row, 0, f.tree, s.n, own, proof FROM fold f JOIN subroots s ON s.tree = f.tree WHERE f.n = 1
+    UNION ALL
+    SELECT f.row, f.level + 1, f.idx // 2, (f.n + 1) // 2,
+        sha256(CASE WHEN f.idx % 2 = 1 THEN coalesce(s.hash, '') || f.own ELSE f.own || coalesce(s.hash, '') END), f.proof || coalesce(s.hash, '')
+    FROM fold_on f LEFT JOIN upper_nodes s ON s.level = f.level AND s.idx = xor(f.idx, 1) WHERE f.n > 1)
+SELECT p.doc_id, p.leaf, s.hash AS subroot, r.hash AS root, sha256(f.proof) AS proof_sha256, f.own AS folded_root, f.own = r.hash AS verified
+FROM placed p JOIN subroots s ON s.tree = p.tree JOIN fold_on f ON f.row = p.row AND f.n = 1, (SELECT hash FROM upper_nodes WHERE n = 1) r
+""".replace("{crc}", _CRC32.replace("{s}", "doc_id::VARCHAR"))
+
+SPELLING = r"""
+WITH RECURSIVE
+runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT *, {crc} AS h FROM counted),
+words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i) AS head, substr(word, i + 2) AS tail FROM words, unnest(range(0, length(word))) AS t(i)),
+pairs AS (
+    SELECT a.word, b.word AS near, b.n FROM cuts a JOIN cuts b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+    UNION
+    SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.head || a.tail = b.word
+    UNION
+    SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.head || a.tail = b.word),
+most AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -n, near := near)) AS m FROM pairs GROUP BY word),
+formed AS (
+    SELECT w.word, w.n, coalesce(m.n_near, 0) AS n_near, CASE WHEN -m.m.less >= 10 * w.n THEN m.m.near END AS form, CASE WHEN -m.m.less >= 10 * w.n THEN -m.m.less END AS form_n
+    FROM words w LEFT JOIN most m USING (word)),
+chain AS (
+    SELECT word, word AS root, form AS next FROM formed
+    UNION ALL
+    SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.next)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON c.word = f.word AND c.next IS NULL
+""".replace("{crc}", _CRC32.replace("{s}", "id || run"))
