@@ -11,16 +11,19 @@ make one stream of words, cut into blocks of ``block`` words.  Places in that
 stream are two-level sums (4,096 hash ranges of a source, then within a range),
 so that a source with a third of all rows is no single task's work.
 
-Draws: each source has as many slots as its target asks for.  All slots, laid end
-to end, are dealt to the places of the output by a pseudorandom permutation, and
-``shard`` places are a shard: a shard's counts of sources are multinomial draws,
-given that all shards together take each source's number of slots.  (Drawn
-independently, a source would miss its target by a share of 1 / sqrt(its slots):
-8 % for the lightest sources of sf0.01.)  Slot s of a source takes block
-perm(s mod n) of epoch s div n, where perm is a four-round Feistel network over
-the source's n blocks, another one in each epoch.  So an epoch takes every block
-once, and no document is taken more often than there are epochs.  Sources are
-rows throughout, and sums over them are made in ranges.
+Draws: the output is shards of ``shard`` slots of a block each (by default a sixteenth of
+all, 65,536 at most).  A shard's slots draw their sources independently, by target, so a
+shard's counts of sources are one multinomial draw.  A source's slots are numbered through
+the shards in order; slot s takes block perm(s mod n) of epoch s div n, where perm is a
+four-round Feistel network over the source's n blocks, another one in each epoch.  So an
+epoch takes every block once, and no document is taken more often than there are epochs.
+Left alone, sums of draws miss a target of m slots by about sqrt(m): 8 % for the lightest
+sources of sf0.01.  So the last shards are a correction: what each source's target still
+asks for is dealt to them by a permutation.  They are 3 / sqrt(m) of all shards, m being
+the lightest source's slots, between a sixteenth and a half; a source whose draws pass its
+target is cut there (three standard deviations off), its shard being short by that much.
+Each source thus gets its target within half a block and the block at its stream's end.
+Sources are rows throughout; per source, numbers run over one row for each shard.
 
 Defined results: null texts have size 0 and are taken 0 times; a very long text
 lies in many blocks; repeated rows are separate documents; sources of equal room
@@ -75,10 +78,11 @@ def _permuted(place: Column, n: Column, side: Column, *key: Column) -> Column:
 
 
 class Mix:
-    """The parts of a mix: ``docs`` (row, doc_id, size, source_size, target, number, start), ``slots`` (shard, slot, number, epoch, block), ``spans`` (row, number, block, from, words)."""
+    """The parts of a mix: ``docs`` (row, doc_id, size, source_size, target, number, start), ``draws`` (shard, number, count: of the shards before the correction), ``slots`` (shard, slot, number, epoch, block), ``spans`` (row, number, block, from, words)."""
 
-    def __init__(self, documents: DataFrame, block: int = 64, shard: int = 65_536, most_epochs: int = 3, seed: int = 1, row: str | None = None, spread: int = 4096):
+    def __init__(self, documents: DataFrame, block: int = 64, shard: int | None = None, most_epochs: int = 3, seed: int = 1, row: str | None = None, spread: int = 4096):
         """row: a column of unique numbers, if ``documents`` has one."""
+        spark = documents.sparkSession
         sized = documents.select(
             "doc_id",
             F.col("source").cast("string").alias("source"),
@@ -101,16 +105,42 @@ class Mix:
 
         # the sources' slots, end to end
         slots = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), most_epochs * F.col("blocks"))).otherwise(0).cast("long")
-        laid = cut(running(sources.select("number", "blocks", slots.alias("slots")), [F.col("number")], low=F.col("slots")), "laid")
-        places = laid.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-        tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        # a few rows become all slots: runs of ``spread`` slots are dealt to the tasks before they are opened
-        runs = laid.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(spread).cast("long"))))
-        runs = runs.repartition(tasks, "number", "run").withColumn("slot", F.explode(F.sequence("run", F.least("slots", F.col("run") + spread) - 1)))
-        place = _permuted(F.col("low") + F.col("slot"), F.lit(places), F.lit(math.isqrt(max(places - 1, 0)) + 1), F.lit(seed), F.lit("place"))
+        laid = running(sources.select("number", "blocks", slots.alias("slots")).where("slots > 0"), [F.col("number")], low=F.col("slots"))
+        laid = cut(laid, "laid")
+        places, lightest, count = laid.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.min("slots"), F.count(F.lit(1))).first()
+        self.shard = shard = shard or max(1, min(65_536, places // 16))
+        shards = -(-places // shard)
+        self.drawn = drawn = shards - math.ceil(shards * min(0.5, max(1 / 16, 3 / math.sqrt(lightest or 1))))
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+        # a draw is a place among all slots laid end to end; cells of equal width find its source by an equality
+        width = -(-places // max(4096, count)) or 1
+        low, high = F.col("low"), F.col("low") + F.col("slots")
+        cells = cut(laid.select("number", low.alias("low"), high.alias("high"), F.explode(F.sequence(F.floor(low / width), F.floor((high - 1) / width))).alias("cell")), "cells")
+        draws = spark.range(0, max(drawn, 0) * shard, 1, tasks).select(F.floor(F.col("id") / shard).alias("shard"), F.pmod("id", F.lit(shard)).alias("at"))
+        draws = draws.select("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "shard", "at"), F.lit(max(places, 1))).alias("place"))
+        met = draws.withColumn("cell", F.floor(F.col("place") / width)).join(cells, "cell").where("place >= low and place < high")
+        counts = cut(met.groupBy("shard", "number").agg(F.count(F.lit(1)).alias("count")), "draws")
+        before = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).join(laid.select("number", "blocks", "slots"), "number")
+        counts = cut(counts.withColumn("end", F.least(F.col("first") + F.col("count"), "slots")).where("first < end"), "counts")
+        self.draws = counts.select("shard", "number", (F.col("end") - F.col("first")).alias("count"))
+
+        # what the draws have left of the targets goes to the last shards
+        ends = counts.groupBy("number").agg(F.max("end").alias("end"))
+        rest = laid.join(ends, "number", "left").withColumn("first", F.coalesce("end", F.lit(0)))
+        rest = cut(running(rest.select("number", "blocks", "slots", "first").where("first < slots"), [F.col("number")], lower=F.col("slots") - F.col("first")), "rest")
+        left = rest.agg(F.coalesce(F.sum(F.col("slots") - F.col("first")), F.lit(0))).first()[0]
+
+        # a few rows become all slots: runs of them are dealt to the tasks before they are opened
+        taken = counts.select("number", "blocks", "shard", F.lit(None).cast("long").alias("lower"), F.col("first").alias("base"), "first", "end")
+        runs = rest.select("number", "blocks", F.lit(None).cast("long").alias("shard"), "lower", F.col("first").alias("base"), "first", F.col("slots").alias("end"))
+        runs = taken.union(runs).withColumn("run", F.explode(F.sequence("first", F.col("end") - 1, F.lit(spread).cast("long"))))
+        runs = runs.repartition(tasks, "number", "run").withColumn("slot", F.explode(F.sequence("run", F.least("end", F.col("run") + spread) - 1)))
+        place = _permuted(F.col("lower") + F.col("slot") - F.col("base"), F.lit(left), F.lit(math.isqrt(max(left - 1, 0)) + 1), F.lit(seed), F.lit("place"))
         opened = runs.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("int")).withColumn("side", F.ceil(F.sqrt("blocks")).cast("long"))
         own = _permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("side"), F.lit(seed), F.col("number"), F.col("epoch"))
-        self.slots = opened.select(F.floor(place / shard).alias("shard"), "slot", "number", "epoch", own.alias("block"))
+        self.slots = opened.select(F.coalesce("shard", drawn + F.floor(place / shard)).alias("shard"), "slot", "number", "epoch", own.alias("block"))
 
         # which words of which document are in which block
         first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
@@ -123,11 +153,12 @@ class Mix:
         return self.slots.groupBy("shard", "number").agg(F.count(F.lit(1)).alias("count"))
 
     def taken(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken."""
-        times = self.slots.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
+        """doc_id, size, source_size, target, taken, first_shard (the least shard with words of the document; null if none has)."""
+        times = self.slots.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
         # Spark takes the slots for as few rows as they are made from, so the join's way is said here
-        taken = self.spans.join(times.hint("merge"), ["number", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        return self.docs.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        met = self.spans.join(times.hint("merge"), ["number", "block"])
+        taken = met.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.min("shard").alias("first_shard"))
+        return self.docs.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:

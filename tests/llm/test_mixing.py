@@ -79,19 +79,35 @@ def test_a_plain_replay_takes_the_same(spark):
     sizes = defaultdict(int)
     for i, s in of.items():
         sizes[s] += words[i]
-    want, taken, shards, low = water_fill(dict(sizes)), Counter(), Counter(), 0
+    want, taken, shards = water_fill(dict(sizes)), Counter(), Counter()
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     slots = {s: min(math.floor(want[s] * -(-sizes[s] // 16) / sizes[s] + 0.5), 3 * -(-sizes[s] // 16)) if sizes[s] else 0 for s in names}
-    total = sum(slots.values())
-    for number, s in enumerate(names):
-        stream = [i for i in sorted((i for i in of if of[i] == s), key=lambda i: spark_hash_doc(i, rows) % 2**64) for _ in range(words[i])]
-        blocks = -(-len(stream) // 16)
-        for slot in range(slots[s]):
-            epoch, at = divmod(slot, blocks)
-            b = permuted(at, blocks, math.isqrt(blocks - 1) + 1, 1, (number,), epoch)
-            taken.update(stream[16 * b : 16 * b + 16])
-            shards[permuted(low + slot, total, math.isqrt(total - 1) + 1, 1, "place") // 64, number] += 1
-        low += slots[s]
+    total, light = sum(slots.values()), min(n for n in slots.values() if n)
+    shards_ = -(-total // 64)
+    drawn = shards_ - math.ceil(shards_ * min(0.5, max(1 / 16, 3 / math.sqrt(light))))
+    assert drawn == mix.drawn and drawn >= 8
+    owner = [s for s in names for _ in range(slots[s])]
+    used, blocks = Counter(), {s: -(-sizes[s] // 16) for s in names}
+    stream = {s: [i for i in sorted((i for i in of if of[i] == s), key=lambda i: spark_hash_doc(i, rows) % 2**64) for _ in range(words[i])] for s in names}
+
+    def take(shard, s, slot):
+        epoch, at = divmod(slot, blocks[s])
+        b = permuted(at, blocks[s], math.isqrt(blocks[s] - 1) + 1, 1, (names.index(s),), epoch)
+        taken.update(stream[s][16 * b : 16 * b + 16])
+        shards[shard, names.index(s)] += 1
+
+    for k in range(drawn):
+        for s, n in Counter(owner[spark_hash(1, "draw", (k,), (at,)) % total] for at in range(64)).items():
+            for _ in range(min(n, slots[s] - used[s])):
+                take(k, s, used[s])
+                used[s] += 1
+    assert {(r["shard"], r["number"]): r["count"] for r in mix.draws.collect()} == dict(shards)
+    rest = {s: slots[s] - used[s] for s in names}
+    left, low = sum(rest.values()), 0
+    for s in names:
+        for x in range(rest[s]):
+            take(drawn + permuted(low + x, left, math.isqrt(left - 1) + 1, 1, "place") // 64, s, used[s] + x)
+        low += rest[s]
     assert got == {i: taken[i] for i in words}
     assert {(r["shard"], r["number"]): r["count"] for r in mix.counts().collect()} == dict(shards)
 
@@ -101,6 +117,26 @@ def spark_hash_doc(i, rows):
     return spark_hash(1, (i,)) if text is None else spark_hash(1, (i,), text)
 
 
+def test_shards_are_drawn_by_target(spark, data):
+    """16 shards or more on the small tables; their counts differ from shard to shard as multinomial ones do, and all together meet the targets."""
+    from pyspark.sql import functions as F
+
+    mix = mixing.Mix(spark.read.parquet(f"{data}/documents.parquet"))
+    counts = mix.counts().collect()
+    shards = {r["shard"] for r in counts}
+    assert len(shards) >= 16 and mix.drawn >= 8
+    total = sum(r["count"] for r in counts)
+    by_source = Counter()
+    for r in counts:
+        by_source[r["number"]] += r["count"]
+    drawn = {(r["shard"], r["number"]): r["count"] for r in mix.draws.collect()}
+    spread = sum((drawn.get((k, s), 0) - mix.shard * n / total) ** 2 / (mix.shard * n / total) for k in range(mix.drawn) for s, n in by_source.items())
+    free = mix.drawn * (len(by_source) - 1)
+    assert abs(spread - free) < 4 * math.sqrt(2 * free), (spread, free)
+    took = mix.taken().groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 1.5 * 64 + 3 for r in took if r["source_size"]), took
+
+
 def test_reruns_agree_on_other_partitions(spark):
     rows = fixture()
     one = mixing.Mix(documents(spark, rows).repartition(7), block=16).taken().collect()
