@@ -2,19 +2,66 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The states by their postal abbreviation, in alphabetical order of it.
+# Spellings of the states.  The order is that of the search: the first spelling that fits wins.
 STATES = {
-    "ak": "alaska", "al": "alabama", "ar": "arkansas", "az": "arizona", "ca": "california", "co": "colorado", "ct": "connecticut", "dc": "district_of_columbia",
-    "de": "delaware", "fl": "florida", "ga": "georgia", "hi": "hawaii", "ia": "iowa", "id": "idaho", "il": "illinois", "in": "indiana", "ks": "kansas",
-    "ky": "kentucky", "la": "louisiana", "ma": "massachusetts", "md": "maryland", "me": "maine", "mi": "michigan", "mn": "minnesota", "mo": "missouri",
-    "ms": "mississippi", "mt": "montana", "nc": "north_carolina", "nd": "north_dakota", "ne": "nebraska", "nh": "new_hampshire", "nj": "new_jersey",
-    "nm": "new_mexico", "nv": "nevada", "ny": "new_york", "oh": "ohio", "ok": "oklahoma", "or": "oregon", "pa": "pennsylvania", "ri": "rhode_island",
-    "sc": "south_carolina", "sd": "south_dakota", "tn": "tennessee", "tx": "texas", "ut": "utah", "va": "virginia", "vt": "vermont", "wa": "washington",
-    "wi": "wisconsin", "wv": "west_virginia", "wy": "wyoming",
+    "al": "alabama", "ala": "alabama",
+    "ak": "alaska",
+    "az": "arizona", "ariz": "arizona",
+    "ar": "arkansas", "ark": "arkansas",
+    "ca": "california", "calif": "california",
+    "co": "colorado", "colo": "colorado",
+    "ct": "connecticut", "conn": "connecticut",
+    "de": "delaware", "del": "delaware",
+    "dc": "district_of_columbia", "d.c.": "district_of_columbia",
+    "fl": "florida", "fla": "florida",
+    "ga": "georgia", "ga.": "georgia",
+    "hi": "hawaii",
+    "id": "idaho",
+    "il": "illinois", "ill": "illinois",
+    "in": "indiana", "ind": "indiana",
+    "ia": "iowa",
+    "ks": "kansas", "kans": "kansas",
+    "ky": "kentucky", "ky.": "kentucky",
+    "la": "louisiana", "la.": "louisiana",
+    "me": "maine",
+    "md": "maryland", "md.": "maryland",
+    "ma": "massachusetts", "mass": "massachusetts",
+    "mi": "michigan", "mich.": "michigan",
+    "mn": "minnesota", "minn": "minnesota",
+    "ms": "mississippi", "miss": "mississippi",
+    "mo": "missouri", "mo.": "missouri",
+    "mt": "montana", "mont": "montana",
+    "ne": "nebraska", "nebr": "nebraska",
+    "nv": "nevada", "nev": "nevada",
+    "nh": "new_hampshire", "n.h.": "new_hampshire",
+    "nj": "new_jersey", "n.j.": "new_jersey",
+    "nm": "new_mexico", "n. mex.": "new_mexico",
+    "ny": "new_york", "n.y.": "new_york",
+    "nc": "north_carolina", "n.c.": "north_carolina",
+    "nd": "north_dakota", "n. dak.": "north_dakota",
+    "oh": "ohio",
+    "ok": "oklahoma", "okla": "oklahoma",
+    "or": "oregon", "ore": "oregon",
+    "pa": "pennsylvania", "pa.": "pennsylvania",
+    "ri": "rhode_island", "r.i.": "rhode_island",
+    "sc": "south_carolina", "s.c.": "south_carolina",
+    "sd": "south_dakota", "s. dak.": "south_dakota",
+    "tn": "tennessee", "tenn": "tennessee",
+    "tx": "texas", "tex": "texas",
+    "ut": "utah",
+    "vt": "vermont", "vt.": "vermont",
+    "va": "virginia", "va.": "virginia",
+    "wa": "washington", "wash": "washington",
+    "wv": "west_virginia", "w. va.": "west_virginia",
+    "wi": "wisconsin", "wis": "wisconsin",
+    "wy": "wyoming", "wyo": "wyoming",
 }
+STATE_NAMES = tuple(dict.fromkeys(STATES.values()))
 PARTIES = ("Democrat", "Republican", "Green", "Libertarian", "Independent")
 LANGUAGE_WORDS = {
     "de": ("der", "die", "und", "ist", "nicht", "das"),
@@ -25,19 +72,41 @@ LANGUAGE_WORDS = {
 
 
 def state_name(text: Column) -> Column:
-    """Snake-case name of the state that a text is, names as a word of its own, or ends with the abbreviation of; else the text itself in snake case."""
+    """Snake-case name of the state that a text is a spelling of, holds a spelling or a one-word name of as a word, or ends with a spelling of; else the text itself in snake case.
+
+    Of several that fit, the first of ``STATES``.
+    """
     table = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
-    states = F.array(*[F.struct(F.lit(a).alias("abbr"), F.lit(full).alias("name")) for a, full in STATES.items()])
+    # a spelling with dots is no word of its own: a pattern finds it
+    states = F.array(*[F.struct(F.lit(a).alias("abbr"), F.lit("\\b" + re.escape(a) + "\\b" if "." in a else "").alias("pattern"), F.lit(full).alias("name")) for a, full in STATES.items()])
 
     def of(name: Column) -> Column:
-        words, spaced = F.split(name, r"\W+"), F.split(F.regexp_replace(name, "_", " "), r"\W+")
-        inside = F.get(F.filter(states, lambda s: F.array_contains(words, s["abbr"]) | F.array_contains(spaced, s["name"])), F.lit(0))["name"]
-        return F.coalesce(F.element_at(table, name), F.when(name.isin(*STATES.values()), name), inside, F.element_at(table, F.right(name, F.lit(2))), F.nullif(name, F.lit("")))
+        words, spaced, dotted = F.split(name, r"\W+"), F.split(F.regexp_replace(name, "_", " "), r"\W+"), F.contains(name, F.lit("."))
+        inside = F.filter(states, lambda s: F.array_contains(words, s["abbr"]) | F.array_contains(spaced, s["name"]) | (dotted & (s["pattern"] != "") & F.regexp_like(name, s["pattern"])))
+        ends = F.filter(states, lambda s: F.endswith(name, s["abbr"]))
+        return F.coalesce(F.element_at(table, name), F.when(name.isin(*STATE_NAMES), name), F.get(inside, F.lit(0))["name"], F.get(ends, F.lit(0))["name"], F.nullif(name, F.lit("")))
 
     # the name is bound once, since the rules ask for it often
     return F.get(F.transform(F.array(F.regexp_replace(F.lower(F.trim(text)), " ", "_")), of), F.lit(0))
 
 
+def address(url: Column) -> Column:
+    """An address in lower case, hyphens and spaces as underscores."""
+    return F.regexp_replace(F.lower(url), "[- ]", "_")
+
+
+def state_in_path(url: Column) -> Column:
+    """The first state of ``STATES`` that a step of an address behind its first slash is, or starts with before an underscore; null if none."""
+    states = F.array(*[F.struct(F.lit(a).alias("abbr"), F.lit(full).alias("name")) for a, full in STATES.items()])
+    starts = lambda step, name: (step == name) | F.startswith(step, F.concat(name, F.lit("_")))
+
+    def of(steps: Column) -> Column:
+        return F.get(F.filter(states, lambda s: F.exists(steps, lambda x: starts(x, s["abbr"]) | starts(x, s["name"]))), F.lit(0))["name"]
+
+    steps = F.split(address(url), "/")
+    return F.get(F.transform(F.array(F.slice(steps, F.lit(2), F.size(steps))), of), F.lit(0))
+
+
 def county_name(text: Column) -> Column:
     """Lower case with single spaces, without the word county and what follows it, nor marks or digits at either end."""
     name = F.trim(F.regexp_replace(F.lower(text), "[_-]", " "))

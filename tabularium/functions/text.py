@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tabularium.functions.fuzzy import ratio
+
 # Keyword lists of the domain.  "ed" (election district) is no word here: as a part it stands in every "reported" and "received";
 # words are looked for in lower case, so forms in other cases are left out.
 BALLOT_ORDER = ("election day", "early voting", "absentee", "mail", "absentee mail")
@@ -76,10 +78,15 @@ def words_present(text: Column, words: tuple[str, ...]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)))
 
 
-def keyphrase(text: Column, phrase: str) -> Column:
-    """The phrase between word borders, or two of its words."""
-    parts = tuple(dict.fromkeys(phrase.lower().split()))
-    return F.regexp_like(F.lower(text), F.lit(rf"\b{phrase.lower()}\b")) | (words_present(text, parts) >= 2)
+def keyphrase(text: Column, phrase: str, least: float = 0.8) -> Column:
+    """The phrase at the end (blanks and colons behind it aside), a text like the phrase, or two of its words."""
+    low, said = F.lower(F.trim(text)), phrase.lower().strip()
+    parts = tuple(dict.fromkeys(re.findall(r"\w+", said)))
+    ends = F.regexp_like(low, F.lit(r"\s+".join(map(re.escape, said.split())) + r"[\s:]*$"))
+    # a text much shorter or longer is not like the phrase, and is not compared
+    near = F.length(low).between(len(said) * least / (2 - least) - 1e-6, len(said) * (2 - least) / least + 1e-6)
+    alike = F.coalesce(ratio(F.when(near, low), F.lit(said)) >= least, F.lit(False))
+    return ends | alike | ((words_present(low, parts) >= 2) if len(parts) > 1 else F.lit(False))
 
 
 def emails(text: Column) -> Column:

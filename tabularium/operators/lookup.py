@@ -1,17 +1,14 @@
-"""Joins and lookups: routes through small dimensions, contained-in matches, fuzzy top-1, anti-joins.
+"""Joins and lookups: routes through small dimensions, contained-in matches, anti-joins.
 
 Dimensions are joined by equality and Spark broadcasts them by their measured
 size.  Contained-in matches are made equalities: the text's words (or word
-pairs) meet the dimension's; only a fuzzy match compares every pair: distinct
-names with a dimension of checked size.
+pairs) meet the dimension's.  Close matches are in ``similar``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from difflib import SequenceMatcher
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,33 +37,6 @@ def filtered(rows: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return rows
 
 
-def closest(names: DataFrame, name: str, known: DataFrame, target: str, least: float = 0.6, most_known: int = 10_000) -> DataFrame:
-    """For each distinct name the known one with the greatest ratio (ties: the lesser), if it reaches ``least``.
-
-    The known names are a dimension of bounded size (checked); every task compares its own distinct names with all of them.
-    """
-    found = [r[0] for r in known.select(target).where(F.col(target).isNotNull()).distinct().orderBy(target).limit(most_known + 1).collect()]
-    if len(found) > most_known:
-        raise ValueError(f"more than {most_known} known names")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = SequenceMatcher()
-        for batch in batches:
-            out = []
-            for x in batch[name]:
-                best, score = None, least
-                matcher.set_seq2(x.lower())
-                for y in found:
-                    matcher.set_seq1(y.lower())
-                    if matcher.real_quick_ratio() >= score and matcher.quick_ratio() >= score and (r := matcher.ratio()) >= score and (best is None or r > score):
-                        best, score = y, r
-                if best is not None:
-                    out.append((x, best, round(score, 6)))
-            yield pd.DataFrame(out, columns=[name, target, "score"])
-
-    return names.select(name).where(F.col(name).isNotNull()).distinct().mapInPandas(run, f"`{name}` string, `{target}` string, score double")
-
-
 def scored(rows: DataFrame, parts: Sequence[tuple[float, Column]], name: str = "score") -> DataFrame:
     """A weighted sum of conditions and numbers; null counts as 0."""
     return rows.withColumn(name, F.round(sum((w * F.coalesce(p.cast("double"), F.lit(0.0)) for w, p in parts), F.lit(0.0)), 6))

@@ -105,14 +105,5 @@ def likely_header(cells: Column) -> Column:
     return F.size(F.filter(cells, lambda c: F.lower(c).isin(*KNOWN_FIELDS))) >= 2
 
 
-def best_header(headers: DataFrame, table: str, order: str, name: str, keywords: Sequence[str]) -> DataFrame:
-    """The header of each table that contains the first possible keyword; the earliest of several."""
-    low = F.lower(name)
-    rank = F.coalesce(*[F.when(F.contains(low, F.lit(k)), i) for i, k in enumerate(keywords)])
-    rest = F.struct(*[c for c in headers.columns if c != table])
-    best = headers.withColumn("_rank", rank).where("_rank is not null").groupBy(table).agg(F.min_by(rest, F.struct("_rank", order)).alias("_r"))
-    return best.select(table, "_r.*").select(headers.columns)
-
-
 def top_n(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= n).drop("_n")

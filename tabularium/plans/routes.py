@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabularium.functions import text as T
-from tabularium.operators import lookup, store
+from tabularium.operators import lookup, similar, store
 
+from .cascades import RATIO
 from .results import read
 
 
@@ -121,7 +122,15 @@ def fuzzy_lookup_top1(spark, sf_dir):
     """Misspelt names of parts with the known name that is closest."""
     (part,) = read(spark, sf_dir, "part")
     wrong = part.select(F.translate(F.concat("p_name", (F.col("p_partkey") % 9).cast("string")), "aeo", "4e0").alias("name"))
-    return lookup.closest(wrong, "name", part.select(F.col("p_name").alias("known")), "known", 0.6)
+    return similar.closest(wrong, "name", part.select(F.col("p_name").alias("known")), "known", 0.6)
+
+
+SQL_LOOKUP = f"""
+WITH RECURSIVE
+wrong AS (SELECT DISTINCT translate(p_name || p_partkey % 9, 'aeo', '4e0') AS name FROM part),
+pairs AS (SELECT p_name AS a, name AS b FROM (SELECT DISTINCT p_name FROM part), wrong),
+{RATIO}
+SELECT b AS name, max({{'score': score, 'a': a}}).a AS known, max(score) AS score FROM ratios WHERE score >= 0.6 GROUP BY b"""
 
 
 def best_per_unit(spark, sf_dir):
@@ -174,7 +183,7 @@ QUERIES = {
     "contest_filter": (contest_filter, SQL_FILTER),
     "contest_select": (contest_select, SQL_SELECT),
     "contest_verify_score": (contest_verify_score, SQL_VERIFY),
-    "fuzzy_lookup_top1": (fuzzy_lookup_top1, None),
+    "fuzzy_lookup_top1": (fuzzy_lookup_top1, SQL_LOOKUP),
     "best_per_unit": (best_per_unit, SQL_BEST),
     "merge_and_rank": (merge_and_rank, SQL_RANK),
     "output_paths": (output_paths, SQL_PATHS),

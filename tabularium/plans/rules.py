@@ -18,34 +18,42 @@ _STATE_ROWS = ", ".join(f"({i}, '{a}', '{full}')" for i, (a, full) in enumerate(
 
 
 def _state_texts(spark, sf_dir):
+    """Names and spellings of all states, two of them in some texts."""
     (customer,) = read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    full = F.element_at(F.array(*map(F.lit, N.STATES.values())), F.pmod(k, F.lit(51)).cast("int") + 1)
-    abbr = F.element_at(F.array(*map(F.lit, N.STATES)), F.pmod(k, F.lit(51)).cast("int") + 1)
+    pick = lambda values, n=1: F.element_at(F.array(*map(F.lit, values)), F.pmod(k * n, F.lit(len(values))).cast("int") + 1)
+    full, other, abbr = pick(N.STATE_NAMES), pick(N.STATE_NAMES, 7), pick(N.STATES)
     spaced = F.regexp_replace(full, "_", " ")
-    way = F.pmod(F.floor(k / 51), F.lit(6))
+    way = F.pmod(F.floor(k / len(N.STATES)), F.lit(7))
     text = F.when(way == 0, F.upper(abbr)).when(way == 1, F.initcap(spaced)).when(way == 2, F.concat(F.lit(" Results-"), abbr, F.lit("-2024")))
-    text = text.when(way == 3, F.concat(F.lit("Results "), F.initcap(spaced), F.lit(" final"))).when(way == 4, F.concat(F.lit("ResultsXX"), F.upper(abbr))).otherwise(F.concat("c_mktsegment", F.lit(" 7")))
-    return customer.select("c_custkey", text.alias("text"))
+    text = text.when(way == 3, F.concat(F.lit("Results "), F.initcap(spaced), F.lit(" final"))).when(way == 4, F.concat(F.lit("ResultsXX"), F.upper(abbr)))
+    text = text.when(way == 5, F.concat(full, F.lit(" and "), other)).otherwise(F.concat("c_mktsegment", F.lit(" 7")))
+    return customer.select("c_custkey", "c_mktsegment", text.alias("text"), way.alias("way"), spaced.alias("spaced"))
 
 
 def state_names(spark, sf_dir):
     return _state_texts(spark, sf_dir).select("c_custkey", "text", N.state_name(F.col("text")).alias("state"))
 
 
-SQL_STATES = rf"""
-WITH states(i, abbr, name) AS (VALUES {_STATE_ROWS}),
-t AS (SELECT c_custkey, s.abbr, s.name, (c_custkey // 51) % 6 AS way, c_mktsegment FROM customer JOIN states s ON s.i = c_custkey % 51),
+_STATE_LIST = ", ".join(f"'{n}'" for n in N.STATE_NAMES)
+_ABBR_LIST = ", ".join(f"'{a}'" for a in N.STATES)
+_STATE_TEXTS = rf"""
+states(i, abbr, name) AS (VALUES {_STATE_ROWS}),
+t AS (
+    SELECT c_custkey, c_mktsegment, [{_STATE_LIST}][c_custkey % {len(N.STATE_NAMES)} + 1] AS name, [{_STATE_LIST}][c_custkey * 7 % {len(N.STATE_NAMES)} + 1] AS other,
+        [{_ABBR_LIST}][c_custkey % {len(N.STATES)} + 1] AS abbr, (c_custkey // {len(N.STATES)}) % 7 AS way FROM customer),
 cap AS (SELECT *, array_to_string(list_transform(string_split(name, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS spaced FROM t),
-texts AS (SELECT c_custkey, CASE way WHEN 0 THEN upper(abbr) WHEN 1 THEN spaced WHEN 2 THEN ' Results-' || abbr || '-2024' WHEN 3 THEN 'Results ' || spaced || ' final'
-    WHEN 4 THEN 'ResultsXX' || upper(abbr) ELSE c_mktsegment || ' 7' END AS text FROM cap),
+texts AS (SELECT c_custkey, c_mktsegment, way, name, CASE way WHEN 0 THEN upper(abbr) WHEN 1 THEN spaced WHEN 2 THEN ' Results-' || abbr || '-2024' WHEN 3 THEN 'Results ' || spaced || ' final'
+    WHEN 4 THEN 'ResultsXX' || upper(abbr) WHEN 5 THEN name || ' and ' || other ELSE c_mktsegment || ' 7' END AS text FROM cap)"""
+SQL_STATES = rf"""
+WITH {_STATE_TEXTS},
 low AS (SELECT *, replace(lower(trim(text)), ' ', '_') AS n FROM texts),
 hits AS (
-    SELECT l.*, s.name, CASE WHEN l.n = s.abbr THEN 0 WHEN l.n = s.name THEN 1
-        WHEN list_contains(regexp_split_to_array(l.n, '[^a-z0-9_]+'), s.abbr) OR list_contains(regexp_split_to_array(replace(l.n, '_', ' '), '[^a-z0-9_]+'), s.name) THEN 2
+    SELECT l.c_custkey, l.text, l.n, s.name, CASE WHEN l.n = s.abbr THEN 0 WHEN l.n = s.name THEN 1
+        WHEN regexp_matches(l.n, '\b' || replace(s.abbr, '.', '\.') || '\b') OR regexp_matches(replace(l.n, '_', ' '), '\b' || s.name || '\b') THEN 2
         WHEN ends_with(l.n, s.abbr) THEN 3 END AS rule, s.i
     FROM low l, states s)
-SELECT c_custkey, text, coalesce(arg_min(name, rule * 100 + i) FILTER (WHERE rule IS NOT NULL), any_value(n)) AS state FROM hits GROUP BY c_custkey, text"""
+SELECT c_custkey, text, coalesce(arg_min(name, rule * 1000 + i) FILTER (WHERE rule IS NOT NULL), any_value(n)) AS state FROM hits GROUP BY c_custkey, text"""
 
 
 def county_names(spark, sf_dir):
@@ -77,26 +85,6 @@ SELECT lower(r_name) AS chosen, s_suppkey FROM supplier, region
 WHERE CASE WHEN s_suppkey % 5 = 0 THEN r_name = 'AMERICA' ELSE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = r_regionkey) END"""
 
 
-def handler_routing(spark, sf_dir):
-    """State and county of each supplier's text: exact, else the county of a district, else the state alone."""
-    supplier, nation, region = read(spark, sf_dir, "supplier", "nation", "region")
-    way = F.pmod("s_suppkey", F.lit(4))
-    typed = F.when(way == 0, F.concat(F.lit("nation_"), "s_nationkey")).when(way == 1, F.concat(F.lit("district "), "s_nationkey")).when(way == 2, F.lit("elsewhere"))
-    rows = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = rows.select("s_suppkey", F.lower("r_name").alias("state"), typed.alias("typed"))
-    known = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("r_name").alias("state"), F.lower("n_name").alias("county"))
-    exact = known.select("state", F.col("county").alias("typed"), F.col("county").alias("by_name"))
-    district = known.select("state", F.regexp_replace("county", "nation_", "district ").alias("typed"), F.col("county").alias("by_district"))
-    found = rows.join(exact, ["state", "typed"], "left").join(district, ["state", "typed"], "left")
-    county = F.coalesce("by_name", "by_district")
-    return found.select("s_suppkey", F.concat_ws("/", "state", county).alias("handler"), F.when(F.col("by_name").isNotNull(), "county").when(F.col("by_district").isNotNull(), "district").otherwise("state").alias("rule"))
-
-
-SQL_ROUTING = """
-SELECT s_suppkey, lower(r_name) || CASE WHEN s_suppkey % 4 < 2 THEN '/' || lower(n_name) ELSE '' END AS handler, ['county', 'district', 'state', 'state'][s_suppkey % 4 + 1] AS rule
-FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
-
-
 def _titles(spark, sf_dir):
     (part,) = read(spark, sf_dir, "part")
     k = F.pmod("p_partkey", F.lit(7))
@@ -155,7 +143,7 @@ def entry_scores(spark, sf_dir):
     k = F.pmod("o_orderkey", F.lit(5))
     day = F.date_format("o_orderdate", "yyyy")
     text = F.when(k == 0, F.concat(F.lit("since "), day)).when(k == 1, F.concat(F.lit("Ann Lee, no "), "o_custkey")).when(k == 2, F.lit("in texas today")).when(k == 3, F.lit("plain words")).otherwise(F.concat(F.lit("Jo Poe "), day))
-    places = F.arrays_overlap(F.split(F.lower(text), r"\W+"), F.array(*[F.lit(s) for s in N.STATES.values()]))
+    places = F.arrays_overlap(F.split(F.lower(text), r"\W+"), F.array(*[F.lit(s) for s in N.STATE_NAMES]))
     rows = orders.select("o_orderkey", text.alias("text"), places.alias("places"))
     return rows.select("o_orderkey", N.entry_score(F.col("text")).alias("score"), N.field_of(F.col("text"), F.col("places")).alias("field"), F.array_join(N.notes(F.col("text"), F.col("places")), ",").alias("notes"))
 
@@ -223,18 +211,16 @@ SQL_FORMATS = "SELECT page_id, ['pdf', 'csv', 'json', NULL][page_id % 4 + 1] AS
 
 
 def entity_names(spark, sf_dir):
-    """Names in canonical form, those of known places marked."""
-    (customer,) = read(spark, sf_dir, "customer")
-    rows = _state_texts(spark, sf_dir).where(F.floor(F.col("c_custkey") / 51) % 6 < 2).join(customer.select("c_custkey", "c_mktsegment"), "c_custkey")
+    """Names in canonical form, those that are a state's marked."""
+    rows = _state_texts(spark, sf_dir)
     name = N.canonical(F.concat(F.lower("text"), F.lit("  of\t"), F.upper("c_mktsegment")))
-    known = F.lower(F.regexp_replace("text", " ", "_")).isin(*N.STATES.values())
-    return rows.select("c_custkey", name.alias("name"), known.alias("known"))
+    return rows.select("c_custkey", name.alias("name"), F.lower(F.regexp_replace("text", " ", "_")).isin(*N.STATE_NAMES).alias("known"))
 
 
-SQL_NAMES = f"""
-WITH states(i, abbr, name) AS (VALUES {_STATE_ROWS}),
-t AS (SELECT c_custkey, CASE (c_custkey // 51) % 6 WHEN 0 THEN abbr ELSE replace(name, '_', ' ') END || ' of ' || lower(c_mktsegment) AS x, (c_custkey // 51) % 6 = 1 AS known FROM customer JOIN states ON i = c_custkey % 51 WHERE (c_custkey // 51) % 6 < 2)
-SELECT c_custkey, array_to_string(list_transform(string_split(x, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name, known FROM t"""
+SQL_NAMES = rf"""
+WITH {_STATE_TEXTS}
+SELECT c_custkey, array_to_string(list_transform(string_split(trim(regexp_replace(lower(text) || ' of ' || lower(c_mktsegment), '\s+', ' ', 'g')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name,
+    way = 1 AS known FROM texts"""
 
 
 def dates_told(spark, sf_dir):
@@ -278,17 +264,6 @@ WITH g AS (SELECT o_orderpriority, list_sort(list_distinct(list(c_mktsegment)))
 SELECT o_orderpriority, array_to_string(k, ',') AS kinds, array_to_string(y, ',') AS years, '{"kinds":["' || array_to_string(k, '","') || '"],"states":[' || array_to_string(s, ',') || ']}' AS json FROM g"""
 
 
-def best_headers(spark, sf_dir):
-    """Of each brand's headers, the one with the first of the keywords; the earliest of several."""
-    (part,) = read(spark, sf_dir, "part")
-    return structures.best_header(part, "p_brand", "p_partkey", "p_name", ("quartz", "ring", "widget")).select("p_brand", "p_partkey", "p_name")
-
-
-SQL_BEST = """
-SELECT p_brand, p_partkey, p_name FROM (SELECT *, CASE WHEN contains(p_name, 'quartz') THEN 0 WHEN contains(p_name, 'ring') THEN 1 WHEN contains(p_name, 'widget') THEN 2 END AS rank FROM part)
-WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY rank, p_partkey) = 1"""
-
-
 def likely_headers(spark, sf_dir):
     """Rows of cells with two known field names or more."""
     (part,) = read(spark, sf_dir, "part")
@@ -349,7 +324,6 @@ QUERIES = {
     "state_names": (state_names, SQL_STATES),
     "county_names": (county_names, SQL_COUNTIES),
     "county_matches": (county_matches, SQL_MATCHES),
-    "handler_routing": (handler_routing, SQL_ROUTING),
     "district_cascade": (district_cascade, SQL_DISTRICT),
     "party_cascade": (party_cascade, SQL_PARTY),
     "contest_fields": (contest_fields, SQL_FIELDS),
@@ -363,7 +337,6 @@ QUERIES = {
     "dates_told": (dates_told, SQL_DATES),
     "languages": (languages, SQL_LANGUAGES),
     "accessors": (accessors, SQL_ACCESSORS),
-    "best_headers": (best_headers, SQL_BEST),
     "likely_headers": (likely_headers, SQL_LIKELY),
     "missing_columns": (missing_columns, SQL_MISSING),
     "rescanned_headers": (rescanned_headers, SQL_RESCAN),

@@ -255,19 +255,6 @@ SELECT p_partkey AS id, CASE WHEN p_partkey % 12 = 0 THEN lower(p_brand) ELSE p_
 FROM part LEFT JOIN m ON m.id = p_partkey WHERE p_partkey % 12 NOT IN (4, 8)"""
 
 
-def toggle_scores(spark, sf_dir):
-    """The three best elements of each page: 10 for a keyword's exact text, 5 for the contest's title, 2 for being visible."""
-    events, = read(spark, sf_dir, "events")
-    rows = events.select((F.col("user_id") % 30).alias("page"), "event_id", "event_type", "value")
-    found = lookup.scored(rows, [(10.0, F.col("event_type").isin("click", "view")), (5.0, F.contains("event_type", F.lit("sign"))), (2.0, F.col("value") > 15)])
-    return structures.top_n(found, "page", 3, F.desc("score"), F.col("event_id")).select("page", "event_id", "score")
-
-
-SQL_TOGGLE = """
-SELECT user_id % 30 AS page, event_id, (10 * (event_type IN ('click', 'view'))::INT + 5 * contains(event_type, 'sign')::INT + 2 * (value > 15)::INT)::DOUBLE AS score FROM events
-QUALIFY row_number() OVER (PARTITION BY user_id % 30 ORDER BY score DESC, event_id) <= 3"""
-
-
 def unknown_tags(spark, sf_dir):
     """Tags of pages that the list of known ones lacks, each once."""
     found, = read(spark, sf_dir, "pages")
@@ -343,7 +330,6 @@ QUERIES = {
     "panel_contests": (panel_contests, SQL_PANEL),
     "denied_structures": (denied_structures, SQL_DENIED),
     "reviewed_labels": (reviewed_labels, SQL_REVIEWED),
-    "toggle_scores": (toggle_scores, SQL_TOGGLE),
     "unknown_tags": (unknown_tags, SQL_TAGS),
     "integrity_report": (integrity_report, SQL_REPORT),
     "annotated_rows": (annotated_rows, SQL_ANNOTATED),

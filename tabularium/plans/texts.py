@@ -135,7 +135,7 @@ def keyphrase_match(spark, sf_dir):
 
 
 SQL_KEYPHRASE = r"""
-SELECT doc_id, coalesce(regexp_matches(lower(text), '\bunder the city\b') OR contains(lower(text), 'under')::INT + contains(lower(text), 'the')::INT + contains(lower(text), 'city')::INT >= 2, false) AS hit,
+SELECT doc_id, coalesce(regexp_matches(lower(text), 'under\s+the\s+city[\s:]*$') OR contains(lower(text), 'under')::INT + contains(lower(text), 'the')::INT + contains(lower(text), 'city')::INT >= 2, false) AS hit,
     (contains(lower(coalesce(text, '')), 'mail')::INT + contains(lower(coalesce(text, '')), 'name')::INT + contains(lower(coalesce(text, '')), 'city')::INT + contains(lower(coalesce(text, '')), 'ward')::INT)::INTEGER AS n_words
 FROM documents"""
 

@@ -18,22 +18,6 @@ def rows(df):
     return sorted([tuple(r) for r in df.collect()], key=str)
 
 
-def test_closest_is_brute_force(spark):
-    rng = random.Random(3)
-    known = ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 9))) for _ in range(40)] + ["Orange"]
-    names = ["".join(rng.choice("abcdeX") for _ in range(rng.randrange(2, 9))) for _ in range(60)] + ["oragne", "zzz", ""]
-    got = {r["name"]: (r["known"], r["score"]) for r in lookup.closest(spark.createDataFrame([(n,) for n in names] + [(None,)], "name string"), "name", spark.createDataFrame([(n,) for n in known], "known string"), "known").collect()}
-    for n in names:
-        best = max(sorted(set(known)), key=lambda k: SequenceMatcher(None, k.lower(), n.lower()).ratio())
-        score = SequenceMatcher(None, best.lower(), n.lower()).ratio()
-        assert got.get(n) == ((best, round(score, 6)) if score >= 0.6 else None)
-
-
-def test_closest_refuses_a_large_dimension(spark):
-    with pytest.raises(ValueError):
-        lookup.closest(spark.range(1).selectExpr("'a' name"), "name", spark.range(20).selectExpr("cast(id as string) known"), "known", most_known=10)
-
-
 def test_fuzzy_functions(spark):
     got = spark.createDataFrame([("Éric ﬁn", "eric fin"), (None, "x")], "a string, b string").select(fuzzy.fold("a"), fuzzy.ratio("a", "b")).collect()
     assert got[0][0] == "eric fin" and 0 < got[0][1] < 1 and tuple(got[1]) == (None, None)
