@@ -12,9 +12,10 @@ tops are the next round's leaves, so 64 leaves, 4,096, 262,144 ... take one roun
 Proofs: a node that starts a stretch of ``LEVELS`` levels explodes the coordinates (tree,
 level, index) of its siblings there, from its index, the group size and the number of
 leaves alone; they meet the node table by a shuffle on the coordinate, and the digests
-found are collected for the node in order.  Leaves do so for the lowest levels only: what
-is above is common to their block, is found once for it and joined by its number.  Then a
-row has its whole proof, and folds it.  Coordinates spread a language with most rows evenly.
+found are collected for the node in order, dealt by its block.  Leaves do so for the
+lowest levels only: what is above is common to their block, is found once for it, and
+joins them where they are.  Then a row has its whole proof, and folds it.  Coordinates
+spread a language with most rows evenly.
 
 Defined results: a null is ``-``, whatever the column; null ids come first, rows of one id
 by their leaf; equal rows are leaves of their own; a null language comes before the empty
@@ -25,6 +26,8 @@ digested whole; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,13 +85,13 @@ def _siblings(own: Column, count: Column, level: int, group: int) -> Column:
     """Coordinates of the other nodes of the run of ``group`` that node ``own`` of a level of ``count`` is in."""
     first = own - F.pmod(own, F.lit(group))
     others = F.filter(F.sequence(first, F.least(first + group, count) - 1), lambda j: j != own)
-    return F.transform(others, lambda j: F.struct(F.lit(level).alias("level"), j.alias("wanted"), (j < own).alias("left")))
+    return F.transform(others, lambda j: F.struct(F.lit(level).alias("level"), j.alias("wanted")))
 
 
 class Trees:
     """The levels of many trees at once.
 
-    leaves: tree, index (from 0, without gaps), n (leaves of the tree), hash.
+    leaves: tree, index (from 0, without gaps), n (leaves of the tree), hash; further columns come along to ``proofs``.
     ``nodes``: tree, level (0: leaves), index, hash.  ``tops``: tree, hash.
     """
 
@@ -96,7 +99,7 @@ class Trees:
         self.group, self.block = group, group**LEVELS
         tall = leaves.agg(F.max(height(F.col("n"), group))).first()[0]
         self.rounds: list[tuple[DataFrame, DataFrame]] = []
-        base = leaves.select("tree", "index", "n", "hash")
+        base = leaves
         for low in range(0, (tall or 0) + 1, LEVELS):
             blocks = cut(self._levels(base, low), "levels")
             self.rounds.append((base, blocks))
@@ -136,38 +139,49 @@ class Trees:
         return found
 
     def _coordinates(self, number: int) -> DataFrame:
-        """tree, index of each node at a round's lowest level, and one row for each sibling of it and of those above it: level, wanted, left.
-
-        A node without one has a row that asks for what is not there.
-        """
+        """tree, index of each node at a round's lowest level, and level, wanted of each sibling of it and of those above it in the round."""
         g, low = self.group, number * LEVELS
         stretch = []
         for k in range(LEVELS):
             own, count = _div(F.col("index"), g**k), _div(F.col("n") - 1, g ** (low + k)) + 1
             stretch.append(F.when(count > 1, _siblings(own, count, low + k, g)).otherwise(F.array()))
-        asked = self.rounds[number][0].select("tree", "index", F.explode_outer(F.flatten(F.array(*stretch))).alias("at"))
-        return asked.select("tree", "index", F.coalesce("at.level", F.lit(low)).alias("level"), F.coalesce("at.wanted", F.lit(-1)).alias("wanted"), F.coalesce("at.left", F.lit(False)).alias("left"))
+        return self.rounds[number][0].select("tree", "index", F.inline(F.flatten(F.array(*stretch))))
 
     def proofs(self) -> DataFrame:
-        """tree, index of each leaf, and path: its siblings (level, wanted, left, hash) in order, up to its tree's top."""
+        """The leaves, with all their columns, and path: their siblings up to the tree's top, as (place, hash) in order.
+
+        place: level * group + the sibling's place in its run; hash: 32 bytes.
+        """
         above = None
         for number in reversed(range(len(self.rounds))):
-            nodes = self._opened(number).select("tree", "level", F.col("index").alias("wanted"), "hash")
-            met = self._coordinates(number).join(nodes, ["tree", "level", "wanted"], "left")
-            path = met.groupBy("tree", "index").agg(F.array_sort(F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("level", "wanted", "left", "hash")))).alias("path"))
+            nodes = self._opened(number).select("tree", "level", F.col("index").alias("wanted"), F.unhex("hash").alias("hash"))
+            block = _div(F.col("index"), self.block).alias("block")
+            met = self._coordinates(number).join(nodes, ["tree", "level", "wanted"])
+            place = (F.col("level") * self.group + F.pmod("wanted", F.lit(self.group))).cast("int")
+            base = self.rounds[number][0]
+            own = F.struct(*[c for c in base.columns if c not in ("tree", "index")])
+            met = met.select("tree", block, "index", F.struct(place.alias("place"), "hash").alias("at"), F.lit(None).cast(base.select(own.alias("own")).schema["own"].dataType).alias("own"))
+            # a node's own row comes along, so that it meets its siblings, and then its block's, in one shuffle
+            met = met.union(base.select("tree", block, "index", F.lit(None).cast(met.schema["at"].dataType), own)).repartition("tree", "block")
+            path = met.groupBy("tree", "block", "index").agg(F.array_sort(F.collect_list("at")).alias("path"), F.first("own", ignorenulls=True).alias("own"))
             if above is not None:
                 higher = above.select("tree", F.col("index").alias("block"), F.col("path").alias("higher"))
-                path = path.withColumn("block", _div(F.col("index"), self.block)).join(higher, ["tree", "block"], "left")
-                path = path.select("tree", "index", F.when(F.col("higher").isNull(), F.col("path")).otherwise(F.concat("path", "higher")).alias("path"))
-            above = cut(path, "paths") if number else path
+                path = path.join(higher, ["tree", "block"], "left")
+                path = path.withColumn("path", F.when(F.col("higher").isNull(), F.col("path")).otherwise(F.concat("path", "higher")))
+            path = path.select("tree", "index", "own.*", "path")
+            above = cut(path.select("tree", "index", "path"), "paths") if number else path
         return above
 
 
-def steps(path: Column, levels: Column) -> Column:
+def steps(path: Column, levels: Column, index: Column, group: int) -> Column:
     """A proof as what stands before and after the own digest at each level; at a level without siblings, nothing does."""
+    powers = F.array(*[F.lit(group**k) for k in range(int(62 / math.log2(group)))])
 
     def side(level: Column, left: bool) -> Column:
-        return F.array_join(F.transform(F.filter(path, lambda x: (x["level"] == level) & (x["left"] if left else ~x["left"])), lambda x: x["hash"]), "")
+        own = F.pmod(F.floor(index / F.get(powers, level)), F.lit(group))
+        place = lambda x: F.pmod(x["place"], F.lit(group))
+        chosen = F.filter(path, lambda x: (F.floor(x["place"] / group) == level) & ((place(x) < own) if left else (place(x) > own)))
+        return F.array_join(F.transform(chosen, lambda x: F.lower(F.hex(x["hash"]))), "")
 
     made = F.transform(F.sequence(F.lit(0), levels - 1), lambda level: F.struct(side(level, True).alias("before"), side(level, False).alias("after")))
     return F.when(levels > 0, made).otherwise(F.array())
@@ -184,15 +198,16 @@ def siblings_digest(proof: Column) -> Column:
 
 def verified(documents: DataFrame, group: int = 2) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every row."""
-    rows = placed(cut(leaves(documents), "leaves"))
-    own = Trees(rows.select("tree", "index", "n", F.col("leaf").alias("hash")), group)
+    rows = placed(cut(leaves(documents), "leaves")).withColumnRenamed("leaf", "hash")
+    own = Trees(rows, group)
     counted = cut(own.tops.withColumnRenamed("hash", "subroot"), "subroots")
     count = counted.count()
     whole = Trees(counted.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("index"), F.lit(count).cast("long").alias("n"), F.col("subroot").alias("hash")), group)
     root = whole.tops.first()
-    over = whole.proofs().select(F.col("index").alias("tree"), steps(F.col("path"), height(F.lit(count), group)).alias("over"))
-    over = cut(counted.join(over, "tree"), "over")
-    found = rows.join(own.proofs(), ["tree", "index"]).join(over, "tree")
-    found = found.withColumn("proof", F.concat(steps(F.col("path"), height(F.col("n"), group)), "over"))
-    found = found.select("doc_id", "leaf", "subroot", F.lit(root["hash"] if root else None).cast("string").alias("root"), siblings_digest(F.col("proof")).alias("proof_sha256"), folded(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    over = whole.proofs().select(F.col("index").alias("tree"), F.col("hash").alias("subroot"), steps(F.col("path"), height(F.col("n"), group), F.col("index"), group).alias("over"))
+    found = own.proofs().join(cut(over, "over"), "tree")
+    found = found.withColumn("proof", F.concat(steps(F.col("path"), height(F.col("n"), group), F.col("index"), group), "over"))
+    found = found.select(
+        "doc_id", F.col("hash").alias("leaf"), "subroot", F.lit(root["hash"] if root else None).cast("string").alias("root"), siblings_digest(F.col("proof")).alias("proof_sha256"), folded(F.coalesce("tampered", "hash"), F.col("proof")).alias("folded_root")
+    )
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -91,7 +91,7 @@ def test_a_tree_of_many_rounds(spark):
     got = {(r["level"], r["index"]): r["hash"] for r in tree.nodes.collect()}
     assert got == {(k, i): h for k, nodes in enumerate(levels) for i, h in enumerate(nodes)}
     assert tree.tops.collect() == [(0, levels[-1][0])]
-    asked = {r["index"]: [x["hash"] for x in r["path"]] for r in tree.proofs().where("index in (0, 63, 4095, 4096, 4999)").collect()}
+    asked = {r["index"]: [x["hash"].hex() for x in r["path"]] for r in tree.proofs().where("index in (0, 63, 4095, 4096, 4999)").collect()}
     assert asked == {i: [h for b, a in siblings(levels, i, 2) for h in b + a] for i in (0, 63, 4095, 4096, 4999)}
 
 
