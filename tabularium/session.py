@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -22,10 +22,24 @@ _own: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``; in a temporary one only where that is unset, as in local tests."""
+    """A path in a new folder of ``spark.checkpoint.dir``, which goes when the driver ends; where that is unset, a temporary one if all runs on this machine, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         folder = _own[0]
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{path}/data"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: the plan restarts there, whichever executor is lost."""
+    path = new_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
