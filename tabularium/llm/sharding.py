@@ -4,9 +4,11 @@ A document's address is the first 60 bits of the md5 of its id.  The directory
 starts with one bucket; a bucket over the limit, and only such a one, splits on
 the next address bit.  Since a bucket's bytes are the sum of its halves, the
 splits are decided on sums: documents are summed once in cells (``cell_bits``
-address bits more than the mean needs), cells are summed upwards bit by bit, and a
-prefix is a bucket if it fits and its parent does not.  Cells that still do
-not fit are opened again, alone, with as many bits more.
+address bits more than the mean needs), and the cells at all depths above in one
+aggregation.  Rows of cells that still do not fit, alone, are summed at all depths
+below in another one.  A prefix is a bucket if it fits, or no bit is left, and its
+parent does not fit.  So the jobs are as many whatever the depth.  A row finds its
+bucket through its cell; only rows of cells that do not fit try the depths below.
 
 What no bit can split (rows with one and the same id, or 60 equal bits) is an
 overflow chain: runs of rows, in order of size and text hash, that each fit.  The
@@ -22,8 +24,6 @@ columns are ignored (kept as they are by ``write_shards``), whatever their names
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,22 +40,14 @@ def _prefix(bits: int, name: str = "address") -> Column:
     return F.shiftright(name, ADDRESS_BITS - bits)
 
 
-def _levels(cells: DataFrame, bits: int, least: int, limit: int) -> tuple[list[DataFrame], DataFrame]:
-    """Buckets (depth, prefix, bytes) of depth ``least`` to ``bits`` below prefixes that do not fit at ``least - 1``, and the cells that do not fit."""
-    sums = {bits: cells}
-    for d in range(bits - 1, least - 1, -1):
-        sums[d] = sums[d + 1].groupBy(F.shiftright("prefix", 1).alias("prefix")).agg(F.sum("bytes").alias("bytes"))
-    found, parents = [], None
-    for d in range(least, bits + 1):
-        here = sums[d]
-        if parents is not None:
-            here = here.withColumn("up", F.shiftright("prefix", 1)).join(parents.select(F.col("prefix").alias("up")), "up", "left_semi").drop("up")
-        here = cut(here.select("prefix", "bytes"), "directory")
-        found.append(here.where(F.col("bytes") <= limit).select(F.lit(d).alias("depth"), "prefix", "bytes"))
-        parents = here.where(F.col("bytes") > limit)
-        if parents.isEmpty():
-            return found, parents
-    return found, parents
+def _at(depths: range) -> Column:
+    return F.explode(F.array(*[F.lit(d) for d in depths])) if depths else F.explode(F.expr("cast(array() as array<int>)"))
+
+
+def _summed(rows: DataFrame, bits: int, value: str, depths: range) -> DataFrame:
+    """depth, prefix, bytes at all depths; rows: prefix (of ``bits`` bits) and value."""
+    opened = rows.select("prefix", value, _at(depths).alias("depth"))
+    return opened.groupBy("depth", F.expr(f"shiftright(prefix, {bits} - depth)").alias("prefix")).agg(F.sum(value).alias("bytes"))
 
 
 def shards(docs: DataFrame, limit: int = 16 << 20, cell_bits: int = 6, row: str | None = None) -> DataFrame:
@@ -70,19 +62,21 @@ def shards(docs: DataFrame, limit: int = 16 << 20, cell_bits: int = 6, row: str
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = min(ADDRESS_BITS, max(1, -(-total // limit)).bit_length() + cell_bits)
     cells = cut(rows.groupBy(_prefix(bits).alias("prefix")).agg(F.sum("n_bytes").alias("bytes")), "cells")
-    found, over = _levels(cells, bits, 0, limit)
-    while not over.isEmpty() and bits < ADDRESS_BITS:
-        least, bits = bits + 1, min(ADDRESS_BITS, bits + 1 + cell_bits)
-        inside = rows.join(over.select("prefix"), F.shiftright("address", ADDRESS_BITS - least + 1) == over["prefix"], "left_semi")
-        more, over = _levels(cut(inside.groupBy(_prefix(bits).alias("prefix")).agg(F.sum("n_bytes").alias("bytes")), "cells"), bits, least, limit)
-        found += more
-    directory = cut(reduce(DataFrame.union, [*found, over.select(F.lit(bits).alias("depth"), "prefix", "bytes")]), "directory")
-
-    # The depth at which an address stops: of the few depths there are, the one whose prefix is in the directory.
-    depths = [r[0] for r in directory.select("depth").distinct().orderBy("depth").collect()]  # at most 61
-    tried = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths])) if depths else F.explode(F.expr("cast(array() as array<struct<depth: int, prefix: bigint>>)"))
+    upper, lower = range(bits + 1), range(bits + 1, ADDRESS_BITS + 1)
+    crowded = cells.where(F.col("bytes") > limit).select(F.col("prefix").alias("cell"))
+    rows = rows.withColumn("cell", _prefix(bits))
+    below = rows.join(crowded, "cell", "left_semi").select(F.col("address").alias("prefix"), "n_bytes")
+    sums = cut(_summed(cells, bits, "bytes", upper).union(_summed(below, ADDRESS_BITS, "n_bytes", lower)), "sums")
+    over = sums.where(F.col("bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"))
+    ends = sums.where((F.col("bytes") <= limit) | (F.col("depth") == ADDRESS_BITS)).withColumn("up", F.shiftright("prefix", 1))
+    directory = cut(ends.where("depth = 0").unionByName(ends.where("depth > 0").join(over, ["depth", "up"], "left_semi").select(ends.columns)).drop("up"), "directory")
+
+    # a cell's bucket, if that is not below it
+    homes = cells.select(F.col("prefix").alias("cell"), _at(upper).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)")).join(directory, ["depth", "prefix"])
     own = ["row", "doc_id", "n_bytes", "hash"]
-    placed = rows.select(*own, tried.alias("at")).select(*own, "at.*").join(directory, ["depth", "prefix"])
+    placed = rows.join(homes, "cell").select(*own, "depth", "prefix", "bytes")
+    tried = rows.join(crowded, "cell", "left_semi").select(*own, "address", _at(lower).alias("depth")).withColumn("prefix", F.expr(f"shiftright(address, {ADDRESS_BITS} - depth)"))
+    placed = placed.union(tried.join(directory, ["depth", "prefix"]).select(placed.columns))
 
     fits = placed.where(F.col("bytes") <= limit).withColumn("link", F.lit(0).cast("long")).withColumnRenamed("bytes", "shard_bytes")
     chain = ["depth", "prefix"]
