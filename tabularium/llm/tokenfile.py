@@ -146,7 +146,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, block: int =
     ship_package(spark)
     bits = max(id_bits(tokenizer), int(end_id).bit_length())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # rows of one id are dealt by their texts, equal ones by their numbers, so that an id with many rows is many tasks' work
+    order = ["doc_id", "hash", "number"]
+    ordered = texts.withColumns({"hash": F.xxhash64("text"), "number": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     parts = cut(ordered.mapInArrow(_write(new_path(spark, "tokens"), tokenizer, end_id, bits, block), "part long, file string, n_ids long, n_rows long"), "manifest")
     # one row for each file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
