@@ -45,16 +45,26 @@ from .textcore import list_array, mix64, release, shingles, slices, tidy, word_h
 _KEY = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(16)], np.uint64)
 
 
-def _scatter(x: np.ndarray) -> np.ndarray:
-    """A permutation of 32-bit integers, in place."""
+def _mixed(x: np.ndarray, first: int, second: int) -> np.ndarray:
+    """A permutation of 32-bit integers, in place: shifts and two odd multipliers."""
     x ^= x >> np.uint32(16)
-    x *= np.uint32(0x85EBCA6B)
+    x *= np.uint32(first)
     x ^= x >> np.uint32(13)
-    x *= np.uint32(0xC2B2AE35)
+    x *= np.uint32(second)
     x ^= x >> np.uint32(16)
     return x
 
 
+def _scatter(x: np.ndarray) -> np.ndarray:
+    """The first permutation: places of the shingles."""
+    return _mixed(x, 0x85EBCA6B, 0xC2B2AE35)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """The second one, with multipliers of its own: every coordinate is its minimum over places shifted around the circle of 2 ** 32."""
+    return _mixed(x, 0x9E3779B1, 0x21F0AAAD)
+
+
 def signature(sets: np.ndarray, offsets: np.ndarray, coordinates: int) -> np.ndarray:
     """One row of minima for each non-empty set; sets: concatenated 64-bit shingle hashes."""
     starts = offsets[:-1][np.diff(offsets) > 0]
@@ -66,7 +76,7 @@ def signature(sets: np.ndarray, offsets: np.ndarray, coordinates: int) -> np.nda
         stop = starts[end] if end < len(starts) else len(sets)
         place = _scatter((sets[starts[at] : stop] >> np.uint64(32)).astype(np.uint32))
         for k in range(coordinates):
-            out[at:end, k] = np.minimum.reduceat(_scatter(place + np.uint32(k)), starts[at:end] - starts[at])
+            out[at:end, k] = np.minimum.reduceat(_shifted(place + np.uint32(k)), starts[at:end] - starts[at])
         at = end
     return out
 
