@@ -4,7 +4,7 @@ Fixed kinds, leftmost and without overlap within a kind: ``assign`` (a keyword,
 a separator and 12 or more value characters), ``access`` (AKIA and 14 or more),
 ``hex`` (16 or more).  The method adds kind ``guess``: in a wider set of
 credential contexts (other keywords, shorter values, other characters, "is",
-user:password@ in addresses), the value is cut into segments at minimum total
+user:password@ in addresses), the value, up to its closing quote or white space, is cut into segments at minimum total
 guess cost by dynamic programming over
 
 - words: log10 of the rank in the corpus's own frequency list, one more for
@@ -14,7 +14,9 @@ guess cost by dynamic programming over
 - keyboard walks: neighbours on one row of a keyboard, alphabet or digits;
 - brute force: log10 of the character class's size for each character;
 
-each further segment costs log10(2).  A value that fixed spans cover is theirs;
+each further segment costs log10(2).  A value without quotes goes on behind each of
+``"',;<>`` if what follows, up to the next one, is neither a field (name=) nor a tag and
+costs four orders or more by itself, so no tail of a secret stays, and no other text goes.  A value that fixed spans cover is theirs;
 one that reaches beyond them is costed whole and may overlap them.  A value of ``least`` orders of magnitude
 or more is a secret.  The programme runs over the whole value and ends early only
 where every way to go on has reached that limit already.
@@ -58,9 +60,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|(?:private|access|auth|client)[_-]?(?:key|token|secret)|credentials?|bearer)"""
-    r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)["']?([^\s"',;<>]{6,})|://[^\s/:@]+:([^\s/@]{6,})@""",
+    r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)(?:(?P<quote>["'])(?P<quoted>[^\s]+?)(?=(?P=quote)|\s|$)|(?P<bare>[^\s"'][^\s]*))|://[^\s/:@]+:(?P<login>[^\s/@]{6,})@""",
     re.ASCII | re.IGNORECASE,
 )
+#: A value may go on behind these, or end there.
+_MARKS = re.compile(r"""["',;<>]""")
+#: What begins a field or a tag of its own: no value goes on with it.
+_OTHER = re.compile(r"""["',;]["'{\[]?[A-Za-z_][\w.-]*["']?\s*[:=]|</?[A-Za-z][^<>]*(?:>|$)|>""")
+_ENDS, _LEAST_TAIL = ".!?)]}:\"',;<>", 4.0
 # by lookahead: a match that reaches into the next row must not hide one that starts there
 _HINTS = re.compile(rb"(?=pass|pwd|secret|token|key|credential|bearer|AKIA|://)", re.IGNORECASE)
 
@@ -148,18 +155,33 @@ def guess_cost(value: str, ranks: dict[str, int], limit: float = math.inf) -> fl
     return best[n] if best[n] < limit else math.inf
 
 
-def _values(text: str, fixed: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-    """Start, end and value of the credential contexts that reach beyond the fixed spans."""
+def _values(text: str, fixed: list[tuple[int, int]]) -> Iterator[tuple[int, list[int]]]:
+    """Start and possible ends of the values of credential contexts that reach beyond the fixed spans.
+
+    A value is what stands up to its closing quote or white space; it may end before each
+    mark inside, or at its own end.
+    """
     for m in CONTEXT.finditer(text):
-        a, b = m.span(1) if m[1] is not None else m.span(2)
-        value = m[m.lastindex].rstrip(".!?)]}:")
-        b = a + len(value)
+        kind = next(k for k in ("quoted", "bare", "login") if m[k] is not None)
+        a, b = m.span(kind)
+        ends = [x.start() for x in _MARKS.finditer(text, a, b)] if kind == "bare" else []
         at = a  # the value's first place outside the fixed spans
         for x, y in fixed:
             if x <= at < y:
                 at = y
-        if len(value) >= 6 and at < b:
-            yield a, b, value
+        if b - a >= 6 and at < b:
+            yield a, [*(e for e in ends if e > a), b]
+
+
+def _chosen(text: str, a: int, ends: list[int], ranks: dict[str, int]) -> int:
+    """Where a value ends: it goes on behind a mark if what follows, up to the next one, is neither a field nor a tag and no easy guess by itself."""
+    end = ends[0]
+    for after in ends[1:]:
+        tail = text[end + 1 : after]
+        if tail and (_OTHER.match(text, end, ends[-1]) or guess_cost(tail, ranks, _LEAST_TAIL) < _LEAST_TAIL):
+            break
+        end = after
+    return a + len(text[a:end].rstrip(_ENDS))
 
 
 def _fixed(text: str) -> list[tuple[int, int, int]]:
@@ -171,8 +193,8 @@ def _fixed(text: str) -> list[tuple[int, int, int]]:
 def wanted(text: str) -> set[str]:
     """What a text's values may hold of words: all their parts that are letters of a word's length."""
     found = set()
-    for _, _, value in _values(text, sorted((a, b) for a, _, b in _fixed(text))):
-        low = value.lower()
+    for start, ends in _values(text, sorted((a, b) for a, _, b in _fixed(text))):
+        low = text[start : ends[-1]].lower()
         for form in {low, low.translate(LEET)}:
             for run in re.finditer(r"[^\W\d_]{3,}", form):
                 x = run[0]
@@ -183,8 +205,14 @@ def wanted(text: str) -> set[str]:
 def scan(text: str, ranks: dict[str, int], least: float) -> list[tuple[int, int, int]]:
     """(start, kind, end) in order."""
     spans = _fixed(text)
-    for a, b, value in _values(text, sorted((a, b) for a, _, b in spans)):
-        if guess_cost(value, ranks, least) >= least:
+    fixed = sorted((a, b) for a, _, b in spans)
+    for a, ends in _values(text, fixed):
+        b = _chosen(text, a, ends, ranks)
+        covered = a
+        for x, y in fixed:
+            if x <= covered < y:
+                covered = y
+        if b - a >= 6 and covered < b and guess_cost(text[a:b], ranks, least) >= least:
             spans.append((a, 3, b))
     return sorted(spans)
 
@@ -226,7 +254,8 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def own_words(text: str) -> list[str]:
     """The words of a text, as they are counted, that are a value."""
     found = []
-    for a, b, _ in _values(text, sorted((x, y) for x, _, y in _fixed(text))):
+    for a, ends in _values(text, sorted((x, y) for x, _, y in _fixed(text))):
+        b = ends[-1]
         while a and not text[a - 1].isspace():
             a -= 1
         while b < len(text) and not text[b].isspace():

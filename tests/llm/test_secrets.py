@@ -164,3 +164,31 @@ def test_columns_of_any_name_are_kept(spark):
     assert masked.columns == docs.columns and all(r[c] == "x" for r in masked.collect() for c in names)
     found = secrets.find_secrets(docs)
     assert found.columns == [*docs.columns[:-1], "_spans"] and found.where("size(_spans) > 0").count() > 4
+
+
+WHOLE = [
+    ("secret=Xq7kP2mZ9;tail9Q", ["Xq7kP2mZ9;tail9Q"]),
+    ("token is 'Zq9!x<yy8'", ["Zq9!x<yy8"]),
+    ("pwd: Ab1,cD2efGh3JkL", ["Ab1,cD2efGh3JkL"]),
+    ("password='Tr0ub<4dor&3xyz' and", ["Tr0ub<4dor&3xyz"]),
+    ('passwd=Ab1"cD2efGh3JkL;x=1', ['Ab1"cD2efGh3JkL']),
+    ("passwd: Ab1'cD2efGh3JkL", ["Ab1'cD2efGh3JkL"]),
+    ("password=hunter2zq9X,user=bob", ["hunter2zq9X"]),
+    ('{"pwd":"ab12Zq9xk","user":"bob"}', ["ab12Zq9xk"]),
+    ("<b>token=q8ZkPw21xv</b> done", ["q8ZkPw21xv"]),
+    ("the secret is the city, and", []),
+    ("pwd: Zq91xk4Vb, then", ["Zq91xk4Vb"]),
+    ("passphrase is city,user,words", []),
+]
+
+
+def test_values_are_whole(spark):
+    """A value goes on behind every mark that may stand in one; no tail of it stays, and no field, tag or word behind it goes."""
+    ranks = {"bob": 50, "user": 20, "the": 1, "city": 30, "and": 2, "words": 9}
+    docs = documents(spark, [(i, t) for i, (t, _) in enumerate(WHOLE)])
+    found = {r["doc_id"]: [WHOLE[r["doc_id"]][0][s["start"] : s["end"]] for s in r["_spans"] if s["kind"] == "guess"] for r in secrets.find_secrets(docs, ranks=ranks).collect()}
+    assert found == {i: want for i, (_, want) in enumerate(WHOLE)}
+    for r in secrets.redacted(docs, ranks=ranks).collect():
+        text, values = WHOLE[r["doc_id"]]
+        assert not any(v in r["text"] for v in values) and r["text"].count("[SECRET]") == len(values)
+        assert r["text"] == (text.replace(values[0], "[SECRET]") if values else text)
