@@ -13,7 +13,7 @@ from tabularium.functions import text as T
 from tabularium.operators import extraction as X
 from tabularium.operators import pivots, tables
 from tabularium.session import ship_package
-from tabularium.sources import pages
+from tabularium.sources import pages, pagestore
 
 from .results import read
 
@@ -38,8 +38,15 @@ def made_pages(spark, sf_dir):
     return own.groupBy(F.col("page_id").cast("bigint").alias("page_id")).agg(F.concat(F.lit("<html><body>"), F.array_join(F.array_sort(F.collect_list(panel)), ""), F.lit("</body></html>")).alias("html"))
 
 
+_scanned = {}
+
+
 def _found(spark, sf_dir):
-    return pages.segments(made_pages(spark, sf_dir))
+    """Segments of the made pages: scanned once in a session, then read from its store."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _scanned:
+        _scanned[key] = pagestore.segments(made_pages(spark, sf_dir))
+    return _scanned[key]
 
 
 _BASE = """
@@ -208,7 +215,7 @@ SQL_SIBLINGS = f"WITH {_BASE} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Fu
 def reporting_text(spark, sf_dir):
     """The first marked span of each panel that tells what is reported, read from its markup."""
     made = made_pages(spark, sf_dir)
-    found = pages.segments(made)
+    found = pagestore.segments(made)
     cut = pages.subtree_html(found, made).join(found.where("tag = 'section'").select("page_id", "idx"), ["page_id", "idx"])
     return cut.select("page_id", F.regexp_extract("html", "<h3>Ward ([A-Z]+)", 1).alias("panel"), F.regexp_extract("html", '<span class="fw-bold">([^<]*Reported[^<]*)</span>', 1).alias("text"))
 

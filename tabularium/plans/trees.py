@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabularium.operators import ordered
 from tabularium.session import ship_package
-from tabularium.sources import pages
+from tabularium.sources import pages, pagestore
 
 from . import extraction
 from .results import read
@@ -15,18 +15,84 @@ from .results import read
 def _segments(spark, sf_dir):
     ship_package(spark)
     (found,) = read(spark, sf_dir, "pages")
-    return pages.segments(found)
+    return pagestore.segments(found)
 
 
 def dom_segments(spark, sf_dir):
     """Segments of pages made of customers, by tag and depth; whether each one's span is its markup from start tag to end tag."""
     made = extraction.made_pages(spark, sf_dir)
-    found = pages.segments(made).join(made, "page_id")
+    found = pagestore.segments(made).join(made, "page_id")
     own = F.expr("substring(html, start + 1, `end` - start)")
     whole = F.startswith(own, F.concat(F.lit("<"), "tag")) & F.endswith(own, F.concat(F.lit("</"), "tag", F.lit(">"))) & (F.length(F.regexp_replace(own, "<[^>]*>", "")) >= F.length(F.regexp_replace("text", " ", "")))
     return found.groupBy("page_id", "tag", "depth").agg(F.count(F.lit(1)).alias("n"), F.bool_and(whole).alias("whole"))
 
 
+_LISTED = ", ".join(f"'{t}'" for t in sorted(pages.KNOWN))
+_EMPTY = ", ".join(f"'{t}'" for t in sorted(pages.VOID))
+#: ``walked``: page_id, idx, tag, parent_idx, depth, above (parent's tag), headed of the given pages: one token of every page after the other, with the stack of open tags.
+_WALK = rf"""
+clean AS (
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->', '', 'g'), '(?is)(<script[^>]*>).*?</script>', '\1</script>', 'g'), '(?is)(<style[^>]*>).*?</style>', '\1</style>', 'g') AS html FROM pages),
+tokens AS (SELECT page_id, list_transform(regexp_extract_all(html, '<(/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1), lambda t: lower(t)) AS t FROM clean),
+walk(page_id, k, t, stack, next, heads, tag, idx, parent_idx, depth, above, headed) AS (
+    SELECT page_id, 0, t, []::STRUCT(tag VARCHAR, idx INTEGER)[], 0, 0, NULL::VARCHAR, NULL::INTEGER, NULL::INTEGER, NULL::INTEGER, NULL::VARCHAR, NULL::BOOLEAN FROM tokens
+    UNION ALL
+    SELECT page_id, k + 1, t,
+        CASE WHEN closing THEN CASE WHEN last > 0 THEN stack[1 : last - 1] ELSE stack END
+            WHEN list_contains([{_EMPTY}], name) THEN open ELSE list_append(open, {{'tag': name, 'idx': CASE WHEN known THEN next END}}) END,
+        next + (known AND NOT closing)::INTEGER, heads + (closing AND last > 0 AND regexp_matches(name, '^h[1-6]$'))::INTEGER,
+        CASE WHEN known AND NOT closing THEN name END, CASE WHEN known AND NOT closing THEN next END,
+        CASE WHEN NOT closing THEN listed[-1].idx END, CASE WHEN NOT closing THEN len(listed)::INTEGER END, CASE WHEN NOT closing THEN listed[-1].tag END, heads > 0
+    FROM (
+        SELECT *, list_filter(open, lambda x: x.idx IS NOT NULL) AS listed FROM (
+            SELECT *, coalesce(list_max(list_filter(range(1, len(stack) + 1), lambda i: stack[i].tag = name)), 0) AS last,
+                stack[1 : coalesce(list_max(list_filter(range(1, len(stack) + 1), lambda i: NOT list_contains(
+                    CASE name WHEN 'p' THEN ['p'] WHEN 'li' THEN ['li'] WHEN 'tr' THEN ['tr', 'td', 'th'] WHEN 'td' THEN ['td', 'th'] WHEN 'th' THEN ['td', 'th'] ELSE [''] END, stack[i].tag))), 0)] AS open
+            FROM (SELECT page_id, k, t, stack, next, heads, ltrim(t[k + 1], '/') AS name, starts_with(t[k + 1], '/') AS closing, list_contains([{_LISTED}], ltrim(t[k + 1], '/')) AS known FROM walk WHERE k < len(t))))),
+walked AS (SELECT page_id, idx, tag, parent_idx, depth, above, headed FROM walk WHERE idx IS NOT NULL)"""
+
+
+def page_trees(spark, sf_dir):
+    """Every segment of the given pages: its place in the tree, part, parent's tag, how many segments it holds, whether a heading stands before it."""
+    found = _segments(spark, sf_dir)
+    parts = pages.parts(found).select("page_id", "idx", "tag", "parent_idx", "depth", "part", "direct_parent", F.col("heading").isNotNull().alias("headed"))
+    spans = pages.subtree_spans(found).select("page_id", "idx", "n_segments")
+    return parts.join(spans, ["page_id", "idx"])
+
+
+SQL_TREES = f"""WITH RECURSIVE {_WALK},
+up(page_id, idx, parent_idx) AS (
+    SELECT page_id, idx, idx FROM walked
+    UNION ALL SELECT u.page_id, u.idx, w.parent_idx FROM up u JOIN walked w ON w.page_id = u.page_id AND w.idx = u.parent_idx WHERE w.parent_idx IS NOT NULL),
+held AS (SELECT page_id, parent_idx AS idx, count(*) AS n_segments FROM up GROUP BY ALL)
+SELECT page_id, idx, tag, parent_idx, depth, above AS direct_parent, headed, n_segments,
+    CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag IN ('table', 'ul', 'ol') THEN 'table' WHEN tag IN ('section', 'div', 'fieldset', 'article') THEN 'panel'
+        WHEN tag IN ('a', 'button', 'input', 'select') THEN 'control' ELSE 'other' END AS part
+FROM walked JOIN held USING (page_id, idx)"""
+
+
+def page_scan(spark, sf_dir):
+    """A scan of all pages and a second one, which parses nothing: digest, segments, links, and what labels its segments have."""
+    ship_package(spark)
+    (found,) = read(spark, sf_dir, "pages")
+    store = pagestore.stored(spark)
+    store.scan(found)
+    told = store.scan(found)
+    segments = store.segments(found)
+    labels = pages.labelled(segments).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_segments"), F.count_if(F.col("label") == "heading").alias("n_headings"), F.count_if(F.col("label") == "panel").alias("n_panels"), F.count_if(F.col("label") == "ignore").alias("n_ignored"))
+    links = pages.links(found).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return told.join(labels, "page_id").join(links, "page_id", "left").withColumn("parsed_again", F.lit(store.parsed))
+
+
+SQL_SCAN = rf"""WITH RECURSIVE {_WALK},
+links AS (SELECT page_id, len(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS n_links FROM pages)
+SELECT page_id, sha256(coalesce(html, '')) AS digest, count(*) AS n_segments, count(*) FILTER (WHERE regexp_matches(tag, '^h[1-6]$')) AS n_headings,
+    count(*) FILTER (WHERE tag IN ('section', 'div', 'fieldset')) - (len(regexp_extract_all(html, 'class="ads?"')) > 0)::INT AS n_panels,
+    count(*) FILTER (WHERE tag IN ('html', 'head', 'title', 'body')) + (len(regexp_extract_all(html, 'class="ads?"')) > 0)::INT AS n_ignored,
+    nullif(any_value(n_links), 0)::BIGINT AS n_links, 0::INTEGER AS parsed_again
+FROM walked JOIN pages USING (page_id) JOIN links USING (page_id) GROUP BY page_id, html"""
+
+
 #: Segments of each panel (page_id, seg, extra: 1 with a second header row, said: 1 with a share) by tag, depth and parent.
 _PARTS = """
 t AS (SELECT c_custkey // 20 AS page_id, c_mktsegment AS seg, count(*) AS n, ((c_custkey // 20) % 3 = 0)::INT AS extra, ((c_custkey // 20) % 2 = 0)::INT AS said FROM customer GROUP BY ALL),
@@ -51,7 +117,7 @@ SELECT tag, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM tags GROUP BY
 
 
 def dom_parts(spark, sf_dir):
-    found = pages.segments(extraction.made_pages(spark, sf_dir))
+    found = pagestore.segments(extraction.made_pages(spark, sf_dir))
     return pages.parts(found).groupBy("part", "tag", "direct_parent").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -69,7 +135,7 @@ SQL_FAULTS = "SELECT page_id, 0::INTEGER AS idx FROM pages WHERE false"
 
 def subtree_span(spark, sf_dir):
     """How many segments each panel holds, itself included."""
-    found = pages.segments(extraction.made_pages(spark, sf_dir))
+    found = pagestore.segments(extraction.made_pages(spark, sf_dir))
     spans = pages.subtree_spans(found).join(found.where("tag = 'section'").select("page_id", "idx", F.col("start").alias("own_start"), F.col("end").alias("own_end")), ["page_id", "idx"])
     return spans.select("page_id", "n_segments", ((F.col("start") == F.col("own_start")) & (F.col("end") == F.col("own_end"))).alias("same"))
 
@@ -78,7 +144,7 @@ SQL_SPANS = f"WITH {_PARTS} SELECT page_id, (6 + 3 * (n + 2 + extra) + (n + 1) +
 
 
 def segment_labels(spark, sf_dir):
-    return pages.labelled(pages.segments(extraction.made_pages(spark, sf_dir))).groupBy("page_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    return pages.labelled(pagestore.segments(extraction.made_pages(spark, sf_dir))).groupBy("page_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 SQL_LABELS = f"""WITH {_PARTS}
@@ -107,7 +173,7 @@ def markup_tables(spark, sf_dir):
     bodies = line.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
     head = F.lit("<div><h2>Lines</h2><table><tr><th>No</th><th> </th></tr>")
     html = bodies.select("page_id", F.concat(head, "rows", F.lit("</table></div>")).alias("html"))
-    return pages.table_cells(pages.segments(html)).groupBy("page_id", "header").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"))
+    return pages.table_cells(pagestore.segments(html)).groupBy("page_id", "header").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"))
 
 
 SQL_MARKUP = """
@@ -138,7 +204,7 @@ UNION ALL SELECT name, count(*), count(DISTINCT value), 'custom' FROM own WHERE
 
 def nearest_headings(spark, sf_dir):
     """Paragraphs of each page by the last heading before them, by window."""
-    found = pages.segments(extraction.made_pages(spark, sf_dir))
+    found = pagestore.segments(extraction.made_pages(spark, sf_dir))
     heading = F.when(F.col("tag").isin(*pages.HEADINGS), F.col("text"))
     return ordered.nearest_before(found, ["page_id"], "idx", heading, "near").where("tag = 'p'").groupBy("page_id", F.col("near").alias("heading")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -163,7 +229,7 @@ _PAGE = "(c_nationkey::BIGINT * 1000000000 + c_custkey // 500)"
 
 def panels_of_tables(spark, sf_dir):
     """Tables per page and heading of their nearest panel."""
-    found = pages.panel_tables(pages.segments(_result_pages(spark, sf_dir)))
+    found = pages.panel_tables(pagestore.segments(_result_pages(spark, sf_dir)))
     return found.groupBy("page_id", "heading").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("panel_idx") < F.col("idx")).alias("inside"))
 
 
@@ -173,7 +239,7 @@ SQL_PANELS = f"SELECT {_PAGE} AS page_id, c_mktsegment AS heading, 1::BIGINT AS
 def panel_markup(spark, sf_dir):
     """The markup of every panel, cut out by its span."""
     made = _result_pages(spark, sf_dir)
-    found = pages.segments(made)
+    found = pagestore.segments(made)
     cut = pages.subtree_html(found, made).join(found.where("tag = 'section'").select("page_id", "idx"), ["page_id", "idx"])
     return cut.select("page_id", F.regexp_extract("html", "<h3>([^<]*)</h3>", 1).alias("heading"), (F.startswith("html", F.lit("<section")) & F.endswith("html", F.lit("</section>"))).alias("whole"), F.regexp_count("html", F.lit("<tr>")).alias("n_rows"))
 
@@ -183,7 +249,7 @@ SQL_MARKUPS = f"SELECT {_PAGE} AS page_id, c_mktsegment AS heading, true AS whol
 
 def table_like_parts(spark, sf_dir):
     """Grids and lists of the pages that look like tables."""
-    return pages.table_like(pages.segments(_result_pages(spark, sf_dir))).groupBy("page_id", "n_rows").agg(F.count(F.lit(1)).alias("n"))
+    return pages.table_like(pagestore.segments(_result_pages(spark, sf_dir))).groupBy("page_id", "n_rows").agg(F.count(F.lit(1)).alias("n"))
 
 
 SQL_LIKE = f"SELECT {_PAGE} AS page_id, 2::BIGINT AS n_rows, count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY 1"
@@ -191,7 +257,7 @@ SQL_LIKE = f"SELECT {_PAGE} AS page_id, 2::BIGINT AS n_rows, count(DISTINCT c_mk
 
 def rooted_tree(spark, sf_dir):
     """Children of the root put above each page."""
-    rooted = pages.with_root(pages.segments(_result_pages(spark, sf_dir)))
+    rooted = pages.with_root(pagestore.segments(_result_pages(spark, sf_dir)))
     return rooted.groupBy("page_id").agg(F.count_if(F.col("parent_idx").isNull()).alias("roots"), F.count_if(F.col("tag") == "table").alias("tables"), F.min("idx").alias("first"))
 
 
@@ -200,6 +266,8 @@ SQL_ROOTED = f"SELECT {_PAGE} AS page_id, 1::BIGINT AS roots, count(DISTINCT c_m
 
 QUERIES = {
     "dom_segments": (dom_segments, SQL_SEGMENTS),
+    "page_trees": (page_trees, SQL_TREES),
+    "page_scan": (page_scan, SQL_SCAN),
     "tag_counts": (tag_counts, SQL_TAGS),
     "dom_parts": (dom_parts, SQL_PARTS),
     "tree_faults": (tree_faults, SQL_FAULTS),
