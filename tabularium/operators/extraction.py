@@ -123,11 +123,6 @@ def first_of_headers(found: DataFrame) -> DataFrame:
     return best.select("page_id", "r.*")
 
 
-def non_empty_cells(columns: list[str]) -> Column:
-    """Aggregate: cells that are neither blank nor zero."""
-    return sum((F.count_if(~F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).isin("", "0")) for c in columns), F.lit(0))
-
-
 def fuller(candidate_major: DataFrame, precinct_major: DataFrame, key: str) -> DataFrame:
     """Long cells (key, unit, column, value) of two readings: of each key the reading with more cells that are neither blank nor zero; ties go to the first."""
     full = ~F.coalesce(F.trim(F.col("value").cast("string")), F.lit("")).isin("", "0")
@@ -154,8 +149,8 @@ def sibling_reports(found: DataFrame, mark: str = "fw-bold") -> DataFrame:
 
 
 def grouped_labels(nodes: DataFrame, key: str, labels: str, value: str) -> DataFrame:
-    """label, values: nodes by each of their labels, in order."""
-    return nodes.select(key, F.explode(labels).alias("label"), value).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]).alias("values"))
+    """label, key, value: nodes by each of their labels, once; a label's nodes are in the order of ``key``, and as many rows as they are."""
+    return nodes.select(key, F.explode(F.array_distinct(labels)).alias("label"), value).select("label", key, value)
 
 
 def segment_texts(found: DataFrame) -> Column:

@@ -227,12 +227,10 @@ def grouped_labels(spark, sf_dir):
     """Orders of a customer by each of their labels."""
     (orders,) = read(spark, sf_dir, "orders")
     nodes = orders.select("o_orderkey", F.array_distinct(F.array("o_orderstatus", F.substring("o_orderpriority", 1, 1), (F.col("o_custkey") % 40).cast("string"))).alias("labels"), F.col("o_custkey").cast("string").alias("value"))
-    return X.grouped_labels(nodes, "o_orderkey", "labels", "value").select("label", F.md5(F.array_join("values", ",")).alias("digest"), F.size("values").alias("n"))
+    return X.grouped_labels(nodes, "o_orderkey", "labels", "value")
 
 
-SQL_GROUPED = """
-WITH l AS (SELECT o_orderkey, o_custkey, unnest(list_distinct([o_orderstatus, o_orderpriority[1], (o_custkey % 40)::VARCHAR])) AS label FROM orders)
-SELECT label, md5(string_agg(o_custkey::VARCHAR, ',' ORDER BY o_orderkey)) AS digest, count(*)::INTEGER AS n FROM l GROUP BY label"""
+SQL_GROUPED = "SELECT DISTINCT unnest([o_orderstatus, o_orderpriority[1], (o_custkey % 40)::VARCHAR]) AS label, o_orderkey, o_custkey::VARCHAR AS value FROM orders"
 
 
 def segment_texts(spark, sf_dir):

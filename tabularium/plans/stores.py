@@ -30,20 +30,20 @@ UNION ALL SELECT 'unofficial', '1', '2' FROM (SELECT DISTINCT c_nationkey FROM c
 
 
 def delimited_interpret(spark, sf_dir):
-    """Delimited texts of each nation: mark and headers found out; those without the needed columns give an error."""
+    """Delimited texts, of at most 500 customers of a nation each: mark and headers found out; those without the needed columns give an error."""
     customer, = read(spark, sf_dir, "customer")
     k = F.pmod("c_nationkey", F.lit(4))
     mark = F.element_at(F.array(F.lit(","), F.lit("\t"), F.lit(";"), F.lit("|")), k.cast("int") + 1)
     head = F.when(F.col("c_nationkey") % 5 == 4, F.concat_ws("x", F.lit("Place"), F.lit("Votes"))).otherwise(F.concat(F.lit("Jurisdiction"), "mark", F.lit("GOP"), "mark", F.lit("Other")))
-    lines = customer.withColumn("mark", mark).groupBy("c_nationkey", "mark").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.concat(F.col("c_custkey").cast("string"), "mark", "c_mktsegment", "mark", F.lit("z")).alias("line")))).alias("l"))
-    texts = lines.select("c_nationkey", F.concat_ws("\n", head, F.transform("l", lambda x: x["line"])).alias("text"))
-    found = files.interpreted(texts, "c_nationkey", "text")
-    return found.select("c_nationkey", F.element_at("values", F.lit("county")).alias("county"), F.element_at("values", F.lit("rep")).alias("rep"), "error")
+    lines = customer.withColumn("mark", mark).groupBy("c_nationkey", F.floor(F.col("c_custkey") / 500).alias("part"), "mark").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.concat(F.col("c_custkey").cast("string"), "mark", "c_mktsegment", "mark", F.lit("z")).alias("line")))).alias("l"))
+    texts = lines.select(F.struct("c_nationkey", "part").alias("text_id"), F.concat_ws("\n", head, F.transform("l", lambda x: x["line"])).alias("text"))
+    found = files.interpreted(texts, "text_id", "text")
+    return found.select("text_id.*", F.element_at("values", F.lit("county")).alias("county"), F.element_at("values", F.lit("rep")).alias("rep"), "error")
 
 
 SQL_INTERPRET = """
-SELECT c_nationkey, c_custkey::VARCHAR AS county, c_mktsegment AS rep, NULL::VARCHAR AS error FROM customer WHERE c_nationkey % 5 <> 4
-UNION ALL SELECT DISTINCT c_nationkey, NULL, NULL, 'essential headers are missing' FROM customer WHERE c_nationkey % 5 = 4"""
+SELECT c_nationkey, c_custkey // 500 AS part, c_custkey::VARCHAR AS county, c_mktsegment AS rep, NULL::VARCHAR AS error FROM customer WHERE c_nationkey % 5 <> 4
+UNION ALL SELECT DISTINCT c_nationkey, c_custkey // 500, NULL, NULL, 'essential headers are missing' FROM customer WHERE c_nationkey % 5 = 4"""
 
 
 def url_lines(spark, sf_dir):
@@ -199,22 +199,27 @@ SELECT page_id, arg_min(module, ord) AS module FROM pages LEFT JOIN o ON contain
 
 
 def button_cascade(spark, sf_dir):
-    """Buttons of a contest: one that has worked before, else those with its title, else those with its keyword, else all of its page."""
+    """Buttons of a contest: one that has worked before, else those with its title, else those with its keyword, else all of its page: how many, and the first."""
     orders, events = read(spark, sf_dir, "orders", "events")
-    contests = orders.where("o_orderkey < 2000").select(F.col("o_orderkey").alias("contest"), (F.col("o_custkey") % 40).alias("title"), F.substring("o_orderpriority", 1, 1).alias("keyword"), (F.col("o_orderkey") % 25).alias("page"))
-    buttons = events.where("event_id < 1000").select(F.col("event_id").alias("button"), (F.col("user_id") % 60).alias("title"), (F.col("event_id") % 7).cast("string").alias("keyword"), (F.col("event_id") % 25).alias("page"))
-    log = events.where("event_type = 'purchase' and event_id < 1000").groupBy((F.col("user_id") % 97).alias("title")).agg(F.max("event_id").alias("button"))
-    sources = [contests.join(log, "title").select("contest", "button"), contests.join(buttons.select("title", "button"), "title").select("contest", "button"), contests.join(buttons.select("keyword", "page", "button"), ["keyword", "page"]).select("contest", "button"), contests.join(buttons.select("page", "button"), "page").select("contest", "button")]
-    return lookup.first_source(contests.select("contest"), "contest", *sources)
+    contests = orders.select(F.col("o_orderkey").alias("contest"), (F.col("o_custkey") % 140).alias("title"), F.substring("o_orderpriority", 1, 1).alias("keyword"), (F.col("o_orderkey") % 25).alias("page"))
+    buttons = events.select(F.col("event_id").alias("button"), (F.col("user_id") * 3 % 100).alias("title"), (F.col("event_id") % 3).cast("string").alias("keyword"), (F.col("event_id") % 25).alias("page"))
+    log = events.where("event_type = 'purchase'").groupBy((F.col("user_id") * 7 % 97).alias("title")).agg(F.lit(1).cast("long").alias("n"), F.max("event_id").alias("button"))
+    # buttons are counted by what is asked for before they meet contests: no join multiplies rows
+    by = lambda rows, *keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("button").alias("button"))
+    sources = [contests.join(log, "title"), contests.join(by(buttons.where("button % 2 = 0"), "title"), "title"), contests.join(by(buttons, "keyword", "page"), ["keyword", "page"]), contests.join(by(buttons, "page"), "page")]
+    return lookup.first_source(contests.select("contest"), "contest", *[x.select("contest", "n", "button") for x in sources])
 
 
 SQL_BUTTONS = """
-WITH c AS (SELECT o_orderkey AS contest, o_custkey % 40 AS title, o_orderpriority[1] AS keyword, o_orderkey % 25 AS page FROM orders WHERE o_orderkey < 2000),
-b AS (SELECT event_id AS button, user_id % 60 AS title, (event_id % 7)::VARCHAR AS keyword, event_id % 25 AS page FROM events WHERE event_id < 1000),
-l AS (SELECT user_id % 97 AS title, max(event_id) AS button FROM events WHERE event_type = 'purchase' AND event_id < 1000 GROUP BY 1),
-s AS (SELECT 0 AS source, contest, l.button FROM c JOIN l USING (title) UNION ALL SELECT 1, contest, b.button FROM c JOIN b USING (title)
-    UNION ALL SELECT 2, contest, b.button FROM c JOIN b USING (keyword, page) UNION ALL SELECT 3, contest, b.button FROM c JOIN b USING (page))
-SELECT contest, source::INTEGER AS source, button FROM s QUALIFY source = min(source) OVER (PARTITION BY contest)"""
+WITH c AS (SELECT o_orderkey AS contest, o_custkey % 140 AS title, o_orderpriority[1] AS keyword, o_orderkey % 25 AS page FROM orders),
+b AS (SELECT event_id AS button, user_id * 3 % 100 AS title, (event_id % 3)::VARCHAR AS keyword, event_id % 25 AS page FROM events),
+l AS (SELECT user_id * 7 % 97 AS title, 1::BIGINT AS n, max(event_id) AS button FROM events WHERE event_type = 'purchase' GROUP BY 1),
+t AS (SELECT title, count(*) AS n, min(button) AS button FROM b WHERE button % 2 = 0 GROUP BY 1),
+k AS (SELECT keyword, page, count(*) AS n, min(button) AS button FROM b GROUP BY 1, 2),
+p AS (SELECT page, count(*) AS n, min(button) AS button FROM b GROUP BY 1),
+s AS (SELECT 0 AS source, contest, l.n, l.button FROM c JOIN l USING (title) UNION ALL SELECT 1, contest, t.n, t.button FROM c JOIN t USING (title)
+    UNION ALL SELECT 2, contest, k.n, k.button FROM c JOIN k USING (keyword, page) UNION ALL SELECT 3, contest, p.n, p.button FROM c JOIN p USING (page))
+SELECT contest, source::INTEGER AS source, n, button FROM s QUALIFY source = min(source) OVER (PARTITION BY contest)"""
 
 
 def panel_contests(spark, sf_dir):
@@ -286,29 +291,37 @@ UNION ALL SELECT o_orderkey, 'outlier' FROM n WHERE abs(z) > 1.7 AND state IS NO
 
 
 def annotated_rows(spark, sf_dir):
-    """People, places, ballot types and numbers of each document's first lines, and of each source as a whole."""
+    """How many different people, places, ballot types and numbers the whole texts of each source name, and in how many documents."""
     documents, = read(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select("source", "doc_id", F.regexp_extract_all(text, F.lit("([A-Z][a-z]+ [A-Z][a-z]+)"), 1).alias("people"), F.regexp_extract_all(text, F.lit("\\b([0-9][0-9,.]*)"), 1).alias("numbers"), F.filter(F.array(*map(F.lit, T.BALLOT_ORDER)), lambda b: F.contains(F.lower(text), b)).alias("ballots"))
-    whole = rows.groupBy("source").agg(*[F.size(F.array_distinct(F.flatten(F.collect_list(F.array_distinct(c))))).alias(c) for c in ("people", "ballots")], F.sum(F.size("numbers")).alias("numbers"))
-    return whole
+    words = lambda known: F.filter(F.array(*map(F.lit, known)), lambda b: F.contains(F.lower(text), b))
+    kinds = {"people": F.regexp_extract_all(text, F.lit("([A-Z][a-z]+ [A-Z][a-z]+)"), 1), "places": words(T.LOCATION_WORDS), "ballots": words(T.BALLOT_ORDER), "numbers": F.regexp_extract_all(text, F.lit("\\b([0-9][0-9,.]*)"), 1)}
+    rows = documents.select("source", "doc_id", *[F.array_distinct(v).alias(k) for k, v in kinds.items()])
+    named = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("found")) for k in kinds])
+    return rows.select("source", "doc_id", F.inline(named)).select("source", "doc_id", "kind", F.explode("found").alias("name")).groupBy("source", "kind").agg(F.count_distinct("name").alias("n_names"), F.count_distinct("doc_id").alias("n_documents"))
 
 
 _BALLOTS = ", ".join(f"'{b}'" for b in T.BALLOT_ORDER)
+_WORDS = ", ".join(f"'{b}'" for b in T.LOCATION_WORDS)
 SQL_ANNOTATED = rf"""
-WITH r AS (SELECT source, list_distinct(regexp_extract_all(coalesce(text, ''), '([A-Z][a-z]+ [A-Z][a-z]+)', 1)) AS p, list_filter([{_BALLOTS}], lambda b: contains(lower(coalesce(text, '')), b)) AS b,
-    len(regexp_extract_all(coalesce(text, ''), '\b([0-9][0-9,.]*)', 1)) AS n FROM documents)
-SELECT source, len(list_distinct(flatten(list(p))))::INTEGER AS people, len(list_distinct(flatten(list(b))))::INTEGER AS ballots, sum(n)::BIGINT AS numbers FROM r GROUP BY source"""
+WITH d AS (SELECT source, doc_id, coalesce(text, '') AS text FROM documents),
+r AS (
+    SELECT source, doc_id, 'people' AS kind, unnest(regexp_extract_all(text, '([A-Z][a-z]+ [A-Z][a-z]+)', 1)) AS name FROM d
+    UNION ALL SELECT source, doc_id, 'numbers', unnest(regexp_extract_all(text, '\b([0-9][0-9,.]*)', 1)) FROM d
+    UNION ALL SELECT source, doc_id, 'places', unnest(list_filter([{_WORDS}], lambda b: contains(lower(text), b))) FROM d
+    UNION ALL SELECT source, doc_id, 'ballots', unnest(list_filter([{_BALLOTS}], lambda b: contains(lower(text), b))) FROM d)
+SELECT source, kind, count(DISTINCT name) AS n_names, count(DISTINCT doc_id) AS n_documents FROM r GROUP BY ALL"""
 
 
 def confirmed_structures(spark, sf_dir):
-    """Structures that were confirmed, latest first for each title, of tables that hold something."""
+    """Structures that were confirmed, of tables that hold something: one row each, and whether it is its title's latest."""
     orders, = read(spark, sf_dir, "orders")
-    rows = orders.select((F.col("o_custkey") % 100).alias("title"), "o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("confirmed"), (F.col("o_orderkey") % 3).alias("n_rows"))
-    return rows.where("confirmed = 1 and n_rows > 0").groupBy("title").agg(F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey"), False), lambda x: x.cast("string")), ",").alias("keys"))
+    rows = orders.select((F.col("o_custkey") % 100).alias("title"), F.col("o_orderkey").alias("key"), (F.col("o_orderstatus") == "F").alias("confirmed"), (F.col("o_orderkey") % 3).alias("n_rows"))
+    kept = rows.where("confirmed and n_rows > 0").select("title", "key")
+    return kept.join(kept.groupBy("title").agg(F.max("key").alias("last")), "title").select("title", "key", (F.col("key") == F.col("last")).alias("latest"))
 
 
-SQL_CONFIRMED = "SELECT o_custkey % 100 AS title, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey DESC) AS keys FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 > 0 GROUP BY 1"
+SQL_CONFIRMED = "SELECT o_custkey % 100 AS title, o_orderkey AS key, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey % 100) AS latest FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 > 0"
 
 
 QUERIES = {

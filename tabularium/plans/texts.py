@@ -195,6 +195,33 @@ blocks AS (SELECT *, sum(regexp_matches(value, '^[A-Z][a-z]+ .*\.$')::INT) OVER
 SELECT doc_id, block::BIGINT AS block, count(*) AS n_lines, min(line) AS first_line FROM blocks WHERE block > 0 GROUP BY ALL"""
 
 
+def contest_blocks(spark, sf_dir):
+    """Contests, candidates, parties, shares and votes that texts tell: a text for each customer with orders, lines by a rule."""
+    (orders,) = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    pick = lambda n, *options: F.element_at(F.array(*map(F.lit, options)), F.pmod(n, F.lit(len(options))).cast("int") + 1)
+    votes = F.format_number(k, 0)
+    line = F.when(k % 11 == 0, F.concat(pick(k, "US SENATE ", "For President ", "Governor, ", "Member of Congress "), "o_orderpriority")).when(k % 7 == 0, F.lit("  ")).when(k % 5 == 1, F.concat((k % 101).cast("string"), F.lit(".5 %")))
+    line = line.when(k % 5 == 2, votes).when(k % 5 == 3, pick(k, "Democratic", "the REPUBLICAN line", "Working Families", "write-in votes")).when(k % 13 == 0, F.lit("Republican 40%")).otherwise(F.concat(F.lit(" Ann "), "o_orderstatus", F.lit(" "), k % 17))
+    texts = orders.select("o_custkey", "o_orderkey", line.alias("line")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return files.contest_rows(texts, "o_custkey", "text")
+
+
+SQL_CONTESTS = r"""
+WITH l AS (
+    SELECT o_custkey, o_orderkey AS k, trim(CASE WHEN o_orderkey % 11 = 0 THEN ['US SENATE ', 'For President ', 'Governor, ', 'Member of Congress '][o_orderkey % 4 + 1] || o_orderpriority WHEN o_orderkey % 7 = 0 THEN '  '
+        WHEN o_orderkey % 5 = 1 THEN o_orderkey % 101 || '.5 %' WHEN o_orderkey % 5 = 2 THEN format('{:,}', o_orderkey)
+        WHEN o_orderkey % 5 = 3 THEN ['Democratic', 'the REPUBLICAN line', 'Working Families', 'write-in votes'][o_orderkey % 4 + 1] WHEN o_orderkey % 13 = 0 THEN 'Republican 40%' ELSE ' Ann ' || o_orderstatus || ' ' || o_orderkey % 17 END) AS v
+    FROM orders),
+c AS (SELECT *, regexp_matches(lower(v), 'president|senate|congress|governor') AS opens FROM l WHERE v <> ''),
+n AS (SELECT *, sum(opens::INT) OVER w AS contest_no FROM c WINDOW w AS (PARTITION BY o_custkey ORDER BY k)),
+p AS (SELECT *, first_value(v) OVER w AS contest, row_number() OVER w - 2 AS place FROM n WHERE contest_no > 0 WINDOW w AS (PARTITION BY o_custkey, contest_no ORDER BY k)),
+s AS (SELECT *, place // 4 AS row_no, CASE WHEN place % 4 = 0 THEN 'candidate' WHEN contains(v, '%') THEN 'percentage' WHEN regexp_matches(replace(v, ',', ''), '^\d+$') THEN 'votes'
+    WHEN regexp_matches(lower(v), 'democratic|republican|conservative|working|families|write-in') THEN 'party' END AS kind FROM p WHERE NOT opens)
+SELECT o_custkey, contest_no::BIGINT AS contest_no, contest, row_no, max(v) FILTER (WHERE kind = 'candidate') AS candidate, arg_max(v, k) FILTER (WHERE kind = 'party') AS party,
+    arg_max(v, k) FILTER (WHERE kind = 'percentage') AS percentage, arg_max(v, k) FILTER (WHERE kind = 'votes') AS votes FROM s GROUP BY o_custkey, contest_no, contest, row_no"""
+
+
 def delimiter_sniff(spark, sf_dir):
     (documents,) = read(spark, sf_dir, "documents")
     return documents.select("doc_id", T.delimiter(F.coalesce("text", F.lit(""))).alias("mark"))
@@ -260,6 +287,7 @@ QUERIES = {
     "regex_entities": (regex_entities, SQL_ENTITIES),
     "overlap_removal": (overlap_removal, SQL_OVERLAP),
     "flat_text_table": (flat_text_table, SQL_FLAT),
+    "contest_blocks": (contest_blocks, SQL_CONTESTS),
     "text_block_rows": (text_block_rows, SQL_BLOCKS),
     "delimiter_sniff": (delimiter_sniff, SQL_SNIFF),
     "page_hash": (page_hash, SQL_HASH),

@@ -57,7 +57,7 @@ def interpreted(texts: DataFrame, key: str, text: str, needed: tuple[tuple[str,
     for some in needed:
         ok = ok & F.arrays_overlap("headers", F.array(*map(F.lit, some)))
     wrong = heads.where(~ok).select(key, F.lit(None).cast("int").alias("row"), F.lit(None).cast("map<string, string>").alias("values"), F.lit("essential headers are missing").alias("error"))
-    body = heads.where(ok).select(key, "headers", F.posexplode(F.slice("rows", 2, 2_000_000)).alias("row", "cells"))
+    body = heads.where(ok).select(key, "headers", F.posexplode(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))).alias("row", "cells"))
     right = body.select(key, "row", F.map_from_entries(F.filter(F.transform("headers", lambda h, i: F.struct(h.alias("k"), F.coalesce(F.get("cells", i), F.lit("")).alias("v"))), lambda e, i: F.array_position("headers", e["k"]) == i + 1)).alias("values"))
     return right.select(key, "row", "values", F.lit(None).cast("string").alias("error")).unionByName(wrong)
 
@@ -79,6 +79,35 @@ def text_blocks(texts: DataFrame, key: str, text: str, header: str) -> DataFrame
     return lines.withColumn("block", block).where("block > 0")
 
 
+# What opens a contest in a block of text, and what tells a party.
+CONTEST_WORDS = ("president", "senate", "congress", "governor")
+PARTY_WORDS = ("democratic", "republican", "conservative", "working", "families", "write-in")
+
+
+def contest_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, contest_no, contest, row_no, candidate, party, percentage, votes: the rows that blocks of text tell.
+
+    A line that names an office opens a contest.  The lines below it, blank ones aside, go
+    by fours: a candidate, then three that are a percentage, a number of votes or a party
+    by their shape (the last of a kind counts; others are ignored).  A contest without
+    lines has no rows.  Fours are counted from the contest's line, so what a line is needs
+    no look ahead: a running count and one grouping, both within a text.
+    """
+    lines = texts.select(key, F.posexplode(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("line", "value")).withColumn("value", F.regexp_replace("value", r"(?U)^\s+|\s+$", "")).where("value <> ''")
+    opens = F.exists(F.array(*map(F.lit, CONTEST_WORDS)), lambda w: F.contains(F.lower("value"), w))
+    before = Window.partitionBy(key).orderBy("line")
+    lines = lines.withColumn("contest_no", F.sum(opens.cast("int")).over(before)).withColumn("start", F.max(F.when(opens, F.struct("line", "value"))).over(before)).withColumn("place", F.row_number().over(before))
+    lines = lines.withColumn("first", F.max(F.when(opens, F.col("place"))).over(before)).where(~opens & (F.col("contest_no") > 0))
+    lines = lines.withColumn("place", F.col("place") - F.col("first") - 1)
+    value, last = F.col("value"), lambda rule: F.max_by("value", F.when(rule & (F.col("place") % 4 > 0), F.col("line")))
+    percent, votes = F.contains("value", F.lit("%")), F.regexp_like(F.replace("value", F.lit(","), F.lit("")), F.lit(r"^\d+$"))
+    party = F.exists(F.array(*map(F.lit, PARTY_WORDS)), lambda w: F.contains(F.lower(value), w))
+    rows = lines.groupBy(key, "contest_no", F.col("start.value").alias("contest"), F.floor(F.col("place") / 4).alias("row_no")).agg(
+        F.min_by("value", "line").alias("candidate"), last(party & ~percent & ~votes).alias("party"), last(percent).alias("percentage"), last(votes & ~percent).alias("votes")
+    )
+    return rows
+
+
 def manifest(entries: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last entry of each key."""
     from tabularium.operators.tables import last_rows

@@ -45,15 +45,14 @@ def last_state(rows: DataFrame, keys: list[str], path: str, checkpoint: str) ->
     overwrites only itself; the last row of each key is the result.
     """
 
-    written: list[int] = []
-
     def put(df: DataFrame, n: int) -> None:
         df.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/{n:09d}")
-        written.append(n)
 
     rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    # all batches that are there, those of earlier runs from the same checkpoint as well
     spark = rows.sparkSession
-    if not written:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], rows.schema)
-    found = spark.read.parquet(*[f"{path}/{n:09d}" for n in sorted(set(written))])
+    found = spark.read.parquet(f"{path}/*")
     return last_rows(found, keys, "_batch").drop("_batch").select(rows.columns)
