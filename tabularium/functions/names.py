@@ -145,6 +145,31 @@ def _verdict(*rules: tuple[Column, Column, str]) -> Column:
     return F.coalesce(*tried, made(F.lit(None).cast("string"), F.lit(0.0), rules[0][2], "fail"))
 
 
+# Words that tell what a title is about.
+PANEL_WORDS = ("panel", "section", "container", "box", "area")
+TABLE_WORDS = ("table", "results", "summary", "sheet", "spreadsheet", "grid")
+DISTRICT_WORDS = ("district", "ward", "precinct", "zone", "division")
+ORGANISATION = r"\b(?:[A-Z][a-z]+ )+(?:Inc|Corp|Ltd|LLC|Department|University|Committee|Party|Board|Council)\b"
+
+
+def organisation(text: Column) -> Column:
+    """The first name of an organisation in a text; null if there is none."""
+    return F.nullif(F.regexp_extract(text, f"({ORGANISATION})", 1), F.lit(""))
+
+
+def sought(texts: tuple[Column, ...], words: tuple[str, ...], known: Column) -> Column:
+    """The first of the words in the texts, one after the other, else the first organisation in them, else what is known."""
+    word = F.coalesce(*[F.nullif(F.regexp_extract(t, f"(?i)({'|'.join(words)})", 1), F.lit("")) for t in texts])
+    found = _verdict((word, F.lit(0.9), "regex"), (F.coalesce(*map(organisation, texts)), F.lit(0.85), "entity"), (known, F.lit(1.0), "direct_lookup"))
+    return found.withField("method", F.when(found["result"] == "fail", "direct_lookup").otherwise(found["method"]))
+
+
+def given(value: Column, method: str, otherwise: str) -> Column:
+    """A value that is there or not."""
+    found = _verdict((value, F.lit(1.0), method))
+    return found.withField("method", F.when(found["result"] == "fail", otherwise).otherwise(found["method"]))
+
+
 def district(title: Column) -> Column:
     """The number after 'District', else the first number that is a word, else the number after a word close to it."""
     tokens = F.split(F.trim(title), r"\s+")

@@ -157,3 +157,12 @@ def segment_texts(found: DataFrame) -> Column:
     """What stands for a segment in a search by meaning: tag, attributes by name, text."""
     pairs = F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return F.concat_ws(" ", "tag", F.array_join(pairs, " "), "text")
+
+
+def titles_near(found: DataFrame, tag: str = "table", window: int = 5) -> DataFrame:
+    """page_id, idx, title: of each segment with the tag, the first heading or caption of more than two words within ``window`` segments, in page order; null if there is none."""
+    titles = found.where(F.col("tag").isin("h1", "h2", "h3", "caption") & (F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) > 2)).select("page_id", F.col("idx").alias("_at"), "text")
+    # a title is near 2 * window + 1 places: it meets them by an equality
+    near = titles.select("page_id", "_at", "text", F.explode(F.sequence(F.col("_at") - window, F.col("_at") + window)).alias("idx"))
+    first = near.groupBy("page_id", "idx").agg(F.min_by("text", "_at").alias("title"))
+    return found.where(F.col("tag") == tag).select("page_id", "idx").join(first, ["page_id", "idx"], "left")

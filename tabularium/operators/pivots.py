@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.functions import text as T
+from tabularium.functions.names import organisation
 
 
 def column_key(candidate: Column, party: Column, ballot: Column) -> Column:
@@ -103,3 +104,21 @@ def nested_results(docs: DataFrame, column: str) -> DataFrame:
     groups = precincts.select("contest", "candidate", "party", "precinct", "all_votes", F.inline_outer("groupResults"))
     method = F.when(F.col("groupName") == "Mail-In", "Absentee Mail").otherwise(F.col("groupName"))
     return groups.select("contest", "candidate", "party", "precinct", method.alias("method"), F.col("voteCount").alias("votes"), "all_votes")
+
+
+def candidate_cells(rows: DataFrame, candidate: str, location: str, ballots: Sequence[str], order: str) -> DataFrame:
+    """location ('All' where there is none), column, value of tables with a row for each candidate.
+
+    Columns are 'name (party) - ballot', 'name (party) - Total' and 'Grand Total'; the party
+    is an organisation that the candidate's cell names, else Other.  Counts are numbers with
+    or without commas, else 0; of two rows of a candidate and place the last one counts.
+    """
+    name = F.trim(F.split(F.col(candidate), "\n")[0])
+    label = F.concat(name, F.lit(" ("), F.coalesce(organisation(F.col(candidate)), F.lit("Other")), F.lit(")"))
+    counts = {b: F.coalesce(T.votes(F.col(b)), F.lit(0)) for b in ballots}
+    own = rows.select(F.coalesce(F.col(location), F.lit("All")).alias("location"), label.alias("label"), F.col(order).alias("_order"), F.struct(*[c.alias(b) for b, c in counts.items()]).alias("_counts"))
+    last = own.groupBy("location", "label").agg(F.max_by("_counts", "_order").alias("_counts"))
+    total = sum((F.col("_counts")[b] for b in ballots), F.lit(0))
+    cells = [F.struct(F.concat("label", F.lit(f" - {b}")).alias("column"), F.col("_counts")[b].alias("value")) for b in ballots]
+    cells += [F.struct(F.concat("label", F.lit(" - Total")).alias("column"), total.alias("value")), F.struct(F.lit("Grand Total").alias("column"), total.alias("value"))]
+    return last.select("location", F.inline(F.array(*cells))).groupBy("location", "column").agg(F.sum("value").alias("value"))

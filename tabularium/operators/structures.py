@@ -107,3 +107,16 @@ def likely_header(cells: Column) -> Column:
 
 def top_n(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def rescanned(headers: DataFrame, table: str, order: str, name: str, score: Column, entity: Column, least: float = 0.85) -> DataFrame:
+    """table, order, header, score, mean, passed, kept of every header.
+
+    A table whose headers score ``least`` on average keeps them; else each becomes the first
+    entity that it names, and of headers that are equal then, the first stays (kept).
+    """
+    rows = headers.withColumn("score", F.round(score, 6))
+    means = rows.groupBy(table).agg(F.round(F.avg("score"), 6).alias("mean"))
+    rows = rows.join(means, table).withColumn("passed", F.col("mean") >= least).withColumn("_new", F.when(F.col("passed"), F.col(name)).otherwise(F.coalesce(entity, name)))
+    first = rows.groupBy(table, "_new").agg(F.min(order).alias("_first"))
+    return rows.join(first, [table, "_new"]).select(table, order, F.col("_new").alias("header"), "score", "mean", "passed", (F.col("passed") | (F.col(order) == F.col("_first"))).alias("kept"))

@@ -81,6 +81,24 @@ cells AS (
 _CELL_KEYS = ("A - F", "N - F", "N - O", "R - F")
 
 
+def candidate_party_cells(spark, sf_dir):
+    """A row for each candidate and place, some without a place: cells by candidate, party and ballot type, with totals."""
+    line, supplier, nation = read(spark, sf_dir, "lineitem", "supplier", "nation")
+    who = F.element_at(F.array(F.lit("Ann Lee\nGreen Party"), F.lit("Jo Poe"), F.lit("Mia Roe \n Old Harbor Committee")), F.pmod("l_partkey", F.lit(3)).cast("int") + 1)
+    rows = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = rows.groupBy(F.when(F.col("n_nationkey") % 5 > 0, F.col("n_name")).alias("place"), who.alias("who")).agg(*[F.format_number(F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity").cast("bigint"))), 0).alias(f) for f in FLAGS], F.min("l_orderkey").alias("ord"))
+    return pivots.candidate_cells(rows, "who", "place", FLAGS, "ord")
+
+
+SQL_PARTY_CELLS = f"""
+WITH r AS (
+    SELECT CASE WHEN n_nationkey % 5 > 0 THEN n_name ELSE 'All' END AS location, ['Ann Lee (Green Party)', 'Jo Poe (Other)', 'Mia Roe (Old Harbor Committee)'][l_partkey % 3 + 1] AS label, l_returnflag AS ballot, l_quantity::BIGINT AS q
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+SELECT location, label || ' - ' || ballot AS "column", sum(q)::BIGINT AS value FROM r GROUP BY ALL
+UNION ALL SELECT location, label || ' - Total', sum(q)::BIGINT FROM r GROUP BY ALL
+UNION ALL SELECT location, 'Grand Total', sum(q)::BIGINT FROM r GROUP BY ALL"""
+
+
 def wide_first_wins(spark, sf_dir):
     return pivots.first_wins(_cells(spark, sf_dir), "unit", "key", "value", "ord", _CELL_KEYS)
 
@@ -315,6 +333,7 @@ SELECT *, concat_ws(',', CASE WHEN NOT location THEN 'location' END, CASE WHEN N
 
 QUERIES = {
     "wide_pivot_totals": (wide_pivot_totals, SQL_WIDE),
+    "candidate_party_cells": (candidate_party_cells, SQL_PARTY_CELLS),
     "candidate_major": (candidate_major, SQL_CANDIDATE),
     "wide_first_wins": (wide_first_wins, _wins("arg_min")),
     "wide_last_wins": (wide_last_wins, _wins("arg_max")),

@@ -120,21 +120,37 @@ SELECT p_partkey, CASE WHEN named THEN said[strpos(lower(said), lower(own)) : st
 
 
 def contest_fields(spark, sf_dir):
-    """Title and candidates of each contest as value, score and result, one row for each field."""
-    orders, customer = read(spark, sf_dir, "orders", "customer")
-    title = F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment"))
-    contests = customer.join(orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_set("o_orderpriority")).alias("people")), "c_custkey", "left")
-    people = F.coalesce(F.array_join("people", "|"), F.lit(""))
-    field = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("value"), F.when(F.coalesce(value, F.lit("")) != "", 1.0).otherwise(0.0).alias("score"), F.when(F.coalesce(value, F.lit("")) != "", "pass").otherwise("fail").alias("result"))
-    return contests.select("c_custkey", F.inline(F.array(field("title", title), field("candidate", people))))
-
-
-SQL_FIELDS = """
+    """Title, candidates, panel, tables and districts of each contest: value, score, method and result, one row for each field."""
+    orders, customer, nation = read(spark, sf_dir, "orders", "customer", "nation")
+    k = F.col("c_custkey")
+    said = F.element_at(F.array(F.lit("Council AREA results"), F.lit("Summary, Green Harbor Board"), F.lit("for Mill Valley Council"), F.lit("plain words"), F.lit(None), F.lit("ward 7 of Oak Party")), F.pmod(k, F.lit(6)).cast("int") + 1)
+    county = F.when(k % 4 == 0, F.concat(F.lit("Zone "), "c_nationkey")).when(k % 4 == 1, F.lit("Elm Street Committee"))
+    people = orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.sort_array(F.collect_set("o_orderpriority")), "|").alias("people"))
+    # what is known by direct lookup: panels by nation, districts by the nation's region
+    known = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("panel of "), "n_name")).alias("panel"), F.when(F.col("n_regionkey") > 1, F.concat(F.lit("region "), "n_regionkey")).alias("part"))
+    rows = customer.join(people, "c_custkey", "left").join(known, "c_nationkey").select("c_custkey", said.alias("title"), county.alias("county"), "people", "panel", "part")
+    title, place = F.col("title"), F.col("county")
+    fields = {"title": N.given(title, "manual", "undefined"), "candidate": N.given(F.col("people"), "nlp", "nlp"), "panel": N.sought((title,), N.PANEL_WORDS, F.col("panel")), "tables": N.sought((title,), N.TABLE_WORDS, F.col("panel")), "districts": N.sought((title, place), N.DISTRICT_WORDS, F.col("part"))}
+    return rows.select("c_custkey", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("v")) for f, v in fields.items()]))).select("c_custkey", "field", "v.*")
+
+
+_SOUGHT = "SELECT c_custkey, '{field}' AS field, nullif(regexp_extract({text}, '(?i)({words})', 1), '') AS word, nullif(regexp_extract({text}, '({org})', 1), '') AS org, {known} AS known FROM r"
+_TWO = "coalesce(nullif(regexp_extract(title, '{p}', 1), ''), nullif(regexp_extract(county, '{p}', 1), ''))"
+SQL_FIELDS = rf"""
 WITH p AS (SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), '|') AS people FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
-f AS (
-    SELECT c_custkey, 'title' AS field, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS value FROM customer
-    UNION ALL SELECT c_custkey, 'candidate', coalesce(people, '') FROM customer LEFT JOIN p ON o_custkey = c_custkey)
-SELECT *, CASE WHEN coalesce(value, '') <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS score, CASE WHEN coalesce(value, '') <> '' THEN 'pass' ELSE 'fail' END AS result FROM f"""
+r AS (
+    SELECT c_custkey, ['Council AREA results', 'Summary, Green Harbor Board', 'for Mill Valley Council', 'plain words', NULL, 'ward 7 of Oak Party'][c_custkey % 6 + 1] AS title,
+        CASE c_custkey % 4 WHEN 0 THEN 'Zone ' || c_nationkey WHEN 1 THEN 'Elm Street Committee' END AS county, people,
+        CASE WHEN n_nationkey % 2 = 0 THEN 'panel of ' || n_name END AS panel, CASE WHEN n_regionkey > 1 THEN 'region ' || n_regionkey END AS part
+    FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN p ON o_custkey = c_custkey),
+s AS (
+    {_SOUGHT.format(field="panel", text="title", words="|".join(N.PANEL_WORDS), org=N.ORGANISATION, known="panel")}
+    UNION ALL {_SOUGHT.format(field="tables", text="title", words="|".join(N.TABLE_WORDS), org=N.ORGANISATION, known="panel")}
+    UNION ALL SELECT c_custkey, 'districts', {_TWO.format(p="(?i)(" + "|".join(N.DISTRICT_WORDS) + ")")}, {_TWO.format(p="(" + N.ORGANISATION + ")")}, part FROM r)
+SELECT c_custkey, 'title' AS field, title AS value, (title IS NOT NULL)::INT::DOUBLE AS score, CASE WHEN title IS NULL THEN 'undefined' ELSE 'manual' END AS method, CASE WHEN title IS NULL THEN 'fail' ELSE 'pass' END AS result FROM r
+UNION ALL SELECT c_custkey, 'candidate', people, (people IS NOT NULL)::INT::DOUBLE, 'nlp', CASE WHEN people IS NULL THEN 'fail' ELSE 'pass' END FROM r
+UNION ALL SELECT c_custkey, field, coalesce(word, org, known), CASE WHEN word IS NOT NULL THEN 0.9 WHEN org IS NOT NULL THEN 0.85 WHEN known IS NOT NULL THEN 1.0 ELSE 0.0 END,
+    CASE WHEN word IS NOT NULL THEN 'regex' WHEN org IS NOT NULL THEN 'entity' ELSE 'direct_lookup' END, CASE WHEN coalesce(word, org, known) IS NULL THEN 'fail' ELSE 'pass' END FROM s"""
 
 
 def entry_scores(spark, sf_dir):
@@ -153,16 +169,6 @@ SELECT o_orderkey, [0.4, 0.3, 0.1, 0.0, 0.5][o_orderkey % 5 + 1]::DOUBLE AS scor
     ['date', '', 'location', 'no entities', 'date'][o_orderkey % 5 + 1] AS notes FROM orders"""
 
 
-def suggested_corrections(spark, sf_dir):
-    """Entries whose score is below 0.7, best first within each status."""
-    (orders,) = read(spark, sf_dir, "orders")
-    score = F.round(F.col("o_totalprice") / 500000, 4)
-    return orders.select("o_orderkey", "o_orderstatus", score.alias("score")).where("score < 0.7")
-
-
-SQL_SUGGESTED = "SELECT o_orderkey, o_orderstatus, round(o_totalprice / 500000, 4) AS score FROM orders WHERE round(o_totalprice / 500000, 4) < 0.7"
-
-
 def ensured_titles(spark, sf_dir):
     customer, = read(spark, sf_dir, "customer")
     blank = lambda n, c: F.when(F.col("c_custkey") % n == 0, F.lit("  ")).otherwise(c)
@@ -291,19 +297,41 @@ FROM orders GROUP BY o_custkey"""
 
 
 def rescanned_headers(spark, sf_dir):
-    """Tables whose headers score 0.85 or more on average keep them; the others' headers become their first entity."""
+    """Headers with their scores as entries; where these are below 0.25 on average, headers become the first entity they name, and equal ones are one."""
     (part,) = read(spark, sf_dir, "part")
-    score = F.when(F.col("p_size") > 5, 1.0).otherwise(0.0)
-    named = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.lit(" Ann Lee")).otherwise(F.lit("")))
-    rows = part.select("p_brand", "p_partkey", named.alias("header"), score.alias("score"))
-    mean = rows.groupBy("p_brand").agg(F.round(F.avg("score"), 6).alias("mean"))
+    k = F.col("p_partkey")
+    header = F.element_at(F.array(F.col("p_name"), F.concat(F.lit("votes of Ann Lee "), "p_size"), F.lit("since 2020 Jo Poe"), F.lit("total")), F.pmod(k * k, F.lit(7)).cast("int") % 4 + 1)
+    rows = part.select(F.concat_ws("/", "p_brand", F.col("p_size") % 5).alias("table_id"), "p_partkey", header.alias("header"))
     entity = F.nullif(F.regexp_extract("header", r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b", 1), F.lit(""))
-    return rows.join(mean, "p_brand").select("p_partkey", F.when(F.col("mean") >= 0.85, F.col("header")).otherwise(F.coalesce(entity, "header")).alias("header"), "mean")
+    return structures.rescanned(rows, "table_id", "p_partkey", "header", N.entry_score(F.col("header")), entity, 0.25)
+
 
+SQL_RESCAN = r"""
+WITH h AS (SELECT p_brand || '/' || p_size % 5 AS table_id, p_partkey, [p_name, 'votes of Ann Lee ' || p_size, 'since 2020 Jo Poe', 'total'][(p_partkey * p_partkey % 7) % 4 + 1] AS header FROM part),
+s AS (
+    SELECT *, round(regexp_matches(header, '\b(19|20)\d\d\b|\b[A-Z][a-z]+ [A-Z][a-z]+\b')::INT * 0.2 + regexp_matches(header, '\b(19|20)\d\d\b')::INT * 0.2 + (len(string_split(header, ' ')) > 2)::INT * 0.1, 6)::DOUBLE AS score FROM h),
+m AS (SELECT *, round(avg(score) OVER (PARTITION BY table_id), 6) AS mean FROM s),
+n AS (SELECT *, CASE WHEN mean >= 0.25 THEN header ELSE coalesce(nullif(regexp_extract(header, '\b([A-Z][a-z]+ [A-Z][a-z]+)\b', 1), ''), header) END AS new FROM m)
+SELECT table_id, p_partkey, new AS header, score, mean, mean >= 0.25 AS passed, mean >= 0.25 OR p_partkey = min(p_partkey) OVER (PARTITION BY table_id, new) AS kept FROM n"""
 
-SQL_RESCAN = """
-WITH m AS (SELECT p_brand, round(avg((p_size > 5)::INT::DOUBLE), 6) AS mean FROM part GROUP BY 1)
-SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN mean >= 0.85 THEN p_name || ' Ann Lee' ELSE 'Ann Lee' END ELSE p_name END AS header, mean FROM part JOIN m USING (p_brand)"""
+
+def suggested_corrections(spark, sf_dir):
+    """Entries of a log that score below 0.7 or failed, with the field and the note that each seems to need; the ten best of each status, by score and key."""
+    (orders,) = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = F.element_at(F.array(F.concat(F.lit("since "), F.date_format("o_orderdate", "yyyy")), F.lit("Ann Lee"), F.lit("plain words here"), F.concat(F.lit("Jo Poe "), F.date_format("o_orderdate", "yyyy"))), F.pmod(k, F.lit(4)).cast("int") + 1)
+    none = F.lit(False)
+    rows = orders.select("o_orderkey", "o_orderstatus", text.alias("text"), F.round(F.col("o_totalprice") / 500000, 4).alias("logged"), F.when(k % 9 == 0, "fail").otherwise("pass").alias("result"))
+    rows = rows.where("logged < 0.7 or result = 'fail'").select("*", N.entry_score(F.col("text")).alias("score"), N.field_of(F.col("text"), none).alias("field"), F.array_join(N.notes(F.col("text"), none), ",").alias("notes"))
+    return structures.top_n(rows, "o_orderstatus", 10, F.desc("score"), F.desc("logged"), F.col("o_orderkey"))
+
+
+SQL_SUGGESTED = """
+WITH r AS (
+    SELECT o_orderkey, o_orderstatus, ['since ' || year(o_orderdate), 'Ann Lee', 'plain words here', 'Jo Poe ' || year(o_orderdate)][o_orderkey % 4 + 1] AS text, round(o_totalprice / 500000, 4) AS logged,
+        CASE WHEN o_orderkey % 9 = 0 THEN 'fail' ELSE 'pass' END AS result, [0.4, 0.2, 0.1, 0.5][o_orderkey % 4 + 1]::DOUBLE AS score, ['years', 'candidate', NULL, 'years'][o_orderkey % 4 + 1] AS field,
+        ['date', '', 'no entities', 'date'][o_orderkey % 4 + 1] AS notes FROM orders)
+SELECT * FROM r WHERE logged < 0.7 OR result = 'fail' QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY score DESC, logged DESC, o_orderkey) <= 10"""
 
 
 def enriched_contests(spark, sf_dir):

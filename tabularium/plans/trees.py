@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabularium.operators import extraction as X
 from tabularium.operators import ordered
 from tabularium.session import ship_package
 from tabularium.sources import pages, pagestore
@@ -71,6 +72,19 @@ SELECT page_id, idx, tag, parent_idx, depth, above AS direct_parent, headed, n_s
 FROM walked JOIN held USING (page_id, idx)"""
 
 
+def page_titles(spark, sf_dir):
+    """The title within five segments of every paragraph and list of the given pages."""
+    found = _segments(spark, sf_dir)
+    return X.titles_near(found, "p").withColumn("tag", F.lit("p")).unionByName(X.titles_near(found, "ul").withColumn("tag", F.lit("ul")))
+
+
+SQL_TITLES = rf"""WITH RECURSIVE {_WALK},
+titles AS (
+    SELECT page_id, idx AS at_, replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>([^<]*)</h1>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title
+    FROM walked JOIN pages USING (page_id) WHERE tag = 'h1')
+SELECT w.page_id, w.idx, w.tag, CASE WHEN len(string_split(title, ' ')) > 2 THEN title END AS title FROM walked w LEFT JOIN titles t ON t.page_id = w.page_id AND abs(w.idx - t.at_) <= 5 WHERE tag IN ('p', 'ul')"""
+
+
 def page_scan(spark, sf_dir):
     """A scan of all pages and a second one, which parses nothing: digest, segments, links, and what labels its segments have."""
     ship_package(spark)
@@ -267,6 +281,7 @@ SQL_ROOTED = f"SELECT {_PAGE} AS page_id, 1::BIGINT AS roots, count(DISTINCT c_m
 QUERIES = {
     "dom_segments": (dom_segments, SQL_SEGMENTS),
     "page_trees": (page_trees, SQL_TREES),
+    "page_titles": (page_titles, SQL_TITLES),
     "page_scan": (page_scan, SQL_SCAN),
     "tag_counts": (tag_counts, SQL_TAGS),
     "dom_parts": (dom_parts, SQL_PARTS),
