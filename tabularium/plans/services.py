@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tabularium.operators import hints, plugins
+from tabularium.operators import hints, nested, plugins
 from tabularium.session import new_path
 
 from .results import read
@@ -65,7 +65,31 @@ SELECT 'first_heading', page_id, CASE WHEN length(html) % 5 <> 0 THEN 0 END::INT
     CASE WHEN length(html) % 5 <> 0 THEN length(html)::VARCHAR END, CASE WHEN length(html) % 5 = 0 THEN 'ValueError: a length that this one refuses' END FROM pages"""
 
 
+_PATHS = {"state": "$.place.state", "county": "$.place.county.name", "code": "$.place.county.code", "votes": "$.votes", "mail": "$.ballots.mail", "early": "$.ballots.early", "kind": "$.kind"}
+
+
+def deep_merges(spark, sf_dir):
+    """Libraries of customers as nested values, with what was learnt later merged into them: single fields of the result."""
+    (customer,) = read(spark, sf_dir, "customer")
+    k = F.col("c_custkey").cast("string")
+    old = F.concat(F.lit('{"place":{"state":"'), "c_mktsegment", F.lit('","county":{"name":"c'), "c_nationkey", F.lit('","code":'), k, F.lit('}},"votes":[1,2,'), k, F.lit('],"ballots":{"mail":'), k, F.lit('}}'))
+    new = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit('{"place":{"county":{"code":-'), k, F.lit('}},"kind":"new"}'))).when(F.col("c_custkey") % 4 == 1, F.lit('{"place":"none","votes":[7]}'))
+    new = new.when(F.col("c_custkey") % 4 == 2, F.concat(F.lit('{"ballots":{"early":'), k, F.lit('},"place":{"county":"gone"}}'))).otherwise(F.lit("{}"))
+    found = nested.deep_merged(customer.select("c_custkey", old.alias("old"), new.alias("new")), "c_custkey", "old", "new")
+    return found.select("c_custkey", *[F.get_json_object("merged", path).alias(name) for name, path in _PATHS.items()])
+
+
+_FIELDS = ", ".join(f"json_extract_string(m, '{path}') AS {name}" for name, path in _PATHS.items())
+SQL_DEEP = f"""
+WITH r AS (
+    SELECT c_custkey, json_merge_patch(('{{"place":{{"state":"' || c_mktsegment || '","county":{{"name":"c' || c_nationkey || '","code":' || c_custkey || '}}}},"votes":[1,2,' || c_custkey || '],"ballots":{{"mail":' || c_custkey || '}}}}')::JSON,
+        (CASE c_custkey % 4 WHEN 0 THEN '{{"place":{{"county":{{"code":-' || c_custkey || '}}}},"kind":"new"}}' WHEN 1 THEN '{{"place":"none","votes":[7]}}'
+            WHEN 2 THEN '{{"ballots":{{"early":' || c_custkey || '}},"place":{{"county":"gone"}}}}' ELSE '{{}}' END)::JSON) AS m FROM customer)
+SELECT c_custkey, {_FIELDS} FROM r"""
+
+
 QUERIES = {
+    "deep_merges": (deep_merges, SQL_DEEP),
     "hint_store": (hint_store, SQL_HINTS),
     "plugin_rows": (plugin_rows, SQL_PLUGINS),
 }
