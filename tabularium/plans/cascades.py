@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions import names as N
 from tabularium.functions import text as T
-from tabularium.operators import places, similar, structures
+from tabularium.operators import places, review, similar, structures
 from tabularium.operators.lookup import scored
 
 from .results import read
@@ -247,7 +247,32 @@ SELECT t.url, state, CASE WHEN state IS NOT NULL THEN coalesce((SELECT norm FROM
 FROM states t JOIN said USING (url) LEFT JOIN alike ON alike.b = said"""
 
 
+def reviewed_segments(spark, sf_dir):
+    """Segments by markup and pattern after a table of corrections: one by one, by likeness over .9, by pattern, removed."""
+    (part,) = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    html = F.concat(F.lit("<div><b>"), "p_name", F.lit("</b><i>"), k % 3, F.lit("</i></div>"))
+    entries = part.select(k.alias("id"), html.alias("html"), F.col("p_type").alias("label"), F.col("p_brand").alias("pattern_id"))
+    corrections = part.where("p_partkey % 40 = 7").select((k * 7919 % 100_003).alias("seq"), k.alias("id"), _pick(F.floor(k / 40), F.lit("edit"), F.lit("edit_similar"), F.lit("edit_pattern"), F.lit("remove")).alias("action"), F.concat(F.lit("label "), k).alias("label"))
+    return review.reviewed_segments(entries, corrections)
+
+
+SQL_SEGMENTS = f"""
+WITH RECURSIVE
+e AS (SELECT p_partkey AS id, '<div><b>' || p_name || '</b><i>' || p_partkey % 3 || '</i></div>' AS html, p_type AS label, p_brand AS pattern_id FROM part),
+c AS (SELECT id, html, pattern_id, id * 7919 % 100003 AS seq, ['edit', 'edit_similar', 'edit_pattern', 'remove'][(id // 40) % 4 + 1] AS action, 'label ' || id AS new FROM e WHERE id % 40 = 7),
+pairs AS (SELECT DISTINCT e.html AS a, c.html AS b FROM e, c WHERE action = 'edit_similar'),
+{RATIO},
+told AS (
+    SELECT id, seq, new FROM c WHERE action <> 'remove'
+    UNION ALL SELECT e.id, seq, new FROM c JOIN e USING (pattern_id) WHERE action = 'edit_pattern'
+    UNION ALL SELECT e.id, seq, new FROM c JOIN ratios ON b = c.html JOIN e ON e.html = a WHERE action = 'edit_similar' AND score > 0.9),
+last AS (SELECT id, arg_max(new, seq) AS new FROM told GROUP BY id)
+SELECT id, html, coalesce(new, label) AS label, pattern_id FROM e LEFT JOIN last USING (id) WHERE id NOT IN (SELECT id FROM c WHERE action = 'remove')"""
+
+
 QUERIES = {
+    "reviewed_segments": (reviewed_segments, SQL_SEGMENTS),
     "handler_routing": (handler_routing, SQL_ROUTING),
     "best_headers": (best_headers, SQL_BEST),
     "guessed_titles": (guessed_titles, SQL_GUESSED),
