@@ -200,9 +200,6 @@ pairs AS (SELECT trim(lower(label)) AS a, 'vote method' AS b FROM rows),
 SELECT p_partkey, label, regexp_matches(a, 'vote\\s+method[\\s:]*$') OR score >= 0.8 OR (contains(a, 'vote') AND contains(a, 'method')) AS hit FROM rows JOIN ratios ON a = trim(lower(label))"""
 
 
-_STATES = F.array(*map(F.lit, N.STATE_NAMES))
-
-
 def located_urls(spark, sf_dir):
     """State and county of addresses: of the given pages, and of ones that name states and counties in every way."""
     customer, pages = read(spark, sf_dir, "customer", "pages")
