@@ -62,23 +62,25 @@ ENTITY_RULES = (
 )
 
 
-def spans(text: Column, pattern: str, label: str) -> Column:
+def spans(text: Column, pattern: Column | str, label: Column | str) -> Column:
     """start, end, label of every match, leftmost and without overlap."""
-    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern, label = (F.lit(x) if isinstance(x, str) else x for x in (pattern, label))
+    between, hits = F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, pattern, F.lit(0))
     sizes = F.transform(F.arrays_zip(between.alias("gap"), hits.alias("hit")), lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.length(z["hit"]).alias("hit")))
     state = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(s: Column, z: Column) -> Column:
         start, end = s["at"] + z["gap"], s["at"] + z["gap"] + z["hit"]
-        return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(start.alias("start"), end.alias("end"), F.lit(label).alias("label"))).alias("out"))
+        return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(start.alias("start"), end.alias("end"), label.alias("label"))).alias("out"))
 
     return F.aggregate(F.filter(sizes, lambda z: z["hit"].isNotNull()), state, step)["out"]
 
 
-def rule_spans(text: Column, rules: Sequence[tuple[str, str]], any_case: bool = True) -> Column:
-    """Spans of all rules, each once, by start, end and label; null texts have none."""
-    said = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.array_distinct(F.concat(*[spans(said, ("(?i)" if any_case else "") + p, label) for p, label in rules])))
+def rule_spans(texts: DataFrame, text: str, rules: Sequence[tuple[str, str]], any_case: bool = True) -> DataFrame:
+    """text, start, end, label of every rule's matches in the distinct texts, each once; rules are rows that every text meets."""
+    table = F.array(*[F.struct(F.lit(("(?i)" if any_case else "") + p).alias("pattern"), F.lit(label).alias("of")) for p, label in rules])
+    met = texts.select(text).where(F.col(text).isNotNull()).distinct().select(text, F.inline(table))
+    return met.select(text, F.inline(spans(F.col(text), F.col("pattern"), F.col("of")))).distinct()
 
 
 def entities(text: Column, rules: Sequence[tuple[str, str]] = ENTITY_RULES) -> Column:
@@ -116,5 +118,4 @@ def vocabulary_spans(texts: DataFrame, text: str, vocabulary: DataFrame) -> Data
 def header_labels(headers: DataFrame, name: str, vocabulary: DataFrame) -> DataFrame:
     """name, start, end, label of every distinct header: spans of the rules and of the vocabulary, each once."""
     own = headers.select(name).where(F.col(name).isNotNull()).distinct()
-    ruled = own.select(name, F.inline(rule_spans(F.col(name), HEADER_RULES)))
-    return ruled.union(vocabulary_spans(own, name, vocabulary)).distinct()
+    return rule_spans(own, name, HEADER_RULES).union(vocabulary_spans(own, name, vocabulary)).distinct()

@@ -60,7 +60,8 @@ def scored(tables: DataFrame) -> DataFrame:
     named = F.exists(F.map_values("values"), lambda v: F.regexp_like(v, F.lit(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b|^\d[\d,.]*$")))
     facts = tables.groupBy(*TABLE, "rank", "headers").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(full).alias("full"), F.bool_or(named).alias("entities"))
     width = F.size("headers")
-    model = F.size(F.filter("headers", lambda h: F.size(spans.rule_spans(h, spans.HEADER_RULES)) > 0)) / F.greatest(width, F.lit(1))
+    known = "(?i)" + "|".join(p for p, _ in spans.HEADER_RULES)
+    model = F.size(F.filter("headers", lambda h: F.regexp_like(h, F.lit(known)))) / F.greatest(width, F.lit(1))
     generic = F.exists("headers", lambda h: F.regexp_like(F.trim(h), F.lit(_GENERIC)))
     fill = F.col("full") / F.greatest(F.col("n_rows") * width, F.lit(1))
     return facts.select(*TABLE, "rank", "headers", "n_rows", generic.alias("generic"), structures.candidate_score(model, F.col("n_rows"), width, fill, F.col("entities"), generic).alias("score"))

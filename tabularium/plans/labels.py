@@ -41,7 +41,8 @@ def _sql_spans(table: str, key: str, text: str, rules, any_case: bool) -> str:
         out.append(
             f"SELECT {key}, {n} AS n, '{label}' AS label, list_transform(h, lambda x, i: list_sum(list_transform(g[1 : i], lambda y: length(y))) + coalesce(list_sum(list_transform(h[1 : i - 1], lambda y: length(y))), 0)) AS starts, h, "
             # a word ends where no letter of any alphabet follows; the engine's own border knows ASCII only
-            f"list_transform(h, lambda x, i: {str(pattern.startswith(chr(92) + 'b')).lower()} AND regexp_matches(g[i], '[\\p{{L}}\\p{{N}}]$') OR {str(pattern.endswith(chr(92) + 'b')).lower()} AND regexp_matches(g[i + 1], '^[\\p{{L}}\\p{{N}}]')) AS inside "
+            f"list_transform(h, lambda x, i: {str(pattern.startswith(chr(92) + 'b')).lower()} AND regexp_matches(x, '^[\\p{{L}}\\p{{N}}]') AND regexp_matches(g[i][-1], '[\\p{{L}}\\p{{N}}]') AND g[i][-1] > chr(127) "
+            f"OR {str(pattern.endswith(chr(92) + 'b')).lower()} AND regexp_matches(x, '[\\p{{L}}\\p{{N}}]$') AND regexp_matches(g[i + 1][1], '[\\p{{L}}\\p{{N}}]') AND g[i + 1][1] > chr(127)) AS inside "
             f"FROM (SELECT {key}, regexp_split_to_array({text}, '{p}') AS g, regexp_extract_all({text}, '{p}') AS h FROM {table}) WHERE len(h) > 0"
         )
     body = "\nUNION ALL ".join(out)
