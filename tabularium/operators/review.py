@@ -14,6 +14,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.session import cut
+
 from . import similar
 
 
@@ -46,3 +48,45 @@ def resolved(anomalies: DataFrame, corrections: DataFrame) -> DataFrame:
     """anomalies (id, details, ...) with the details of the last edit, and whether one was resolved."""
     told = corrections.groupBy("id").agg(F.max_by("label", F.when(F.col("action") == "edit", F.col("seq"))).alias("_details"), F.bool_or(F.col("action") == "resolve").alias("_resolved"))
     return anomalies.join(told, "id", "left").withColumn("details", F.coalesce("_details", "details")).select(*anomalies.columns, F.coalesce("_resolved", F.lit(False)).alias("resolved"))
+
+
+def merged_patterns(patterns: DataFrame, corrections: DataFrame) -> DataFrame:
+    """patterns (pattern_id, label, features: map) after corrections (seq, pattern_id, action, label, target) in the order of seq.
+
+    ``edit`` labels a pattern; ``remove`` takes it away; ``merge`` gives its features and
+    its label, where it has them, to the target, and takes it away, unless the target is
+    unknown or gone by then.  Of several corrections of a pattern the last counts; one
+    merged with itself goes.
+
+    A merge holds unless an earlier one took its target away, so what holds alternates
+    along the chain of earlier targets; both that and the way to the pattern which a
+    merged one ends in are found by doubling, in as many written rounds as the chain's
+    length has bits.  What was written last is the greatest path of seqs, target first.
+    """
+    ids = patterns.select("pattern_id")
+    last = corrections.groupBy("pattern_id").agg(F.max_by(F.struct("seq", "action", "label", "target"), "seq").alias("_c")).select("pattern_id", "_c.*").join(ids, "pattern_id")
+    last = last.withColumn("action", F.when((F.col("action") == "merge") & (F.col("target") == F.col("pattern_id")), "remove").otherwise(F.col("action")))
+    merges = last.where("action = 'merge'").select("pattern_id", "seq", "target").join(ids.select(F.col("pattern_id").alias("target")), "target")
+    going = last.where("action = 'remove'").select("pattern_id", "seq", F.lit(False).alias("merge")).union(merges.select("pattern_id", "seq", F.lit(True))).select(F.col("pattern_id").alias("target"), F.col("seq").alias("_seq"), "merge")
+    step = merges.join(going, "target", "left").withColumn("_earlier", F.coalesce(F.col("_seq") < F.col("seq"), F.lit(False)))
+    # holds = flip, or the other way round than that of ``at``
+    state = step.select("pattern_id", "seq", "target", F.when(F.col("_earlier") & F.col("merge"), F.col("target")).alias("at"), (~F.col("_earlier") | F.col("merge")).alias("flip"))
+    state = cut(state.withColumn("flip", F.when(F.col("at").isNotNull(), F.lit(True)).otherwise(F.col("flip"))), "merges")
+    while not state.where("at is not null").isEmpty():
+        there = state.select(F.col("pattern_id").alias("at"), F.col("at").alias("_at"), F.col("flip").alias("_flip"))
+        state = cut(state.join(there, "at", "left").select("pattern_id", "seq", "target", F.col("_at").alias("at"), F.when(F.col("at").isNull(), F.col("flip")).otherwise(F.col("flip") != F.col("_flip")).alias("flip")), "merges")
+    ways = cut(state.where("flip").select("pattern_id", F.col("target").alias("into"), F.array("seq").alias("path"), F.lit(True).alias("open")), "ways")
+    while not ways.where("open").isEmpty():
+        there = ways.select(F.col("pattern_id").alias("into"), F.col("into").alias("_into"), F.col("path").alias("_path"))
+        met = ways.join(there, "into", "left").withColumn("open", F.col("_into").isNotNull())
+        ways = cut(met.select("pattern_id", F.coalesce("_into", "into").alias("into"), F.when(F.col("open"), F.concat("_path", "path")).otherwise(F.col("path")).alias("path"), "open"), "ways")
+
+    every = patterns.join(ways.select("pattern_id", "into", "path"), "pattern_id", "left").withColumn("into", F.coalesce("into", "pattern_id")).withColumn("path", F.coalesce("path", F.array().cast("array<bigint>")))
+    edits = last.where("action = 'edit'").select(F.col("pattern_id").alias("into"), "label", F.array(F.col("seq").cast("bigint")).alias("path"))
+    labels = every.select("into", "label", "path").union(edits).where("label is not null").groupBy("into").agg(F.max_by("label", "path").alias("label"))
+    told = every.select("into", "path", F.explode("features").alias("key", "value")).groupBy("into", "key").agg(F.max_by("value", "path").alias("value"))
+    features = told.groupBy("into").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("features"))
+    gone = last.where("action = 'remove'").select("pattern_id").union(ways.select("pattern_id"))
+    kept = ids.join(gone, "pattern_id", "left_anti").withColumn("into", F.col("pattern_id"))
+    kept = kept.join(labels, "into", "left").join(features, "into", "left")
+    return kept.select("pattern_id", "label", F.coalesce("features", F.create_map().cast("map<string,string>")).alias("features"))

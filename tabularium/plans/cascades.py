@@ -268,7 +268,39 @@ last AS (SELECT id, arg_max(new, seq) AS new FROM told GROUP BY id)
 SELECT id, html, coalesce(new, label) AS label, pattern_id FROM e LEFT JOIN last USING (id) WHERE id NOT IN (SELECT id FROM c WHERE action = 'remove')"""
 
 
+def merged_patterns(spark, sf_dir):
+    """A pattern for each part, after a review that edits, removes and merges them, chains included."""
+    (part,) = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    features = F.create_map(F.lit("brand"), "p_brand", F.concat(F.lit("size "), k % 3), F.col("p_size").cast("string"))
+    patterns = part.select(k.alias("pattern_id"), F.when(k % 17 > 0, F.col("p_type")).alias("label"), features.alias("features"))
+    target = F.floor(k / 60) * 60 + (k * 31 + 7) % 60
+    changes = part.where("p_partkey % 8 <> 3").select((k * 7919 % 1_000_003).alias("seq"), k.alias("pattern_id"), _pick(k, F.lit("merge"), F.lit("merge"), F.lit("merge"), F.lit("edit"), F.lit("remove")).alias("action"), F.concat(F.lit("label "), k).alias("label"), target.alias("target"))
+    return review.merged_patterns(patterns, changes).select("pattern_id", "label", F.array_join(F.transform(F.array_sort(F.map_entries("features")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ").alias("features"))
+
+
+SQL_MERGED = """
+WITH RECURSIVE
+p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 17 > 0 THEN p_type END AS label, p_brand AS brand, 'size ' || p_partkey % 3 AS k, p_size::VARCHAR AS v FROM part),
+c AS (SELECT id, id * 7919 % 1000003 AS seq, ['merge', 'merge', 'merge', 'edit', 'remove'][id % 5 + 1] AS action, id // 60 * 60 + (id * 31 + 7) % 60 AS target FROM p WHERE id % 8 <> 3),
+going AS (SELECT id, seq, CASE WHEN action = 'merge' AND target <> id THEN 'merge' ELSE 'remove' END AS action FROM c WHERE action = 'remove' OR action = 'merge' AND target IN (SELECT id FROM p)),
+e AS (SELECT c.id, c.seq, c.target, g.action AS before FROM c LEFT JOIN going g ON g.id = c.target AND g.seq < c.seq WHERE c.action = 'merge' AND c.target <> c.id AND c.target IN (SELECT id FROM p)),
+holds(id, ok) AS (
+    SELECT id, before IS NULL FROM e WHERE before IS NULL OR before = 'remove'
+    UNION ALL SELECT e.id, NOT ok FROM e JOIN holds h ON h.id = e.target WHERE e.before = 'merge'),
+valid AS (SELECT * FROM e WHERE id IN (SELECT id FROM holds WHERE ok)),
+way(id, root, path) AS (SELECT id, id, []::BIGINT[] FROM p UNION ALL SELECT w.id, v.target, list_prepend(v.seq, w.path) FROM way w JOIN valid v ON v.id = w.root),
+ends AS (SELECT * FROM way WHERE root NOT IN (SELECT id FROM valid)),
+labels AS (
+    SELECT root, arg_max(label, path) AS label FROM (SELECT root, label, path FROM ends JOIN p USING (id) WHERE label IS NOT NULL UNION ALL SELECT id, 'label ' || id, [seq] FROM c WHERE action = 'edit') GROUP BY root),
+told AS (
+    SELECT root, k, arg_max(v, path) AS v FROM (SELECT root, 'brand' AS k, brand AS v, path FROM ends JOIN p USING (id) UNION ALL SELECT root, k, v, path FROM ends JOIN p USING (id)) GROUP BY root, k)
+SELECT root AS pattern_id, any_value(label) AS label, string_agg(k || '=' || v, ', ' ORDER BY k) AS features FROM told LEFT JOIN labels USING (root)
+WHERE root NOT IN (SELECT id FROM going WHERE action = 'remove') GROUP BY root"""
+
+
 QUERIES = {
+    "merged_patterns": (merged_patterns, SQL_MERGED),
     "reviewed_segments": (reviewed_segments, SQL_SEGMENTS),
     "handler_routing": (handler_routing, SQL_ROUTING),
     "best_headers": (best_headers, SQL_BEST),

@@ -32,3 +32,30 @@ def test_anomalies(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, details string")
     changes = spark.createDataFrame([(1, 1, "edit", "x"), (2, 1, "edit", "y"), (3, 2, "resolve", None), (4, 9, "edit", "z")], "seq long, id long, action string, label string")
     assert {tuple(r) for r in review.resolved(rows, changes).collect()} == {(1, "y", False), (2, "b", True), (3, "c", False)}
+
+
+def test_merges_equal_a_replay(spark):
+    rng = random.Random(11)
+    patterns = {i: {"label": rng.choice([None, f"l{i}"]), "features": {rng.choice("abcd"): f"{i}{k}" for k in range(rng.randrange(3))}} for i in range(80)}
+    changes = [(s, i, rng.choice(["merge", "merge", "merge", "edit", "remove"]), f"new{s}", rng.choice([rng.randrange(10), rng.randrange(90), i, None])) for s, i in enumerate(rng.sample(range(85), 70))]
+    # a long chain that holds, and one whose merges come from its end, so that they alternate
+    patterns |= {i: {"label": f"c{i}", "features": {"x": str(i)}} for i in range(100, 140)}
+    changes += [(1000 + i, i, "merge", None, i + 1) for i in range(100, 119)] + [(2000 - i, i, "merge", None, i + 1) for i in range(120, 139)]
+    kb = {i: {"label": p["label"], "features": dict(p["features"])} for i, p in patterns.items()}
+    for _, i, action, label, target in sorted(changes):
+        if i not in kb:
+            continue
+        if action == "edit":
+            kb[i]["label"] = label
+        elif action == "remove" or action == "merge" and target == i:
+            del kb[i]
+        elif target in kb:
+            own = kb.pop(i)
+            kb[target]["features"].update(own["features"])
+            kb[target]["label"] = kb[target]["label"] if own["label"] is None else own["label"]
+    table = spark.createDataFrame([(i, p["label"], p["features"]) for i, p in patterns.items()], "pattern_id long, label string, features map<string,string>")
+    told = spark.createDataFrame(changes, "seq long, pattern_id long, action string, label string, target long")
+    got = {r["pattern_id"]: {"label": r["label"], "features": r["features"]} for r in review.merged_patterns(table, told).collect()}
+    assert got == kb and got[119]["features"]["x"] == "100"
+    same = review.merged_patterns(table, told.limit(0)).collect()
+    assert {r["pattern_id"]: r["features"] for r in same} == {i: p["features"] for i, p in patterns.items()}
