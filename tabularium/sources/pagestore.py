@@ -9,6 +9,7 @@ nothing.  Two runs at a time may parse a digest both; readers take the first run
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,20 @@ from . import pages as P
 _INDEX = "digest string, run string, n_segments long"
 
 
+_LEAST = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+
+
+@contextmanager
+def _small_tasks(spark: SparkSession):
+    """While markup is parsed, few bytes are no reason for few tasks: a megabyte of it is many seconds of Python.  Where there is more than that for each core, nothing changes."""
+    before = spark.conf.get(_LEAST)
+    spark.conf.set(_LEAST, "16KB")
+    try:
+        yield
+    finally:
+        spark.conf.set(_LEAST, before)
+
+
 class PageStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -45,7 +60,8 @@ class PageStore:
         if not known.isEmpty() and fresh.isEmpty():
             self.parsed = 0
             return told.select("page_id", "digest")
-        walked.write.parquet(f"{self.folder}/segments/run={run}")
+        with _small_tasks(self.spark):
+            walked.write.parquet(f"{self.folder}/segments/run={run}")
         stored = self.spark.read.parquet(f"{self.folder}/segments/run={run}").groupBy("digest").agg(F.count(F.lit(1)).alias("n_segments"))
         # a page without a segment is stored as well
         rows = fresh.select("digest").join(stored, "digest", "left").select("digest", F.lit(run).alias("run"), F.coalesce("n_segments", F.lit(0)).cast("long").alias("n_segments"))
