@@ -28,7 +28,9 @@ def reviewed_segments(entries: DataFrame, corrections: DataFrame, least: float =
     own = corrections.join(entries.select("id", "html", "pattern_id"), "id")
     edits = own.where(F.col("action").startswith("edit"))
     by_id = edits.select("seq", "label", "id")
-    by_pattern = edits.where("action = 'edit_pattern'").select("seq", "label", "pattern_id").join(entries.select("id", "pattern_id"), "pattern_id").select("seq", "label", "id")
+    # of a pattern's edits the last, before its entries are met
+    last = edits.where("action = 'edit_pattern'").groupBy("pattern_id").agg(F.max(F.struct("seq", "label")).alias("t"))
+    by_pattern = last.join(entries.select("id", "pattern_id"), "pattern_id").select("t.seq", "t.label", "id")
     asked = edits.where("action = 'edit_similar'").groupBy("html").agg(F.max(F.struct("seq", "label")).alias("t"))
     pairs = similar.close_pairs(asked, "html", entries.select(F.col("html").alias("_like")), "_like", math.nextafter(least, 2))
     like = pairs.join(asked, "html").select("t.seq", "t.label", F.col("_like").alias("html")).groupBy("html").agg(F.max(F.struct("seq", "label")).alias("t"))
