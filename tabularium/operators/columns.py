@@ -4,7 +4,8 @@ Tables are long cells: ``by`` (one or more columns) names the table, then row_id
 col_idx, header, value, as ``sources.pages.table_cells`` returns them; ``headers`` are
 by, col_idx, header.  A row may lack cells; those count as blank.  Everything is sums of
 cells by column, row and table, so no table is gathered into a list and a table of any
-length is met by map-side sums.
+length is met by map-side sums.  Cells that are dealt by their table stay where they are:
+what is found out about tables comes to them, and no cell is shuffled or sorted for it.
 
 A null value is blank; a null header is a blank one; a table without rows or headers has
 no result; of columns that score alike the first is taken.
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.functions import text as T
+from tabularium.session import cut
 
 from . import similar
 
@@ -52,7 +54,46 @@ def location_headers(headers: DataFrame, by: Sequence[str], entity: Column | Non
         F.col("_s.header").alias("percent_header"), method(F.col("_s._share"), ("exact", "contains", "sign")).alias("percent_method"))
 
 
-def column_scores(cells: DataFrame, by: Sequence[str], known: DataFrame, name: str, scope: Sequence[str] = (), entity: Column | None = None, header_score: float = 0.5, least: float = 0.8) -> DataFrame:
+def known_values(cells: DataFrame, known: DataFrame, name: str, scope: Sequence[str] = (), least: float = 0.8) -> DataFrame:
+    """scope, value: the different values of cells (in lower case) that are at least ``least`` like a ``known`` name, whatever the case.  They are written, so that Spark knows how few they are."""
+    values = cells.select(*scope, F.lower("value").alias("_v")).where("_v <> ''")
+    names = known.where(F.col(name).isNotNull()).select(*scope, F.lower(name).alias("_known"))
+    return cut(similar.close_pairs(values, "_v", names, "_known", least, scope).select(*scope, F.col("_v").alias("value")).distinct(), "alike")
+
+
+def _sums(cells: DataFrame, by: Sequence[str], rows: str | None, *sums: Column) -> DataFrame:
+    """by, col_idx, header, ``sums``, and _rows: how many rows the table has."""
+    own = cells.groupBy(*by, "col_idx", "header")
+    if rows is not None:
+        return own.agg(*sums, F.max(rows).alias("_rows"))
+    return own.agg(*sums).join(cells.groupBy(*by).agg(F.count_distinct("row_idx").alias("_rows")), list(by))
+
+
+def _yes(c: Column, points: float) -> Column:
+    return F.when(c, F.lit(float(points))).otherwise(F.lit(0.0))
+
+
+def _share(c: str) -> Column:
+    return F.round(F.col(c) / F.col("_rows"), 6)
+
+
+def _beyond(c: str) -> Column:
+    return F.when(F.col(c) > 0.5, 0.5 + F.col(c)).otherwise(F.lit(0.0))
+
+
+def _signs() -> Column:
+    return F.count_if(F.contains(_said("value"), F.lit("%"))).alias("_signs")
+
+
+def _percent_score() -> Column:
+    """By header and percent_share."""
+    low = F.lower(_said("header"))
+    sign = _yes(T.any_word(low, PERCENT_WORDS), 1)
+    sign = F.when(sign > 0, sign).otherwise(_yes(F.contains(low, F.lit("%")), 0.8))
+    return F.round(F.greatest(sign, _beyond("percent_share")), 6).alias("percent_score")
+
+
+def column_scores(cells: DataFrame, by: Sequence[str], known: DataFrame, name: str, scope: Sequence[str] = (), entity: Column | None = None, header_score: float = 0.5, least: float = 0.8, rows: str | None = None, alike: DataFrame | None = None) -> DataFrame:
     """by, col_idx, header, known_share, percent_share, location_score, percent_score of each column.
 
     A place scores by its header (1 if ``entity`` says that it names one; ``header_score``
@@ -62,31 +103,26 @@ def column_scores(cells: DataFrame, by: Sequence[str], known: DataFrame, name: s
     is more, .5 and the share of known values if that is beyond a half.  A share scores 1 for a word,
     else .8 for a sign in the header, or .5 and the share of values with a sign if that is
     beyond a half.  ``scope``: columns of both that a known name must agree in, as the county.
+    ``rows``: a column of cells that has how many rows their table has; counted if not
+    given.  ``alike``: ``known_values`` of these cells, if they are at hand.
     """
-    rows = cells.select(*dict.fromkeys([*by, *scope]), "row_idx", "col_idx", "header", F.lower(_said("value")).alias("_v"))
-    names = known.where(F.col(name).isNotNull()).select(*scope, F.lower(name).alias("_known"))
-    like = similar.close_pairs(rows.where("_v <> ''"), "_v", names, "_known", least, scope).select(*scope, "_v").distinct().withColumn("_like", F.lit(True))
-    rows = rows.join(like, [*scope, "_v"], "left")
+    alike = known_values(cells, known, name, scope, least) if alike is None else alike
+    said = cells.select(*dict.fromkeys([*by, *scope]), "col_idx", "header", "value", F.lower(_said("value")).alias("_v"), rows or "row_idx")
+    said = said.join(alike.select(*scope, F.col("value").alias("_v"), F.lit(True).alias("_like")), [*scope, "_v"], "left")
     digits = F.regexp_like(F.replace("_v", F.lit(","), F.lit("")), F.lit(r"^\d+$"))
-    columns = rows.groupBy(*by, "col_idx", "header").agg(
-        F.count(F.lit(1)).alias("_n"), F.count("_like").alias("_hits"), F.count_if(F.contains("_v", F.lit("%"))).alias("_signs"), F.count_distinct("_v").alias("_values"),
+    columns = _sums(
+        said, by, rows, F.count(F.lit(1)).alias("_n"), F.count("_like").alias("_hits"), _signs(), F.count_distinct("_v").alias("_values"),
         F.count_if(F.col("_v") == "").alias("_blank"), F.bool_and((F.col("_v") == "") | digits).alias("_numbers"))
-    columns = columns.join(rows.groupBy(*by).agg(F.count_distinct("row_idx").alias("_rows")), list(by))
     low = F.lower(_said("header"))
     named = T.any_word(low, T.LOCATION_WORDS) & (low != "candidate")
-    share = lambda c: F.round(F.col(c) / F.col("_rows"), 6)
     # cells that a short row lacks are one more value, the blank one
     values = F.col("_values") + ((F.col("_n") < F.col("_rows")) & (F.col("_blank") == 0)).cast("int")
-    yes = lambda c, points: F.when(c, F.lit(float(points))).otherwise(F.lit(0.0))
-    head = yes(named, header_score + 0.3)
+    head = _yes(named, header_score + 0.3)
     if entity is not None:
-        head = head + yes(F.coalesce(entity, F.lit(False)) & (low != "candidate"), 1)
-    place = head + yes(F.col("known_share") > 0.5, 0.7) + yes((values > 3) & ~F.col("_numbers"), 0.2)
-    sign = yes(T.any_word(low, PERCENT_WORDS), 1)
-    sign = F.when(sign > 0, sign).otherwise(yes(F.contains(low, F.lit("%")), 0.8))
-    beyond = lambda c: F.when(F.col(c) > 0.5, 0.5 + F.col(c)).otherwise(F.lit(0.0))
-    out = columns.withColumn("known_share", share("_hits")).withColumn("percent_share", share("_signs"))
-    return out.select(*by, "col_idx", "header", "known_share", "percent_share", F.round(F.greatest(place, beyond("known_share")), 6).alias("location_score"), F.round(F.greatest(sign, beyond("percent_share")), 6).alias("percent_score"))
+        head = head + _yes(F.coalesce(entity, F.lit(False)) & (low != "candidate"), 1)
+    place = head + _yes(F.col("known_share") > 0.5, 0.7) + _yes((values > 3) & ~F.col("_numbers"), 0.2)
+    out = columns.withColumn("known_share", _share("_hits")).withColumn("percent_share", _share("_signs"))
+    return out.select(*by, "col_idx", "header", "known_share", "percent_share", F.round(F.greatest(place, _beyond("known_share")), 6).alias("location_score"), _percent_score())
 
 
 def picked_columns(scores: DataFrame, by: Sequence[str], beyond: float = 0.7) -> DataFrame:
@@ -96,6 +132,15 @@ def picked_columns(scores: DataFrame, by: Sequence[str], beyond: float = 0.7) ->
     return found.select(*by, (-F.col("_l.at")).alias("location_idx"), F.col("_l.header").alias("location"), (-F.col("_p.at")).alias("percent_idx"), F.col("_p.header").alias("percent"))
 
 
+def marked_columns(scores: DataFrame, by: Sequence[str], beyond: float = 0.7) -> DataFrame:
+    """scores, and is_location, is_percent: whether ``picked_columns`` has the column.  Scores that are dealt by their table stay there, and are made once."""
+    from pyspark.sql import Window
+
+    best = lambda c: F.max(F.when(F.col(c) > beyond, F.struct(c, (-F.col("col_idx")).alias("at")))).over(Window.partitionBy(*by))["at"]
+    taken = lambda c: F.coalesce(F.col("col_idx") == -best(c), F.lit(False))
+    return scores.select("*", taken("location_score").alias("is_location"), taken("percent_score").alias("is_percent"))
+
+
 def with_percent(cells: DataFrame, picked: DataFrame, by: Sequence[str], whole_page: Column | None = None) -> DataFrame:
     """Cells (by, row_idx, col_idx, header, value) whose share column has no blanks any more, if the table tells a share.
 
