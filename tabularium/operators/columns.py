@@ -13,6 +13,7 @@ no result; of columns that score alike the first is taken.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -162,13 +163,15 @@ def with_percent(cells: DataFrame, picked: DataFrame, by: Sequence[str], whole_p
 
 def previews(cells: DataFrame, picked: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, kind, value: what a table names, once each: values of candidates' columns, headers of kinds of ballot, numbers of up to three digits before the point, values of the place's column."""
-    rows = cells.where(_said("value") != "").select(*by, "col_idx", "header", "value").join(picked.select(*by, "location_idx"), list(by), "left")
-    kinds = F.array_compact(F.array(
-        F.when(T.any_word(_said("header"), T.CANDIDATE_WORDS), F.struct(F.lit("candidate").alias("kind"), F.col("value").alias("value"))),
-        F.when(T.any_word(_said("header"), T.BALLOT_ORDER), F.struct(F.lit("ballot_type").alias("kind"), F.col("header").alias("value"))),
+    rows = cells.where(_said("value") != "").select(*by, "col_idx", "header", "value").join(picked.select(*by, "location_idx").hint("shuffle_hash"), list(by), "left")
+    # asked of every cell, so one pattern for all words
+    holds = lambda words: F.regexp_like(F.lower(_said("header")), F.lit("|".join(map(re.escape, words))))
+    kinds = F.array(
+        F.when(holds(T.CANDIDATE_WORDS), F.struct(F.lit("candidate").alias("kind"), F.col("value").alias("value"))),
+        F.when(holds(T.BALLOT_ORDER), F.struct(F.lit("ballot_type").alias("kind"), F.col("header").alias("value"))),
         F.when(F.regexp_like(F.replace("value", F.lit(","), F.lit("")), F.lit(r"^-?\d{1,3}(\.\d+)?%?$")), F.struct(F.lit("number").alias("kind"), F.col("value").alias("value"))),
-        F.when(F.col("col_idx") == F.col("location_idx"), F.struct(F.lit("location").alias("kind"), F.col("value").alias("value")))))
-    return rows.select(*by, F.inline(kinds)).distinct()
+        F.when(F.col("col_idx") == F.col("location_idx"), F.struct(F.lit("location").alias("kind"), F.col("value").alias("value"))))
+    return rows.select(*by, F.inline(kinds)).where("kind is not null").distinct()
 
 
 def predicates(cells: DataFrame, headers: DataFrame, by: Sequence[str], person: Column | None = None, place: Column | None = None) -> DataFrame:
