@@ -94,6 +94,12 @@ def _percent_score() -> Column:
     return F.round(F.greatest(sign, _beyond("percent_share")), 6).alias("percent_score")
 
 
+def percent_scores(cells: DataFrame, by: Sequence[str], rows: str | None = None) -> DataFrame:
+    """by, col_idx, header, percent_share, percent_score of each column, as ``column_scores`` has them, and first_sign, the first row with a sign there; values are not held against any names."""
+    first = F.min(F.when(F.contains(_said("value"), F.lit("%")), F.col("row_idx"))).alias("first_sign")
+    return _sums(cells, by, rows, _signs(), first).withColumn("percent_share", _share("_signs")).select(*by, "col_idx", "header", "percent_share", _percent_score(), "first_sign")
+
+
 def column_scores(cells: DataFrame, by: Sequence[str], known: DataFrame, name: str, scope: Sequence[str] = (), entity: Column | None = None, header_score: float = 0.5, least: float = 0.8, rows: str | None = None, alike: DataFrame | None = None) -> DataFrame:
     """by, col_idx, header, known_share, percent_share, location_score, percent_score of each column.
 
@@ -142,23 +148,46 @@ def marked_columns(scores: DataFrame, by: Sequence[str], beyond: float = 0.7) ->
     return scores.select("*", taken("location_score").alias("is_location"), taken("percent_score").alias("is_percent"))
 
 
+def picked_percent(scores: DataFrame, by: Sequence[str], beyond: float = 0.7) -> DataFrame:
+    """by, percent_idx, percent, as ``picked_columns`` has them, and own_row, any_row, any_idx: the first row with a sign in that column, and row and column of the table's first cell with one.  From ``percent_scores``."""
+    best = F.max(F.when(F.col("percent_score") > beyond, F.struct("percent_score", (-F.col("col_idx")).alias("at"), "header", "first_sign"))).alias("_p")
+    found = scores.groupBy(*by).agg(best, F.min(F.when(F.col("first_sign").isNotNull(), F.struct("first_sign", "col_idx"))).alias("_f"))
+    return found.select(*by, (-F.col("_p.at")).alias("percent_idx"), F.col("_p.header").alias("percent"), F.col("_p.first_sign").alias("own_row"), F.col("_f.first_sign").alias("any_row"), F.col("_f.col_idx").alias("any_idx"))
+
+
 def with_percent(cells: DataFrame, picked: DataFrame, by: Sequence[str], whole_page: Column | None = None) -> DataFrame:
     """Cells (by, row_idx, col_idx, header, value) whose share column has no blanks any more, if the table tells a share.
 
     That is the column's first value with a sign, else ``whole_page`` (an expression over
     ``picked``), else the table's first cell with a sign.  Rows that lack the cell get it.
     """
-    rows = cells.select(*by, "row_idx", "col_idx", "header", _said("value").alias("value"))
-    told = picked if whole_page is None else picked.withColumn("_page", whole_page)
-    page = F.lit(None).cast("string") if whole_page is None else F.col("_page")
-    signs = rows.where(F.contains("value", F.lit("%"))).join(told.select(*by, "percent_idx"), list(by))
-    first = signs.groupBy(*by).agg(F.min_by("value", F.when(F.col("col_idx") == F.col("percent_idx"), F.col("row_idx"))).alias("_own"), F.min_by("value", F.struct("row_idx", "col_idx")).alias("_any"))
-    fill = told.where("percent_idx is not null").join(first, list(by), "left").select(*by, F.col("percent_idx").alias("col_idx"), F.col("percent").alias("header"), F.coalesce("_own", page, "_any").alias("_fill"))
-    fill = fill.where("_fill is not null")
-    lacking = rows.select(*by, "row_idx").distinct().join(fill.select(*by, "col_idx", "header"), list(by)).join(rows.select(*by, "row_idx", "col_idx"), [*by, "row_idx", "col_idx"], "left_anti")
-    every = rows.unionByName(lacking.withColumn("value", F.lit("")))
-    every = every.join(fill.select(*by, "col_idx", "_fill"), [*by, "col_idx"], "left")
-    return every.select(*by, "row_idx", "col_idx", "header", F.when((F.col("value") == "") & F.col("_fill").isNotNull(), F.col("_fill")).otherwise(F.col("value")).alias("value"))
+    signs = cells.where(F.contains(_said("value"), F.lit("%"))).groupBy(*by, "col_idx").agg(F.min("row_idx").alias("_row"))
+    signs = signs.join(picked.select(*by, "percent_idx"), list(by)).groupBy(*by).agg(
+        F.min(F.when(F.col("col_idx") == F.col("percent_idx"), F.col("_row"))).alias("own_row"), F.min(F.struct(F.col("_row").alias("any_row"), F.col("col_idx").alias("any_idx"))).alias("_f"))
+    told = picked.join(signs.select(*by, "own_row", "_f.any_row", "_f.any_idx"), list(by), "left")
+    rows = cells.groupBy(*by, "row_idx").agg(F.collect_list(F.struct("col_idx", "header", "value")).alias("cells"))
+    return rows_with_percent(rows, told, by, whole_page)
+
+
+def rows_with_percent(rows: DataFrame, picked: DataFrame, by: Sequence[str], whole_page: Column | None = None) -> DataFrame:
+    """As ``with_percent``, of rows: by, row_idx, cells (an array of col_idx, header, value), and what ``picked_percent`` returns.  Rows dealt and sorted by their table are neither shuffled nor sorted; only ``picked`` is."""
+    from pyspark.sql import Window
+
+    page = F.lit(None).cast("string") if whole_page is None else whole_page
+    own, told = F.col("own_row").isNotNull(), picked.where("percent_idx is not null").withColumn("_page", page)
+    row, at = F.when(own, F.col("own_row")).when(F.col("_page").isNull(), F.col("any_row")), F.when(own, F.col("percent_idx")).otherwise(F.col("any_idx"))
+    told = told.select(*by, "percent_idx", F.col("percent").alias("_header"), "_page", row.alias("_row"), at.alias("_at"))
+    rows = rows.select(*by, "row_idx", "cells").join(told.hint("shuffle_hash"), list(by), "left")
+    sign = F.get(F.filter("cells", lambda c: (c["col_idx"] == F.col("_at")) & F.contains(c["value"], F.lit("%"))), F.lit(0))["value"]
+    found = F.max(F.when(F.col("row_idx") == F.col("_row"), sign)).over(Window.partitionBy(*by))
+    rows = rows.withColumn("_fill", F.coalesce(found, "_page"))
+    blank = lambda c: F.coalesce(c["value"], F.lit("")) == ""
+    cell = lambda i, header, v: F.struct(i.alias("col_idx"), header.alias("header"), v.alias("value"))
+    filled = F.transform("cells", lambda c: cell(c["col_idx"], c["header"], F.when((c["col_idx"] == F.col("percent_idx")) & blank(c), F.col("_fill")).otherwise(c["value"])))
+    has = F.coalesce(F.array_contains("cells.col_idx", F.col("percent_idx")), F.lit(False))
+    lacking = F.concat("cells", F.array(cell(F.col("percent_idx"), F.col("_header"), F.col("_fill"))))
+    whole = F.when(F.col("_fill").isNull(), F.col("cells")).when(has, filled).otherwise(lacking)
+    return rows.select(*by, "row_idx", F.inline(whole)).select(*by, "row_idx", "col_idx", "header", _said("value").alias("value"))
 
 
 def previews(cells: DataFrame, picked: DataFrame, by: Sequence[str]) -> DataFrame:
